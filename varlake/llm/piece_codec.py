@@ -32,4 +32,4 @@ def encode_decode(docs: DataFrame, model_path: str, id_column: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column("id_"), ids, pa.array(out, pa.string())], ["doc_id", "ids", "decoded"])
 
     cols = docs.select(F.col(id_column).cast("long").alias("id_"), F.col(text_column).alias("text_"))
-    return cols.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return text.mapped(cols, run, "doc_id long, ids array<int>, decoded string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import piece_codec, secret_scan, token_counts, topk
+from . import decontaminate, piece_codec, quality, secret_scan, token_counts, topk
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -53,6 +53,22 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(digest("base"), 256).alias("base_sha256"), digest("spans").alias("spans"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        (F.size("matches") > 0).alias("contaminated"),
+        F.col("matches.item_id").alias("item_ids"),
+        F.coalesce(F.array_max("matches.similarity"), F.lit(0.0)).alias("similarity"),
+        F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["item_id"], m["start"], m["end"])), ",").alias("windows"),
+    )
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -61,6 +77,8 @@ QUERIES = {
     "op4_piece_codec": op4_piece_codec,
     "op5_topk": op5_topk,
     "op7_secret_scan": op7_secret_scan,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
 }
 SQL = {"op5_topk": OP5_SQL}

@@ -160,4 +160,4 @@ def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     cols = docs.select(F.col(id_column).cast("long").alias("id_"), F.col(text_column).alias("text_"))
     span = "array<struct<kind: string, start: int, end: int>>"
-    return cols.mapInArrow(run, f"doc_id long, base {span}, spans {span}")
+    return text.mapped(cols, run, f"doc_id long, base {span}, spans {span}")

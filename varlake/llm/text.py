@@ -8,6 +8,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+
+from ..shipping import ship_package
 
 # The white space that parts words.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -153,3 +156,9 @@ def shingle_sets(column: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     keep[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
     values, owner = values[keep], owner[keep]
     return values, np.searchsorted(owner, np.arange(len(n) + 1))
+
+
+def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow, with this package on the executors."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -37,4 +37,4 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_column:
             )
 
     cols = docs.select(F.col(id_column).cast("long").alias("id_"), F.col(text_column).alias("text_"))
-    return cols.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return text.mapped(cols, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

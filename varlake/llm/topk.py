@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from . import text
+
 QUERY_BLOCK, ROW_BLOCK = 256, 8192
 
 
@@ -100,6 +102,6 @@ def top_k(embeddings: DataFrame, every: int = 20, k: int = 20, scale: int = 64,
                     out.append((np.full(len(at), q_id), d[at], s[at].astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out)], ["query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    found = text.mapped(pairs, run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
