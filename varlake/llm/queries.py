@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, piece_codec, quality, secret_scan, token_counts, topk
+from . import decontaminate, line_dedup, piece_codec, quality, secret_scan, token_counts, topk
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -17,6 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("n_lines__").alias("n_lines"), F.col("n_dropped__").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+k AS (
+  SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), o AS (SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10 GROUP BY key),
+m AS (SELECT k.doc_id, k.pos, k.line, coalesce(o.owner < k.doc_id, false) AS gone FROM k LEFT JOIN o ON k.key = o.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = piece_codec.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
     return out.select(
@@ -74,6 +91,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op4_piece_codec": op4_piece_codec,
     "op5_topk": op5_topk,
     "op7_secret_scan": op7_secret_scan,
@@ -81,4 +99,4 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
 }
-SQL = {"op5_topk": OP5_SQL}
+SQL = {"op2_line_dedup": OP2_SQL, "op5_topk": OP5_SQL}

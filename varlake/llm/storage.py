@@ -27,18 +27,12 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def staged_by(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
-    """As staged(), bucketed by key: later joins and groupings on the key don't shuffle this side again."""
+def staged_by(df: DataFrame, keys: list[str], buckets: int, name: str) -> DataFrame:
+    """As staged(), bucketed and sorted by keys: later joins and groupings on them don't shuffle this side again."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
-    (
-        df.repartition(buckets, key)
-        .write.option("path", f"{shared_folder(spark)}/{table}")
-        .option("compression", "zstd")
-        .bucketBy(buckets, key)
-        .sortBy(key)
-        .saveAsTable(table)
-    )
+    writer = df.repartition(buckets, *keys).write.option("path", f"{shared_folder(spark)}/{table}").option("compression", "zstd")
+    writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
     return spark.table(table)
 
 
