@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, line_dedup, piece_codec, quality, secret_scan, token_counts, topk
+from . import decontaminate, line_dedup, pii, piece_codec, quality, secret_scan, token_counts, topk
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -63,6 +63,14 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+PSEUDONYM_KEY = "change-me"  # production runs pass their own secret
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+    return out.select("doc_id", F.size("found").cast("long").alias("n_found"), F.array_join("found.kind", ",").alias("kinds"), "text")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
     digest = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -94,6 +102,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op4_piece_codec": op4_piece_codec,
     "op5_topk": op5_topk,
+    "op6_pii": op6_pii,
     "op7_secret_scan": op7_secret_scan,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
