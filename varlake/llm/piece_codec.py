@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -20,15 +18,22 @@ def encode_decode(docs: DataFrame, model_path: str, id_column: str = "doc_id", t
 
     def run(batches):
         model = pieces.load(model_path)
-        memo = pieces.Memo(lambda keys: [(i := model.ids(s), model.decoded(i)) for s in model.merged([pieces.spelled(k) for k in keys])])
+        def make(keys):
+            ids, offsets = model.encoded([pieces.spelled(k) for k in keys])
+            data, cuts = ids.tobytes(), (4 * offsets).tolist()
+            return zip([data[a:b] for a, b in zip(cuts, cuts[1:])], model.decoded(ids, offsets))
+
+        memo = pieces.Memo(make)
         for batch in text.chunks(batches, "text_"):
             units = [pieces.units(t or "") for t in batch.column("text_").to_pylist()]
             memo.learn(units)
-            found = [[memo[k] for k in u] for u in units]
-            flat = [list(chain.from_iterable(i for i, _ in f)) for f in found]
-            offsets = np.cumsum([0, *map(len, flat)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(flat), np.int32, int(offsets[-1]))))
-            out = ["".join([d for _, d in f])[1:] for f in found]
+            packed, out = [], []
+            for u in units:
+                found = [memo[k] for k in u]
+                packed.append(b"".join([i for i, _ in found]))
+                out.append("".join([d for _, d in found])[1:])
+            offsets = np.cumsum([0, *map(len, packed)]) // 4
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("id_"), ids, pa.array(out, pa.string())], ["doc_id", "ids", "decoded"])
 
     cols = docs.select(F.col(id_column).cast("long").alias("id_"), F.col(text_column).alias("text_"))

@@ -15,7 +15,7 @@ import numpy as np
 MARK = "▁"
 NONE = np.int64(1) << np.int64(60)
 LONG = 1000  # symbols from which a word is merged by a heap instead: rounds would rescan it too often
-CACHE = 150_000
+CACHE = 200_000
 _UNITS = re.compile(r" +[^ \n]*|\n[^ \n]*")
 
 
@@ -71,43 +71,70 @@ class Pieces:
         self.keys, self.ranks, self.made = (np.array(x, np.int64)[order] for x in (keys, ranks, made))
         # Merges to be done one at a time: what they make could pair at once at a better rank, or the rank has several pieces.
         self.single = np.array([x in early for x in self.made]) | shared[self.ranks]
-        self.lookup = {int(k): (int(r), int(m)) for k, r, m in zip(self.keys, self.ranks, self.made)}
+        # An open hash table of the keys; a last entry stands for no pair.
+        size = 1 << (2 * len(self.keys)).bit_length()
+        self.shift, self.slots, self.probes = 64 - size.bit_length() + 1, np.full(size, -1, np.int64), 0
+        for i, k in enumerate(self.keys.tolist()):
+            slot, tries = (k * 0x9E3779B97F4A7C15 % 2**64) >> self.shift, 1
+            while self.slots[slot] >= 0:
+                slot, tries = (slot + 1) % size, tries + 1
+            self.slots[slot], self.probes = i, max(self.probes, tries)
+        self.keys, self.ranks, self.made, self.single = (np.append(x, y) for x, y in ((self.keys, -1), (self.ranks, NONE), (self.made, -1), (self.single, False)))
+        self.raw_ends = np.concatenate([[0], np.cumsum([len(x) for x in self.raw])])
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.lookup = {int(k): (int(r), int(m)) for k, r, m in zip(self.keys[:-1], self.ranks, self.made)}
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Places of the pairs in the table, -1 for those that make no piece."""
         key = left * self.n_symbols + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), at, -1)
-
-    def merged(self, words: list[str]) -> list[np.ndarray]:
-        """The symbols that remain of each word."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
-        sizes = np.array([len(w) for w in words], np.int64)
+        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(self.shift)).astype(np.int64)
+        at = self.slots[slot]
+        out = np.where((at >= 0) & (self.keys[at] == key), at, -1)
+        for _ in range(self.probes - 1):
+            left_over = np.flatnonzero((out < 0) & (at >= 0))
+            if not len(left_over):
+                break
+            slot[left_over] = (slot[left_over] + 1) & (len(self.slots) - 1)
+            at = np.full(len(key), -1)
+            at[left_over] = self.slots[slot[left_over]]
+            out = np.where((at >= 0) & (self.keys[at] == key), at, out)
+        return np.where((left >= 0) & (right >= 0), out, -1)
+
+    def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols that remain of each word, one after the other, and the words' offsets in them."""
+        syms, owners = [], []
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
         for i in np.flatnonzero(sizes > LONG):
-            out[i] = self._by_heap(words[i])
-        short = np.flatnonzero((sizes > 0) & (sizes <= LONG))
-        sym = self.char[np.frombuffer("".join([words[i] for i in short]).encode("utf-32-le", "surrogatepass"), np.uint32)]
+            syms.append(self._by_heap(words[i]))
+            owners.append(np.full(len(syms[-1]), i))
+        short = np.flatnonzero(sizes <= LONG)
+        chosen = words if len(short) == len(words) else [words[i] for i in short]
+        sym = self.char[np.frombuffer("".join(chosen).encode("utf-32-le", "surrogatepass"), np.uint32)]
         word = np.repeat(short, sizes[short])
         place = np.full(len(sym), -1, np.int64)
         if len(sym) > 1:
             place[:-1] = np.where(word[1:] == word[:-1], self.pairs(sym[:-1], sym[1:]), -1)
         while len(sym):
-            heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            rank = np.where(place >= 0, self.ranks[place], NONE)
+            new = np.ones(len(sym), bool)
+            np.not_equal(word[1:], word[:-1], out=new[1:])
+            heads = np.flatnonzero(new)
+            rank = self.ranks[place]  # the last, for places of -1, is above all ranks
             best = np.minimum.reduceat(rank, heads)
             sizes = np.diff(np.append(heads, len(sym)))
             if (done := best == NONE).any():
-                for h, s in zip(heads[done], sizes[done]):
-                    out[word[h]] = sym[h : h + s].copy()
                 keep = np.repeat(~done, sizes)
+                syms.append(sym[~keep])
+                owners.append(word[~keep])
                 sym, word, place, rank = sym[keep], word[keep], place[keep], rank[keep]
                 best, sizes = best[~done], sizes[~done]
                 if not len(sym):
                     break
             hit = np.flatnonzero(rank == np.repeat(best, sizes))
-            first = np.concatenate([[True], word[hit][1:] != word[hit][:-1]])
+            first = np.ones(len(hit), bool)
+            np.not_equal(word[hit][1:], word[hit][:-1], out=first[1:])
             # In a run of overlapping pairs every other one is merged.
-            start = np.concatenate([[True], hit[1:] != hit[:-1] + 1]) | first
+            start = first.copy()
+            start[1:] |= hit[1:] != hit[:-1] + 1
             run = np.arange(len(hit)) - np.maximum.accumulate(np.where(start, np.arange(len(hit)), 0))
             hit = hit[(run % 2 == 0) & (first | ~self.single[place[hit]])]
             sym[hit] = self.made[place[hit]]
@@ -115,11 +142,16 @@ class Pieces:
             keep[hit + 1] = False
             now = hit - np.arange(len(hit))
             sym, word, place = sym[keep], word[keep], place[keep]
-            redo = np.unique(np.concatenate([now, now[now > 0] - 1]))
-            inner = redo[redo + 1 < len(sym)]
+            redo = np.zeros(len(sym) + 1, bool)
+            redo[now] = redo[now - 1] = True
+            redo = np.flatnonzero(redo[:-1])
             place[redo] = -1
-            place[inner] = np.where(word[inner] == word[inner + 1], self.pairs(sym[inner], sym[inner + 1]), -1)
-        return out
+            inner = redo[redo + 1 < len(sym)]
+            inner = inner[word[inner] == word[inner + 1]]
+            place[inner] = self.pairs(sym[inner], sym[inner + 1])
+        sym, word = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (syms, owners))
+        order = np.argsort(word, kind="stable")
+        return sym[order], np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(words)))])
 
     def _by_heap(self, word: str) -> np.ndarray:
         sym = [int(self.char[ord(c)]) for c in word]
@@ -146,19 +178,28 @@ class Pieces:
                 push(left[i])
         return np.array([s for s, a in zip(sym, alive) if a], np.int64)
 
-    def ids(self, symbols: np.ndarray) -> list[int]:
-        """Piece ids; a character without a piece gives the ids of its bytes."""
-        n, out = len(self.names), []
-        for s in symbols.tolist():
-            if 0 <= s < n:
-                out.append(s)
-            else:
-                c = self.of_symbol[s] if s >= 0 else chr(-1 - s)
-                out.extend(int(self.byte_ids[b]) for b in c.encode("utf-8", "surrogatepass"))
-        return out
-
-    def decoded(self, ids: list[int]) -> str:
-        return b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of the words, one after the other, and the words' offsets; a character without a piece gives the ids of its bytes."""
+        sym, offsets = self.merged(words)
+        odd = np.flatnonzero((sym < 0) | (sym >= len(self.names)))
+        if not len(odd):
+            return sym.astype(np.int32), offsets
+        spelt = [(self.of_symbol[s] if s >= 0 else chr(-1 - s)).encode("utf-8", "surrogatepass") for s in sym[odd].tolist()]
+        counts = np.ones(len(sym), np.int64)
+        counts[odd] = [len(x) for x in spelt]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = np.repeat(sym, counts)
+        at = np.repeat(ends[odd], counts[odd]) + np.concatenate([np.arange(len(x)) for x in spelt])
+        ids[at] = self.byte_ids[np.frombuffer(b"".join(spelt), np.uint8)]
+        return ids.astype(np.int32), ends[offsets]
+
+    def decoded(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The text of each run of ids: its pieces' bytes as UTF-8."""
+        size = self.raw_ends[ids + 1] - self.raw_ends[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(ends[-1]) + np.repeat(self.raw_ends[ids] - ends[:-1], size)
+        data, cuts = self.raw_bytes[at].tobytes(), ends[offsets].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
 
 
 def units(text: str) -> list[str]:
@@ -183,16 +224,21 @@ def load(path: str) -> Pieces:
 
 
 class Memo(dict):
-    """What is known of unit keys; lost keys are only computed again."""
+    """What is known of unit keys, in two generations: keys that recur move on to the next one, the rest are computed again."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def learn(self, texts_units: list[list[str]]) -> None:
-        new = list({k for u in texts_units for k in u if k not in self})
-        if len(self) + len(new) > CACHE:
+        if len(self) > CACHE:
+            self.old = dict(self)
             self.clear()
-            new = list({k for u in texts_units for k in u})
+        new = set().union(*texts_units).difference(self)
+        if self.old:
+            known = new.intersection(self.old)
+            self.update({k: self.old[k] for k in known})
+            new -= known
         if new:
+            new = list(new)
             self.update(zip(new, self.make(new)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -11,7 +12,7 @@ from . import pieces, text
 def whole_tokens(model: pieces.Pieces) -> set[str]:
     """Keys of the words that are proven to encode alone as one token: every vocabulary string goes through the merges once."""
     names = [n for n in model.names if n.startswith(pieces.MARK) and pieces.MARK not in n[1:]]
-    return {n[1:] for n, s in zip(names, model.merged(names)) if len(s) == 1}
+    return {n[1:] for n, size in zip(names, np.diff(model.merged(names)[1])) if size == 1}
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -24,13 +25,13 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_column:
     def run(batches):
         model = pieces.load(model_path)
         whole = whole_tokens(model)
-        memo = pieces.Memo(lambda keys: [len(model.ids(s)) for s in model.merged([pieces.spelled(k) for k in keys])])
+        memo = pieces.Memo(lambda keys: np.diff(model.encoded([pieces.spelled(k) for k in keys])[1]).tolist())
         for batch in text.chunks(batches, "text_"):
             texts = [t or "" for t in batch.column("text_").to_pylist()]
             units = [pieces.units(t) for t in texts]
             rest = [[k for k in u if k not in whole] for u in units]
             memo.learn(rest)
-            counts = [len(u) - len(r) + sum([memo[k] for k in r]) for u, r in zip(units, rest)]
+            counts = [len(u) - len(r) + sum(map(memo.__getitem__, r)) for u, r in zip(units, rest)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id_"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
