@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, line_dedup, pii, piece_codec, quality, secret_scan, token_counts, topk
+from . import decontaminate, line_dedup, passages, pii, piece_codec, quality, secret_scan, similar, token_counts, topk
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -17,6 +17,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = passages.dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("n_words__").alias("n_words"), F.col("n_removed__").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(ws) - 48)) AS p, ws FROM d WHERE len(ws) >= 50),
+k AS (SELECT doc_id, p, md5(array_to_string(ws[p:p + 49], ' ')) AS key FROM w),
+f AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT k.doc_id, unnest(range(k.p, k.p + 50)) AS pos FROM k JOIN f ON k.key = f.key WHERE f.first < k.doc_id),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM d),
+m AS (SELECT words.doc_id, words.pos, word, gone.pos IS NOT NULL AS out FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.pos = gone.pos),
+a AS (SELECT doc_id, count(*) FILTER (WHERE out) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT out), '') AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN a ON d.doc_id = a.doc_id
+"""
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("n_lines__").alias("n_lines"), F.col("n_dropped__").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
@@ -34,6 +53,24 @@ FROM m GROUP BY doc_id
 """
 
 
+def op3_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.link_similar(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(ws[p:p + 4], ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS p FROM d WHERE len(ws) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * same >= 80 * (x.n + y.n - same)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, link.b FROM r JOIN link ON r.b = link.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id
+"""
+
+
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = piece_codec.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
     return out.select(
@@ -99,7 +136,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_passages": op1_passages,
     "op2_line_dedup": op2_line_dedup,
+    "op3_similar": op3_similar,
     "op4_piece_codec": op4_piece_codec,
     "op5_topk": op5_topk,
     "op6_pii": op6_pii,
@@ -108,4 +147,4 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
 }
-SQL = {"op2_line_dedup": OP2_SQL, "op5_topk": OP5_SQL}
+SQL = {"op1_passages": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_similar": OP3_SQL, "op5_topk": OP5_SQL}
