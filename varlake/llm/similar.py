@@ -10,11 +10,9 @@ are never compared again: the links within it don't change what is connected.
 
 from __future__ import annotations
 
-from math import ceil
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..shipping import ship_package
 from . import text
@@ -148,7 +146,7 @@ def overlaps(rows: pa.Table, k: int, percent: int) -> pa.Table:
         return none.empty_table()
     group, doc = rows.column("gid").to_numpy(), rows.column("doc").to_numpy()
     member = rows.column("member").to_numpy(zero_copy_only=False).astype(bool)
-    values, offsets = text.shingle_sets(rows.column("text").combine_chunks(), k)
+    values, offsets = text.shingle_sets(text.unpacked(rows.column("text")), k)
     n = np.diff(offsets)
     owner = np.repeat(np.arange(len(n)), n)
     # A group's tokens: the shingle mixed with the group's number.
@@ -195,7 +193,7 @@ def opened(docs: DataFrame, queries: DataFrame, members: DataFrame, k: int, perc
     salt = F.when(F.col("member"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int")))
     dealt = both.join(salts, "bin").select("bin", "gid", "doc", "member", F.explode(salt).alias("salt"))
     ship_package(spark)
-    return docs.select("doc", "text").join(dealt, "doc").groupBy("bin", "salt").applyInArrow(lambda t: overlaps(t, k, percent), "a long, b long")
+    return text.packed(docs.select("doc", "text")).join(dealt, "doc").groupBy("bin", "salt").applyInArrow(lambda t: overlaps(t, k, percent), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, types as T
 
 from ..shipping import ship_package
 
@@ -158,7 +159,26 @@ def shingle_sets(column: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return values, np.searchsorted(owner, np.arange(len(n) + 1))
 
 
-def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+def unpacked(column: pa.Array) -> pa.Array:
+    """The texts that packed() has compressed."""
+    read = zstandard.ZstdDecompressor().decompress
+    return pa.array([read(x) for x in column.to_pylist()], pa.binary()).cast(pa.large_string())
+
+
+def packed(df: DataFrame, column: str = "text") -> DataFrame:
+    """df with the texts compressed one by one, null as empty: for shuffles, which only find repeats within a block of short ones."""
+
+    def run(batches):
+        write = zstandard.ZstdCompressor(level=3).compress
+        for batch in chunks(batches, column):
+            made = pa.array([write((x or "").encode()) for x in batch.column(column).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([made if n == column else batch.column(n) for n in batch.schema.names], batch.schema.names)
+
+    kinds = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == column else f.dataType) for f in df.schema])
+    return mapped(df, run, kinds)
+
+
+def mapped(df: DataFrame, run, schema: str | T.StructType) -> DataFrame:
     """df.mapInArrow, with this package on the executors."""
     ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
