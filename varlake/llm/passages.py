@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ..shipping import ship_package
@@ -21,8 +22,8 @@ from . import text
 from .storage import default_parallelism, staged
 
 WINDOW, PHRASE = 50, 8
-SHARD_PHRASES = 15_000  # phrases of one automaton, about
-SALT_WORDS = 600_000  # words of documents that a salt of a shard holds, about
+SHARD_PHRASES = 10_000  # phrases of one automaton, about
+SALT_WORDS = 400_000  # words of documents that a salt of a shard holds, about
 
 
 def minimal_phrases(column: pa.Array, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +73,7 @@ def located(machine, words: list[bytes], phrase: int) -> np.ndarray:
 def first_holders(rows: pa.Table, window: int, phrase: int) -> pa.Table:
     """Of the documents of one salt of a shard: the starts of windows that a smaller document of it holds, and the windows (hash and start) of which a document that owns nothing is the first holder."""
     rows = rows.combine_chunks()
-    column = rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string())
+    column = text.unpacked(rows.column("text"))
     docs, rows_ = rows.column("doc").to_numpy(), rows.column("row").to_numpy()
     own = [set(np.array(x, np.int64).view(np.uint64).tolist()) if x else set() for x in rows.column("own").to_pylist()]
     data, offsets = text.flat_bytes(column)
@@ -137,7 +138,7 @@ def find_recurring(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     plain = F.size("own") == 0
     salts = routes.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.when(plain, F.col("n")).otherwise(0)) / salt_words)).cast("int").alias("salts"))
     dealt = routes.join(salts, "shard").withColumn("salt", F.explode(F.when(plain, F.array(F.pmod(F.xxhash64("doc", "row"), F.col("salts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))))
-    groups = docs.join(dealt.select("doc", "row", "own", "shard", "salt", "salts"), ["doc", "row"])
+    groups = text.packed(docs).join(dealt.select("doc", "row", "own", "shard", "salt", "salts"), ["doc", "row"])
     ship_package(spark)
     schema = "doc long, row long, starts array<int>, open array<struct<w: long, s: int>>"
     found = staged(groups.groupBy("shard", "salt").applyInArrow(lambda t: first_holders(t, window, phrase), schema), "holders")
@@ -155,18 +156,20 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     words and become empty. Rows of a null id keep their words and own none; rows of one id count as one document and so
     remove nothing from each other. Repeated rows stay, and so do all columns.
     """
-    source = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("src")
+    others = [c for c in docs.columns if c != text_column]
+    source = F.struct(F.lit(None).cast("int").alias("_"), *(F.col(f"`{c}`") for c in others)).alias("src")
     rows = docs.select(source, F.col(f"`{id_column}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
     slim = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc"), F.col(f"`{text_column}`").alias("text")).where("doc IS NOT NULL AND text IS NOT NULL").withColumn("row", F.xxhash64("text"))
     gone = find_recurring(slim.select("doc", "row", "text"), window, phrase, shard_phrases, salt_words)
-    out = rows.join(gone, ["doc", "row"], "left").select("src", "text", "starts")
+    out = text.packed(rows).join(gone, ["doc", "row"], "left").select("src", "text", "starts")
     kinds = pa.schema([("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
 
     def cut(batches):
+        read = zstandard.ZstdDecompressor().decompress
         for batch in text.chunks(batches):
             kept, total, removed = [], [], []
             for t, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist()):
-                words = t.encode().split()
+                words = read(t).split()
                 total.append(len(words))
                 if starts:
                     edge = np.zeros(len(words) + 1, np.int32)
