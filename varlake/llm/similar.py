@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..shipping import ship_package
 from . import text
@@ -39,7 +39,7 @@ def frequent_tokens(docs: DataFrame, k: int) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(value[often].view(np.int64)), pa.array(count[often]), pa.array(np.zeros(often.sum(), np.int64))], schema=schema)
 
         for batch in text.chunks(batches):
-            held.append(text.shingle_sets(batch.column("text"), k)[0])
+            held.append(text.shingles(batch.column("text"), k))
             size += len(held[-1])
             total += len(held[-1])
             if size >= RUN:
@@ -138,6 +138,18 @@ def shared_postings(docs: DataFrame, often, k: int, percent: int, parts: int) ->
     return text.mapped(posts, shared, "token long, s1 long")
 
 
+def may_link(n: Column, low: Column, high: Column, shared: Column, percent: int) -> Column:
+    """Whether a set of n tokens whose prefix shares so many tokens with a group's prefixes can link with a member of low to high tokens.
+
+    Common tokens are in both prefixes, or behind the prefix that ends first: fewer than percent of its set's tokens. What is
+    needed beyond those grows up to equal sizes and falls from there on, so the range's ends decide; rounding takes 1 at most.
+    """
+    up = lambda a, b: F.floor((a + (b - 1)) / b)
+    least, most = F.greatest(low, up(n * percent, 100)), F.least(high, F.floor(n * 100 / percent))
+    need = lambda m: up((n + m) * percent, 100 + percent) - F.greatest(up(n * percent, 100), up(m * percent, 100)) + 1
+    return (least <= most) & (shared >= F.least(need(least), need(most)) - F.when(least < most, 1).otherwise(0))
+
+
 def overlaps(rows: pa.Table, k: int, percent: int) -> pa.Table:
     """Of one bin of groups: the links q, member between a group's queries and the members; one for each query and group."""
     rows = rows.combine_chunks()
@@ -240,19 +252,18 @@ def link_similar(docs: DataFrame, k: int = K, percent: int = PERCENT, bin_words:
     links = staged(opened(known, stars, heads, k, percent, bin_words), "star_links")
 
     labels = components(links)
-    group_sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
     grouped = classes.select("s1", "rep", "n").join(labels, F.col("rep") == F.col("node"), "left").select("s1", "rep", "n", F.coalesce("label", "rep").alias("comp"))
-    grouped = grouped.join(group_sizes, F.col("comp") == F.col("label"), "left").select("s1", "rep", "n", "comp", F.coalesce("size", F.lit(1)).alias("size"))
-    grouped = staged(grouped, "groups")
+    group_sizes = grouped.groupBy("comp").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
+    grouped = staged(grouped.join(group_sizes, "comp"), "groups")
 
     posts = staged(shared_postings(known, often, k, percent, default_parallelism(spark)).join(grouped, "s1").drop("s1"), "postings")
-    matrix = posts.groupBy("token", "comp", "size").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    matrix = posts.select("token", "comp", "size", "low", "high").distinct()
     several = matrix.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token")
     matrix = matrix.join(several, "token", "left_semi").select("token", F.col("comp").alias("gid"), F.col("size").alias("gsize"), "low", "high")
     smaller = (F.col("size") < F.col("gsize")) | (F.col("size") == F.col("gsize")) & (F.col("comp") > F.col("gid"))
-    fits = (100 * F.col("low") <= 100 * 100 * F.col("n") / percent) & (100 * F.col("high") >= percent * F.col("n"))
-    asked = posts.join(matrix, "token").where((F.col("comp") != F.col("gid")) & smaller & fits).select("rep", "n", "comp", "gid").distinct()
-    asked = staged(asked, "asked")
+    met = posts.select("token", "rep", "n", "comp", "size").join(matrix, "token").where((F.col("comp") != F.col("gid")) & smaller)
+    met = met.groupBy("rep", "n", "comp", "gid", "low", "high").agg(F.count("*").alias("shared"))
+    asked = staged(met.where(may_link(F.col("n"), F.col("low"), F.col("high"), F.col("shared"), percent)).select("rep", "n", "comp", "gid"), "asked")
 
     chunks = lambda size: F.ceil(size / members).cast("int")
     chunk = F.pmod(F.xxhash64("rep"), chunks(F.col("size"))).cast("int")

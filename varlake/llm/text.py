@@ -132,6 +132,18 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
+def shingles(column: pa.Array, k: int = 5) -> np.ndarray:
+    """Hashes of the k-word shingles at all places of all texts that have k words."""
+    data, offsets = flat_bytes(column)
+    data = lowered(data)
+    starts, ends, first = word_bounds(data, offsets)
+    g = grams(word_hashes(data, starts, ends), k)
+    inside = np.zeros(len(g) + k, bool)
+    for a, b in zip(first, first[1:]):
+        inside[a : max(a, b - k + 1)] = True
+    return g[inside[: len(g)]]
+
+
 def shingle_sets(column: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Of each text, the sorted distinct hashes of its k-word shingles (words in lower case A-Z; fewer words: the whole sequence as one; none: empty), one after the other, and their offsets."""
     data, offsets = flat_bytes(column)
