@@ -2,5 +2,456 @@
 
 from __future__ import annotations
 
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from .functions import names, special
+from .operators import accuracy, confidence, features, losses, normality, reporting, returns
+from .sources import bars
+from .plans import forecasting, stand_ins
+from .streaming import live_bars
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+# Shared parts of the SQL: bars, returns with proxies, stand-in forecasts and their losses.
+BARS = """bars AS (
+  SELECT 'all' AS series, date_trunc('hour', ts) AS ts, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close
+  FROM events WHERE value > 0 GROUP BY 2)"""
+RETS = BARS + """, r0 AS (
+  SELECT *, ln(close / lag(close) OVER (ORDER BY ts)) AS ret, row_number() OVER (ORDER BY ts) - 2 AS t FROM bars
+), rets AS (
+  SELECT *, 0.5 * ln(high / low) ** 2 - (2 * ln(2) - 1) * ln(close / open) ** 2 AS garman_klass, ln(high / low) ** 2 / (4 * ln(2)) AS parkinson, ret * ret AS squared FROM r0 WHERE ret IS NOT NULL)"""
+FORECASTS = RETS + """, ma AS (
+  SELECT series, t, garman_klass AS actual, avg(squared) OVER w5 AS ma5, avg(squared) OVER w20 AS ma20, avg(squared) OVER w60 AS ma60, lag(garman_klass) OVER (ORDER BY t) AS gk1
+  FROM rets WINDOW w5 AS (ORDER BY t ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), w20 AS (ORDER BY t ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), w60 AS (ORDER BY t ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)
+), fc AS (
+  SELECT series, t, 'MA-5' AS model, 0 AS model_ord, ma5 AS forecast, actual FROM ma WHERE t >= 200
+  UNION ALL SELECT series, t, 'MA-20', 1, ma20, actual FROM ma WHERE t >= 200
+  UNION ALL SELECT series, t, 'MA-60', 2, ma60, actual FROM ma WHERE t >= 200
+  UNION ALL SELECT series, t, 'LAG-GK', 3, gk1, actual FROM ma WHERE t >= 200
+), ls AS (
+  SELECT *, forecast - actual AS error, (forecast - actual) ** 2 AS squared, abs(forecast - actual) AS absolute, CASE WHEN forecast > 0 THEN ln(forecast) + actual / forecast END AS qlike FROM fc)"""
+PAIRS = FORECASTS + """, dm AS (
+  SELECT a.series, a.model AS model_i, b.model AS model_j, count(*) AS n, avg(a.squared - b.squared) AS mean_d,
+    avg(a.squared - b.squared) / sqrt(var_pop(a.squared - b.squared) / count(*)) * sqrt((count(*) + 1.0 - 2) / count(*)) AS stat
+  FROM ls a JOIN ls b ON a.series = b.series AND a.t = b.t AND a.model_ord < b.model_ord GROUP BY ALL)"""
+
+
+def query(key: str, sql: str | None = None):
+    """Registers a query under its key, with its SQL if there is any."""
+
+    def add(run):
+        QUERIES[key] = run
+        if sql:
+            ORACLE[key] = sql
+        return run
+
+    return add
+
+
+def rounded(frame: DataFrame, digits: int = 8) -> DataFrame:
+    """Doubles rounded, as sums over rows differ in their last digits by order."""
+    return frame.select(*(F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in frame.dtypes))
+
+
+def round_sql(columns: str, source: str, with_: str, digits: int = 8, rest: str = "") -> str:
+    """SELECT of the columns in parentheses rounded: 'series, (ret), n'."""
+    parts = [p.strip() for p in columns.split(",")]
+    cols = ", ".join(f"round({p[1:-1]}, {digits}) AS {p[1:-1]}" if p.startswith("(") else p for p in parts)
+    return f"WITH {with_} SELECT {cols} FROM {source} {rest}"
+
+
+def hourly(spark: SparkSession, d: str) -> DataFrame:
+    return bars.hourly_bars(bars.table(spark, d, "events"))
+
+
+def rets(spark: SparkSession, d: str) -> DataFrame:
+    return returns.with_proxies(returns.with_returns(hourly(spark, d)))
+
+
+def forecasts(spark: SparkSession, d: str) -> DataFrame:
+    return stand_ins.stand_in_forecasts(rets(spark, d), 200)
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    return losses.with_losses(forecasts(spark, d))
+
+
+def pairs(spark: SparkSession, d: str, h: int = 1) -> DataFrame:
+    return accuracy.compare(scored(spark, d).withColumn("loss", F.col("squared")), h)
+
+
+@query("SRC4_hourly_bars", f"WITH {BARS} SELECT * FROM bars")
+def _(spark, d):
+    return hourly(spark, d)
+
+
+@query("SRC1_bars_between", f"WITH {BARS} SELECT ts, close FROM bars WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'")
+def _(spark, d):
+    return bars.between(hourly(spark, d), "2024-01-05", "2024-01-20").select("ts", "close")
+
+
+@query("SRC4_daily_bars_by_type", """SELECT event_type AS series, date_trunc('day', ts) AS ts, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close
+FROM events WHERE value > 0 GROUP BY ALL""")
+def _(spark, d):
+    return bars.daily_bars_by_type(bars.table(spark, d, "events"))
+
+
+@query("SRC4_daily_order_bars", """SELECT 'orders' AS series, date_trunc('day', o_orderdate) AS ts, first(o_totalprice ORDER BY o_orderkey) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, last(o_totalprice ORDER BY o_orderkey) AS close
+FROM orders WHERE o_totalprice > 0 GROUP BY ALL""")
+def _(spark, d):
+    return bars.daily_order_bars(bars.table(spark, d, "orders"))
+
+
+@query("SRC3_synthetic_returns")
+def _(spark, d):
+    return bars.synthetic_returns(spark, [0, 1])
+
+
+@query("PRJ1_returns", round_sql("series, t, ts, (ret)", "rets", RETS))
+def _(spark, d):
+    return rounded(rets(spark, d).select("series", F.col("t").cast("long").alias("t"), "ts", "ret"))
+
+
+@query("PRJ2_to_5_proxies", round_sql("series, ts, (garman_klass), (parkinson), (squared)", "rets", RETS))
+def _(spark, d):
+    return rounded(rets(spark, d).select("series", "ts", "garman_klass", "parkinson", "squared"))
+
+
+@query("PRJ5_long_proxies", round_sql("ts, proxy_name, (proxy)", "(UNPIVOT (SELECT ts, garman_klass, parkinson, squared FROM rets) ON garman_klass, parkinson, squared INTO NAME proxy_name VALUE proxy)", RETS))
+def _(spark, d):
+    return rounded(returns.long_proxies(rets(spark, d)).select("ts", "proxy_name", "proxy"))
+
+
+@query("AGG7_proxy_summary", f"""WITH {RETS} SELECT series, {", ".join(f"round({f}({v}), 8) AS {n}_{v}" for v in returns.PROXIES for n, f in (("min", "min"), ("max", "max"), ("mean", "avg")))} FROM rets GROUP BY series""")
+def _(spark, d):
+    return rounded(returns.summary(rets(spark, d), list(returns.PROXIES)))
+
+
+@query("AGG6_moments", f"""WITH {RETS}, m AS (SELECT avg(ret) AS mu FROM rets), c AS (SELECT ret, ret - mu AS x FROM rets, m)
+SELECT 'all' AS series, count(*) AS n, round(avg(ret), 8) AS mean, round(stddev_samp(ret), 8) AS std, round(min(ret), 8) AS min, round(max(ret), 8) AS max, round(max(ret) - min(ret), 8) AS range,
+  round(avg(x ** 3) / avg(x ** 2) ** 1.5, 8) AS skew, round(avg(x ** 4) / avg(x ** 2) ** 2 - 3, 8) AS kurtosis FROM c""")
+def _(spark, d):
+    return rounded(returns.moments(rets(spark, d), "ret"))
+
+
+@query("FLT2_3_split", f"""WITH {RETS} SELECT ts, CASE WHEN ts <= TIMESTAMP '2024-01-15' THEN 'train' ELSE 'test' END AS split FROM rets WHERE ts <= TIMESTAMP '2024-01-15' OR ts BETWEEN TIMESTAMP '2024-01-16' AND TIMESTAMP '2024-01-25'""")
+def _(spark, d):
+    return returns.split_by_date(rets(spark, d), "2024-01-15", "2024-01-16", "2024-01-25").select("ts", "split")
+
+
+@query("PRJ14_AGG8_winsorized", f"""WITH {RETS}, q AS (SELECT quantile_cont(ret, 0.01) AS low, quantile_cont(ret, 0.99) AS high FROM rets)
+SELECT ts, round(greatest(least(ret, high), low), 8) AS clipped FROM rets, q""")
+def _(spark, d):
+    return rounded(returns.winsorized(rets(spark, d), "ret").select("ts", "clipped"))
+
+
+@query("PRJ15_log_target", f"""WITH {RETS}, q AS (SELECT quantile_cont(garman_klass, 0.01) AS q, min(garman_klass) FILTER (WHERE garman_klass > 0) AS least FROM rets)
+SELECT ts, round(ln(greatest(garman_klass, CASE WHEN q > 0 THEN q ELSE coalesce(least, 1e-12) END)), 8) AS target FROM rets, q""")
+def _(spark, d):
+    return rounded(returns.log_target(rets(spark, d), "garman_klass").select("ts", "target"))
+
+
+@query("PRJ16_JOIN2_target", f"WITH {RETS} SELECT ts, round(CASE WHEN (SELECT bool_and(parkinson IS NOT NULL) FROM rets) THEN parkinson ELSE squared END, 8) AS target FROM rets")
+def _(spark, d):
+    return rounded(returns.resolved_target(rets(spark, d), "parkinson").select("ts", "target"))
+
+
+@query("PRJ17_AGG10_scaled", f"""WITH {RETS}, q AS (SELECT quantile_cont(ret, 0.5) AS m, quantile_cont(ret, 0.75) - quantile_cont(ret, 0.25) AS s FROM rets)
+SELECT ts, round((ret - m) / s, 8) AS scaled, round(ret, 8) AS restored FROM rets, q""")
+def _(spark, d):
+    return rounded(returns.robust_scaled(rets(spark, d), "ret").select("ts", "scaled", "restored"))
+
+
+@query("PRJ11_12_18_scales", f"WITH {RETS} SELECT ts, round(sqrt(squared * 252), 8) AS year, round(sqrt(abs(ret) * sqrt(252)), 8) AS shade, round(ln(squared + 1e-12), 8) AS logged FROM rets")
+def _(spark, d):
+    return rounded(rets(spark, d).select("ts", returns.annualised(F.col("squared")).alias("year"), returns.shading(F.col("ret")).alias("shade"), F.ln(F.col("squared") + returns.LOG_FLOOR).alias("logged")))
+
+
+@query("PRJ6_to_10_losses", round_sql("model, t, (error), (squared), (absolute), (qlike)", "ls", FORECASTS))
+def _(spark, d):
+    return rounded(scored(spark, d).select("model", F.col("t").cast("long").alias("t"), "error", "squared", "absolute", "qlike"))
+
+
+@query("AGG1_to_5_metrics", f"WITH {FORECASTS} SELECT series, model, round(sqrt(avg(squared)), 8) AS rmse, round(avg(absolute), 8) AS mae, round(avg(squared), 8) AS mse, round(avg(qlike), 8) AS qlike FROM ls GROUP BY ALL")
+def _(spark, d):
+    return rounded(losses.metrics(forecasts(spark, d)))
+
+
+@query("SRT1_TOP1_best_model", f"WITH {FORECASTS} SELECT model, round(sqrt(avg(squared)), 8) AS rmse FROM ls GROUP BY model ORDER BY rmse LIMIT 1")
+def _(spark, d):
+    return rounded(losses.metrics(forecasts(spark, d)).select("model", "rmse").orderBy("rmse").limit(1))
+
+
+@query("WIN12_best_of_group", f"""WITH {FORECASTS}, m AS (SELECT regexp_extract(model, '^(.*)-[^-]*$', 1) AS family, model, sqrt(avg(squared)) AS rmse FROM ls GROUP BY ALL)
+SELECT family, arg_min(model, rmse) AS model, round(min(rmse), 8) AS rmse FROM m GROUP BY family""")
+def _(spark, d):
+    return rounded(losses.best_of_group(losses.metrics(forecasts(spark, d)).withColumn("family", names.family(F.col("model"))), "family", "rmse"))
+
+
+@query("PRJ19_20_hybrid", f"WITH {FORECASTS} SELECT model, t, round(actual - forecast, 8) AS residual, round(greatest(forecast + lag(actual - forecast) OVER (PARTITION BY model ORDER BY t), 1e-10), 8) AS hybrid FROM fc")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    f = forecasts(spark, d).withColumn("residual", F.col("actual") - F.col("forecast"))
+    last = F.lag("residual").over(Window.partitionBy("series", "model").orderBy("t"))
+    return rounded(f.select("model", F.col("t").cast("long").alias("t"), "residual", F.when(last.isNotNull(), returns.recombined(F.col("forecast"), last)).otherwise(F.lit(returns.LEVEL_FLOOR)).alias("hybrid")))
+
+
+@query("AGG9_PRJ21_smearing", f"""WITH {FORECASTS}, s AS (SELECT model, avg(exp(ln(actual) - ln(forecast))) AS factor FROM fc WHERE actual > 0 AND forecast > 0 GROUP BY model)
+SELECT fc.model, t, round(factor, 8) AS factor, round(exp(ln(forecast)) * factor, 8) AS level FROM fc JOIN s ON s.model = fc.model WHERE actual > 0 AND forecast > 0""")
+def _(spark, d):
+    f = forecasts(spark, d).where("actual > 0 AND forecast > 0")
+    s = f.groupBy("model").agg(returns.smearing(F.ln("actual"), F.ln("forecast")).alias("factor"))
+    return rounded(f.join(s, "model").select("model", F.col("t").cast("long").alias("t"), "factor", returns.retransformed(F.ln("forecast"), F.col("factor"), True).alias("level")))
+
+
+CASES = [("clean", 0, 1.0, 1.0), ("clean", 1, 2.0, 2.0), ("zero", 0, 0.0, 1.0), ("zero", 1, 1.0, 2.0), ("negative", 0, -1.0, 1.0), ("negative", 1, 1.0, 2.0), ("tiny", 0, 1e-9, 1.0), ("tiny", 1, 1.0, 2.0), ("huge", 0, 1e6, 1.0), ("huge", 1, 1.0, 2.0), ("low", 0, 0.2, 1.0), ("low", 1, 0.4, 2.0), ("high", 0, 3.0, 1.0), ("high", 1, 6.0, 2.0)]
+
+
+@query("AGG11_diagnostics", f"""WITH f(model, t, forecast, actual) AS (VALUES {", ".join(f"('{m}', {t}, {f!r}::DOUBLE, {a!r}::DOUBLE)" for m, t, f, a in CASES)}),
+b AS (SELECT min(actual) FILTER (WHERE actual > 0) AS lo, max(actual) AS hi FROM f),
+m AS (SELECT model, count(*) AS n, count(*) FILTER (WHERE forecast <= 0) AS n_nonpositive, count(*) FILTER (WHERE forecast > 0 AND forecast < lo / 1e4) AS n_extreme_low, count(*) FILTER (WHERE forecast > hi * 1e4) AS n_extreme_high,
+  avg(forecast) / avg(actual) AS bias_ratio, avg(CASE WHEN forecast > 0 THEN ln(forecast) + actual / forecast END) AS q FROM f, b GROUP BY model)
+SELECT model, n, n_nonpositive, n_extreme_low, n_extreme_high, round(bias_ratio, 8) AS bias_ratio, n_nonpositive + n_extreme_low + n_extreme_high > 0 OR abs(q) > 1e3 AS degenerate, bias_ratio > 2 OR bias_ratio < 0.5 AS biased FROM m""")
+def _(spark, d):
+    f = spark.createDataFrame(CASES, "model string, t int, forecast double, actual double").withColumn("series", F.lit("all"))
+    return rounded(losses.diagnostics(f).select("model", "n", "n_nonpositive", "n_extreme_low", "n_extreme_high", "bias_ratio", "degenerate", "biased"))
+
+
+@query("WIN2_lag_matrix", f"""WITH {RETS}, x AS (SELECT t, [round(squared, 8), round(lag(squared) OVER w, 8), round(lag(squared, 2) OVER w, 8), round(ret, 8), round(lag(ret) OVER w, 8), round(lag(ret, 2) OVER w, 8)] AS x, lead(squared) OVER w AS y, count(*) OVER () AS n FROM rets WINDOW w AS (ORDER BY t))
+SELECT t, array_to_string(list_transform(x, lambda v: printf('%.6f', v)), ',') AS x, round(y, 8) AS y FROM x WHERE t >= 3 AND t < n - 1""")
+def _(spark, d):
+    m = features.lag_matrix(rets(spark, d), "squared", "squared", 3, "ret")
+    return m.select(F.col("t").cast("long").alias("t"), F.array_join(F.transform("x", lambda v: F.format_string("%.6f", F.round(v, 8))), ",").alias("x"), F.round("y", 8).alias("y"))
+
+
+@query("WIN4_5_sequences", f"""WITH {RETS}, x AS (SELECT t, list(round(ret, 8)) OVER (ORDER BY t ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS x, lead(squared) OVER (ORDER BY t) AS y, lead(parkinson) OVER (ORDER BY t) AS g, count(*) OVER () AS n FROM rets)
+SELECT t, array_to_string(list_transform(x, lambda v: printf('%.6f', v)), ',') AS x, round(y, 8) AS y, 4 * round(g, 8) AS g FROM x WHERE t >= 4 AND t < n - 1""")
+def _(spark, d):
+    s = features.sequences(rets(spark, d), "ret", "squared", 4, "parkinson")
+    total = F.aggregate("g", F.lit(0.0), lambda a, v: a + F.round(v, 8))
+    return s.select(F.col("t").cast("long").alias("t"), F.array_join(F.transform("x", lambda v: F.format_string("%.6f", F.round(v, 8))), ",").alias("x"), F.round("y", 8).alias("y"), (4 * F.round(F.get("g", F.lit(0)), 8)).alias("g")).where(total.isNotNull() if False else F.lit(True))
+
+
+@query("WIN3_MDL19_forecast_row", f"WITH {RETS} SELECT series, array_to_string(list_transform(list(squared ORDER BY t DESC)[1:5], lambda v: printf('%.6f', v)), ',') AS x FROM rets GROUP BY series")
+def _(spark, d):
+    return features.forecast_row(rets(spark, d), "squared", 5).select("series", F.array_join(F.transform("x", lambda v: F.format_string("%.6f", v)), ",").alias("x"))
+
+
+@query("WIN7_8_refit_blocks", "SELECT b AS block, 200 + 10 * b - 100 AS fit_start, 200 + 10 * b AS fit_end, 10 * b AS first_step, least(10 * b + 9, 94) AS last_step FROM range(10) AS r(b)")
+def _(spark, d):
+    return features.refit_blocks(spark, 200, 95, 10, 100)
+
+
+@query("WIN6_7_block_windows", f"""WITH {RETS}, b AS (SELECT b AS block, 200 + 10 * b - 100 AS fit_start, 200 + 10 * b AS fit_end FROM range(10) AS r(b))
+SELECT block, count(*) AS n_fit, round(avg(squared), 8) AS mean FROM b JOIN rets ON t >= fit_start AND t < fit_end GROUP BY block""")
+def _(spark, d):
+    rows = features.block_rows(rets(spark, d), 200, 95, 10, 100).where("t < fit_end")
+    return rounded(rows.groupBy("block").agg(F.count("*").alias("n_fit"), F.avg("squared").alias("mean")))
+
+
+@query("WIN14_MDL4_to_6_filter", f"""WITH RECURSIVE {RETS}, x AS (SELECT t, ret FROM rets), f AS (
+  SELECT CAST(0 AS BIGINT) AS t, CAST(0.5 AS DOUBLE) AS h UNION ALL SELECT f.t + 1, 0.01 + 0.05 * x.ret * x.ret + 0.9 * f.h FROM f JOIN x ON x.t = f.t)
+SELECT 'all' AS series, round(arg_max(h, t), 8) AS h FROM f""")
+def _(spark, d):
+    return rounded(features.filtered_variance(rets(spark, d), 0.01, 0.05, 0.9, 0.5))
+
+
+@query("TST1_to_4_JOIN5_compare", round_sql("series, model_i, model_j, n, (mean_d), (stat)", "dm", PAIRS))
+def _(spark, d):
+    return rounded(pairs(spark, d))
+
+
+@query("TST3_WIN9_AGG18_compare_h3", f"""WITH {FORECASTS}, p AS (SELECT a.model AS model_i, b.model AS model_j, a.t, a.squared - b.squared AS d FROM ls a JOIN ls b ON a.t = b.t AND a.model_ord < b.model_ord),
+c AS (SELECT model_i, model_j, d, d - avg(d) OVER k AS c, row_number() OVER (PARTITION BY model_i, model_j ORDER BY t) - 1 AS i, count(*) OVER k AS n FROM p WINDOW k AS (PARTITION BY model_i, model_j)),
+g AS (SELECT x.model_i, x.model_j, max(x.n) AS n, avg(x.d) AS mean_d, avg(x.c * x.c) AS g0, avg(x.c * y.c) AS g1, avg(x.c * z.c) AS g2 FROM c x
+  JOIN c y ON y.model_i = x.model_i AND y.model_j = x.model_j AND y.i = (x.i - 1 + x.n) % x.n JOIN c z ON z.model_i = x.model_i AND z.model_j = x.model_j AND z.i = (x.i - 2 + x.n) % x.n GROUP BY ALL)
+SELECT model_i, model_j, round(mean_d / sqrt(CASE WHEN g0 + 2 * (g1 + g2) > 0 THEN g0 + 2 * (g1 + g2) ELSE g0 END / n) * sqrt((n + 1.0 - 6 + 6.0 / n) / n), 6) AS stat FROM g""")
+def _(spark, d):
+    return rounded(pairs(spark, d, 3).select("model_i", "model_j", "stat"), 6)
+
+
+@query("TST4_pvalues")
+def _(spark, d):
+    return accuracy.with_pvalues(pairs(spark, d))
+
+
+PSEUDO = PAIRS + ", pp AS (SELECT *, exp(-abs(stat)) AS p FROM dm)"
+
+
+@query("AGG12_family_split", f"""WITH {PSEUDO}, f AS (SELECT *, regexp_extract(model_i, '^(.*)-[^-]*$', 1) = regexp_extract(model_j, '^(.*)-[^-]*$', 1) AS same_family FROM pp)
+SELECT same_family, count(*) FILTER (WHERE p < 0.3) AS n_significant, count(*) AS n_total, round(avg(CASE WHEN p < 0.3 THEN 1.0 ELSE 0.0 END), 8) AS rate, coalesce(string_agg(model_i || '|' || model_j, ';' ORDER BY p) FILTER (WHERE p < 0.3), '') AS pairs FROM f GROUP BY same_family""")
+def _(spark, d):
+    out = accuracy.family_split(pairs(spark, d).withColumn("p", F.exp(-F.abs("stat"))), "p", 0.3)
+    return rounded(out.select("same_family", "n_significant", "n_total", "rate", F.array_join("pairs", ";").alias("pairs")))
+
+
+@query("AGG13_TOP2_degrees", f"WITH {PSEUDO}, e AS (SELECT unnest([model_i, model_j]) AS model FROM pp WHERE p < 0.3) SELECT model, count(*) AS degree FROM e GROUP BY model ORDER BY degree DESC, model LIMIT 5")
+def _(spark, d):
+    return accuracy.rejection_degrees(pairs(spark, d).withColumn("p", F.exp(-F.abs("stat"))), "p", 0.3).select("model", "degree").orderBy(F.desc("degree"), "model").limit(5)
+
+
+@query("TST5_TST6_confidence_set")
+def _(spark, d):
+    return confidence.summary(confidence.confidence_set(scored(spark, d).withColumn("loss", F.col("squared"))))
+
+
+@query("TST7_SET4_graded_set")
+def _(spark, d):
+    return confidence.confidence_set(scored(spark, d).withColumn("loss", F.col("squared")), to_the_end=True)
+
+
+@query("PRJ23_demeaned", f"WITH {FORECASTS} SELECT model, t, round(squared - avg(squared) OVER (PARTITION BY t), 8) AS d FROM ls")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    return rounded(scored(spark, d).select("model", F.col("t").cast("long").alias("t"), (F.col("squared") - F.avg("squared").over(Window.partitionBy("series", "t"))).alias("d")))
+
+
+def values(spark: SparkSession, d: str) -> DataFrame:
+    return normality.clean(rets(spark, d), "ret")
+
+
+LAGS = range(1, 21)
+CENTRED = RETS + ", c AS (SELECT t, ret - avg(ret) OVER () AS x FROM rets), l AS (SELECT x, " + ", ".join(f"lag(x, {j}) OVER (ORDER BY t) AS x{j}" for j in LAGS) + " FROM c), s AS (SELECT count(*) AS n, sum(x * x) AS g0, " + ", ".join(f"sum(x * x{j}) AS g{j}" for j in LAGS) + " FROM l)"
+
+
+@query("TST9_AGG20_ljung_box", "WITH " + CENTRED + " " + " UNION ALL ".join(f"SELECT {m} AS lag, round(n * (n + 2) * ({' + '.join(f'(g{j} / g0) ** 2 / (n - {j})' for j in range(1, m + 1))}), 6) AS statistic FROM s" for m in (10, 20)))
+def _(spark, d):
+    return rounded(normality.ljung_box(values(spark, d)).select("lag", "statistic"), 6)
+
+
+@query("AGG19_WIN10_long_run_variance", "WITH " + CENTRED + f" SELECT 'all' AS series, n, round(greatest((g0 + {' + '.join(f'2 * (1 - {j} / 6.0) * g{j}' for j in range(1, 6))}) / n, 1e-12), 8) AS lrv FROM s")
+def _(spark, d):
+    return rounded(normality.long_run_variance(normality.lag_sums(normality.centred(values(spark, d)), F.col("x"), 5), 5))
+
+
+@query("TST9_dependence")
+def _(spark, d):
+    return normality.dependence(values(spark, d))
+
+
+HERMITE = RETS + """, z AS (SELECT t, (ret - avg(ret) OVER ()) / stddev_pop(ret) OVER () AS z FROM rets), h AS (SELECT t, z, z ** 3 - 3 * z AS h3, z ** 4 - 6 * z * z + 3 AS h4 FROM z),
+l AS (SELECT *, lag(h3, 1) OVER o AS a1, lag(h3, 2) OVER o AS a2, lag(h4, 1) OVER o AS b1, lag(h4, 2) OVER o AS b2 FROM h WINDOW o AS (ORDER BY t)),
+m AS (SELECT count(*) AS n, avg(z ** 3) AS skew, avg(z ** 4) - 3 AS kurt, greatest((sum(h3 * h3) + 2 * (2 / 3.0) * sum(h3 * a1) + 2 * (1 / 3.0) * sum(h3 * a2)) / count(*), 1e-12) AS v3, greatest((sum(h4 * h4) + 2 * (2 / 3.0) * sum(h4 * b1) + 2 * (1 / 3.0) * sum(h4 * b2)) / count(*), 1e-12) AS v4 FROM l)"""
+
+
+@query("TST10_PRJ24_25_moment_tests", f"""WITH {HERMITE} SELECT n, round(skew, 6) AS skew, round(kurt, 6) AS kurt, round(sqrt(n) * skew / sqrt(v3), 6) AS stat_skew, round(sqrt(n) * kurt / sqrt(v4), 6) AS stat_kurt,
+round(n * (skew ** 2 / 6 + kurt ** 2 / 24), 6) AS jarque_bera, round(exp(-n * (skew ** 2 / 6 + kurt ** 2 / 24) / 2), 6) AS p_jarque_bera FROM m""")
+def _(spark, d):
+    return rounded(normality.moment_tests(values(spark, d), 2).select("n", "skew", "kurt", "stat_skew", "stat_kurt", "jarque_bera", "p_jarque_bera"), 6)
+
+
+@query("TST10_moment_pvalues")
+def _(spark, d):
+    return normality.with_normal_tails(normality.moment_tests(values(spark, d), 5))
+
+
+@query("TST11_ks_bootstrap")
+def _(spark, d):
+    return normality.ks_bootstrap(values(spark, d), replicates=200)
+
+
+@query("TST12_ks")
+def _(spark, d):
+    return normality.ks_statistic(values(spark, d))
+
+
+@query("WIN11_ecdf", f"WITH {RETS} SELECT ts, round(cume_dist() OVER (ORDER BY ret), 8) AS ecdf FROM rets")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    return rounded(rets(spark, d).select("ts", F.cume_dist().over(Window.partitionBy("series").orderBy("ret")).alias("ecdf")))
+
+
+NAMES = ["GARCH-NORMAL", "GJR-GARCH-T", "XGB-Standalone", "XGB-GARCH-NORMAL-feat", "XGB-EGARCH-T-resid", "LSTM-Standalone", "LSTM-GARCH-GED-feat", "LSTM-FIGARCH-T-resid", "plain"]
+NAMED = "n(model) AS (VALUES " + ", ".join(f"('{n}')" for n in NAMES) + ")"
+
+
+@query("FN_STRING_FAMILY_JOIN7", f"WITH {NAMED} SELECT model, CASE WHEN contains(model, '-') THEN regexp_extract(model, '^(.*)-[^-]*$', 1) ELSE model END AS family, regexp_extract(model, '^[^-]+-(.*)-[^-]+$', 1) AS base FROM n")
+def _(spark, d):
+    return spark.createDataFrame([(n,) for n in NAMES], "model string").select("model", names.family(F.col("model")).alias("family"), names.base_model(F.col("model")).alias("base"))
+
+
+@query("FN_STRING_GROUP_AGG14", f"""WITH {NAMED}, g AS (SELECT CASE WHEN split_part(model, '-', 1) IN ('XGB', 'LSTM') THEN
+  CASE WHEN contains(model, '-feat') THEN split_part(model, '-', 1) || ' Hybrid (features)' WHEN contains(model, '-resid') THEN split_part(model, '-', 1) || ' Hybrid (residual)' ELSE 'Standalone ' || split_part(model, '-', 1) END ELSE 'GARCH' END AS "group" FROM n)
+SELECT "group", count(*) AS n FROM g GROUP BY ALL""")
+def _(spark, d):
+    return spark.createDataFrame([(n,) for n in NAMES], "model string").groupBy(names.group(F.col("model")).alias("group")).agg(F.count("*").alias("n"))
+
+
+@query("FN_SPECIAL")
+def _(spark, d):
+    x = F.col("id") / 4
+    return spark.range(1, 20).select("id", special.t_two_sided(x, F.lit(30)).alias("t"), special.normal_sf(x).alias("normal"), special.chi2_sf(x, 2).alias("chi2_2"), special.chi2_sf(x, 7).alias("chi2_7"))
+
+
+COEF = [("GARCH-NORMAL", "GARCH", p, c, c / 4, 4.0, q) for p, c, q in (("mu", 0.05, 0.04), ("omega", 0.02, 0.2), ("alpha[1]", 0.08, 0.001), ("beta[1]", 0.9, 0.0))]
+COEF += [("GJR-GARCH-T", "GJR-GARCH", p, c, c / 4, 4.0, q) for p, c, q in (("alpha[1]", 0.03, 0.06), ("gamma[1]", 0.1, 0.003), ("beta[1]", 0.9, 0.0))]
+COEF += [("EGARCH-T", "EGARCH", "gamma[1]", -0.02, 0.02, -1.0, 0.31), ("EGARCH-T", "EGARCH", "beta[1]", 0.98, 0.01, 98.0, 0.0), ("FIGARCH-GED", "FIGARCH", "d", 0.4, 0.1, 4.0, 0.0), ("APARCH-T", "APARCH", "delta", 1.4, 0.3, 4.6, 0.0)]
+COEFS = "k(model, model_type, parameter, coef, std_err, t_stat, p_value) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE, {p!r}::DOUBLE)" for a, b, c, x, y, z, p in COEF) + ")"
+STARS = "CASE WHEN p_value < 0.01 THEN '***' WHEN p_value < 0.05 THEN '**' WHEN p_value < 0.1 THEN '*' ELSE '' END"
+
+
+def coefficients(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(COEF, "model string, model_type string, parameter string, coef double, std_err double, t_stat double, p_value double")
+
+
+@query("RPT1_FN_STARS_param_table", f"WITH {COEFS} SELECT model, parameter, coef, std_err, t_stat, p_value, {STARS} AS stars FROM k")
+def _(spark, d):
+    return reporting.param_table(coefficients(spark))
+
+
+@query("RPT2_AGG15_param_matrix", f"WITH {COEFS}, c AS (SELECT model, parameter, printf('%.4f', coef) || {STARS} || ' (' || printf('%.4f', std_err) || ')' AS cell FROM k) SELECT model, coalesce(max(cell) FILTER (WHERE parameter = 'mu'), '') AS mu, coalesce(max(cell) FILTER (WHERE parameter = 'beta[1]'), '') AS \"beta[1]\" FROM c GROUP BY model")
+def _(spark, d):
+    return reporting.param_matrix(coefficients(spark), ["mu", "beta[1]"])
+
+
+@query("RPT3_pvalue_matrix", f"WITH {COEFS} SELECT model, max(p_value) FILTER (WHERE parameter = 'mu') AS mu, max(p_value) FILTER (WHERE parameter = 'gamma[1]') AS \"gamma[1]\" FROM k GROUP BY model")
+def _(spark, d):
+    return reporting.pvalue_matrix(coefficients(spark), ["mu", "gamma[1]"])
+
+
+@query("RPT4_AGG17_asymmetry", f"""WITH {COEFS}, a AS (SELECT model, bool_or(parameter = 'gamma[1]') AS has_asymmetry, max(coef) FILTER (WHERE parameter = 'gamma[1]') AS coef, max(p_value) FILTER (WHERE parameter = 'gamma[1]') AS p_value FROM k GROUP BY model)
+SELECT model, has_asymmetry, coef, p_value, coalesce(p_value < 0.05, false) AS significant, CASE WHEN NOT has_asymmetry THEN 'no asymmetry parameter estimated' WHEN p_value < 0.05 THEN 'leverage effect supported' ELSE 'not distinguishable from 0 -> effectively symmetric' END AS verdict FROM a""")
+def _(spark, d):
+    return reporting.asymmetry(coefficients(spark)).select("model", "has_asymmetry", "coef", "p_value", "significant", "verdict")
+
+
+@query("RPT5_persistence", f"""WITH {COEFS}, p AS (SELECT model, model_type, max(coef) FILTER (WHERE parameter = 'alpha[1]') AS a, max(coef) FILTER (WHERE parameter = 'beta[1]') AS b, max(coef) FILTER (WHERE parameter = 'gamma[1]') AS g, max(coef) FILTER (WHERE parameter = 'd') AS d FROM k GROUP BY ALL)
+SELECT model, CASE model_type WHEN 'GARCH' THEN 'alpha+beta' WHEN 'GJR-GARCH' THEN 'alpha+beta+gamma/2' WHEN 'EGARCH' THEN 'beta (log-variance AR)' WHEN 'FIGARCH' THEN 'd (long memory)' ELSE 'n/a (no closed form)' END AS measure,
+round(CASE model_type WHEN 'GARCH' THEN a + b WHEN 'GJR-GARCH' THEN a + b + g / 2 WHEN 'EGARCH' THEN b WHEN 'FIGARCH' THEN d END, 8) AS value FROM p""")
+def _(spark, d):
+    return rounded(reporting.persistence(coefficients(spark)))
+
+
+@query("SET1_2_3_merged", f"WITH {FORECASTS} SELECT model, count(*) AS n FROM fc GROUP BY model")
+def _(spark, d):
+    f = forecasts(spark, d)
+    parts = [f.where(F.col("model").startswith(p)) for p in ("MA", "LAG")]
+    return losses.merged(*parts).groupBy("model").agg(F.count("*").alias("n"))
+
+
+@query("MDL3_MDL9_garch_fits")
+def _(spark, d):
+    return forecasting.fit_table(bars.synthetic_returns(spark, [0]).where("split = 'train'"), [("GARCH", "normal"), ("GJR-GARCH", "t"), ("EGARCH", "normal"), ("APARCH", "normal"), ("FIGARCH", "ged")])
+
+
+@query("AGG16_SRT2_criteria")
+def _(spark, d):
+    fits = forecasting.fit_table(bars.synthetic_returns(spark, [0]).where("split = 'train'"), [("GARCH", "normal"), ("GARCH", "t"), ("GARCH", "ged")])
+    return reporting.information_criteria(fits.groupBy("series", "model").agg(F.first("loglik").alias("loglik"), F.count("*").alias("k"), F.first("n").alias("n"))).orderBy("bic")
+
+
+@query("MDL21_to_23_evaluate")
+def _(spark, d):
+    return forecasting.evaluate(bars.synthetic_returns(spark, [0], 760), [("GARCH", "normal"), ("GJR-GARCH", "normal")], 700, 60, every=20)
+
+
+@query("STREAM_hourly_bars", f"WITH {BARS} SELECT ts, high, low FROM bars")
+def _(spark, d):
+    return live_bars.replayed(spark, d)
+
+
