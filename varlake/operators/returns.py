@@ -71,8 +71,8 @@ def summary(frame: DataFrame, values: list[str]) -> DataFrame:
 
 def winsorized(frame: DataFrame, value: str, lower: float = 0.01, upper: float = 0.01) -> DataFrame:
     """The value clipped to its series' interpolated quantiles; one row of bounds for each series is joined to its rows."""
-    cut = frame.groupBy("series").agg(F.percentile(value, F.lit(lower)).alias("low"), F.percentile(value, F.lit(1 - upper)).alias("high"))
-    return frame.join(cut, "series").withColumn("clipped", F.greatest(F.least(F.col(value), F.col("high")), F.col("low")))
+    cut = frame.groupBy("series").agg(F.percentile(value, F.lit(lower)).alias("lower_cut"), F.percentile(value, F.lit(1 - upper)).alias("upper_cut"))
+    return frame.join(cut, "series").withColumn("clipped", F.greatest(F.least(F.col(value), F.col("upper_cut")), F.col("lower_cut")))
 
 
 def robust_scaled(frame: DataFrame, value: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 def stream_bars(ticks: DataFrame, late: str = "2 hours", width: str = "1 hour") -> DataFrame:
     """ts, open, high, low and close of each window of positive prices; ticks later than `late` are dropped."""
-    rows = ticks.where("value > 0").withWatermark("ts", late)
+    rows = ticks.where("value > 0").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     at = F.struct("ts", "event_id")
     made = rows.groupBy(F.window("ts", width).alias("w")).agg(F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"))
     return made.select(F.col("w.start").alias("ts"), "open", "high", "low", "close")
