@@ -22,6 +22,7 @@ K, PERCENT = 5, 80
 KEYS = 4  # hashes under which least shingles are compared
 REPEATS, RUN = 4, 1 << 22  # a task counts the shingles that occur as often in a run of so many shingles
 LEAST_FREQUENT, FREQUENT = 64, 1 << 21  # frequent: at least so often, and more than one in so many of all shingles; so at most FREQUENT ones
+LONG_LIST, ROUNDS = 16, 3  # a prefix token that more classes share is frequent too; such tokens are looked for so often at most
 BIN_WORDS = 600_000  # words that are compared in one task, about
 MEMBERS = 64  # of a group that are opened together, about
 
@@ -138,6 +139,25 @@ def shared_postings(docs: DataFrame, often, k: int, percent: int, parts: int) ->
     return text.mapped(posts, shared, "token long, s1 long")
 
 
+def settled_postings(docs: DataFrame, often: np.ndarray, k: int, percent: int) -> DataFrame:
+    """shared_postings() under an order in which tokens with long lists come last, too.
+
+    Lists are counted exactly. A token with a long one joins the frequent ones, and prefixes are taken anew, until no other
+    has any; any order finds all links, this one keeps the lists' pairs in proportion to the postings."""
+    spark = docs.sparkSession
+    for turn in range(ROUNDS):
+        posts = staged(shared_postings(docs, spark.sparkContext.broadcast(often), k, percent, default_parallelism(spark)), "shared")
+        if turn == ROUNDS - 1 or len(often) >= FREQUENT:
+            break
+        lists = posts.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > LONG_LIST)
+        found = lists.orderBy(F.desc("c"), "token").limit(FREQUENT).select("token").toArrow().column("token").to_numpy().view(np.uint64)
+        more = np.union1d(often, found)
+        if len(more) == len(often):
+            break
+        often = more
+    return posts
+
+
 def may_link(n: Column, low: Column, high: Column, shared: Column, percent: int) -> Column:
     """Whether a set of n tokens whose prefix shares so many tokens with a group's prefixes can link with a member of low to high tokens.
 
@@ -256,7 +276,7 @@ def link_similar(docs: DataFrame, k: int = K, percent: int = PERCENT, bin_words:
     group_sizes = grouped.groupBy("comp").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
     grouped = staged(grouped.join(group_sizes, "comp"), "groups")
 
-    posts = staged(shared_postings(known, often, k, percent, default_parallelism(spark)).join(grouped, "s1").drop("s1"), "postings")
+    posts = staged(settled_postings(known, often.value, k, percent).join(grouped, "s1").drop("s1"), "postings")
     matrix = posts.select("token", "comp", "size", "low", "high").distinct()
     several = matrix.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token")
     matrix = matrix.join(several, "token", "left_semi").select("token", F.col("comp").alias("gid"), F.col("size").alias("gsize"), "low", "high")
