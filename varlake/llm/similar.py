@@ -22,9 +22,10 @@ K, PERCENT = 5, 80
 KEYS = 4  # hashes under which least shingles are compared
 REPEATS, RUN = 4, 1 << 22  # a task counts the shingles that occur as often in a run of so many shingles
 LEAST_FREQUENT, FREQUENT = 64, 1 << 21  # frequent: at least so often, and more than one in so many of all shingles; so at most FREQUENT ones
-LONG_LIST, ROUNDS = 16, 3  # a prefix token that more classes share is frequent too; such tokens are looked for so often at most
+LONG_LIST, ROUNDS = 16, 2  # a prefix token that more classes share is frequent too; such tokens are looked for so often at most
 BIN_WORDS = 600_000  # words that are compared in one task, about
-MEMBERS = 64  # of a group that are opened together, about
+EXPANDED = 4_000_000  # shared tokens that a task lists at once
+SIZES = 1.1  # sets of one group differ in size by this factor at most
 
 
 def frequent_tokens(docs: DataFrame, k: int) -> np.ndarray:
@@ -171,7 +172,7 @@ def may_link(n: Column, low: Column, high: Column, shared: Column, percent: int)
 
 
 def overlaps(rows: pa.Table, k: int, percent: int) -> pa.Table:
-    """Of one bin of groups: the links q, member between a group's queries and the members; one for each query and group."""
+    """Of one bin of groups: links between a group's queries and its members, one for each query and component of members."""
     rows = rows.combine_chunks()
     none = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     if not rows.num_rows:
@@ -191,22 +192,30 @@ def overlaps(rows: pa.Table, k: int, percent: int) -> pa.Table:
     bound = np.bincount(q_owner[high > low], minlength=len(n))  # the query's overlap with the group's union
     opened = 100 * bound >= percent * n
     at = np.flatnonzero((high > low) & opened[q_owner])
-    links: dict[tuple[int, int], tuple[int, int]] = {}
-    step = max(1, 4_000_000 // max(1, int((high - low).max(initial=1))))
-    edges = np.flatnonzero(np.append(True, q_owner[at][1:] != q_owner[at][:-1])) if len(at) else np.zeros(0, np.int64)
-    edges = np.append(edges, len(at))
+    links: dict[tuple[int, int, int], tuple[int, int]] = {}
+    comp = rows.column("comp").to_numpy()
+    held = np.flatnonzero(member)  # members by their places in counts
+    place = np.zeros(len(n), np.int64)
+    place[held] = np.arange(len(held))
+    size = np.cumsum(high[at] - low[at])
+    edges = np.append(np.flatnonzero(np.append(True, q_owner[at][1:] != q_owner[at][:-1])) if len(at) else np.zeros(0, np.int64), len(at))
     i = 0
     while i < len(edges) - 1:
-        j = max(i + 1, int(np.searchsorted(edges, edges[i] + step, side="right")) - 1)
+        # Queries whose tokens' holders are listed at once: bounded in number and in holders.
+        done = size[edges[i] - 1] if edges[i] else 0
+        j = min(i + max(1, EXPANDED // len(held)), int(np.searchsorted(size[edges[1:] - 1], done + EXPANDED, side="right")))
+        j = max(i + 1, j)
         own = at[edges[i] : edges[j]]
-        size = high[own] - low[own]
-        cum = np.cumsum(size)
-        where = np.arange(cum[-1]) - np.repeat(cum - size, size) + np.repeat(low[own], size)
-        pair, same = np.unique(np.repeat(q_owner[own], size) * len(n) + holder[where], return_counts=True)
-        q, m = pair // len(n), pair % len(n)
-        for x, y in zip(q[fine := 100 * same >= percent * (n[q] + n[m] - same)].tolist(), m[fine].tolist()):
-            if doc[x] != doc[y]:
-                links.setdefault((int(group[x]), int(doc[x])), (int(doc[x]), int(doc[y])))
+        many = high[own] - low[own]
+        ends = np.cumsum(many)
+        where = np.arange(ends[-1]) - np.repeat(ends - many, many) + np.repeat(low[own], many)
+        queries = q_owner[at[edges[i:j]]]
+        same = np.bincount(np.repeat(np.searchsorted(queries, q_owner[own]), many) * len(held) + place[holder[where]], minlength=len(queries) * len(held)).reshape(len(queries), len(held))
+        total = n[queries][:, None] + n[held][None, :] - same
+        for x, y in zip(*np.nonzero((100 * same >= percent * total) & (same > 0))):
+            q, m = int(queries[x]), int(held[y])
+            if doc[q] != doc[m]:
+                links.setdefault((int(group[q]), int(doc[q]), int(comp[m])), (int(doc[q]), int(doc[m])))
         i = j
     return pa.table({"a": [a for a, _ in links.values()], "b": [b for _, b in links.values()]}, schema=none)
 
@@ -216,14 +225,14 @@ def opened(docs: DataFrame, queries: DataFrame, members: DataFrame, k: int, perc
 
     Groups are dealt to bins of bounded size; a bin with many queries is salted, and its members go to all its salts."""
     spark = docs.sparkSession
-    both = queries.select("gid", "doc", "n", F.lit(False).alias("member")).unionByName(members.select("gid", "doc", "n", F.lit(True).alias("member")))
+    both = queries.select("gid", "doc", "n", F.lit(False).alias("member"), F.lit(0).cast("long").alias("comp")).unionByName(members.select("gid", "doc", "n", F.lit(True).alias("member"), "comp"))
     both = staged(both, "opened")
     total = both.agg(F.sum("n")).first()[0] or 0
     bins = max(default_parallelism(spark), -(-total // bin_words))
     both = both.withColumn("bin", F.pmod(F.xxhash64("gid"), F.lit(bins)))
     salts = both.groupBy("bin").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("member"), 0).otherwise(F.col("n"))) / bin_words)).cast("int").alias("salts"))
     salt = F.when(F.col("member"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int")))
-    dealt = both.join(salts, "bin").select("bin", "gid", "doc", "member", F.explode(salt).alias("salt"))
+    dealt = both.join(salts, "bin").select("bin", "gid", "doc", "member", "comp", F.explode(salt).alias("salt"))
     ship_package(spark)
     return text.packed(docs.select("doc", "text")).join(dealt, "doc").groupBy("bin", "salt").applyInArrow(lambda t: overlaps(t, k, percent), "a long, b long")
 
@@ -247,7 +256,7 @@ def components(links: DataFrame) -> DataFrame:
     return labels.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def link_similar(docs: DataFrame, k: int = K, percent: int = PERCENT, bin_words: int = BIN_WORDS, members: int = MEMBERS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def link_similar(docs: DataFrame, k: int = K, percent: int = PERCENT, bin_words: int = BIN_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Columns doc_id, n_shingles and component_id, one row for each row of docs.
 
     A set holds the distinct runs of k words (A-Z in lower case, parted by ASCII white space); fewer words are one token,
@@ -268,31 +277,32 @@ def link_similar(docs: DataFrame, k: int = K, percent: int = PERCENT, bin_words:
     stars = keyed.join(centers, ["j", "key"]).where("rep <> gid").select("gid", F.col("rep").alias("doc"), "n").distinct()
     stars = staged(stars, "stars")
     sizes = classes.groupBy("rep").agg(F.max("n").alias("n"))
-    heads = stars.select("gid").distinct().join(sizes, F.col("gid") == F.col("rep")).select("gid", F.col("gid").alias("doc"), "n")
+    heads = stars.select("gid").distinct().join(sizes, F.col("gid") == F.col("rep")).select("gid", F.col("gid").alias("doc"), "n", F.col("gid").alias("comp"))
     links = staged(opened(known, stars, heads, k, percent, bin_words), "star_links")
 
     labels = components(links)
-    grouped = classes.select("s1", "rep", "n").join(labels, F.col("rep") == F.col("node"), "left").select("s1", "rep", "n", F.coalesce("label", "rep").alias("comp"))
-    group_sizes = grouped.groupBy("comp").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
-    grouped = staged(grouped.join(group_sizes, "comp"), "groups")
+    near = stars.groupBy("doc").agg(F.min("gid").alias("center"))
+    grouped = classes.select("s1", "rep", "n").join(labels, F.col("rep") == F.col("node"), "left").join(near, F.col("rep") == F.col("doc"), "left")
+    group = F.xxhash64(F.coalesce("center", "rep"), F.floor(F.ln("n") / F.ln(F.lit(SIZES))))
+    grouped = grouped.select("s1", "rep", "n", F.coalesce("label", "rep").alias("comp"), group.alias("group"))
+    about = grouped.groupBy("group").agg(F.count("*").alias("size"), F.sum("n").alias("words"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("lead"), F.max("comp").alias("last"))
+    grouped = staged(grouped.join(about, "group"), "groups")
 
     posts = staged(settled_postings(known, often.value, k, percent).join(grouped, "s1").drop("s1"), "postings")
-    matrix = posts.select("token", "comp", "size", "low", "high").distinct()
-    several = matrix.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token")
-    matrix = matrix.join(several, "token", "left_semi").select("token", F.col("comp").alias("gid"), F.col("size").alias("gsize"), "low", "high")
-    smaller = (F.col("size") < F.col("gsize")) | (F.col("size") == F.col("gsize")) & (F.col("comp") > F.col("gid"))
-    met = posts.select("token", "rep", "n", "comp", "size").join(matrix, "token").where((F.col("comp") != F.col("gid")) & smaller)
-    met = met.groupBy("rep", "n", "comp", "gid", "low", "high").agg(F.count("*").alias("shared"))
-    asked = staged(met.where(may_link(F.col("n"), F.col("low"), F.col("high"), F.col("shared"), percent)).select("rep", "n", "comp", "gid"), "asked")
-
-    chunks = lambda size: F.ceil(size / members).cast("int")
-    chunk = F.pmod(F.xxhash64("rep"), chunks(F.col("size"))).cast("int")
-    named = lambda comp, part: F.xxhash64(comp, part)
-    needed = asked.select(F.col("gid").alias("comp")).distinct()
-    inside = grouped.join(needed, "comp", "left_semi").select(named(F.col("comp"), chunk).alias("gid"), F.col("rep").alias("doc"), "n")
-    counted = grouped.groupBy("comp").agg(F.first("size").alias("gsize")).withColumnRenamed("comp", "gid")
-    outside = asked.join(counted, "gid").withColumn("part", F.explode(F.sequence(F.lit(0), chunks(F.col("gsize")) - 1)))
-    outside = outside.select(named(F.col("gid"), F.col("part")).alias("gid"), F.col("rep").alias("doc"), "n").distinct()
+    facts = ["words", "low", "high", "lead", "last"]
+    matrix = posts.select("token", F.col("group").alias("gid"), F.col("size").alias("gsize"), *facts).distinct()
+    # A group's own classes query it unless they are in its leading component; of two groups the smaller one's classes query.
+    own = (F.col("group") == F.col("gid")) & (F.col("comp") != F.col("lead"))
+    other = (F.col("group") != F.col("gid")) & ((F.col("size") < F.col("gsize")) | (F.col("size") == F.col("gsize")) & (F.col("group") > F.col("gid")))
+    joined = (F.col("lead") == F.col("last")) & (F.col("lead") == F.col("comp"))
+    met = posts.select("token", "rep", "n", "comp", "group", "size").join(matrix, "token").where((own | other) & ~joined)
+    met = met.groupBy("rep", "n", "gid", "words", "low", "high").agg(F.count("*").alias("shared"))
+    asked = staged(met.where(may_link(F.col("n"), F.col("low"), F.col("high"), F.col("shared"), percent)).select("rep", "n", "gid", "words"), "asked")
+
+    chunks = F.ceil(F.col("words") / bin_words).cast("int")
+    needed = asked.select(F.col("gid").alias("group")).distinct()
+    inside = grouped.join(needed, "group", "left_semi").select(F.xxhash64("group", F.pmod(F.xxhash64("rep"), chunks).cast("int")).alias("gid"), F.col("rep").alias("doc"), "n", "comp")
+    outside = asked.withColumn("part", F.explode(F.sequence(F.lit(0), chunks - 1))).select(F.xxhash64("gid", "part").alias("gid"), F.col("rep").alias("doc"), "n")
     more = opened(known, outside, inside, k, percent, bin_words)
     labels = components(links.unionByName(more))
 
