@@ -281,7 +281,7 @@ def link_similar(docs: DataFrame, k: int = K, percent: int = PERCENT, bin_words:
     links = staged(opened(known, stars, heads, k, percent, bin_words), "star_links")
 
     labels = components(links)
-    near = stars.groupBy("doc").agg(F.min("gid").alias("center"))
+    near = components(stars.select(F.col("gid").alias("a"), F.col("doc").alias("b"))).select(F.col("node").alias("doc"), F.col("label").alias("center"))
     grouped = classes.select("s1", "rep", "n").join(labels, F.col("rep") == F.col("node"), "left").join(near, F.col("rep") == F.col("doc"), "left")
     group = F.xxhash64(F.coalesce("center", "rep"), F.floor(F.ln("n") / F.ln(F.lit(SIZES))))
     grouped = grouped.select("s1", "rep", "n", F.coalesce("label", "rep").alias("comp"), group.alias("group"))
