@@ -25,6 +25,7 @@ LEAST_FREQUENT, FREQUENT = 64, 1 << 21  # frequent: at least so often, and more
 LONG_LIST, ROUNDS = 16, 2  # a prefix token that more classes share is frequent too; such tokens are looked for so often at most
 BIN_WORDS = 600_000  # words that are compared in one task, about
 EXPANDED = 4_000_000  # shared tokens that a task lists at once
+MARKS = 1 << 26  # bits of the bitmap of the documents whose texts a comparison needs
 SIZES = 1.1  # sets of one group differ in size by this factor at most
 
 
@@ -220,6 +221,27 @@ def overlaps(rows: pa.Table, k: int, percent: int) -> pa.Table:
     return pa.table({"a": [a for a, _ in links.values()], "b": [b for _, b in links.values()]}, schema=none)
 
 
+def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc and the compressed text of the rows of docs whose doc may be in ids, so that the join which follows shuffles little else.
+
+    A bitmap of hashed ids decides; its size is fixed (MARKS bits, 8 MiB), so more ids only let more rows through to the join, which is exact."""
+    spark = docs.sparkSession
+    place = F.pmod(F.xxhash64("doc"), F.lit(MARKS))
+    marks = ids.select(place.alias("place")).groupBy(F.floor(F.col("place") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 AS int)))").alias("bits")).toArrow()
+    bitmap = np.zeros(MARKS // 64, np.uint64)
+    bitmap[marks.column("word").to_numpy()] = marks.column("bits").to_numpy().view(np.uint64)
+    sent = spark.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        for batch in text.chunks(batches):
+            at = batch.column("place").to_numpy()
+            on = sent.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+            batch = batch.filter(pa.array(on.astype(bool)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), text.compressed(batch.column("text"))], ["doc", "text"])
+
+    return text.mapped(docs.select("doc", "text", place.alias("place")), run, "doc long, text binary")
+
+
 def opened(docs: DataFrame, queries: DataFrame, members: DataFrame, k: int, percent: int, bin_words: int) -> DataFrame:
     """Links a, b between queries (gid, doc, n) and members (gid, doc, n) of the same group.
 
@@ -234,7 +256,7 @@ def opened(docs: DataFrame, queries: DataFrame, members: DataFrame, k: int, perc
     salt = F.when(F.col("member"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int")))
     dealt = both.join(salts, "bin").select("bin", "gid", "doc", "member", "comp", F.explode(salt).alias("salt"))
     ship_package(spark)
-    return text.packed(docs.select("doc", "text")).join(dealt, "doc").groupBy("bin", "salt").applyInArrow(lambda t: overlaps(t, k, percent), "a long, b long")
+    return packed_texts(docs, both.select("doc")).join(dealt, "doc").groupBy("bin", "salt").applyInArrow(lambda t: overlaps(t, k, percent), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -177,13 +177,18 @@ def unpacked(column: pa.Array) -> pa.Array:
     return pa.array([read(x) for x in column.to_pylist()], pa.binary()).cast(pa.large_string())
 
 
+def compressed(column: pa.Array) -> pa.Array:
+    """The texts compressed one by one, null as empty."""
+    write = zstandard.ZstdCompressor(level=3).compress
+    return pa.array([write((x or "").encode()) for x in column.to_pylist()], pa.binary())
+
+
 def packed(df: DataFrame, column: str = "text") -> DataFrame:
     """df with the texts compressed one by one, null as empty: for shuffles, which only find repeats within a block of short ones."""
 
     def run(batches):
-        write = zstandard.ZstdCompressor(level=3).compress
         for batch in chunks(batches, column):
-            made = pa.array([write((x or "").encode()) for x in batch.column(column).to_pylist()], pa.binary())
+            made = compressed(batch.column(column))
             yield pa.RecordBatch.from_arrays([made if n == column else batch.column(n) for n in batch.schema.names], batch.schema.names)
 
     kinds = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == column else f.dataType) for f in df.schema])
