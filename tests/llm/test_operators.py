@@ -171,3 +171,15 @@ def test_pipeline_keeps_columns_and_ends_in_pieces(spark):
     out = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert out.where(F.size("ids") != F.col("n_tokens")).count() == 0
     assert hashlib.sha256(out.first().decoded.encode()).hexdigest()
+
+
+def test_texts_behind_the_bitmap(spark):
+    """Every needed id's rows come through, repeats included, with their whole texts."""
+    from varlake.llm import similar, text
+
+    rows = [(i, f"text {i} é") for i in (-5, 0, 1, 63, 64, 2**40)] + [(1, "again")]
+    docs, ids = spark.createDataFrame(rows, "doc long, text string"), spark.createDataFrame([(-5,), (1,), (2**40,)], "doc long")
+    out = similar.packed_texts(docs, ids).toArrow()
+    found = set(zip(out.column("doc").to_pylist(), text.unpacked(out.column("text").combine_chunks()).to_pylist()))
+    assert found == {r for r in rows if r[0] in (-5, 1, 2**40)}
+    assert similar.packed_texts(docs, ids.limit(0)).count() == 0
