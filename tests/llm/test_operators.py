@@ -123,6 +123,24 @@ def test_pseudonyms_keep_links_and_invert(spark):
     assert back.split("mail")[0] == text.split("mail")[0] and back.split("card")[1] == text.split("card")[1]
 
 
+def test_pseudonyms_wherever_a_value_begins(spark):
+    values = [("212-555-0188", "phone"), ("3782 822463 10005", "card"), ("3056-930902-5904", "card"), ("25/12/2020", "date"), ("12/25/2020", "date")]
+    rows = [(i, before + v, v, kind) for i, (before, (v, kind)) in enumerate((b, v) for b in ("", "a\n", "\t", "tel:", "(", "a ") for v in values)]
+    out = pii.pseudonymise(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").coalesce(1), "k").cache()
+    got = {r.doc_id: r for r in out.collect()}
+    for i, text, value, kind in rows:
+        assert [(f.kind, f.value) for f in got[i].found] == [(kind, value)] and value not in got[i].text, text
+    assert {r.doc_id: r.text for r in pii.pseudonymise(out, "k", inverse=True).collect()} == {r[0]: r[1] for r in rows}
+
+
+def test_days_first_are_permuted(spark):
+    days = [d.strftime("%d/%m/%Y") for d in pd.date_range("1900-01-01", periods=pii.DAYS_A * pii.DAYS_B) if d.day > pii.LATE]
+    frame = spark.createDataFrame([(i, d) for i, d in enumerate(days)], "doc_id long, text string").repartition(4)
+    out = pii.pseudonymise(frame, "k")
+    assert len(days) == pii.LATE_A * pii.LATE_B and {r.text for r in out.collect()} == set(days)
+    assert [r.text for r in pii.pseudonymise(out, "k", inverse=True).sort("doc_id").collect()] == days
+
+
 def test_secrets(spark):
     jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.c2ln"
     frame = spark.createDataFrame([(1, f"x token = abcdef12 {jwt}"), (2, None), (3, "AKIA" + "A" * 16 + " " + "0f" * 12)], "doc_id long, text string")

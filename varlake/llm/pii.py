@@ -15,17 +15,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 ROUNDS = 8
 # Dates that are mapped are the days from FIRST_DAY on, as many as DAYS_A * DAYS_B.
 FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 250, 292
+# Of these days, as many as LATE_A * LATE_B come after the LATE-th of their month; a month has MONTH of them on average.
+LATE, LATE_A, LATE_B, MONTH = 12, 28, 1579, 18.437
 # Valid social security numbers have areas 001-899 without 666, groups 01-99 and serials 0001-9999.
 SSN_AREAS, SSN_GROUPS, SSN_SERIALS = 898, 99, 9999
 
 # The shapes of candidates, in the order in which they are tried.
 PATTERNS = {
     "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}+",
-    "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?<=[+0-9 .-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])",
+    "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])",
     "date": r"(?<![0-9.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{13,19})(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{13,19})(?![0-9])",
 }
 CANDIDATE = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -99,18 +101,28 @@ def _phone(m: Column, key: str, inverse: bool) -> Column:
 
 
 def _date(m: Column, key: str, inverse: bool) -> Column:
-    form = F.when(m.contains("-"), "yyyy-MM-dd").when(m.contains("/"), "MM/dd/yyyy").otherwise("dd.MM.yyyy")
-    year_last = lambda month, day: F.concat_ws("-", F.right(m, F.lit(4)), F.substring(m, month, 2), F.substring(m, day, 2))
-    iso = F.when(m.contains("-"), m).when(m.contains("/"), year_last(1, 4)).otherwise(year_last(4, 1))
-    day = F.datediff(iso.try_cast("date"), F.lit(FIRST_DAY).cast("date"))
+    """Slashes are read as month first, or as day first where that is no date; days first are mapped among themselves."""
+    first = F.lit(FIRST_DAY).cast("date")
+    year_last = lambda month, day: F.concat_ws("-", F.right(m, F.lit(4)), F.substring(m, month, 2), F.substring(m, day, 2)).try_cast("date")
+    plain = F.when(m.contains("-"), m.try_cast("date")).when(m.contains("/"), year_last(1, 4)).otherwise(year_last(4, 1))
+    day_first = F.when(m.contains("/") & plain.isNull(), year_last(4, 1))
 
     def mapped(n: Column) -> Column:
         new = feistel(F.floor(n / DAYS_B), n % DAYS_B, F.lit(DAYS_A), F.lit(DAYS_B), "date", key, inverse)
-        date = let(new, lambda s: F.date_add(F.lit(FIRST_DAY).cast("date"), (s["a"] * DAYS_B + s["b"]).cast("int")))
-        written = let(date, lambda d: F.when(form == "yyyy-MM-dd", F.date_format(d, "yyyy-MM-dd")).when(form == "MM/dd/yyyy", F.date_format(d, "MM/dd/yyyy")).otherwise(F.date_format(d, "dd.MM.yyyy")))
+        date = let(new, lambda s: F.date_add(first, (s["a"] * DAYS_B + s["b"]).cast("int")))
+        written = let(date, lambda d: F.when(m.contains("-"), F.date_format(d, "yyyy-MM-dd")).when(m.contains("/"), F.date_format(d, "MM/dd/yyyy")).otherwise(F.date_format(d, "dd.MM.yyyy")))
         return F.when(n.between(0, DAYS_A * DAYS_B - 1), written)
 
-    return let(day, mapped)
+    def mapped_late(date: Column) -> Column:
+        """The same for the days after the LATE-th, which are numbered without the others."""
+        n, start = F.datediff(date, first), lambda i: F.datediff(F.add_months(first, i), first) - LATE * i
+        late = (n - LATE * ((F.year(date) - F.year(first)) * 12 + F.month(date))).cast("long")
+        new = let(late, lambda k: feistel(F.floor(k / LATE_B), k % LATE_B, F.lit(LATE_A), F.lit(LATE_B), "late", key, inverse))
+        month = lambda k: let(F.floor(k / MONTH).cast("int"), lambda i: F.array_max(F.filter(F.sequence(i - 1, i + 1), lambda j: start(j) <= k)))
+        written = let(let(new, lambda s: s["a"] * LATE_B + s["b"]), lambda k: F.date_format(F.date_add(first, (k + LATE * (month(k) + 1)).cast("int")), "dd/MM/yyyy"))
+        return F.when(n.between(0, DAYS_A * DAYS_B - 1), written)
+
+    return F.coalesce(let(F.datediff(plain, first), mapped), let(day_first, mapped_late))
 
 
 def _ssn(m: Column, key: str, inverse: bool) -> Column:
