@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from varlake.functions import special
-from varlake.operators import confidence, losses, returns
+from varlake import catalog
+from varlake.operators import confidence, features, losses, returns
 from varlake.plans import forecasting, garch
 from varlake.sources import bars
 
@@ -108,3 +109,19 @@ def test_merging_refuses_repeated_models(spark):
     f = spark.createDataFrame([("a",)], "model string")
     with pytest.raises(RuntimeError):
         losses.merged(f, f)
+
+
+@pytest.mark.parametrize("width", [None, 4])
+def test_blocks_end_at_the_last_row_of_each_series(spark, width):
+    f = spark.createDataFrame([(s, t) for s, n in (("a", 27), ("b", 6), ("c", 13), ("d", 16)) for t in range(n)], "series string, t long")
+    out = features.block_rows(f, 6, None, 5, width).where("t >= fit_end").groupBy("series").agg(F.count("*").alias("n"), F.max("t").alias("t"), F.max("block").alias("b"))
+    assert sorted(map(tuple, out.collect())) == [("a", 21, 26, 4), ("c", 7, 12, 1), ("d", 10, 15, 1)]
+    last = features.series_blocks(f, 6, 5, width).groupBy("series").agg(F.max("block"), F.max("last_step"))
+    assert sorted(map(tuple, last.collect())) == [("a", 4, 20), ("c", 1, 6), ("d", 1, 9)]
+
+
+def test_whole_block_queries_cover_all_bars(spark):
+    folder = "/root/testdata/sf0.001"
+    bars_ = catalog.rets(spark, folder).count()
+    assert catalog.QUERIES["WIN6_7_block_windows_whole"](spark, folder).agg(F.sum("n_steps")).first()[0] == bars_ - 200
+    assert catalog.QUERIES["WIN7_8_refit_blocks_whole"](spark, folder).agg(F.max("last_step")).first()[0] == bars_ - 201

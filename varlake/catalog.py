@@ -251,6 +251,24 @@ def _(spark, d):
     return rounded(rows.groupBy("block").agg(F.count("*").alias("n_fit"), F.avg("squared").alias("mean")))
 
 
+WHOLE_BLOCKS = RETS + """, n AS (SELECT series, count(*) AS n FROM rets GROUP BY series),
+b AS (SELECT series, n, unnest(range(CAST(ceil((n - 200) / 10.0) AS BIGINT))) AS block FROM n WHERE n > 200)"""
+
+
+@query("WIN7_8_refit_blocks_whole", f"WITH {WHOLE_BLOCKS} SELECT series, block, 100 + 10 * block AS fit_start, 200 + 10 * block AS fit_end, 10 * block AS first_step, least(10 * block + 9, n - 201) AS last_step FROM b")
+def _(spark, d):
+    return features.series_blocks(rets(spark, d), 200, 10, 100)
+
+
+@query("WIN6_7_block_windows_whole", f"""WITH {WHOLE_BLOCKS}
+SELECT block, count(*) FILTER (WHERE t < 200 + 10 * block) AS n_fit, count(*) FILTER (WHERE t >= 200 + 10 * block) AS n_steps, round(avg(squared) FILTER (WHERE t < 200 + 10 * block), 8) AS mean
+FROM b JOIN rets ON b.series = rets.series AND t >= 100 + 10 * block AND t < 210 + 10 * block GROUP BY block""")
+def _(spark, d):
+    fit = F.col("t") < F.col("fit_end")
+    rows = features.block_rows(rets(spark, d), 200, None, 10, 100).groupBy("block")
+    return rounded(rows.agg(F.count_if(fit).alias("n_fit"), F.count_if(~fit).alias("n_steps"), F.avg(F.when(fit, F.col("squared"))).alias("mean")))
+
+
 @query("WIN14_MDL4_to_6_filter", f"""WITH RECURSIVE {RETS}, x AS (SELECT t, ret FROM rets), f AS (
   SELECT CAST(0 AS BIGINT) AS t, CAST(0.5 AS DOUBLE) AS h UNION ALL SELECT f.t + 1, 0.01 + 0.05 * x.ret * x.ret + 0.9 * f.h FROM f JOIN x ON x.t = f.t)
 SELECT 'all' AS series, round(arg_max(h, t), 8) AS h FROM f""")

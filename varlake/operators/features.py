@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 def by_t() -> Window:
     return Window.partitionBy("series").orderBy("t")
@@ -45,11 +45,33 @@ def refit_blocks(spark: SparkSession, n_train: int, n_test: int, every: int = 10
     )
 
 
-def block_rows(frame: DataFrame, n_train: int, n_test: int, every: int = 10, width: int | None = None) -> DataFrame:
-    """frame with a row for each block in whose fitting window or steps it lies, and fit_end; by arithmetic on t, without a join."""
-    last = -(-n_test // every) - 1
+def series_blocks(frame: DataFrame, n_train: int, every: int = 10, width: int | None = None) -> DataFrame:
+    """The blocks of refit_blocks for each series, up to its last row."""
+    if width is not None and width > n_train:
+        raise ValueError(f"a window of {width} needs as many training rows; there are {n_train}")
+    blocks = test_counts(frame, n_train).where("n_test > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_test") / every) - 1)))
+    step = F.col("block") * every
+    start = F.lit(0).cast("long") if width is None else F.lit(n_train) + step - width
+    return blocks.select("series", "block", start.alias("fit_start"), (F.lit(n_train) + step).alias("fit_end"), step.alias("first_step"), F.least(step + every - 1, F.col("n_test") - 1).alias("last_step"))
+
+
+def test_counts(frame: DataFrame, n_train: int) -> DataFrame:
+    """series and n_test, its rows after the first n_train."""
+    return frame.groupBy("series").agg((F.count("*") - n_train).alias("n_test"))
+
+
+def block_rows(frame: DataFrame, n_train: int, n_test: int | None, every: int = 10, width: int | None = None) -> DataFrame:
+    """frame with a row for each block in whose fitting window or steps it lies, and fit_end; by arithmetic on t. Without n_test, the blocks go on to the last row of each series."""
+    if n_test is None:
+        rows = frame.join(test_counts(frame, n_train), "series").where("n_test > 0")
+        return blocks_of(rows, n_train, F.col("n_test"), every, width).drop("n_test")
+    return blocks_of(frame, n_train, F.lit(n_test), every, width)
+
+
+def blocks_of(frame: DataFrame, n_train: int, n_test: Column, every: int, width: int | None) -> DataFrame:
+    last = F.ceil(n_test / every) - 1
     low = F.greatest(F.lit(0), F.floor((F.col("t") - n_train) / every))
-    high = F.lit(last) if width is None else F.least(F.lit(last), F.floor((F.col("t") - n_train + width) / every))
+    high = last if width is None else F.least(last, F.floor((F.col("t") - n_train + width) / every))
     inside = frame.where((F.col("t") < n_train + n_test) & (low <= high))
     return inside.withColumn("block", F.explode(F.sequence(low.cast("long"), high.cast("long")))).withColumn("fit_end", n_train + F.col("block") * every)
 
