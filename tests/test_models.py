@@ -125,3 +125,11 @@ def test_whole_block_queries_cover_all_bars(spark):
     bars_ = catalog.rets(spark, folder).count()
     assert catalog.QUERIES["WIN6_7_block_windows_whole"](spark, folder).agg(F.sum("n_steps")).first()[0] == bars_ - 200
     assert catalog.QUERIES["WIN7_8_refit_blocks_whole"](spark, folder).agg(F.max("last_step")).first()[0] == bars_ - 201
+
+
+def test_fits_cover_all_models_and_series_of_the_table(spark):
+    folder = "/root/testdata/sf0.001"
+    counts = {r.series: r["count"] for r in catalog.typed_rets(spark, folder).groupBy("series").count().collect()}
+    out = catalog.QUERIES["MDL3_MDL9_garch_fits"](spark, folder).groupBy("series", "model").agg(F.max("n").alias("n"), F.max("loglik").alias("loglik")).collect()
+    assert len(counts) > 1 and {(r.series, r.model, r.n) for r in out} == {(s, forecasting.model_name(*m), n) for s, n in counts.items() for m in catalog.ALL_MODELS}
+    assert len(out) == 15 * len(counts) and all(np.isfinite(r.loglik) for r in out)

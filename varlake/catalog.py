@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions import names, special
 from .operators import accuracy, confidence, features, losses, normality, reporting, returns
 from .sources import bars
-from .plans import forecasting, stand_ins
+from .plans import forecasting, garch, stand_ins
 from .streaming import live_bars
 
 QUERIES: dict = {}
@@ -451,15 +451,23 @@ def _(spark, d):
     return losses.merged(*parts).groupBy("model").agg(F.count("*").alias("n"))
 
 
+def typed_rets(spark: SparkSession, d: str) -> DataFrame:
+    """Returns and proxies of the hourly bars of each type of events."""
+    return returns.with_proxies(returns.with_returns(bars.hourly_bars_by_type(bars.table(spark, d, "events"))))
+
+
+ALL_MODELS = [(spec, dist) for spec in garch.SPECS for dist in garch.DISTS]
+
+
 @query("MDL3_MDL9_garch_fits")
 def _(spark, d):
-    return forecasting.fit_table(bars.synthetic_returns(spark, [0]).where("split = 'train'"), [("GARCH", "normal"), ("GJR-GARCH", "t"), ("EGARCH", "normal"), ("APARCH", "normal"), ("FIGARCH", "ged")])
+    return forecasting.fit_table(typed_rets(spark, d), ALL_MODELS)
 
 
 @query("AGG16_SRT2_criteria")
 def _(spark, d):
-    fits = forecasting.fit_table(bars.synthetic_returns(spark, [0]).where("split = 'train'"), [("GARCH", "normal"), ("GARCH", "t"), ("GARCH", "ged")])
-    return reporting.information_criteria(fits.groupBy("series", "model").agg(F.first("loglik").alias("loglik"), F.count("*").alias("k"), F.first("n").alias("n"))).orderBy("bic")
+    fits = forecasting.fit_table(typed_rets(spark, d), ALL_MODELS)
+    return reporting.information_criteria(fits.groupBy("series", "model").agg(F.first("loglik").alias("loglik"), F.count("*").alias("k"), F.first("n").alias("n"))).orderBy("series", "bic")
 
 
 @query("MDL21_to_23_evaluate")

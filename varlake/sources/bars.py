@@ -23,6 +23,10 @@ def hourly_bars(events: DataFrame) -> DataFrame:
     return bars(events, F.lit("all"), F.date_trunc("hour", "ts"), F.col("value"), [F.col("ts"), F.col("event_id")])
 
 
+def hourly_bars_by_type(events: DataFrame) -> DataFrame:
+    return bars(events, F.col("event_type"), F.date_trunc("hour", "ts"), F.col("value"), [F.col("ts"), F.col("event_id")])
+
+
 def daily_bars_by_type(events: DataFrame) -> DataFrame:
     return bars(events, F.col("event_type"), F.date_trunc("day", "ts"), F.col("value"), [F.col("ts"), F.col("event_id")])
 
