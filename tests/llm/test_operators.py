@@ -1,5 +1,6 @@
 """The corpus operators against brute force on a small fixture with odd rows, and on the smallest tables."""
 
+import base64
 import hashlib
 import random
 import re
@@ -149,6 +150,27 @@ def test_secrets(spark):
     assert out[2].spans == [] and sorted(s.kind for s in out[3].base) == ["access", "hex"]
 
 
+def test_secrets_of_each_structure():
+    def tlv(tag, *parts):
+        body = b"".join(parts)
+        n = len(body)
+        return bytes([tag]) + (bytes([n]) if n < 128 else b"\x82" + n.to_bytes(2, "big")) + body
+
+    rng = random.Random(11)
+    rsa = tlv(0x30, tlv(2, b"\0"), *(tlv(2, b"\1" + rng.randbytes(60)) for _ in range(8)))
+    sec1 = tlv(0x30, tlv(2, b"\1"), tlv(4, rng.randbytes(32)))
+    wrap = lambda raw, end="\n": end.join(re.findall(".{1,64}", base64.b64encode(raw).decode()))
+    pem = lambda body, end="\n": f"-----BEGIN RSA PRIVATE KEY-----{end}{body}{end}-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    planted = [("pem_key", pem(wrap(rsa))), ("pem_key", pem(head + wrap(rng.randbytes(608)))), ("pem_key", pem(wrap(rsa, "\\n"), "\\n")), ("pem_key", pem(wrap(rsa, "\\r\\n"), "\\r\\n"))]
+    planted += [("der_key", wrap(rsa)), ("der_key", wrap(rsa, "\r\n")), ("der_key", wrap(rsa, "\\n")), ("der_key", "0x" + rsa.hex()), ("der_key", wrap(sec1, ""))]
+    for kind, value in planted:
+        got = secret_scan.structural_spans("see:\n" + value + "\nthe end")
+        assert [(secret_scan.KINDS[k], s, e) for s, k, e in got] == [(kind, 5, 5 + len(value))], value
+    for clean in (wrap(rng.randbytes(600)), pem(wrap(rng.randbytes(600))), "0x" + rng.randbytes(40).hex(), "\n".join(["ab" * 20] * 50)):
+        assert secret_scan.structural_spans(clean) == []
+
+
 def test_decontamination_against_all_windows(spark):
     rng = random.Random(5)
     item = [f"i{rng.randrange(500)}" for _ in range(40)]

@@ -21,7 +21,11 @@ BASE = (
 STRUCTURAL = ("jwt", "pem_key", "der_key", "ssh_key", "nested")
 KINDS = (*(k for k, *_ in BASE), *STRUCTURAL)
 _JWT = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+# Line ends may be escaped, as in JSON; a key may have header lines.
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:\s|\\+[rn])*+(?:[A-Za-z][A-Za-z0-9-]*+: [^\r\n\\]*+(?:\s|\\+[rn])++)*+)((?:[A-Za-z0-9+/=\s]|\\+[rn])++)-----END \1-----")
+_ENDS = re.compile(r"\s|\\+[rn]")
+_CIPHER = re.compile(r"DEK-Info: [A-Z0-9-]+,[0-9A-Fa-f]{16,}")
+_NEXT = re.compile(r"(?:\r?\n|(?:\\+r)?\\+n)[ \t]*([A-Za-z0-9+/_-]+={0,2})")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
 _HEX = re.compile(r"[0-9a-fA-F]{32,}")
 _WORDS = re.compile(r"(?i)passw|secret|token|api")
@@ -62,9 +66,11 @@ def is_der_key(data: bytes) -> bool:
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
     parts = der(data, *top[0][1:])
-    if not parts or len(parts) < 3 or parts[0][0] != 2 or parts[0][2] - parts[0][1] != 1 or data[parts[0][1]] > 1:
+    if not parts or len(parts) < 2 or parts[0][0] != 2 or parts[0][2] - parts[0][1] != 1 or data[parts[0][1]] > 1:
         return False
     tags = [t for t, _, _ in parts]
+    if len(tags) == 2:
+        return tags[1] == 4 and data[parts[0][1]] == 1 and parts[1][2] - parts[1][1] >= 16
     if tags[1] == 0x30 and tags[2] == 4:
         inner = der(data, *parts[1][1:])
         return bool(inner) and inner[0][0] == 6
@@ -122,6 +128,22 @@ def base_spans(t: str) -> tuple[list[tuple[int, int, int]], list[int]]:
     return sorted(spans), counts
 
 
+def wrapped(t: str, m: re.Match) -> list[tuple[str, int]]:
+    """The run and its end, after the same joined with the lines of its width that only line ends part from it, with and without a shorter last one."""
+    out = [(m[0], m.end())]
+    while not out[-1][0].endswith("=") and (n := _NEXT.match(t, out[-1][1])) and len(n[1]) <= len(m[0]):
+        out.append((n[1], n.end()))
+        if len(n[1]) < len(m[0]):
+            break
+    lines = [line for line, _ in out]
+    return [("".join(lines[:k]), out[k - 1][1]) for k in sorted({len(out), max(1, len(out) - 1), 1}, reverse=True)]
+
+
+def decodings(s: str) -> list[bytes | None]:
+    digits = s[2:] if s[:2] in ("0x", "0X") else s
+    return [from_base64(s)] + ([bytes.fromhex(digits)] if len(digits) % 2 == 0 and _HEX.fullmatch(digits) else [])
+
+
 def structural_spans(t: str, depth: int = DEPTH) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the candidates that decoding and parsing confirm."""
     found, base = [], len(BASE)
@@ -129,14 +151,17 @@ def structural_spans(t: str, depth: int = DEPTH) -> list[tuple[int, int, int]]:
         found += [(m.start(), base, m.end()) for m in _JWT.finditer(t) if is_jwt(m[1])]
     if "-----BEGIN " in t:
         for m in _PEM.finditer(t):
-            raw = from_base64("".join(m[2].split()))
-            if raw and (is_der_key(raw) or is_ssh_key(raw) or m[1].startswith("ENCRYPTED") and der(raw, 0, len(raw))):
+            raw = from_base64(_ENDS.sub("", m[3]))
+            if raw and (is_der_key(raw) or is_ssh_key(raw) or m[1].startswith("ENCRYPTED") and der(raw, 0, len(raw)) or _CIPHER.search(m[2]) and len(raw) >= 32 and len(raw) % 8 == 0):
                 found.append((m.start(), base + 1, m.end()))
+    tried = 0
     for m in _RUN.finditer(t):
         if not any(s <= m.start() < e for s, _, e in found):
-            decoded = [from_base64(m[0])] + ([bytes.fromhex(m[0])] if len(m[0]) % 2 == 0 and _HEX.fullmatch(m[0]) else [])
-            if kind := next((k for d in decoded if d and (k := structure(d, depth))), None):
-                found.append((m.start(), KINDS.index(kind), m.end()))
+            # Lines that an earlier run was joined with aren't joined again, so the time stays linear.
+            joined = wrapped(t, m) if m.start() >= tried else [(m[0], m.end())]
+            tried = max(tried, joined[0][1])
+            if hit := next(((k, end) for s, end in joined for d in decodings(s) if d and (k := structure(d, depth))), None):
+                found.append((m.start(), KINDS.index(hit[0]), hit[1]))
     return sorted(found)
 
 
