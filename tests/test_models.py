@@ -133,3 +133,8 @@ def test_fits_cover_all_models_and_series_of_the_table(spark):
     out = catalog.QUERIES["MDL3_MDL9_garch_fits"](spark, folder).groupBy("series", "model").agg(F.max("n").alias("n"), F.max("loglik").alias("loglik")).collect()
     assert len(counts) > 1 and {(r.series, r.model, r.n) for r in out} == {(s, forecasting.model_name(*m), n) for s, n in counts.items() for m in catalog.ALL_MODELS}
     assert len(out) == 15 * len(counts) and all(np.isfinite(r.loglik) for r in out)
+
+
+def test_bootstrap_draws_all_replicates(spark):
+    out = catalog.QUERIES["TST11_ks_bootstrap"](spark, "/root/testdata/sf0.001").first()
+    assert out.replicates == 2000 and out.p_boot * 2001 == pytest.approx(round(out.p_boot * 2001), abs=1e-9) and out.p_boot > 0

@@ -368,7 +368,7 @@ def _(spark, d):
 
 @query("TST11_ks_bootstrap")
 def _(spark, d):
-    return normality.ks_bootstrap(values(spark, d), replicates=200)
+    return normality.ks_bootstrap(values(spark, d))
 
 
 @query("TST12_ks")

@@ -110,26 +110,38 @@ def ks_statistic(frame: DataFrame) -> DataFrame:
     return rows.groupBy("series").agg(F.max(F.greatest(F.abs(F.col("upper") - F.col("phi")), F.abs(F.col("lower") - F.col("phi")))).alias("ks"))
 
 
+DRAWS = 50  # replicates of a row
+
+
 def ks_bootstrap(frame: DataFrame, replicates: int = 2000, block: float | None = None, seed: int = 42) -> DataFrame:
-    """The same distance with a p-value from block resamples of the series, and Anderson-Darling's statistic; a task holds one series."""
+    """The same distance with a p-value from block resamples of the series, and Anderson-Darling's statistic; replicates are dealt over tasks, each with a generator of its own."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
+    def observed(f: pd.DataFrame) -> pd.DataFrame:
         x = f.sort_values("t")["x"].to_numpy()
-        n, rng = len(x), np.random.default_rng(seed)
-        size = block or max(1, round(n ** (1 / 3)))
-        mu, sd = x.mean(), x.std(ddof=1)
-        order = np.sort(x)
-        phi = np.array([1 - normal_tail((v - mu) / sd) for v in order])
+        n, mu, sd = len(x), x.mean(), x.std(ddof=1)
+        phi = np.array([1 - normal_tail((v - mu) / sd) for v in np.sort(x)])
         step = np.arange(1, n + 1) / n
         d = max((step - phi).max(), (phi - step + 1 / n).max())
-        ecdf = np.searchsorted(order, order, side="right") / n
-        boot = [np.abs(np.searchsorted(np.sort(x[block_indices(n, size, rng)]), order, side="right") / n - ecdf).max() for _ in range(replicates)]
-        p = (1 + sum(b >= d for b in boot)) / (replicates + 1)
         tail = np.clip(phi, 1e-300, 1 - 1e-16)
         ad = -n - ((2 * np.arange(1, n + 1) - 1) * (np.log(tail) + np.log(1 - tail[::-1]))).mean()
-        return pd.DataFrame({"series": [f["series"].iloc[0]], "n": [n], "ks": [d], "p_boot": [p], "ad": [ad], "ad_critical_5": [0.752 / (1 + 0.75 / n + 2.25 / n**2)]})
+        return pd.DataFrame({"series": [f["series"].iloc[0]], "n": [n], "ks": [d], "ad": [ad], "ad_critical_5": [0.752 / (1 + 0.75 / n + 2.25 / n**2)], "x": [x]})
+
+    def beyond(x: np.ndarray, d: float, first: int) -> int:
+        n, order = len(x), np.sort(x)
+        size = block or max(1, round(n ** (1 / 3)))
+        ecdf = np.searchsorted(order, order, side="right") / n
+        draws = (x[block_indices(n, size, np.random.default_rng([seed, i]))] for i in range(first, min(first + DRAWS, replicates)))
+        return sum(bool(np.abs(np.searchsorted(np.sort(v), order, side="right") / n - ecdf).max() >= d) for v in draws)
+
+    def resampled(frames):
+        for f in frames:
+            yield f.drop(columns=["x", "first"]).assign(beyond=[beyond(np.asarray(x, float), d, i) for x, d, i in zip(f["x"], f["ks"], f["first"])], drawn=[min(DRAWS, replicates - i) for i in f["first"]])
 
-    return frame.groupBy("series").applyInPandas(run, "series string, n long, ks double, p_boot double, ad double, ad_critical_5 double")
+    facts = "series string, n long, ks double, ad double, ad_critical_5 double"
+    rows = frame.groupBy("series").applyInPandas(observed, facts + ", x array<double>").withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(DRAWS))))
+    rows = rows.repartition(frame.sparkSession.sparkContext.defaultParallelism, "series", "first").mapInPandas(resampled, facts + ", beyond long, drawn long")
+    sums = rows.groupBy("series", "n", "ks", "ad", "ad_critical_5").agg(F.sum("beyond").alias("beyond"), F.sum("drawn").alias("replicates"))
+    return sums.select("series", "n", "ks", ((1 + F.col("beyond")) / (1 + F.col("replicates"))).alias("p_boot"), "ad", "ad_critical_5", "replicates")
 
 
 def plug_in_lags(n: int) -> int:
