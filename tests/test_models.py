@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from varlake.functions import special
 from varlake import catalog
-from varlake.operators import confidence, features, losses, returns
+from varlake.operators import confidence, features, losses, normality, returns
 from varlake.plans import forecasting, garch
 from varlake.sources import bars
 
@@ -138,3 +138,11 @@ def test_fits_cover_all_models_and_series_of_the_table(spark):
 def test_bootstrap_draws_all_replicates(spark):
     out = catalog.QUERIES["TST11_ks_bootstrap"](spark, "/root/testdata/sf0.001").first()
     assert out.replicates == 2000 and out.p_boot * 2001 == pytest.approx(round(out.p_boot * 2001), abs=1e-9) and out.p_boot > 0
+
+
+def test_moment_tests_take_their_lags_from_each_length(spark):
+    folder = "/root/testdata/sf0.01"
+    got, x = catalog.QUERIES["TST10_moment_pvalues"](spark, folder).first(), catalog.values(spark, folder)
+    assert normality.plug_in_lags(got.n) == 6 and got.stat_skew == pytest.approx(normality.moment_tests(x, 6).first().stat_skew, rel=1e-9)
+    two = normality.moment_tests(x.unionByName(x.where("t < 531").withColumn("series", F.lit("short")))).where("series = 'short'").first()
+    assert two.stat_kurt == pytest.approx(normality.moment_tests(x.where("t < 531"), 5).first().stat_kurt, rel=1e-9)

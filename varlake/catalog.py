@@ -363,7 +363,7 @@ def _(spark, d):
 
 @query("TST10_moment_pvalues")
 def _(spark, d):
-    return normality.with_normal_tails(normality.moment_tests(values(spark, d), 5))
+    return normality.with_normal_tails(normality.moment_tests(values(spark, d)))
 
 
 @query("TST11_ks_bootstrap")

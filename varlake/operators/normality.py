@@ -85,13 +85,17 @@ def dependence(frame: DataFrame, lags: tuple[int, ...] = (10, 20), arch_lags: in
     return out.withColumn("p_value", chi2_sf(F.col("statistic"), F.col("lag")))
 
 
-def moment_tests(frame: DataFrame, lags: int) -> DataFrame:
-    """Skewness, kurtosis and joint tests that allow for dependence (Bartlett-weighted long-run variances of the influence terms) and Jarque-Bera, with p-values."""
+def moment_tests(frame: DataFrame, lags: int | None = None) -> DataFrame:
+    """Skewness, kurtosis and joint tests that allow for dependence (Bartlett-weighted long-run variances of the influence terms) and Jarque-Bera, with p-values. Without lags, each series has those of plug_in_lags for its length; the greatest length is counted at once."""
+    own = F.lit(lags)
+    if lags is None:
+        own = F.greatest(F.floor(4 * F.pow(F.count("*") / 100, F.lit(2 / 9))), F.lit(1))
+        lags = plug_in_lags(frame.groupBy("series").count().agg(F.max("count")).first()[0] or 0) + 1  # one more, should powers round differently; its weight is 0 else
     z = F.col("z")
     infl = standardised(frame).select("series", "t", z, (F.pow(z, 3) - 3 * z).alias("h3"), (F.pow(z, 4) - 6 * z * z + 3).alias("h4"))
     parts = infl.select("series", "t", "z", "h3", "h4", *(F.lag(h, j).over(by_t()).alias(f"{h}_{j}") for h in ("h3", "h4") for j in range(1, lags + 1)))
     n = F.count("*")
-    lrv = lambda h: F.greatest((F.sum(F.col(h) * F.col(h)) + sum(2 * (1 - j / (lags + 1)) * F.sum(F.col(h) * F.col(f"{h}_{j}")) for j in range(1, lags + 1))) / n, F.lit(1e-12))
+    lrv = lambda h: F.greatest((F.sum(F.col(h) * F.col(h)) + sum(F.when(own >= j, 2 * (1 - j / (own + 1)) * F.coalesce(F.sum(F.col(h) * F.col(f"{h}_{j}")), F.lit(0.0))).otherwise(0.0) for j in range(1, lags + 1))) / n, F.lit(1e-12))
     m = parts.groupBy("series").agg(n.alias("n"), F.avg(F.pow("z", F.lit(3))).alias("skew"), (F.avg(F.pow("z", F.lit(4))) - 3).alias("kurt"), lrv("h3").alias("v3"), lrv("h4").alias("v4"))
     m = m.withColumn("stat_skew", F.sqrt("n") * F.col("skew") / F.sqrt("v3")).withColumn("stat_kurt", F.sqrt("n") * F.col("kurt") / F.sqrt("v4"))
     m = m.withColumn("stat_joint", F.pow("stat_skew", F.lit(2)) + F.pow("stat_kurt", F.lit(2))).withColumn("jarque_bera", F.col("n") * (F.pow("skew", F.lit(2)) / 6 + F.pow("kurt", F.lit(2)) / 24))
@@ -145,7 +149,7 @@ def ks_bootstrap(frame: DataFrame, replicates: int = 2000, block: float | None =
 
 
 def plug_in_lags(n: int) -> int:
-    """Four times the fourth root of n hundredths, to the power 2/9, the usual rule."""
-    return int(4 * (n / 100) ** (2 / 9)) if n else 0
+    """Four times n hundredths to the power 2/9, rounded down, and at least 1."""
+    return max(1, int(4 * (n / 100) ** (2 / 9)))
 
 
