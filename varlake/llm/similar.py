@@ -1,11 +1,14 @@
 """Jaccard links between documents' shingle sets, by a token-group matrix.
 
-Equal sets form one class. Classes whose least shingles agree under one of several hashes are compared with the smallest
-class of that hash; connected ones form groups. The token-group matrix holds the union of each group's prefix tokens
+Equal sets form one class. Classes whose least shingles agree under one of several hashes form families. A family is dealt
+to chunks of bounded size, in which what is linked is united exactly; then the hubs of its chunks meet in chunks of their
+own. So nearly all that belongs together is united before the token-group matrix, which makes the result whole. Its groups
+are a family's leading component and the family's rest, by set size; a group holds the union of its members' prefix tokens
 (a set of n tokens keeps its n - ceil(t n) + 1 first ones in one global order, frequent tokens last; linked sets share
-one of them). A class queries the groups whose unions its prefix meets; of these, only groups whose whole token union
-can hold an overlap that reaches the threshold are opened, and their members compared exactly. Members of one group
-are never compared again: the links within it don't change what is connected.
+one of them). A class queries the groups whose unions its prefix meets, but not those which are united with it; of these,
+only groups whose whole token union can hold an overlap that reaches the threshold are opened, and their members compared.
+
+Shingles are compared by 64-bit hashes and whole sets by 128 bits, so unequal ones count as equal with a chance of 2^-64 a pair.
 """
 
 from __future__ import annotations
@@ -23,14 +26,21 @@ KEYS = 4  # hashes under which least shingles are compared
 REPEATS, RUN = 4, 1 << 22  # a task counts the shingles that occur as often in a run of so many shingles
 LEAST_FREQUENT, FREQUENT = 64, 1 << 21  # frequent: at least so often, and more than one in so many of all shingles; so at most FREQUENT ones
 LONG_LIST, ROUNDS = 16, 2  # a prefix token that more classes share is frequent too; such tokens are looked for so often at most
-BIN_WORDS = 600_000  # words that are compared in one task, about
-EXPANDED = 4_000_000  # shared tokens that a task lists at once
+BIN_WORDS = 600_000  # tokens that are compared in one task, about
+ROW_WORDS = 200  # a set counts as so many tokens more, which bounds the sets of a task as well
+CELLS = 1 << 22  # cells of a matrix of overlaps or tokens that a task holds at once
+DENSE = 256  # a token is counted by a product of matrices if more than one in so many pairs of sets share it, else by listing the pairs
 MARKS = 1 << 26  # bits of the bitmap of the documents whose texts a comparison needs
 SIZES = 1.1  # sets of one group differ in size by this factor at most
 
 
-def frequent_tokens(docs: DataFrame, k: int) -> np.ndarray:
-    """Sorted hashes of shingles that are frequent in the whole corpus; their number is bounded by FREQUENT."""
+def level(count: np.ndarray) -> np.ndarray:
+    """The place of frequent tokens in the global order, by how frequent they are; rare ones have level 0."""
+    return np.clip(4 * np.log2(np.maximum(count, 1)), 1, 127).astype(np.uint8)
+
+
+def frequent_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that are frequent in the whole corpus, and their levels; their number is bounded by FREQUENT."""
 
     def scan(batches):
         held, size, total = [], 0, 0
@@ -55,17 +65,19 @@ def frequent_tokens(docs: DataFrame, k: int) -> np.ndarray:
     found = text.mapped(docs.select("text"), scan, "h long, c long, total long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
     found = staged(found.where((F.col("c") >= LEAST_FREQUENT) | (F.col("total") > 0)), "frequent")
     total = found.agg(F.sum("total")).first()[0] or 0
-    often = found.where(F.col("c") > max(LEAST_FREQUENT - 1, total // FREQUENT)).select("h").toArrow().column("h").to_numpy()
-    return np.sort(often.view(np.uint64))
+    often = found.where(F.col("c") > max(LEAST_FREQUENT - 1, total // FREQUENT)).select("h", "c").toArrow()
+    h, order = often.column("h").to_numpy().view(np.uint64), np.argsort(often.column("h").to_numpy().view(np.uint64))
+    return h[order], level(often.column("c").to_numpy()[order])
 
 
-def ordered(values: np.ndarray, offsets: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sets' tokens in the global order: rare ones by hash, then frequent ones by hash; and which are frequent."""
-    place = np.minimum(np.searchsorted(often, values), max(0, len(often) - 1))
-    late = often[place] == values if len(often) else np.zeros(len(values), bool)
+def ordered(values: np.ndarray, offsets: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sets' tokens in the global order: rare ones by hash, then frequent ones by level and hash; and which are frequent."""
+    known, levels = often
+    place = np.minimum(np.searchsorted(known, values), max(0, len(known) - 1))
+    late = np.where(known[place] == values, levels[place], 0) if len(known) else np.zeros(len(values), np.uint8)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    order = np.argsort(owner * 2 + late, kind="stable")
-    return values[order], late[order]
+    order = np.argsort(owner * 128 + late, kind="stable")
+    return values[order], late[order] > 0
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
@@ -73,7 +85,7 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, often, k: int) -> DataFrame:
-    """doc, row, n (set size), s1 and s2 (a hash of the set) and keys (least shingle under each of KEYS hashes, frequent ones only if there are no others)."""
+    """doc, row, n (set size), s1 and s2 (a hash of the set) and keys: the least shingle under each of KEYS hashes, frequent ones only if there are no others, and the least of all shingles under every two hashes."""
     seeds = [np.uint64(0x9E3779B97F4A7C15 * (j + 1) % 2**64) for j in range(KEYS)]
 
     def scan(batches):
@@ -83,14 +95,19 @@ def signatures(docs: DataFrame, often, k: int) -> DataFrame:
             n = np.diff(offsets)
             full = np.flatnonzero(n)
             heads = offsets[:-1][full]
-            out = [np.zeros(len(n), np.uint64) for _ in range(2 + KEYS)]
+            out = [np.zeros(len(n), np.uint64) for _ in range(2 + KEYS + KEYS // 2)]
             if len(full):
                 for j in range(2):
                     out[j][full] = np.add.reduceat(text.mixed(values + np.uint64(j + 1)), heads) + n[full].astype(np.uint64)
                 top = late.astype(np.uint64) << np.uint64(63)
+                least = []
                 for j in range(KEYS):
-                    out[2 + j][full] = np.minimum.reduceat(text.mixed(values ^ seeds[j]) >> np.uint64(1) | top, heads)
-            keys = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(out[2:], axis=1).ravel().view(np.int64)), KEYS).cast(pa.list_(pa.int64()))
+                    own = text.mixed(values ^ seeds[j]) >> np.uint64(1)
+                    least.append(np.minimum.reduceat(own, heads))
+                    out[2 + j][full] = np.minimum.reduceat(own | top, heads)
+                for j in range(KEYS // 2):
+                    out[2 + KEYS + j][full] = text.joined(least[2 * j], least[2 * j + 1])
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(out[2:], axis=1).ravel().view(np.int64)), len(out) - 2).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("row"), pa.array(n.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in out[:2]), keys], ["doc", "row", "n", "s1", "s2", "keys"])
 
     return text.mapped(docs, scan, "doc long, row long, n long, s1 long, s2 long, keys array<long>")
@@ -141,7 +158,7 @@ def shared_postings(docs: DataFrame, often, k: int, percent: int, parts: int) ->
     return text.mapped(posts, shared, "token long, s1 long")
 
 
-def settled_postings(docs: DataFrame, often: np.ndarray, k: int, percent: int) -> DataFrame:
+def settled_postings(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
     """shared_postings() under an order in which tokens with long lists come last, too.
 
     Lists are counted exactly. A token with a long one joins the frequent ones, and prefixes are taken anew, until no other
@@ -149,14 +166,15 @@ def settled_postings(docs: DataFrame, often: np.ndarray, k: int, percent: int) -
     spark = docs.sparkSession
     for turn in range(ROUNDS):
         posts = staged(shared_postings(docs, spark.sparkContext.broadcast(often), k, percent, default_parallelism(spark)), "shared")
-        if turn == ROUNDS - 1 or len(often) >= FREQUENT:
+        if turn == ROUNDS - 1 or len(often[0]) >= FREQUENT:
             break
         lists = posts.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > LONG_LIST)
-        found = lists.orderBy(F.desc("c"), "token").limit(FREQUENT).select("token").toArrow().column("token").to_numpy().view(np.uint64)
-        more = np.union1d(often, found)
-        if len(more) == len(often):
+        found = lists.orderBy(F.desc("c"), "token").limit(FREQUENT).toArrow()
+        tokens = np.concatenate([often[0], found.column("token").to_numpy().view(np.uint64)])
+        more, first = np.unique(tokens, return_index=True)
+        if len(more) == len(often[0]):
             break
-        often = more
+        often = more, np.concatenate([often[1], level(found.column("c").to_numpy())])[first]
     return posts
 
 
@@ -172,53 +190,149 @@ def may_link(n: Column, low: Column, high: Column, shared: Column, percent: int)
     return (least <= most) & (shared >= F.least(need(least), need(most)) - F.when(least < most, 1).otherwise(0))
 
 
+def shared_counts(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many tokens each of the left sets shares with each of the right ones; a side is its sets' tokens and their offsets."""
+    nl, nr = len(left[1]) - 1, len(right[1]) - 1
+    out = np.zeros((nl, nr), np.int32)
+    owners = [np.repeat(np.arange(len(o) - 1), np.diff(o)) for _, o in (left, right)]
+    columns = np.intersect1d(left[0], right[0])
+    if not len(columns):
+        return out
+    sides = []
+    for (values, _), owner in zip((left, right), owners):
+        at = np.minimum(np.searchsorted(columns, values), len(columns) - 1)
+        known = columns[at] == values
+        order = np.argsort(at[known], kind="stable")
+        sides.append((at[known][order], owner[known][order], np.bincount(at[known], minlength=len(columns))))
+    (lc, lo, ln), (rc, ro, rn) = sides
+    common = ln * rn * DENSE > nl * nr
+    dense = np.flatnonzero(common)
+    place = np.cumsum(common) - 1
+    width = max(1, CELLS // max(nl, nr))
+    for c in range(0, len(dense), width):
+        own = dense[c : c + width]
+        made = []
+        for col, owner, n in ((lc, lo, nl), (rc, ro, nr)):
+            a, b = np.searchsorted(col, own[0]), np.searchsorted(col, own[-1], side="right")
+            on = common[col[a:b]]
+            m = np.zeros((n, len(own)), np.float32)
+            m[owner[a:b][on], place[col[a:b][on]] - c] = 1
+            made.append(m)
+        out += (made[0] @ made[1].T).astype(np.int32)
+    rare = ~common[lc]
+    lc, lo = lc[rare], lo[rare]
+    first, many = np.searchsorted(rc, lc), rn[lc]
+    ends = np.cumsum(many)
+    i = 0
+    while i < len(lc):
+        done = ends[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, done + CELLS, side="right")))
+        n = many[i:j]
+        where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[i:j], n)
+        out += np.bincount(np.repeat(lo[i:j], n) * nr + ro[where], minlength=nl * nr).reshape(nl, nr).astype(np.int32)
+        i = j
+    return out
+
+
+def picked(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of these rows, one after the other, and their offsets."""
+    n = np.diff(offsets)[rows]
+    ends = np.cumsum(n)
+    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(offsets[:-1][rows], n)
+    return values[at], np.concatenate([[0], ends])
+
+
+def united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels, each the smallest place of its component, after uniting the places a with the places b."""
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def alike(same: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes link that share so many tokens."""
+    return (same > 0) & (100 * same.astype(np.int64) >= percent * (left[:, None] + right[None, :] - same))
+
+
+def slices(gid: np.ndarray) -> list[np.ndarray]:
+    """The places of each group."""
+    order = np.argsort(gid, kind="stable")
+    return np.split(order, np.flatnonzero(gid[order][1:] != gid[order][:-1]) + 1) if len(gid) else []
+
+
+def united_chunks(rows: pa.Table, k: int, percent: int) -> pa.Table:
+    """Of one bin of chunks: links a, b that unite what is linked within a chunk, from each member of a component to its hub, the set with the most common tokens."""
+    rows = rows.combine_chunks()
+    doc = rows.column("doc").to_numpy()
+    values, offsets = text.shingle_sets(text.unpacked(rows.column("text")), k) if rows.num_rows else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
+    n = np.diff(offsets)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for own in slices(rows.column("gid").to_numpy()):
+        own = own[n[own] > 0]
+        if len(own) < 2:
+            continue
+        v, o = picked(values, offsets, own)
+        size = np.diff(o)
+        _, inverse, held = np.unique(v, return_inverse=True, return_counts=True)
+        central = np.add.reduceat(held[inverse], o[:-1]) / size
+        label, hub = np.arange(len(own)), np.array([int(central.argmax())])
+        near = alike(shared_counts(picked(v, o, hub), (v, o)), size[hub], size, percent)[0]
+        near[hub] = True
+        label[near] = np.flatnonzero(near)[0]
+        rest, step = np.flatnonzero(~near), max(1, CELLS // len(own))
+        for at in range(0, len(rest), step):
+            part = rest[at : at + step]
+            x, y = np.nonzero(alike(shared_counts(picked(v, o, part), (v, o)), size[part], size, percent))
+            label = united(label, part[x], y)
+        order = np.lexsort((doc[own], -central, label))
+        head = np.append(True, label[order][1:] != label[order][:-1])
+        hubs = order[head][np.cumsum(head) - 1]
+        a.append(doc[own[order[~head]]])
+        b.append(doc[own[hubs[~head]]])
+    a, b = np.concatenate(a), np.concatenate(b)
+    return pa.table({"a": a[a != b], "b": b[a != b]})
+
+
 def overlaps(rows: pa.Table, k: int, percent: int) -> pa.Table:
-    """Of one bin of groups: links between a group's queries and its members, one for each query and component of members."""
+    """Of one bin of groups: links between a group's queries and its members, at most as many as unite the components that they belong to."""
     rows = rows.combine_chunks()
-    none = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    if not rows.num_rows:
-        return none.empty_table()
-    group, doc = rows.column("gid").to_numpy(), rows.column("doc").to_numpy()
+    doc, comp = rows.column("doc").to_numpy(), rows.column("comp").to_numpy()
     member = rows.column("member").to_numpy(zero_copy_only=False).astype(bool)
-    values, offsets = text.shingle_sets(text.unpacked(rows.column("text")), k)
+    values, offsets = text.shingle_sets(text.unpacked(rows.column("text")), k) if rows.num_rows else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
     n = np.diff(offsets)
-    owner = np.repeat(np.arange(len(n)), n)
-    # A group's tokens: the shingle mixed with the group's number.
-    key = values ^ text.mixed(group.astype(np.uint64)[owner] + np.uint64(1))
-    mine = member[owner]
-    order = np.argsort(key[mine], kind="stable")
-    union, holder = key[mine][order], owner[mine][order]
-    q_key, q_owner = key[~mine], owner[~mine]
-    low, high = np.searchsorted(union, q_key, side="left"), np.searchsorted(union, q_key, side="right")
-    bound = np.bincount(q_owner[high > low], minlength=len(n))  # the query's overlap with the group's union
-    opened = 100 * bound >= percent * n
-    at = np.flatnonzero((high > low) & opened[q_owner])
-    links: dict[tuple[int, int, int], tuple[int, int]] = {}
-    comp = rows.column("comp").to_numpy()
-    held = np.flatnonzero(member)  # members by their places in counts
-    place = np.zeros(len(n), np.int64)
-    place[held] = np.arange(len(held))
-    size = np.cumsum(high[at] - low[at])
-    edges = np.append(np.flatnonzero(np.append(True, q_owner[at][1:] != q_owner[at][:-1])) if len(at) else np.zeros(0, np.int64), len(at))
-    i = 0
-    while i < len(edges) - 1:
-        # Queries whose tokens' holders are listed at once: bounded in number and in holders.
-        done = size[edges[i] - 1] if edges[i] else 0
-        j = min(i + max(1, EXPANDED // len(held)), int(np.searchsorted(size[edges[1:] - 1], done + EXPANDED, side="right")))
-        j = max(i + 1, j)
-        own = at[edges[i] : edges[j]]
-        many = high[own] - low[own]
-        ends = np.cumsum(many)
-        where = np.arange(ends[-1]) - np.repeat(ends - many, many) + np.repeat(low[own], many)
-        queries = q_owner[at[edges[i:j]]]
-        same = np.bincount(np.repeat(np.searchsorted(queries, q_owner[own]), many) * len(held) + place[holder[where]], minlength=len(queries) * len(held)).reshape(len(queries), len(held))
-        total = n[queries][:, None] + n[held][None, :] - same
-        for x, y in zip(*np.nonzero((100 * same >= percent * total) & (same > 0))):
-            q, m = int(queries[x]), int(held[y])
-            if doc[q] != doc[m]:
-                links.setdefault((int(group[q]), int(doc[q]), int(comp[m])), (int(doc[q]), int(doc[m])))
-        i = j
-    return pa.table({"a": [a for a, _ in links.values()], "b": [b for _, b in links.values()]}, schema=none)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for own in slices(rows.column("gid").to_numpy()):
+        held, asks = own[member[own] & (n[own] > 0)], own[~member[own] & (n[own] > 0)]
+        if not len(held) or not len(asks):
+            continue
+        inside = picked(values, offsets, held)
+        union = np.unique(inside[0])
+        v, o = picked(values, offsets, asks)
+        met = union[np.minimum(np.searchsorted(union, v), len(union) - 1)] == v
+        bound = np.add.reduceat(met.astype(np.int64), o[:-1])  # the query's overlap with the group's union
+        asks = asks[100 * bound >= percent * n[asks]]
+        found, step = np.unique(comp[own], return_inverse=True)[1], max(1, CELLS // len(held))
+        where = np.zeros(len(comp), np.int64)
+        where[own] = found
+        label = np.arange(found.max() + 1)
+        for at in range(0, len(asks), step):
+            part = asks[at : at + step]
+            x, y = np.nonzero(alike(shared_counts(picked(values, offsets, part), inside), n[part], n[held], percent))
+            x, y = part[x], held[y]
+            p, q = label[where[x]], label[where[y]]
+            first = np.unique(np.minimum(p, q) * len(label) + np.maximum(p, q), return_index=True)[1]
+            first = first[(p != q)[first]]
+            a.append(doc[x[first]])
+            b.append(doc[y[first]])
+            label = united(label, where[x], where[y])
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
 def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -242,17 +356,35 @@ def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return text.mapped(docs.select("doc", "text", place.alias("place")), run, "doc long, text binary")
 
 
+def weight() -> Column:
+    return F.col("n") + ROW_WORDS
+
+
+def united_families(docs: DataFrame, members: DataFrame, k: int, percent: int, bin_words: int) -> tuple[DataFrame, bool]:
+    """Links a, b within chunks of bounded size of the families of members (family, doc, n); and whether a family has several chunks."""
+    spark = docs.sparkSession
+    sizes = members.groupBy("family").agg(F.ceil(F.sum(weight()) / bin_words).cast("int").alias("chunks"))
+    dealt = members.join(sizes, "family").select(F.xxhash64("family", F.pmod(F.xxhash64("doc"), F.col("chunks"))).alias("gid"), "doc", "n", "chunks")
+    dealt = staged(dealt, "chunks")
+    total, most = dealt.agg(F.sum(weight()), F.max("chunks")).first()
+    bins = max(default_parallelism(spark), -(-(total or 0) // bin_words))
+    dealt = dealt.select("gid", "doc", F.pmod(F.xxhash64("gid"), F.lit(bins)).alias("bin"))
+    ship_package(spark)
+    found = packed_texts(docs, dealt.select("doc")).join(dealt, "doc").groupBy("bin").applyInArrow(lambda t: united_chunks(t, k, percent), "a long, b long")
+    return staged(found, "chunk_links"), (most or 0) > 1
+
+
 def opened(docs: DataFrame, queries: DataFrame, members: DataFrame, k: int, percent: int, bin_words: int) -> DataFrame:
-    """Links a, b between queries (gid, doc, n) and members (gid, doc, n) of the same group.
+    """Links a, b between queries and members (both gid, doc, n, comp) of the same group.
 
     Groups are dealt to bins of bounded size; a bin with many queries is salted, and its members go to all its salts."""
     spark = docs.sparkSession
-    both = queries.select("gid", "doc", "n", F.lit(False).alias("member"), F.lit(0).cast("long").alias("comp")).unionByName(members.select("gid", "doc", "n", F.lit(True).alias("member"), "comp"))
+    both = queries.select("gid", "doc", "n", "comp", F.lit(False).alias("member")).unionByName(members.select("gid", "doc", "n", "comp", F.lit(True).alias("member")))
     both = staged(both, "opened")
-    total = both.agg(F.sum("n")).first()[0] or 0
+    total = both.agg(F.sum(weight())).first()[0] or 0
     bins = max(default_parallelism(spark), -(-total // bin_words))
     both = both.withColumn("bin", F.pmod(F.xxhash64("gid"), F.lit(bins)))
-    salts = both.groupBy("bin").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("member"), 0).otherwise(F.col("n"))) / bin_words)).cast("int").alias("salts"))
+    salts = both.groupBy("bin").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("member"), 0).otherwise(weight())) / bin_words)).cast("int").alias("salts"))
     salt = F.when(F.col("member"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int")))
     dealt = both.join(salts, "bin").select("bin", "gid", "doc", "member", "comp", F.explode(salt).alias("salt"))
     ship_package(spark)
@@ -283,8 +415,8 @@ def link_similar(docs: DataFrame, k: int = K, percent: int = PERCENT, bin_words:
 
     A set holds the distinct runs of k words (A-Z in lower case, parted by ASCII white space); fewer words are one token,
     and null and empty texts an empty set, which links with nothing. Sets link if 100 * intersection >= percent * union;
-    component_id is the smallest id that links reach. Rows of one id count as one document; those of a null id link with
-    nothing and have a null component_id. An empty table gives no rows.
+    component_id is the smallest id that links reach. Rows of one id count as one document, linked by what any of them links
+    with; those of a null id link with nothing and have a null component_id. An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
@@ -294,21 +426,23 @@ def link_similar(docs: DataFrame, k: int = K, percent: int = PERCENT, bin_words:
     classes = signed.where("n > 0 AND doc IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     classes = staged(classes, "classes")
 
-    keyed = classes.select("rep", "n", F.posexplode("keys").alias("j", "key"))
+    keyed = classes.select("rep", F.posexplode("keys").alias("j", "key"))
     centers = keyed.groupBy("j", "key").agg(F.min("rep").alias("gid"), F.max("rep").alias("last")).where("gid < last").drop("last")
-    stars = keyed.join(centers, ["j", "key"]).where("rep <> gid").select("gid", F.col("rep").alias("doc"), "n").distinct()
-    stars = staged(stars, "stars")
-    sizes = classes.groupBy("rep").agg(F.max("n").alias("n"))
-    heads = stars.select("gid").distinct().join(sizes, F.col("gid") == F.col("rep")).select("gid", F.col("gid").alias("doc"), "n", F.col("gid").alias("comp"))
-    links = staged(opened(known, stars, heads, k, percent, bin_words), "star_links")
+    stars = keyed.join(centers, ["j", "key"]).where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
+    near = components(stars).select(F.col("node").alias("rep"), F.col("label").alias("family"))
+    members = staged(classes.join(near, "rep").select("family", F.col("rep").alias("doc"), "n"), "families")
+    links, several = united_families(known, members, k, percent, bin_words)
+    if several:
+        hubs = links.select(F.col("b").alias("doc")).distinct().join(members, "doc")
+        links = links.unionByName(united_families(known, hubs.select("family", "doc", "n"), k, percent, bin_words)[0])
 
     labels = components(links)
-    near = components(stars.select(F.col("gid").alias("a"), F.col("doc").alias("b"))).select(F.col("node").alias("doc"), F.col("label").alias("center"))
-    grouped = classes.select("s1", "rep", "n").join(labels, F.col("rep") == F.col("node"), "left").join(near, F.col("rep") == F.col("doc"), "left")
-    group = F.xxhash64(F.coalesce("center", "rep"), F.floor(F.ln("n") / F.ln(F.lit(SIZES))))
-    grouped = grouped.select("s1", "rep", "n", F.coalesce("label", "rep").alias("comp"), group.alias("group"))
-    about = grouped.groupBy("group").agg(F.count("*").alias("size"), F.sum("n").alias("words"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("lead"), F.max("comp").alias("last"))
-    grouped = staged(grouped.join(about, "group"), "groups")
+    grouped = classes.select("s1", "rep", "n").join(labels, F.col("rep") == F.col("node"), "left").join(members.select("family", F.col("doc").alias("node_")), F.col("rep") == F.col("node_"), "left")
+    grouped = grouped.select("s1", "rep", "n", F.coalesce("label", "rep").alias("comp"), F.coalesce("family", "rep").alias("family"))
+    leads = grouped.groupBy("family", "comp").agg(F.count("*").alias("c")).groupBy("family").agg(F.max_by("comp", F.struct("c", "comp")).alias("leading"))
+    grouped = grouped.join(leads, "family").withColumn("group", F.xxhash64("family", F.col("comp") == F.col("leading"), F.floor(F.ln("n") / F.ln(F.lit(SIZES)))))
+    about = grouped.groupBy("group").agg(F.count("*").alias("size"), F.sum(weight()).alias("words"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("lead"), F.max("comp").alias("last"))
+    grouped = staged(grouped.drop("family", "leading").join(about, "group"), "groups")
 
     posts = staged(settled_postings(known, often.value, k, percent).join(grouped, "s1").drop("s1"), "postings")
     facts = ["words", "low", "high", "lead", "last"]
@@ -318,15 +452,18 @@ def link_similar(docs: DataFrame, k: int = K, percent: int = PERCENT, bin_words:
     other = (F.col("group") != F.col("gid")) & ((F.col("size") < F.col("gsize")) | (F.col("size") == F.col("gsize")) & (F.col("group") > F.col("gid")))
     joined = (F.col("lead") == F.col("last")) & (F.col("lead") == F.col("comp"))
     met = posts.select("token", "rep", "n", "comp", "group", "size").join(matrix, "token").where((own | other) & ~joined)
-    met = met.groupBy("rep", "n", "gid", "words", "low", "high").agg(F.count("*").alias("shared"))
-    asked = staged(met.where(may_link(F.col("n"), F.col("low"), F.col("high"), F.col("shared"), percent)).select("rep", "n", "gid", "words"), "asked")
+    met = met.groupBy("rep", "n", "comp", "gid", "words", "low", "high").agg(F.count("*").alias("shared"))
+    asked = staged(met.where(may_link(F.col("n"), F.col("low"), F.col("high"), F.col("shared"), percent)).select("rep", "n", "comp", "gid", "words"), "asked")
 
     chunks = F.ceil(F.col("words") / bin_words).cast("int")
     needed = asked.select(F.col("gid").alias("group")).distinct()
     inside = grouped.join(needed, "group", "left_semi").select(F.xxhash64("group", F.pmod(F.xxhash64("rep"), chunks).cast("int")).alias("gid"), F.col("rep").alias("doc"), "n", "comp")
-    outside = asked.withColumn("part", F.explode(F.sequence(F.lit(0), chunks - 1))).select(F.xxhash64("gid", "part").alias("gid"), F.col("rep").alias("doc"), "n")
+    outside = asked.withColumn("part", F.explode(F.sequence(F.lit(0), chunks - 1))).select(F.xxhash64("gid", "part").alias("gid"), F.col("rep").alias("doc"), "n", "comp")
     more = opened(known, outside, inside, k, percent, bin_words)
-    labels = components(links.unionByName(more))
+    sets = F.struct("s1", "s2")
+    repeated = signed.where("n > 0 AND doc IS NOT NULL").groupBy("doc").agg(F.min(sets).alias("low"), F.max(sets).alias("high")).where("low < high").select("doc")
+    same_id = signed.where("n > 0").join(repeated, "doc").join(classes, ["s1", "s2"]).select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    labels = components(links.unionByName(more).unionByName(same_id))
 
     final = classes.select("s1", "s2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("label", "rep").alias("component"))
     out = signed.join(final, ["s1", "s2"], "left")
