@@ -1,15 +1,17 @@
 """A quality classifier: a factorisation machine over hashed words and structure statistics.
 
 score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2)), so that the pairwise part costs no
-more than the linear one. Inputs come from the text alone.
+more than the linear one. Inputs come from the text alone: each distinct word weighs its count over the root of the text's
+words. Features are made where the texts are; only those of the bounded sample of labelled rows go to the driver, which fits.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..shipping import ship_package
 from . import text
 
 HASHED = 1 << 16
@@ -28,14 +30,12 @@ STATS = ("log_words", "log_chars", "word_bytes", "upper", "digits", "marks", "no
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed words (index, value) of all texts one after the other, the texts' offsets in them, and a matrix of the structure statistics."""
+    """Distinct hashed words (index, value) of all texts one after the other, the texts' offsets in them, and a matrix of the structure statistics."""
     data, offsets = text.flat_bytes(column)
     low = text.lowered(data)
     starts, ends, first = text.word_bounds(low, offsets)
     h = text.word_hashes(low, starts, ends)
     n, size = np.diff(first), np.diff(offsets)
-    index = (h >> np.uint64(48)).astype(np.int64)
-    value = np.repeat(1 / np.sqrt(np.maximum(n, 1)), n).astype(np.float32)
     raw = data[:-8]
 
     def share(mask: np.ndarray, per: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -49,6 +49,10 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     order = np.lexsort((h, owner))
     new = np.ones(len(h), bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+    at = np.flatnonzero(new)
+    index = (h[order][at] >> np.uint64(48)).astype(np.int32)
+    held = owner[order][at]
+    value = (np.diff(np.append(at, len(h))) / np.sqrt(np.maximum(n, 1))[held]).astype(np.float32)
     marks = _MARKS[raw]
     doubled = np.zeros(len(raw), bool)
     doubled[1:] = marks[1:] & (raw[1:] == raw[:-1])
@@ -67,10 +71,10 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     full, distinct = (np.bincount(x, minlength=len(n)) for x in (by, by[o][fresh]))
     stats = np.stack([
         np.log1p(n), np.log1p(size), share(np.ones(len(raw), bool), n, offsets), share(_UPPER[raw], size, offsets), share(_DIGIT[raw], size, offsets), share(marks, size, offsets),
-        share(_HIGH[raw], size, offsets), np.log1p(lines), share(same_next, n, first), share(new, n, first), np.log1p(longest), share(raw == 124, n, offsets),
+        share(_HIGH[raw], size, offsets), np.log1p(lines), share(same_next, n, first), np.bincount(held, minlength=len(n)) / np.maximum(n, 1), np.log1p(longest), share(raw == 124, n, offsets),
         share(doubled, size, offsets), distinct / np.maximum(full, 1), (n == 0).astype(float),
     ], axis=1)
-    return index, value, first.astype(np.int64), stats
+    return index, value, np.searchsorted(held, np.arange(len(n) + 1)), stats
 
 
 class Machine:
@@ -89,7 +93,7 @@ class Machine:
         at = first[:-1] + m * np.arange(len(n))
         owner = np.repeat(np.arange(len(n)), n + m)
         place = np.arange(len(owner)) - at[owner]
-        idx, val = np.empty(len(owner), np.int64), np.empty(len(owner), np.float32)
+        idx, val = np.empty(len(owner), np.int32), np.empty(len(owner), np.float32)
         word = place >= m
         idx[word], val[word] = index, value
         idx[~word] = HASHED + place[~word]
@@ -113,28 +117,23 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(idx, val, at)[0], -30, 30)))
 
 
-def fit(texts: list[str], labels: np.ndarray) -> Machine:
-    """A machine fitted by Adam to the logistic loss, the same for the same rows in the same order."""
-    parts = [features(pa.array(texts[a : a + 500], pa.string())) for a in range(0, len(texts), 500)]
-    stats = np.concatenate([p[3] for p in parts])
+def fit(index: np.ndarray, value: np.ndarray, first: np.ndarray, stats: np.ndarray, labels: np.ndarray) -> Machine:
+    """A machine fitted by Adam to the logistic loss over features(), the same for the same rows in the same order."""
     machine = Machine(stats)
     size = len(machine.w)
-    runs = []
-    for index, value, first, own in parts:
-        idx, val, at, _ = machine.rows(index, value, first, own)
-        runs += [(idx[a:b], val[a:b]) for a, b in zip(at, [*at[1:], len(idx)])]
     rng = np.random.default_rng(SEED)
     slots = [np.zeros((size, 1 + FACTORS), np.float32) for _ in range(2)]
     share = float(np.clip(labels.mean(), 0.01, 0.99))
     machine.w0 = float(np.log(share / (1 - share)))
     step = 0
     for _ in range(EPOCHS):
-        order = rng.permutation(len(runs))
+        order = rng.permutation(len(labels))
         for a in range(0, len(order), BATCH):
-            own = [runs[i] for i in order[a : a + BATCH]]
-            idx, val = (np.concatenate(x) for x in zip(*own))
-            n = np.array([len(i) for i, _ in own])
-            at, owner = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+            own = order[a : a + BATCH]
+            n = np.diff(first)[own]
+            ends = np.cumsum(n)
+            words = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(first[own], n)
+            idx, val, at, owner = machine.rows(index[words], value[words], np.concatenate([[0], ends]), stats[own])
             z, sums = machine.raw(idx, val, at)
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[order[a : a + BATCH]]) / len(own)
             used, where = np.unique(idx, return_inverse=True)
@@ -163,15 +162,44 @@ def held_out(id_column):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> Machine | None:
-    """The machine of the labelled rows that aren't held out; None if there is none. At most `sample` rows are fitted to, chosen by a hash of the id; the bound keeps the driver's share fixed."""
-    rows = docs.select(F.col(id_column).alias("id_"), F.coalesce(F.col(text_column), F.lit("")).alias("text_"))
-    marks = labels.where(F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("id_")).agg(F.max(label_column).cast("int").alias("label_"))
-    order = [F.xxhash64("id_"), F.col("id_")]
-    chosen = marks.where(~held_out(F.col("id_"))).orderBy(*order).limit(sample)
-    found = rows.join(chosen, "id_").orderBy(*order, "text_").limit(sample).select("text_", "label_").toArrow()
+    """The machine of the labelled rows that aren't held out; None if there is none. At most `sample` rows are fitted to, chosen by a hash of the id; the bound keeps the driver's share fixed. Of an id's rows one is fitted to, the least by a hash of its text."""
+    rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("id_"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text_"))
+    marks = labels.where(F.col(label_column).isNotNull()).groupBy(F.col(id_column).cast("long").alias("id_")).agg(F.max(label_column).cast("int").alias("label_"))
+    chosen = marks.where(~held_out(F.col("id_"))).orderBy(F.xxhash64("id_"), "id_").limit(sample)
+
+    def run(batches):
+        for batch in text.chunks(batches, "text_"):
+            index, value, first, stats = features(batch.column("text_"))
+            lists = (pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x)) for x in (index, value))
+            wide = pa.FixedSizeListArray.from_arrays(pa.array(stats.ravel()), stats.shape[1]).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id_"), batch.column("label_"), batch.column("row_"), *lists, wide], ["id_", "label_", "row_", "index", "value", "stats"])
+
+    # The chosen ids are bounded by `sample`, so they are broadcast and the texts stay where they are.
+    labelled = rows.join(F.broadcast(chosen), "id_").withColumn("row_", F.xxhash64("text_"))
+    made = text.mapped(labelled, run, "id_ long, label_ int, row_ long, index array<int>, value array<float>, stats array<double>")
+    own = F.struct("row_", "label_", "index", "value", "stats")
+    found = made.groupBy("id_").agg(F.min(own).alias("own")).select("id_", "own.*").drop("row_").toArrow().combine_chunks()
     if not found.num_rows:
         return None
-    return fit(found.column("text_").to_pylist(), found.column("label_").to_numpy().astype(float))
+    found = found.sort_by("id_")
+    index, value, stats = (pa.chunked_array(found.column(c).chunks).combine_chunks() for c in ("index", "value", "stats"))
+    first = index.offsets.to_numpy().astype(np.int64)
+    return fit(index.values.to_numpy(), value.values.to_numpy(), first, stats.flatten().to_numpy().reshape(found.num_rows, -1), found.column("label_").to_numpy().astype(float))
+
+
+def scorer(spark: SparkSession, machine: Machine | None):
+    """A function of columns: the score of a text, from 0 to 1; null counts as empty, and without a machine all scores are 0.5."""
+    ship_package(spark)
+    sent = spark.sparkContext.broadcast(machine)
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        own, out = sent.value, [np.zeros(0)]
+        for part in text.chunks([pa.RecordBatch.from_arrays([texts], ["text"])]):
+            out.append(own.score(*features(part.column("text"))) if own else np.full(part.num_rows, 0.5))
+        return pa.array(np.concatenate(out), pa.float64())
+
+    return score
 
 
 def score_quality(docs: DataFrame, machine: Machine | None, threshold: float = 0.7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -180,13 +208,11 @@ def score_quality(docs: DataFrame, machine: Machine | None, threshold: float = 0
     Null counts as the empty text, which is scored by its statistics; without a machine (no labels) all scores are 0.5.
     Repeated rows stay; other columns aren't read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(machine)
+    doc = F.col(f"`{id_column}`").cast("long")
+    scored = docs.select(doc.alias("doc_id"), scorer(docs.sparkSession, machine)(F.col(f"`{text_column}`")).alias("score"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
-    def run(batches):
-        for batch in text.chunks(batches, "text_"):
-            own = sent.value
-            score = own.score(*features(batch.column("text_"))) if own else np.full(batch.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column("id_"), pa.array(score, pa.float64())], ["doc_id", "score"])
 
-    cols = docs.select(F.col(id_column).cast("long").alias("id_"), F.col(text_column).alias("text_"))
-    return text.mapped(cols, run, "doc_id long, score double").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def keep_good(docs: DataFrame, machine: Machine | None, threshold: float = 0.7, text_column: str = "text") -> DataFrame:
+    """The rows of docs whose text has a score of the threshold or more, with their columns; each row is judged by its own text, so nothing is shuffled. Without a machine all rows stay."""
+    return docs.where(scorer(docs.sparkSession, machine)(F.col(f"`{text_column}`")) >= threshold) if machine else docs
