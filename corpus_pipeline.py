@@ -10,10 +10,8 @@ from varlake.llm.storage import staged
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted to the labels, doesn't reject; rows of one id go or stay together."""
-    scores = quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
-    rejected = scores.where("predicted = 0").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    """Documents that the classifier, fitted to the labels, doesn't reject."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
