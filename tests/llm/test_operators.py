@@ -171,21 +171,85 @@ def test_secrets_of_each_structure():
         assert secret_scan.structural_spans(clean) == []
 
 
-def test_decontamination_against_all_windows(spark):
+def bag(ws, k=5):
+    return Counter(tuple(ws[p : p + k]) for p in range(len(ws) - k + 1))
+
+
+def best_window(ws, item):
+    """Similarity, first and last word of the best window of the item's size, by looking at all of them."""
+    n, own = len(item), bag(item)
+    found = []
+    for p in range(len(ws) - n + 1):
+        b = bag(ws[p : p + n])
+        same = sum((b & own).values())
+        found.append((same / (2 * (n - 4) - same), -p))
+    value, p = max(found, default=(0, 0))
+    return value, -p, -p + n
+
+
+@pytest.fixture(scope="module")
+def leaks(spark):
     rng = random.Random(5)
-    item = [f"i{rng.randrange(500)}" for _ in range(40)]
-    edited = item[:20] + ["zz"] + item[21:]
-    filler = lambda n: [f"f{rng.randrange(500)}" for _ in range(n)]
-    rows = [(1, " ".join(filler(50) + item + filler(9))), (2, " ".join(filler(20) + edited)), (3, " ".join(filler(300))), (4, None), (5, " ".join(item[:20]))]
-    items = spark.createDataFrame([(7, " ".join(item)), (8, None)], "item_id long, text string")
-    bag = lambda ws: Counter(tuple(ws[p : p + 5]) for p in range(len(ws) - 4))
-    want = {}
+    words = lambda n: [f"i{rng.randrange(500)}" for _ in range(n)]
+    items = [(i, words(rng.choice([12, 40, 40, 70]))) for i in range(12)] + [(50, words(3))]
+    rows = [(3, None), (None, "x"), (4, ""), (5, " ".join(items[1][1][:20])), (6, " ".join(words(4000) + items[2][1] + words(4000)))]
+    for i in range(60):
+        item = list(items[i % 12][1])
+        for _ in range(i // 20):
+            item[rng.randrange(len(item))] = "zz"
+        rows.append((100 + i % 50, " ".join(words(rng.randrange(30)) + item + words(rng.randrange(30)))))
+    rows += [rows[-1], (None, rows[-1][1]), (7, " ".join(words(9) + items[-1][1])), (8, "A " + " ".join(items[0][1]).upper())]
+    want = Counter()
     for i, t in rows:
-        ws, b = (t or "").split(), bag(item)
-        best = max((sum((bag(ws[p : p + 40]) & b).values()) / sum((bag(ws[p : p + 40]) | b).values()) for p in range(len(ws) - 39)), default=0)
-        want[i] = best >= 0.8
-    found = decontaminate.find_items(spark.createDataFrame(rows, "doc_id long, text string"), items)
-    assert {r.doc_id: bool(r.matches) for r in found.collect()} == want
+        ws, own = (t or "").lower().split(), []
+        for item_id, item in items:
+            if len(item) < 5:
+                own += [(item_id, 1.0, p, p + 3) for p in range(len(ws) - 2) if ws[p : p + 3] == item]
+            else:
+                value, a, b = best_window(ws, item)
+                own += [(item_id, round(value, 9), a, b)] * (value >= 0.8)
+        want[i, tuple(sorted(own))] += 1
+    frame = spark.createDataFrame([(i, t, "clash", "clash") for i, t in rows], "doc_id long, text string, row string, matches string").repartition(3).cache()
+    return frame, spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(None, rows[-1][1]), (9, None), (10, " ")], "item_id long, text string"), want
+
+
+@pytest.mark.parametrize("item_bytes", [32 << 20, 400])
+def test_decontamination_against_all_windows(leaks, item_bytes):
+    docs, items, want = leaks
+    found = decontaminate.find_items(docs, items, item_bytes=item_bytes).collect()
+    assert Counter((r.doc_id, tuple((m.item_id, round(m.similarity, 9), m.start, m.end) for m in r.matches)) for r in found) == want
+    clean = decontaminate.decontaminated(docs, items, item_bytes=item_bytes)
+    assert clean.columns == docs.columns and Counter(r.doc_id for r in clean.collect()) == Counter({i: c for (i, m), c in want.items() if not m})
+
+
+def test_hamming_blocks_guarantee_the_radius():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (50, 4000):
+        prints = rng.integers(0, 2**64, n, dtype=np.uint64)
+        asked = np.concatenate([prints[:40] ^ np.array([sum(1 << int(b) for b in rng.choice(64, 15 + i % 6, replace=False)) for i in range(40)], np.uint64), rng.integers(0, 2**64, 40, dtype=np.uint64)])
+        want = {(w, i) for w in range(len(asked)) for i in np.flatnonzero(np.bitwise_count(asked[w] ^ prints) <= decontaminate.RADIUS).tolist()}
+        w, i, met = decontaminate.Blocks(prints, decontaminate.RADIUS).near(asked)
+        assert set(zip(w.tolist(), i.tolist())) == want and met < 0.2 * len(asked) * n
+
+
+def test_recall_at_the_threshold():
+    """Windows of a similarity from 0.80 to 0.85, of 20 to 100 words: the share whose fingerprint is within the radius."""
+    import numpy as np
+
+    rng, near, met = random.Random(3), 0, 0
+    while met < 2000:
+        item = [f"i{rng.randrange(5000)}" for _ in range(rng.randrange(20, 100))]
+        copy = list(item)
+        for _ in range(rng.randrange(1, 5)):
+            copy[rng.randrange(len(copy))] = f"z{rng.random()}"
+        same = sum((bag(item) & bag(copy)).values())
+        if 0.80 <= same / (2 * (len(item) - 4) - same) <= 0.85:
+            values = np.array([[hash(s) & (2**64 - 1) for s in (tuple(w[p : p + 5]) for p in range(len(w) - 4))] for w in (item, copy)], np.uint64)
+            a, b = decontaminate.simhash(values)
+            met, near = met + 1, near + (int(np.bitwise_count(a ^ b)) <= decontaminate.RADIUS)
+    assert near / met > 0.99, near / met
 
 
 def test_quality_learns_on_held_out_rows(spark):
