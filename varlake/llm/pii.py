@@ -13,22 +13,23 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 ROUNDS = 8
-# Dates that are mapped are the days from FIRST_DAY on, as many as DAYS_A * DAYS_B.
-FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 250, 292
-# Of these days, as many as LATE_A * LATE_B come after the LATE-th of their month; a month has MONTH of them on average.
-LATE, LATE_A, LATE_B, MONTH = 12, 28, 1579, 18.437
+# Dates are permuted within three ranges, so that usual years stay usual ones. A range has its first month, the days
+# of it that belong to the range before, a * b days, and late_a * late_b days that come after the LATE-th of their month.
+RANGES = (("0001-01-01", 0, 745, 931, 59, 7121), ("1900-01-01", 0, 250, 292, 28, 1579), ("2099-11-01", 12, 1231, 2344, 4, 436963))
+LATE, MONTH = 12, 88497 / 4800  # a month has MONTH late days on average
 # Valid social security numbers have areas 001-899 without 666, groups 01-99 and serials 0001-9999.
 SSN_AREAS, SSN_GROUPS, SSN_SERIALS = 898, 99, 9999
 
 # The shapes of candidates, in the order in which they are tried.
 PATTERNS = {
-    "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}+",
+    "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}+",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])",
     "date": r"(?<![0-9.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{13,19})(?![0-9])",
 }
+# A domain has 127 labels at most (253 bytes), so no repetition in a pattern is unbounded but those of single characters, which don't recurse.
 CANDIDATE = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -100,29 +101,39 @@ def _phone(m: Column, key: str, inverse: bool) -> Column:
     return let(digits_of(m), lambda d: with_digits(m, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), permuted_digits(F.right(d, F.lit(10)), "phone", key, inverse))))
 
 
+def _range(date: Column) -> Column:
+    """The range of RANGES that a date is in."""
+    out = None
+    for base, skip, *sizes in RANGES:
+        row = F.struct(F.lit(base).cast("date").alias("base"), F.lit(skip).alias("skip"), *(F.lit(x).cast("long").alias(n) for n, x in zip(("a", "b", "late_a", "late_b"), sizes)))
+        out = row if out is None else F.when(F.datediff(date, F.lit(base).cast("date")) >= skip, row).otherwise(out)
+    return out
+
+
 def _date(m: Column, key: str, inverse: bool) -> Column:
-    """Slashes are read as month first, or as day first where that is no date; days first are mapped among themselves."""
-    first = F.lit(FIRST_DAY).cast("date")
+    """Slashes are read as month first, or as day first where that is no date; days first are mapped among themselves. Years are 0001 to 9999."""
     year_last = lambda month, day: F.concat_ws("-", F.right(m, F.lit(4)), F.substring(m, month, 2), F.substring(m, day, 2)).try_cast("date")
     plain = F.when(m.contains("-"), m.try_cast("date")).when(m.contains("/"), year_last(1, 4)).otherwise(year_last(4, 1))
     day_first = F.when(m.contains("/") & plain.isNull(), year_last(4, 1))
 
-    def mapped(n: Column) -> Column:
-        new = feistel(F.floor(n / DAYS_B), n % DAYS_B, F.lit(DAYS_A), F.lit(DAYS_B), "date", key, inverse)
-        date = let(new, lambda s: F.date_add(first, (s["a"] * DAYS_B + s["b"]).cast("int")))
-        written = let(date, lambda d: F.when(m.contains("-"), F.date_format(d, "yyyy-MM-dd")).when(m.contains("/"), F.date_format(d, "MM/dd/yyyy")).otherwise(F.date_format(d, "dd.MM.yyyy")))
-        return F.when(n.between(0, DAYS_A * DAYS_B - 1), written)
+    def mapped(date: Column, r: Column) -> Column:
+        n = (F.datediff(date, r["base"]) - r["skip"]).cast("long")
+        new = let(n, lambda n: feistel(F.floor(n / r["b"]), n % r["b"], r["a"], r["b"], "date", key, inverse))
+        back = let(new, lambda s: F.date_add(r["base"], (s["a"] * r["b"] + s["b"] + r["skip"]).cast("int")))
+        written = let(back, lambda d: F.when(m.contains("-"), F.date_format(d, "yyyy-MM-dd")).when(m.contains("/"), F.date_format(d, "MM/dd/yyyy")).otherwise(F.date_format(d, "dd.MM.yyyy")))
+        return F.when(n >= 0, written)
 
-    def mapped_late(date: Column) -> Column:
+    def mapped_late(date: Column, r: Column) -> Column:
         """The same for the days after the LATE-th, which are numbered without the others."""
-        n, start = F.datediff(date, first), lambda i: F.datediff(F.add_months(first, i), first) - LATE * i
-        late = (n - LATE * ((F.year(date) - F.year(first)) * 12 + F.month(date))).cast("long")
-        new = let(late, lambda k: feistel(F.floor(k / LATE_B), k % LATE_B, F.lit(LATE_A), F.lit(LATE_B), "late", key, inverse))
-        month = lambda k: let(F.floor(k / MONTH).cast("int"), lambda i: F.array_max(F.filter(F.sequence(i - 1, i + 1), lambda j: start(j) <= k)))
-        written = let(let(new, lambda s: s["a"] * LATE_B + s["b"]), lambda k: F.date_format(F.date_add(first, (k + LATE * (month(k) + 1)).cast("int")), "dd/MM/yyyy"))
-        return F.when(n.between(0, DAYS_A * DAYS_B - 1), written)
+        start = lambda i: F.datediff(F.add_months(r["base"], i), r["base"]) - LATE * i
+        late = (F.datediff(date, r["base"]) - LATE * ((F.year(date) - F.year(r["base"])) * 12 + F.month(date) - F.month(r["base"]) + 1)).cast("long")
+        new = let(late, lambda k: feistel(F.floor(k / r["late_b"]), k % r["late_b"], r["late_a"], r["late_b"], "late", key, inverse))
+        month = lambda k: let(F.floor(k / MONTH).cast("int"), lambda i: F.array_max(F.filter(F.sequence(i - 2, i + 2), lambda j: start(j) <= k)))
+        written = let(let(new, lambda s: s["a"] * r["late_b"] + s["b"]), lambda k: F.date_format(F.date_add(r["base"], (k + LATE * (month(k) + 1)).cast("int")), "dd/MM/yyyy"))
+        return F.when(late >= 0, written)
 
-    return F.coalesce(let(F.datediff(plain, first), mapped), let(day_first, mapped_late))
+    ranged = lambda date, to: let(date, lambda d: F.when(d.isNotNull(), let(_range(d), lambda r: to(d, r))))
+    return F.coalesce(ranged(plain, mapped), ranged(day_first, mapped_late))
 
 
 def _ssn(m: Column, key: str, inverse: bool) -> Column:
@@ -177,11 +188,12 @@ def pseudonymise(docs: DataFrame, key: str, inverse: bool = False, id_column: st
     """Columns doc_id, text with all valid personal data replaced, found array<struct(kind, value, new)> in order of place; one row for each row of docs.
 
     inverse maps numbers and dates back under the same key (addresses of mail can't be mapped back). Candidates that aren't
-    valid (a failing check digit, no such day, an octet over 255) stay as they are. Null texts stay null and empty ones
-    empty, with nothing found; repeated rows stay; other columns aren't read.
+    valid (a failing check digit, no such day or the year 0000, an octet over 255) stay as they are. Dates are mapped within
+    their range of RANGES: 0001-01-01 to 1899-12-31, to 2099-11-12, to 9999-12-31. Of a domain of more than 127 labels the
+    first ones count. Null texts stay null and empty ones empty, with nothing found; repeated rows stay; other columns aren't read.
     """
     text = F.col("text")
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
     some = text.rlike("[0-9@]")
     empty = F.array().cast("array<string>")
     rows = rows.withColumn("values", F.when(some, F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).otherwise(empty))

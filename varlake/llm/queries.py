@@ -100,7 +100,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
-PSEUDONYM_KEY = "change-me"  # production runs pass their own secret
+PSEUDONYM_KEY = "key of this query only"  # pseudonymise() has no default: production runs pass their own secret
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
