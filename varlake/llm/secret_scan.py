@@ -29,7 +29,6 @@ _NEXT = re.compile(r"(?:\r?\n|(?:\\+r)?\\+n)[ \t]*([A-Za-z0-9+/_-]+={0,2})")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
 _HEX = re.compile(r"[0-9a-fA-F]{32,}")
 _WORDS = re.compile(r"(?i)passw|secret|token|api")
-DEPTH = 2
 
 
 def from_base64(s: str) -> bytes | None:
@@ -102,17 +101,13 @@ def is_jwt(header: str) -> bool:
     return isinstance(found, dict) and isinstance(found.get("alg"), str)
 
 
-def structure(data: bytes, depth: int) -> str | None:
-    """What decoded bytes are confirmed to be, or None."""
-    if is_der_key(data):
-        return "der_key"
-    if is_ssh_key(data):
-        return "ssh_key"
-    if depth and len(data) >= 16 and all(9 <= b < 127 for b in data):
-        inner = data.decode("ascii")
-        if base_spans(inner)[0] or structural_spans(inner, depth - 1):
-            return "nested"
-    return None
+def key_structure(data: bytes) -> str | None:
+    """The kind of key that decoded bytes are, or None."""
+    return "der_key" if is_der_key(data) else "ssh_key" if is_ssh_key(data) else None
+
+
+def is_text(data: bytes) -> bool:
+    return len(data) >= 16 and all(9 <= b < 127 for b in data)
 
 
 def base_spans(t: str) -> tuple[list[tuple[int, int, int]], list[int]]:
@@ -144,8 +139,11 @@ def decodings(s: str) -> list[bytes | None]:
     return [from_base64(s)] + ([bytes.fromhex(digits)] if len(digits) % 2 == 0 and _HEX.fullmatch(digits) else [])
 
 
-def structural_spans(t: str, depth: int = DEPTH) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the candidates that decoding and parsing confirm."""
+def structural_spans(t: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the candidates that decoding and parsing confirm.
+
+    A candidate that decodes to text is "nested" if that text holds a secret, at any depth. Only the first decoding that
+    gives text is searched, and it is a quarter shorter at least, so all levels together take a few times the text's length."""
     found, base = [], len(BASE)
     if "." in t:
         found += [(m.start(), base, m.end()) for m in _JWT.finditer(t) if is_jwt(m[1])]
@@ -160,7 +158,11 @@ def structural_spans(t: str, depth: int = DEPTH) -> list[tuple[int, int, int]]:
             # Lines that an earlier run was joined with aren't joined again, so the time stays linear.
             joined = wrapped(t, m) if m.start() >= tried else [(m[0], m.end())]
             tried = max(tried, joined[0][1])
-            if hit := next(((k, end) for s, end in joined for d in decodings(s) if d and (k := structure(d, depth))), None):
+            made = [(d, end) for s, end in joined for d in decodings(s) if d]
+            hit = next(((k, end) for d, end in made if (k := key_structure(d))), None)
+            if not hit and (inner := next(((d.decode("ascii"), end) for d, end in made if is_text(d)), None)) and (base_spans(inner[0])[0] or structural_spans(inner[0])):
+                hit = "nested", inner[1]
+            if hit:
                 found.append((m.start(), KINDS.index(hit[0]), hit[1]))
     return sorted(found)
 
@@ -168,8 +170,8 @@ def structural_spans(t: str, depth: int = DEPTH) -> list[tuple[int, int, int]]:
 def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Columns doc_id, base and spans, arrays of struct(kind, start, end) in code points with the end exclusive, by start and then kind as listed in KINDS.
 
-    base holds the pattern matches; spans has the structurally confirmed candidates besides.
-    Null and empty texts have no spans; repeated rows stay; other columns aren't read.
+    base holds the pattern matches; spans has the structurally confirmed candidates besides, nested ones at any depth; of
+    equal starts the order of KINDS decides. Null and empty texts have no spans; repeated rows stay; other columns aren't read.
     """
     kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
@@ -183,6 +185,6 @@ def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 spans.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(own + more)])
             yield pa.RecordBatch.from_arrays([batch.column("id_"), pa.array(base, pa.list_(kind)), pa.array(spans, pa.list_(kind))], ["doc_id", "base", "spans"])
 
-    cols = docs.select(F.col(id_column).cast("long").alias("id_"), F.col(text_column).alias("text_"))
+    cols = docs.select(F.col(f"`{id_column}`").cast("long").alias("id_"), F.col(f"`{text_column}`").alias("text_"))
     span = "array<struct<kind: string, start: int, end: int>>"
     return text.mapped(cols, run, f"doc_id long, base {span}, spans {span}")
