@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -9,8 +11,10 @@ from pyspark.sql import DataFrame, functions as F
 from . import pieces, text
 
 
-def whole_tokens(model: pieces.Pieces) -> set[str]:
-    """Keys of the words that are proven to encode alone as one token: every vocabulary string goes through the merges once."""
+@functools.lru_cache(maxsize=2)
+def whole_tokens(model_path: str) -> set[str]:
+    """Keys of the words that are proven to encode alone as one token: every vocabulary string goes through the merges once in a worker's life."""
+    model = pieces.load(model_path)
     names = [n for n in model.names if n.startswith(pieces.MARK) and pieces.MARK not in n[1:]]
     return {n[1:] for n, size in zip(names, np.diff(model.merged(names)[1])) if size == 1}
 
@@ -24,7 +28,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_column:
 
     def run(batches):
         model = pieces.load(model_path)
-        whole = whole_tokens(model)
+        whole = whole_tokens(model_path)
         memo = pieces.Memo(lambda keys: np.diff(model.encoded([pieces.spelled(k) for k in keys])[1]).tolist())
         for batch in text.chunks(batches, "text_"):
             texts = [t or "" for t in batch.column("text_").to_pylist()]
