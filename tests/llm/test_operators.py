@@ -14,7 +14,7 @@ import regex
 import sentencepiece
 from pyspark.sql import functions as F
 
-from varlake.llm import decontaminate, line_dedup, passages, pii, piece_codec, quality, secret_scan, similar, token_counts, topk
+from varlake.llm import decontaminate, line_dedup, passages, pii, piece_codec, quality, secret_scan, similar, storage, token_counts, topk
 from varlake.llm import queries as q
 
 DATA = "/root/testdata/sf0.001"
@@ -57,9 +57,10 @@ def test_passages(docs, salt_words):
         ws = WORD.findall(t or "")
         gone = {p + x for p in range(len(ws) - 49) if i is not None and first[tuple(ws[p : p + 50])] < i for x in range(50)}
         want[i, len(ws), len(gone), " ".join(w for x, w in enumerate(ws) if x not in gone)] += 1
+    docs = docs.withColumnsRenamed({"src": "_", "row": "n_words__"})
     out = passages.dedup_passages(docs, salt_words=salt_words)
     assert Counter(tuple(r) for r in out.select("doc_id", "n_words__", "n_removed__", "text").collect()) == want
-    assert out.columns[:4] == docs.columns
+    assert out.columns == ["doc_id", "text", "_", "n_words__", "n_removed__"]
 
 
 def test_lines(docs):
@@ -76,6 +77,26 @@ def test_lines(docs):
     assert Counter(tuple(r) for r in line_dedup.dedup_lines(docs).select("doc_id", "n_lines__", "n_dropped__", "text").collect()) == want
 
 
+def test_lines_in_calls_equal_one_call(spark):
+    """Three calls over the same runs, the last in which they are restored, give what one call over all documents gives; hot lines and long texts included."""
+    rng = random.Random(4)
+    line = lambda: f"line number {rng.randrange(300)}"
+    rows = [(i, "a line that is everywhere\n" * rng.randrange(1, 3) + "\n".join(line() for _ in range(rng.randrange(6))), "x", "y") for i in range(120)]
+    rows.insert(0, (-1, "\n".join(f"own {i} of a long text" for i in range(30_000)), "x", "y"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_lines__ string, drops string").cache()
+    one = line_dedup.dedup_lines(frame)
+    assert one.columns == ["doc_id", "text", "drops", "n_lines__", "n_dropped__"]
+    runs, got = line_dedup.Runs(4, 2), []
+    for low, high in ((-1, 40), (40, 80), (80, 120)):
+        got += line_dedup.dedup_batch(frame.where(f"doc_id >= {low} AND doc_id < {high}"), runs).collect()
+        runs = line_dedup.Runs.restore(spark, runs.state())
+    assert Counter(map(tuple, got)) == Counter(map(tuple, one.collect()))
+    again = line_dedup.dedup_batch(spark.createDataFrame([(-9, "A LINE that is everywhere \nnew to all of them")], "doc_id long, text string"), runs).first()
+    assert (again.text, again.n_dropped__) == ("new to all of them", 1)
+    storage.release(spark)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_")]
+
+
 def test_similar(docs):
     rows = [(i, t) for i, t in texts() if i is not None]
     sets = []
@@ -101,6 +122,19 @@ def test_pieces_equal_the_library(docs):
     assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(frame, MODEL).collect()) == Counter((i, len(t.encode()), len(sp.encode(t))) for i, t in rows)
 
 
+def test_long_units_equal_the_library():
+    """Units of 100000 symbols, texts without spaces, and all that rounds by rank meet."""
+    from varlake.llm import pieces
+
+    rng = random.Random(9)
+    sp, model = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.load(MODEL)
+    words = ["the", "ing", "tion", "an", "er", "st", "é", "日本", "ß", "1", "-", "."]
+    texts = ["a" * 100_000, "ab" * 50_000, "".join(rng.choice("etaoinshr") for _ in range(100_000)), "".join(rng.choice(words) for _ in range(30_000)), "日本語の文章" * 3000]
+    texts += ["".join(rng.choice("abc") for _ in range(1001 + i)) for i in range(40)] + ["".join(rng.choice(words) for _ in range(1200)) for _ in range(40)]
+    for t in texts:
+        assert model.encoded([pieces.spelled(u) for u in pieces.units(t)])[0].tolist() == sp.encode(t), t[:40]
+
+
 def test_top_k(spark):
     rng = random.Random(3)
     rows = [(i, [rng.choice([0.0, 0.5, -0.25, 0.1]) for _ in range(8)]) for i in range(90)] + [(200, None), (220, [None] * 8), (240, [float("nan")] * 8)]
@@ -255,6 +289,76 @@ def test_secrets(spark):
     assert out[2].spans == [] and sorted(s.kind for s in out[3].base) == ["access", "hex"]
 
 
+def plain_base(t):
+    """The base spans, character by character."""
+    out, low = [], t.lower() if t.isascii() else "".join(c.lower() if c.isascii() else c for c in t)
+    body = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    i = 0
+    while i < len(t):
+        j = next((i + len(w) for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if low.startswith(w, i)), None)
+        if j is None:
+            i += 1
+            continue
+        quote = lambda p: p + (p < len(t) and t[p] in "\"'")
+
+        def skip(p):
+            while p < len(t) and t[p] == " ":
+                p += 1
+            return p
+
+        j = skip(quote(j))
+        if j < len(t) and t[j] in ":=":
+            k = e = quote(skip(j + 1))
+            while e < len(t) and t[e] in body:
+                e += 1
+            if e > k:
+                out += [(i, 0, e)] * (e - k >= 6)
+                i = e
+                continue
+        i += 1
+    for kind, first, allowed, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), (2, "", set("0123456789abcdef"), 24)):
+        i = 0
+        while i < len(t):
+            if t.startswith(first, i):
+                e = i + len(first)
+                while e < len(t) and t[e] in allowed:
+                    e += 1
+                if e > i + len(first):
+                    out += [(i, kind, e)] * (e - i >= least)
+                    i = e
+                    continue
+            i += 1
+    return sorted(out)
+
+
+def test_base_spans_against_a_plain_scanner(spark):
+    rng = random.Random(6)
+    parts = ["password", "Passwd", "SECRET", "token", "api_key", "apikey", '"', "'", " ", "=", ":", "abc", "AKIA", "Z9", "0f" * 6, "0f" * 13, "é", "A" * 17, "\t", "-", "ſecret", "toKen"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(20_000)]
+    texts += [r.text or "" for r in q.table(spark, DATA, "documents").select("text").collect()]
+    assert sum(bool(plain_base(t)) for t in texts) > 1000
+    for t in texts:
+        assert secret_scan.base_spans(t)[0] == plain_base(t), t[:200]
+
+
+def test_nested_secrets_at_any_depth():
+    value = "token = abcdef0123456789"
+    for _ in range(20):
+        value = base64.b64encode(value.encode()).decode()
+        assert [secret_scan.KINDS[k] for _, k, _ in secret_scan.structural_spans(value)] == ["nested"]
+    assert secret_scan.structural_spans("token = abcdef0123456789".encode().hex())[0][1] == secret_scan.KINDS.index("nested")
+    clean = "nothing to be seen here at all"
+    for _ in range(30):
+        clean = base64.b64encode(clean.encode()).decode()
+    assert secret_scan.structural_spans(clean) == []
+
+
+def test_secrets_of_odd_rows(spark):
+    rows = [(1, "", "a", "b"), (1, "secret: " + "x" * 300_000, "a", "b"), (None, "AKIA" + "B" * 30, None, None), (2, None, None, None), (3, "token=" + "0f" * 20, None, None)] * 2
+    out = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, base string, spans string")).collect()
+    assert Counter((r.doc_id, tuple((s.kind, s.start, s.end) for s in r.base)) for r in out) == {(1, ()): 2, (1, (("assign", 0, 300_008),)): 2, (None, (("access", 0, 34),)): 2, (2, ()): 2, (3, (("assign", 0, 46), ("hex", 6, 46))): 2}
+
+
 def test_secrets_of_each_structure():
     def tlv(tag, *parts):
         body = b"".join(parts)

@@ -154,10 +154,12 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     Words are runs of anything but ASCII white space. A word goes if a window of `window` consecutive words covers it whose
     word sequence also starts in a document of a smaller id; windows are judged on the input. Null and empty texts have no
     words and become empty. Rows of a null id keep their words and own none; rows of one id count as one document and so
-    remove nothing from each other. Repeated rows stay, and so do all columns.
+    remove nothing from each other. Repeated rows stay, and so do all columns, but for columns named n_words__ or
+    n_removed__, which the counts replace. Windows of one shard are told apart by 64-bit hashes of their words' sequence.
     """
-    others = [c for c in docs.columns if c != text_column]
-    source = F.struct(F.lit(None).cast("int").alias("_"), *(F.col(f"`{c}`") for c in others)).alias("src")
+    counts = ("n_words__", "n_removed__")
+    others = [c for c in docs.columns if c != text_column and c not in counts]
+    source = F.struct(*([F.col(f"`{c}`") for c in others] or [F.lit(None).cast("int").alias("_")])).alias("src")
     rows = docs.select(source, F.col(f"`{id_column}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
     slim = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc"), F.col(f"`{text_column}`").alias("text")).where("doc IS NOT NULL AND text IS NOT NULL").withColumn("row", F.xxhash64("text"))
     gone = find_recurring(slim.select("doc", "row", "text"), window, phrase, shard_phrases, salt_words)
@@ -183,4 +185,4 @@ def dedup_passages(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
 
     schema = out.select("src").schema.add("kept", "string").add("n_words", "long").add("n_removed", "long")
     done = text.mapped(out, cut, schema)
-    return done.select(*((F.col("kept") if c == text_column else F.col("src")[c]).alias(c) for c in docs.columns), F.col("n_words").alias("n_words__"), F.col("n_removed").alias("n_removed__"))
+    return done.select(*((F.col("kept") if c == text_column else F.col("src")[c]).alias(c) for c in docs.columns if c not in counts), F.col("n_words").alias(counts[0]), F.col("n_removed").alias(counts[1]))
