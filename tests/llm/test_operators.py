@@ -496,3 +496,65 @@ def test_texts_behind_the_bitmap(spark):
     found = set(zip(out.column("doc").to_pylist(), text.unpacked(out.column("text").combine_chunks()).to_pylist()))
     assert found == {r for r in rows if r[0] in (-5, 1, 2**40)}
     assert similar.packed_texts(docs, ids.limit(0)).count() == 0
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Several thousand copies of one text, each changed a little, in small chunks: all one component, beside documents that share less than enough."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(3000)}" for _ in range(60)]
+    rows = []
+    for i in range(4000):
+        words = list(base)
+        words[rng.randrange(5)] = f"z{i}"
+        rows.append((i + 10, " ".join(words)))
+    rows += [(i, " ".join(base[: 30 + i] + [f"y{i}{j}" for j in range(30)])) for i in range(10)]
+    out = similar.link_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), bin_words=60_000).collect()
+    assert Counter(r.component_id for r in out) == Counter({10: 4000, **{i: 1 for i in range(10)}})
+
+
+def test_shared_counts_and_unions():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for few in (30, 3000):
+        sets = [np.unique(rng.integers(0, few, rng.integers(1, 60))).astype(np.uint64) for _ in range(90)]
+        side = lambda own: (np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])]))
+        got = similar.shared_counts(side(sets[:40]), side(sets[40:]))
+        assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[40:]] for a in sets[:40]]
+    label = similar.united(np.arange(9), np.array([1, 7, 3, 5]), np.array([2, 8, 2, 5]))
+    assert label.tolist() == [0, 1, 1, 1, 4, 5, 6, 7, 7]
+
+
+def test_repeated_ids_link_what_any_row_links(spark):
+    rng = random.Random(1)
+    a, b = (" ".join(f"{x}{rng.randrange(900)}" for _ in range(40)) for x in "ab")
+    rows = [(5, a), (7, a), (7, b), (9, b + " more"), (3, "else " * 9)]
+    out = similar.link_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.component_id) for r in out) == {(5, 5): 1, (7, 5): 2, (9, 5): 1, (3, 3): 1}
+
+
+def test_quality_score_is_a_plain_double_sum():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["one two two three\nFour", None, "", "x " * 300, "Ä ß 12 | ..", "one"]
+    index, value, first, stats = quality.features(pa.array(texts))
+    machine = quality.Machine(stats)
+    rng = np.random.default_rng(1)
+    machine.w0, machine.w[:] = 0.3, rng.normal(0, 0.1, len(machine.w))
+    for i, score in enumerate(machine.score(index, value, first, stats)):
+        own = list(zip(index[first[i] : first[i + 1]], value[first[i] : first[i + 1]]))
+        own += [(quality.HASHED + j, x) for j, x in enumerate(np.clip((stats[i] - machine.mean) / machine.std, -5, 5))]
+        raw = machine.w0 + sum(machine.w[a] * x for a, x in own) + sum(float(machine.v[a] @ machine.v[b]) * x * y for p, (a, x) in enumerate(own) for b, y in own[p + 1 :])
+        assert abs(score - 1 / (1 + np.exp(-raw))) < 1e-5
+    assert np.isclose(value[first[3]], 300 / 300**0.5) and first[1] == first[2] == first[3]
+
+
+def test_quality_of_odd_rows(spark):
+    rows = [(1, "good words here", "a"), (1, "good words here", "a"), (None, "other words", None), (2, None, None), (3, "", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    machine = quality.train(docs, spark.createDataFrame([(1, 1), (3, 0), (3, None)], "doc_id long, quality int"))
+    out = quality.score_quality(docs, machine).collect()
+    assert Counter(r.doc_id for r in out) == {1: 2, None: 1, 2: 1, 3: 1} and all(0 <= r.score <= 1 for r in out)
+    assert quality.train(docs, spark.createDataFrame([], "doc_id long, quality int")) is None
+    assert quality.keep_good(docs, machine).columns == docs.columns

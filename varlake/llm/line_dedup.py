@@ -101,6 +101,7 @@ def find_repeated(docs: DataFrame, runs: Runs, least: int, batches: int, keep: b
     path = new_folder(docs.sparkSession, "line_hashes")
     line_hashes(docs.select("doc", "text", batch), least).write.partitionBy("batch").option("compression", "zstd").parquet(path)
     hashes = docs.sparkSession.read.schema("doc long, row long, pos int, h1 long, h2 long, batch int").parquet(path)
+    totals = dict(hashes.groupBy("batch").count().collect())
     repeated = None
     for i in range(len(cuts) + 1):
         own = hashes.where(F.col("batch") == i).drop("batch")
@@ -110,7 +111,7 @@ def find_repeated(docs: DataFrame, runs: Runs, least: int, batches: int, keep: b
             runs.add(known.where("owner IS NULL").select("h1", "h2", F.col("first").alias("owner")))
         # What an earlier batch owns goes everywhere here: its owner stands below all ids of this batch.
         keys = known.select("h1", "h2", F.when(F.col("owner").isNull(), F.col("first")).otherwise(F.lit(-(1 << 63))).alias("owner"), "last", "c")
-        hits = _hits(own, keys, known.agg(F.sum("c")).first()[0] or 0)
+        hits = _hits(own, keys, totals.get(i, 0))
         repeated = hits if repeated is None else repeated.unionByName(hits)
     return repeated.groupBy("doc", "row").agg(F.collect_set("pos").alias("drops"))
 

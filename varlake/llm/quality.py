@@ -117,9 +117,9 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(idx, val, at)[0], -30, 30)))
 
 
-def fit(index: np.ndarray, value: np.ndarray, first: np.ndarray, stats: np.ndarray, labels: np.ndarray) -> Machine:
-    """A machine fitted by Adam to the logistic loss over features(), the same for the same rows in the same order."""
-    machine = Machine(stats)
+def fit(index: np.ndarray, value: np.ndarray, first: np.ndarray, stats: np.ndarray, labels: np.ndarray, rows: np.ndarray) -> Machine:
+    """A machine fitted by Adam to the logistic loss over features(), which stay as they are; the same for the same rows in the order given."""
+    machine = Machine(stats[rows])
     size = len(machine.w)
     rng = np.random.default_rng(SEED)
     slots = [np.zeros((size, 1 + FACTORS), np.float32) for _ in range(2)]
@@ -127,7 +127,7 @@ def fit(index: np.ndarray, value: np.ndarray, first: np.ndarray, stats: np.ndarr
     machine.w0 = float(np.log(share / (1 - share)))
     step = 0
     for _ in range(EPOCHS):
-        order = rng.permutation(len(labels))
+        order = rows[rng.permutation(len(rows))]
         for a in range(0, len(order), BATCH):
             own = order[a : a + BATCH]
             n = np.diff(first)[own]
@@ -178,13 +178,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: s
     labelled = rows.join(F.broadcast(chosen), "id_").withColumn("row_", F.xxhash64("text_"))
     made = text.mapped(labelled, run, "id_ long, label_ int, row_ long, index array<int>, value array<float>, stats array<double>")
     own = F.struct("row_", "label_", "index", "value", "stats")
-    found = made.groupBy("id_").agg(F.min(own).alias("own")).select("id_", "own.*").drop("row_").toArrow().combine_chunks()
+    found = made.groupBy("id_").agg(F.min(own).alias("own")).select("id_", "own.*").drop("row_").toArrow()
     if not found.num_rows:
         return None
-    found = found.sort_by("id_")
-    index, value, stats = (pa.chunked_array(found.column(c).chunks).combine_chunks() for c in ("index", "value", "stats"))
-    first = index.offsets.to_numpy().astype(np.int64)
-    return fit(index.values.to_numpy(), value.values.to_numpy(), first, stats.flatten().to_numpy().reshape(found.num_rows, -1), found.column("label_").to_numpy().astype(float))
+    order = np.argsort(found.column("id_").to_numpy())
+    index, value, stats = (found.column(c).combine_chunks() for c in ("index", "value", "stats"))
+    labels_, first = found.column("label_").to_numpy().astype(float), index.offsets.to_numpy().astype(np.int64)
+    del found
+    machine = fit(index.values.to_numpy(), value.values.to_numpy(), first, stats.flatten().to_numpy().reshape(len(order), -1), labels_, order)
+    del index, value, stats
+    pa.default_memory_pool().release_unused()  # the driver lives on
+    return machine
 
 
 def scorer(spark: SparkSession, machine: Machine | None):

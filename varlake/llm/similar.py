@@ -1,6 +1,6 @@
 """Jaccard links between documents' shingle sets, by a token-group matrix.
 
-Equal sets form one class. Classes whose least shingles agree under one of several hashes form families. A family is dealt
+Equal sets form one class. Classes whose least shingles agree under one of several hashes form families, by the smallest of them. A family is dealt
 to chunks of bounded size, in which what is linked is united exactly; then the hubs of its chunks meet in chunks of their
 own. So nearly all that belongs together is united before the token-group matrix, which makes the result whole. Its groups
 are a family's leading component and the family's rest, by set size; a group holds the union of its members' prefix tokens
@@ -31,6 +31,7 @@ ROW_WORDS = 200  # a set counts as so many tokens more, which bounds the sets of
 CELLS = 1 << 22  # cells of a matrix of overlaps or tokens that a task holds at once
 DENSE = 256  # a token is counted by a product of matrices if more than one in so many pairs of sets share it, else by listing the pairs
 MARKS = 1 << 26  # bits of the bitmap of the documents whose texts a comparison needs
+HOPS = 2  # a class goes to the family of its family's first class so often
 SIZES = 1.1  # sets of one group differ in size by this factor at most
 
 
@@ -428,23 +429,29 @@ def link_similar(docs: DataFrame, k: int = K, percent: int = PERCENT, bin_words:
 
     keyed = classes.select("rep", F.posexplode("keys").alias("j", "key"))
     centers = keyed.groupBy("j", "key").agg(F.min("rep").alias("gid"), F.max("rep").alias("last")).where("gid < last").drop("last")
-    stars = keyed.join(centers, ["j", "key"]).where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
-    near = components(stars).select(F.col("node").alias("rep"), F.col("label").alias("family"))
+    nearest = staged(keyed.join(centers, ["j", "key"]).groupBy("rep").agg(F.min("gid").alias("family")), "nearest")
+    near = nearest
+    for _ in range(HOPS):
+        near = near.join(nearest.select(F.col("rep").alias("family"), F.col("family").alias("next")), "family").select("rep", F.col("next").alias("family"))
     members = staged(classes.join(near, "rep").select("family", F.col("rep").alias("doc"), "n"), "families")
     links, several = united_families(known, members, k, percent, bin_words)
+    labels = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
     if several:
         hubs = links.select(F.col("b").alias("doc")).distinct().join(members, "doc")
-        links = links.unionByName(united_families(known, hubs.select("family", "doc", "n"), k, percent, bin_words)[0])
-
-    labels = components(links)
-    grouped = classes.select("s1", "rep", "n").join(labels, F.col("rep") == F.col("node"), "left").join(members.select("family", F.col("doc").alias("node_")), F.col("rep") == F.col("node_"), "left")
-    grouped = grouped.select("s1", "rep", "n", F.coalesce("label", "rep").alias("comp"), F.coalesce("family", "rep").alias("family"))
+        more, _ = united_families(known, hubs.select("family", "doc", "n"), k, percent, bin_words)
+        links = links.unionByName(more)
+        above = more.groupBy(F.col("a").alias("label")).agg(F.min("b").alias("top"))
+        labels = labels.join(above, "label", "left").select("node", F.coalesce("top", "label").alias("label")).unionByName(above.select(F.col("label").alias("node"), F.col("top").alias("label")))
+    labels = staged(labels.groupBy("node").agg(F.min("label").alias("label")), "labels")
+
+    grouped = classes.select("s1", "s2", "rep", "n").join(labels, F.col("rep") == F.col("node"), "left").join(members.select("family", F.col("doc").alias("node_")).distinct(), F.col("rep") == F.col("node_"), "left")
+    grouped = grouped.select("s1", "s2", "rep", "n", F.coalesce("label", "rep").alias("comp"), F.coalesce("family", "rep").alias("family"))
     leads = grouped.groupBy("family", "comp").agg(F.count("*").alias("c")).groupBy("family").agg(F.max_by("comp", F.struct("c", "comp")).alias("leading"))
     grouped = grouped.join(leads, "family").withColumn("group", F.xxhash64("family", F.col("comp") == F.col("leading"), F.floor(F.ln("n") / F.ln(F.lit(SIZES)))))
     about = grouped.groupBy("group").agg(F.count("*").alias("size"), F.sum(weight()).alias("words"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("lead"), F.max("comp").alias("last"))
     grouped = staged(grouped.drop("family", "leading").join(about, "group"), "groups")
 
-    posts = staged(settled_postings(known, often.value, k, percent).join(grouped, "s1").drop("s1"), "postings")
+    posts = staged(settled_postings(known, often.value, k, percent).join(grouped.drop("s2"), "s1").drop("s1"), "postings")
     facts = ["words", "low", "high", "lead", "last"]
     matrix = posts.select("token", F.col("group").alias("gid"), F.col("size").alias("gsize"), *facts).distinct()
     # A group's own classes query it unless they are in its leading component; of two groups the smaller one's classes query.
@@ -463,9 +470,13 @@ def link_similar(docs: DataFrame, k: int = K, percent: int = PERCENT, bin_words:
     sets = F.struct("s1", "s2")
     repeated = signed.where("n > 0 AND doc IS NOT NULL").groupBy("doc").agg(F.min(sets).alias("low"), F.max(sets).alias("high")).where("low < high").select("doc")
     same_id = signed.where("n > 0").join(repeated, "doc").join(classes, ["s1", "s2"]).select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    labels = components(links.unionByName(more).unionByName(same_id))
-
-    final = classes.select("s1", "s2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("label", "rep").alias("component"))
+    # What is united already is one node each.
+    edges, node = links.unionByName(more).unionByName(same_id), labels.select("node", "label")
+    for end in ("a", "b"):
+        edges = edges.join(node, F.col(end) == F.col("node"), "left").withColumn(end, F.coalesce("label", end)).drop("node", "label")
+    roots = components(edges)
+    rooted = grouped.select("s1", "s2", "rep", "comp").join(roots, F.col("comp") == F.col("node"), "left").select("s1", "s2", "rep", F.coalesce("label", "comp").alias("root"))
+    final = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component")), "root").select("s1", "s2", "component")
     out = signed.join(final, ["s1", "s2"], "left")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id"))
 
