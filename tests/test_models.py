@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from varlake.functions import special
 from varlake import catalog
-from varlake.operators import confidence, features, losses, normality, returns
+from varlake.operators import confidence, features, losses, normality, resampling, returns
 from varlake.plans import forecasting, garch
 from varlake.sources import bars
+from varlake.streaming import live_bars
 
 
 @pytest.fixture(scope="module")
@@ -96,15 +97,58 @@ def test_tails_against_tables():
     assert special.gamma_tail(5, 18.307 / 2) == pytest.approx(0.05, abs=1e-5)
 
 
-def test_bad_model_leaves_the_confidence_set():
+def test_bad_model_leaves_the_confidence_set(spark):
     rng = np.random.default_rng(4)
     good = rng.standard_normal((300, 1)) ** 2
     matrix = np.concatenate([good, good + 0.01 * rng.standard_normal((300, 1)), good + 1 + rng.random((300, 1))], axis=1)
-    assert [i for i, _ in confidence.elimination(matrix, 0.1, 200, None, 42, False)][0] == 2
-    graded = confidence.elimination(matrix, 0.1, 200, None, 42, True)
+    rows = [("a", f"m{j}", j, i, float(matrix[i, j])) for i in range(300) for j in range(3)] + [("a", "m0", 0, 300, 9.0), ("b", "m0", 0, 0, 1.0)]
+    losses_ = spark.createDataFrame(rows, "series string, model string, model_ord int, t int, loss double")
+    out = {(r.series, r.model): r for r in confidence.confidence_set(losses_, replicates=200).collect()}
+    assert out["a", "m2"].eliminated == 1 and not out["a", "m2"].in_set and out["a", "m0"].in_set and out["a", "m0"].early_stop and out["b", "m0"].pval == 1
+    graded = sorted((r.eliminated, r.pval) for r in confidence.confidence_set(losses_.where("series = 'a'"), replicates=200, to_the_end=True).collect() if r.eliminated)
     assert len(graded) == 2 and graded[0][1] <= graded[1][1]
 
 
+def test_resampled_means_are_those_of_the_places(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal(50)
+    frame = spark.createDataFrame([("a", 0, i, float(v), 50) for i, v in enumerate(x)], "series string, key int, i long, v double, n long")
+    got = {r.replicate: r["mean"] for r in resampling.resampled_means(frame, 40, "4", 7).collect()}
+    assert got == pytest.approx({i: x[resampling.places(50, 4.0, [7, i])].mean() for i in range(40)})
+    sizes = np.concatenate([resampling.blocks(5000, 4.0, [i])[1] for i in range(20)])
+    assert sizes.mean() == pytest.approx(4, rel=0.05) and all(len(resampling.places(n, 3.0, [n])) == n for n in range(1, 30))
+
+
+def test_stream_appends_closed_windows_and_drops_late_ticks(spark, tmp_path):
+    def write(name, rows):
+        frame = spark.createDataFrame([(i, t, v) for i, t, v in rows], "event_id long, ts string, value double").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+        frame.coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    def run():
+        ticks = spark.readStream.schema("event_id long, ts timestamp, value double").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        return sorted((r.ts.hour, r.open, r.high, r.low, r.close) for r in live_bars.appended(spark, ticks, str(tmp_path / "out"), str(tmp_path / "state")).collect())
+
+    write("1", [(1, "2024-01-01 01:10:00", 5.0), (2, "2024-01-01 01:50:00", 7.0), (3, "2024-01-01 04:30:00", 3.0), (4, "2024-01-01 02:00:00", -1.0)])
+    assert run() == [(1, 5.0, 7.0, 5.0, 7.0)]
+    write("2", [(5, "2024-01-01 01:20:00", 99.0), (6, "2024-01-01 04:10:00", 4.0), (7, "2024-01-01 09:00:00", 1.0)])
+    assert run() == [(1, 5.0, 7.0, 5.0, 7.0), (4, 4.0, 4.0, 3.0, 3.0)]
+
+
+def test_short_series_can_be_an_error(spark):
+    f = spark.createDataFrame([("a", i, float(i)) for i in range(40)] + [("b", 0, 1.0)], "series string, t int, v double")
+    assert normality.clean(f, "v").count() == 40
+    with pytest.raises(Exception, match="fewer than 30"):
+        normality.clean(f, "v", short="raise").collect()
+
+
+def test_report_has_all_tests_of_each_series(spark):
+    rng = np.random.default_rng(3)
+    f = spark.createDataFrame([(s, i, float(v)) for s, x in (("normal", rng.standard_normal(400)), ("skewed", rng.exponential(size=400))) for i, v in enumerate(x)], "series string, t int, x double")
+    out = {(r.series, r.test): r for r in normality.report(f, 200).collect()}
+    assert len(out) == 14 and all(out["normal", t].p_value > 0.01 and out["skewed", t].p_value < 0.05 for t in ("Jarque-Bera", "Bai-Ng joint (HAC)", "KS vs Normal", "KS vs Normal (block-bootstrap)"))
+    assert out["skewed", "Anderson-Darling"].p_value is None and out["skewed", "Anderson-Darling"].statistic > 0.75
+
+
 def test_merging_refuses_repeated_models(spark):
     f = spark.createDataFrame([("a",)], "model string")
     with pytest.raises(RuntimeError):

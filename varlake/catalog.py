@@ -89,7 +89,7 @@ def _(spark, d):
 
 @query("SRC1_bars_between", f"WITH {BARS} SELECT ts, close FROM bars WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'")
 def _(spark, d):
-    return bars.between(hourly(spark, d), "2024-01-05", "2024-01-20").select("ts", "close")
+    return bars.hourly_bars_between(bars.table(spark, d, "events"), "2024-01-05", "2024-01-20").select("ts", "close")
 
 
 @query("SRC4_daily_bars_by_type", """SELECT event_type AS series, date_trunc('day', ts) AS ts, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close
@@ -269,6 +269,22 @@ def _(spark, d):
     return rounded(rows.agg(F.count_if(fit).alias("n_fit"), F.count_if(~fit).alias("n_steps"), F.avg(F.when(fit, F.col("squared"))).alias("mean")))
 
 
+EXPANDING = RETS + """, n AS (SELECT count(*) AS n FROM rets), b AS (SELECT unnest(range(CAST(ceil((n - 200) / 10.0) AS BIGINT))) AS block FROM n)"""
+
+
+@query("WIN6_expanding_windows", f"WITH {EXPANDING} SELECT block, count(*) AS n_fit, round(avg(squared), 8) AS mean FROM b JOIN rets ON t < 200 + 10 * block GROUP BY block")
+def _(spark, d):
+    rows = features.block_rows(rets(spark, d), 200, None, 10, None).where("t < fit_end")
+    return rounded(rows.groupBy("block").agg(F.count("*").alias("n_fit"), F.avg("squared").alias("mean")))
+
+
+@query("MDL5_variance_path", f"""WITH RECURSIVE {RETS}, x AS (SELECT t, ret FROM rets), f AS (
+  SELECT CAST(0 AS BIGINT) AS t, CAST(0.5 AS DOUBLE) AS h UNION ALL SELECT f.t + 1, 0.01 + 0.05 * x.ret * x.ret + 0.9 * f.h FROM f JOIN x ON x.t = f.t)
+SELECT 'all' AS series, f.t, round(h, 8) AS h FROM f JOIN x ON x.t = f.t""")
+def _(spark, d):
+    return rounded(features.variance_path(rets(spark, d), 0.01, 0.05, 0.9, 0.5))
+
+
 @query("WIN14_MDL4_to_6_filter", f"""WITH RECURSIVE {RETS}, x AS (SELECT t, ret FROM rets), f AS (
   SELECT CAST(0 AS BIGINT) AS t, CAST(0.5 AS DOUBLE) AS h UNION ALL SELECT f.t + 1, 0.01 + 0.05 * x.ret * x.ret + 0.9 * f.h FROM f JOIN x ON x.t = f.t)
 SELECT 'all' AS series, round(arg_max(h, t), 8) AS h FROM f""")
@@ -310,6 +326,85 @@ def _(spark, d):
     return accuracy.rejection_degrees(pairs(spark, d).withColumn("p", F.exp(-F.abs("stat"))), "p", 0.3).select("model", "degree").orderBy(F.desc("degree"), "model").limit(5)
 
 
+@query("AGG12_family_split_pvalues")
+def _(spark, d):
+    return accuracy.family_split(accuracy.with_pvalues(pairs(spark, d)))
+
+
+@query("AGG13_degrees_pvalues")
+def _(spark, d):
+    return accuracy.rejection_degrees(accuracy.with_pvalues(pairs(spark, d)))
+
+
+SCREEN = FORECASTS + """, bounds AS (SELECT series, min(actual) FILTER (WHERE actual > 0) AS lo, max(actual) AS hi FROM ls GROUP BY series),
+dg AS (SELECT ls.series, model, count(*) FILTER (WHERE forecast IS NULL OR NOT isfinite(forecast)) + count(*) FILTER (WHERE forecast <= 0) + count(*) FILTER (WHERE forecast > 0 AND forecast < lo / 1e4) + count(*) FILTER (WHERE hi > 0 AND forecast > hi * 1e4) AS odd,
+  avg(qlike) AS qlike, avg(forecast) / nullif(greatest(avg(actual), 0), 0) AS bias FROM ls JOIN bounds ON ls.series = bounds.series GROUP BY ALL),
+sc AS (SELECT series, model, qlike, odd > 0 OR qlike IS NULL OR isnan(qlike) OR abs(qlike) > 1e3 AS degenerate, coalesce(bias > 2 OR bias < 0.5, false) AS biased FROM dg)"""
+
+
+@query("SRT3_by_trouble", f"WITH {SCREEN} SELECT series, model, degenerate, biased, row_number() OVER (ORDER BY degenerate DESC, biased DESC, qlike DESC, series, model) AS place FROM sc")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    order = Window.orderBy(F.desc("degenerate"), F.desc("biased"), F.desc("qlike"), "series", "model")
+    return losses.by_trouble(losses.diagnostics(forecasts(spark, d))).select("series", "model", "degenerate", "biased", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query("FLT11_exclusion_list", f"WITH {SCREEN} SELECT series, string_agg(model, ',' ORDER BY model) AS models FROM sc WHERE degenerate GROUP BY series")
+def _(spark, d):
+    return losses.excluded(losses.diagnostics(forecasts(spark, d))).select("series", F.array_join("models", ",").alias("models"))
+
+
+GROUPED = FORECASTS + """, gm AS (SELECT series, model, 'GARCH' AS "group", sqrt(avg(squared)) AS rmse FROM ls GROUP BY ALL)"""
+
+
+@query("SRT4_by_group_and_rmse", f"""WITH {GROUPED} SELECT "group", model, row_number() OVER (ORDER BY "group", rmse, model) AS place FROM gm""")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    rows = losses.metrics(forecasts(spark, d)).withColumn("group", names.group(F.col("model")))
+    return rows.select("group", "model", F.row_number().over(Window.orderBy("group", "rmse", "model")).cast("long").alias("place"))
+
+
+@query("SET2_later_overwrites", f"WITH {FORECASTS} SELECT model, count(*) AS n, round(avg(CASE WHEN model LIKE 'MA-%' THEN 2 * forecast ELSE forecast END), 8) AS mean FROM fc GROUP BY model")
+def _(spark, d):
+    f = forecasts(spark, d)
+    later = f.where(F.col("model").startswith("MA-")).withColumn("forecast", 2 * F.col("forecast"))
+    return rounded(losses.overwritten(f, later).groupBy("model").agg(F.count("*").alias("n"), F.avg("forecast").alias("mean")))
+
+
+@query("JOIN7_hybrids_beside_their_base", f"""WITH {FORECASTS}, lg AS (SELECT *, lag(actual - forecast) OVER (PARTITION BY series, model ORDER BY t) AS last FROM fc),
+hm AS (SELECT series, 'XGB-' || model || '-resid' AS model, sqrt(avg((greatest(forecast + last, 1e-10) - actual) ** 2)) AS rmse FROM lg WHERE last IS NOT NULL GROUP BY ALL),
+bm AS (SELECT series, model, sqrt(avg(squared)) AS rmse FROM ls WHERE model <> 'LAG-GK' GROUP BY ALL)
+SELECT hm.model, bm.model AS base, round(hm.rmse, 8) AS rmse, round(bm.rmse, 8) AS base_rmse FROM hm LEFT JOIN bm ON bm.series = hm.series AND hm.model = 'XGB-' || bm.model || '-resid'""")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    f = forecasts(spark, d)
+    last = F.lag(F.col("actual") - F.col("forecast")).over(Window.partitionBy("series", "model").orderBy("t"))
+    hybrids = f.withColumn("last", last).where("last IS NOT NULL").withColumn("forecast", returns.recombined(F.col("forecast"), F.col("last"))).withColumn("model", F.concat(F.lit("XGB-"), "model", F.lit("-resid")))
+    base = losses.metrics(f.where("model <> 'LAG-GK'"))
+    out = losses.with_base(losses.metrics(hybrids), base)
+    return rounded(out.select("model", F.when(F.col("base_rmse").isNotNull(), F.col("base")).alias("base"), "rmse", "base_rmse"))
+
+
+@query("JOIN6_both_confidence_sets")
+def _(spark, d):
+    own = scored(spark, d).withColumn("loss", F.col("squared"))
+    return confidence.side_by_side(confidence.confidence_set(own), confidence.confidence_set(own, to_the_end=True))
+
+
+@query("TST13_normality_report")
+def _(spark, d):
+    return normality.report(normality.clean(typed_rets(spark, d), "ret"))
+
+
+@query("TST12_AGG6_ks_pvalue")
+def _(spark, d):
+    own = values(spark, d)
+    return normality.ks_statistic(own).join(own.groupBy("series").agg(F.count("*").alias("n")), "series").withColumn("p_iid", normality.ks_pvalue(F.col("ks"), F.col("n")))
+
+
 @query("TST5_TST6_confidence_set")
 def _(spark, d):
     return confidence.summary(confidence.confidence_set(scored(spark, d).withColumn("loss", F.col("squared"))))
@@ -437,6 +532,26 @@ def _(spark, d):
     return reporting.asymmetry(coefficients(spark)).select("model", "has_asymmetry", "coef", "p_value", "significant", "verdict")
 
 
+@query("AGG17_asymmetry_counts", f"WITH {COEFS}, a AS (SELECT model, bool_or(parameter = 'gamma[1]') AS has, coalesce(max(p_value) FILTER (WHERE parameter = 'gamma[1]') < 0.05, false) AS sig FROM k GROUP BY model) SELECT count(*) AS n_models, count(*) FILTER (WHERE has) AS n_asymmetric, count(*) FILTER (WHERE sig) AS n_significant FROM a")
+def _(spark, d):
+    return reporting.asymmetry_counts(reporting.asymmetry(coefficients(spark)))
+
+
+@query("SET5_JOIN9_parameter_order", f"""WITH {COEFS}, p AS (SELECT DISTINCT parameter FROM k UNION SELECT 'zeta' UNION SELECT 'kappa'),
+o(parameter, pos) AS (VALUES ('mu', 1), ('omega', 2), ('alpha[1]', 3), ('gamma[1]', 4), ('beta[1]', 5), ('phi', 6), ('d', 7), ('beta', 8), ('delta', 9), ('eta', 10), ('nu', 11), ('lambda', 12))
+SELECT p.parameter, row_number() OVER (ORDER BY coalesce(pos, 13), p.parameter) AS place, pos IS NOT NULL AS known FROM p LEFT JOIN o ON o.parameter = p.parameter""")
+def _(spark, d):
+    more = spark.createDataFrame([("zeta",), ("kappa",)], "parameter string")
+    return reporting.ordered_parameters(coefficients(spark).select("parameter").unionByName(more))
+
+
+@query("AGG14_groups_and_families", f"""WITH {NAMED}, g AS (SELECT CASE WHEN contains(model, '-') THEN regexp_extract(model, '^(.*)-[^-]*$', 1) ELSE model END AS family, split_part(model, '-', 1) AS learner FROM n)
+SELECT learner, count(*) AS n, count(DISTINCT family) AS n_families FROM g GROUP BY learner""")
+def _(spark, d):
+    rows = spark.createDataFrame([(n,) for n in NAMES], "model string")
+    return rows.groupBy(F.split_part("model", F.lit("-"), F.lit(1)).alias("learner")).agg(F.count("*").alias("n"), F.count_distinct(names.family(F.col("model"))).alias("n_families"))
+
+
 @query("RPT5_persistence", f"""WITH {COEFS}, p AS (SELECT model, model_type, max(coef) FILTER (WHERE parameter = 'alpha[1]') AS a, max(coef) FILTER (WHERE parameter = 'beta[1]') AS b, max(coef) FILTER (WHERE parameter = 'gamma[1]') AS g, max(coef) FILTER (WHERE parameter = 'd') AS d FROM k GROUP BY ALL)
 SELECT model, CASE model_type WHEN 'GARCH' THEN 'alpha+beta' WHEN 'GJR-GARCH' THEN 'alpha+beta+gamma/2' WHEN 'EGARCH' THEN 'beta (log-variance AR)' WHEN 'FIGARCH' THEN 'd (long memory)' ELSE 'n/a (no closed form)' END AS measure,
 round(CASE model_type WHEN 'GARCH' THEN a + b WHEN 'GJR-GARCH' THEN a + b + g / 2 WHEN 'EGARCH' THEN b WHEN 'FIGARCH' THEN d END, 8) AS value FROM p""")
@@ -476,6 +591,11 @@ def _(spark, d):
 
 
 @query("STREAM_hourly_bars", f"WITH {BARS} SELECT ts, high, low FROM bars")
+def _(spark, d):
+    return live_bars.replayed(spark, d).select("ts", "high", "low")
+
+
+@query("STREAM_hourly_bars_all_prices", f"WITH {BARS} SELECT ts, open, high, low, close FROM bars")
 def _(spark, d):
     return live_bars.replayed(spark, d)
 

@@ -80,3 +80,11 @@ def filtered_variance(frame: DataFrame, omega: float, alpha: float, beta: float,
     """The GARCH(1,1) variance after the last return of each series, with given parameters, as an ordered fold."""
     step = lambda h, e: F.lit(omega) + alpha * e["ret"] * e["ret"] + beta * h
     return frame.groupBy("series").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("t", "ret"))), F.lit(start), step).alias("h"))
+
+
+def variance_path(frame: DataFrame, omega: float, alpha: float, beta: float, start: float) -> DataFrame:
+    """series, t and h: the GARCH(1,1) variance of each time of the series, with given parameters, before its return is known."""
+    step = lambda acc, e: F.struct((F.lit(omega) + alpha * e["ret"] * e["ret"] + beta * acc["h"]).alias("h"), F.concat(acc["path"], F.array(F.struct(e["t"].cast("long").alias("t"), acc["h"].alias("h")))).alias("path"))
+    first = F.struct(F.lit(start).alias("h"), F.array().cast("array<struct<t: bigint, h: double>>").alias("path"))
+    rows = frame.groupBy("series").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("t", "ret"))), first, step, lambda acc: acc["path"]).alias("path"))
+    return rows.select("series", F.inline("path"))

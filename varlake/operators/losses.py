@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.names import base_model
+
 NAN, INF = float("nan"), float("inf")
 
 
@@ -61,9 +63,34 @@ def merged(*results: DataFrame) -> DataFrame:
     out = results[0].withColumn("part", F.lit(0))
     for i, r in enumerate(results[1:], 1):
         out = out.unionByName(r.withColumn("part", F.lit(i)))
-    held = out.select("part", "model").distinct().groupBy("model").agg(F.count("*").alias("n"), F.min("part").alias("part")).collect()
-    if len({r["part"] for r in out.select("part").distinct().collect()}) < len(results):
+    held = out.groupBy("model").agg(F.collect_set("part").alias("parts")).collect()  # a row for each model
+    if len({p for r in held for p in r["parts"]}) < len(results):
         raise RuntimeError("a group of results is empty")
-    if twice := [r["model"] for r in held if r["n"] > 1]:
+    if twice := [r["model"] for r in held if len(r["parts"]) > 1]:
         raise RuntimeError(f"models in several groups: {twice}")
     return out.drop("part")
+
+
+def overwritten(*results: DataFrame) -> DataFrame:
+    """The union of groups of results in which a later group's rows of a model replace the earlier ones'."""
+    out = results[0].withColumn("part", F.lit(0))
+    for i, r in enumerate(results[1:], 1):
+        out = out.unionByName(r.withColumn("part", F.lit(i)))
+    last = out.groupBy("model").agg(F.max("part").alias("part"))
+    return out.join(last, ["model", "part"], "left_semi").drop("part")
+
+
+def by_trouble(screened: DataFrame) -> DataFrame:
+    """The rows of diagnostics(), degenerate models first, then biased ones, each by qlike from the highest."""
+    return screened.orderBy(F.desc("degenerate"), F.desc("biased"), F.desc("qlike"), "series", "model")
+
+
+def excluded(screened: DataFrame) -> DataFrame:
+    """The models of each series to be left out before tests are trusted, by name, as one list."""
+    return screened.where("degenerate").groupBy("series").agg(F.array_sort(F.collect_list("model")).alias("models"))
+
+
+def with_base(hybrids: DataFrame, metrics_: DataFrame) -> DataFrame:
+    """The metrics of hybrid models beside those of the classical model inside their name; null where that one is missing."""
+    base = metrics_.select("series", F.col("model").alias("base"), *(F.col(c).alias(f"base_{c}") for c in ("rmse", "qlike")))
+    return hybrids.withColumn("base", base_model(F.col("model"))).join(base, ["series", "base"], "left")

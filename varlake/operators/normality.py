@@ -8,7 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.special import chi2_sf, normal_sf, normal_tail
-from .confidence import block_indices
+from .resampling import places
+
+
+# The Anderson-Darling bound at 5 % for a fitted normal distribution, and its correction by 1/n and 1/n^2.
+AD_BOUND = (0.752, 0.75, 2.25)
+
 
 def by_t() -> Window:
     return Window.partitionBy("series").orderBy("t")
@@ -18,11 +23,15 @@ def whole() -> Window:
     return Window.partitionBy("series")
 
 
-def clean(frame: DataFrame, value: str, least: int = 30) -> DataFrame:
-    """series, t and x of the finite values of the series that have enough of them."""
+def clean(frame: DataFrame, value: str, least: int = 30, short: str = "drop") -> DataFrame:
+    """series, t and x of the finite values of the series that have enough of them; with short="raise" a shorter one is an error when the rows are read."""
     x = F.col(value).cast("double")
     rows = frame.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).select("series", "t", x.alias("x"))
-    return rows.withColumn("n", F.count("*").over(whole())).where(F.col("n") >= least).drop("n")
+    rows = rows.withColumn("n", F.count("*").over(whole()))
+    fine = F.col("n") >= least
+    if short == "raise":
+        fine = F.when(fine, True).otherwise(F.raise_error(F.concat(F.lit(f"fewer than {least} finite values in series "), F.col("series"))).cast("boolean"))
+    return rows.where(fine).drop("n")
 
 
 def lag_sums(frame: DataFrame, value: Column, lags: int) -> DataFrame:
@@ -114,6 +123,13 @@ def ks_statistic(frame: DataFrame) -> DataFrame:
     return rows.groupBy("series").agg(F.max(F.greatest(F.abs(F.col("upper") - F.col("phi")), F.abs(F.col("lower") - F.col("phi")))).alias("ks"))
 
 
+def ks_pvalue(ks: Column, n: Column) -> Column:
+    """The classical p-value of the distance for independent values: the alternating series of exp(-2 k^2 x^2) at x = (sqrt n + 0.12 + 0.11 / sqrt n) d."""
+    x = (F.sqrt(n) + 0.12 + 0.11 / F.sqrt(n)) * ks
+    terms = sum((1 if k % 2 else -1) * F.exp(-2.0 * k * k * x * x) for k in range(1, 41))
+    return F.when(x < 0.2, 1.0).otherwise(F.greatest(F.least(2 * terms, F.lit(1.0)), F.lit(0.0)))
+
+
 DRAWS = 50  # replicates of a row
 
 
@@ -128,13 +144,13 @@ def ks_bootstrap(frame: DataFrame, replicates: int = 2000, block: float | None =
         d = max((step - phi).max(), (phi - step + 1 / n).max())
         tail = np.clip(phi, 1e-300, 1 - 1e-16)
         ad = -n - ((2 * np.arange(1, n + 1) - 1) * (np.log(tail) + np.log(1 - tail[::-1]))).mean()
-        return pd.DataFrame({"series": [f["series"].iloc[0]], "n": [n], "ks": [d], "ad": [ad], "ad_critical_5": [0.752 / (1 + 0.75 / n + 2.25 / n**2)], "x": [x]})
+        return pd.DataFrame({"series": [f["series"].iloc[0]], "n": [n], "ks": [d], "ad": [ad], "ad_critical_5": [AD_BOUND[0] / (1 + AD_BOUND[1] / n + AD_BOUND[2] / n**2)], "x": [x]})
 
     def beyond(x: np.ndarray, d: float, first: int) -> int:
         n, order = len(x), np.sort(x)
         size = block or max(1, round(n ** (1 / 3)))
         ecdf = np.searchsorted(order, order, side="right") / n
-        draws = (x[block_indices(n, size, np.random.default_rng([seed, i]))] for i in range(first, min(first + DRAWS, replicates)))
+        draws = (x[places(n, size, [seed, i])] for i in range(first, min(first + DRAWS, replicates)))
         return sum(bool(np.abs(np.searchsorted(np.sort(v), order, side="right") / n - ecdf).max() >= d) for v in draws)
 
     def resampled(frames):
@@ -153,3 +169,16 @@ def plug_in_lags(n: int) -> int:
     return max(1, int(4 * (n / 100) ** (2 / 9)))
 
 
+def report(frame: DataFrame, replicates: int = 2000) -> DataFrame:
+    """All tests of normality of each series in one table: series, test, assumption, statistic and p_value (null where there is none)."""
+    moments = with_normal_tails(moment_tests(frame))
+    ks = ks_bootstrap(frame, replicates).withColumn("p_iid", ks_pvalue(F.col("ks"), F.col("n")))
+    # The labels of the tests and of what they assume.
+    iid, robust = F.lit("i.i.d. (invalid here)"), F.lit("dependence-robust")
+    row = lambda test, assumption, statistic, p: F.struct(F.lit(test).alias("test"), assumption.alias("assumption"), F.col(statistic).alias("statistic"), p.alias("p_value"))
+    first = [row("Jarque-Bera", iid, "jarque_bera", F.col("p_jarque_bera")), row("Bai-Ng joint (HAC)", robust, "stat_joint", F.col("p_joint"))]
+    first += [row("Bai-Ng skewness (HAC)", robust, "stat_skew", F.col("p_skew")), row("Bai-Ng kurtosis (HAC)", robust, "stat_kurt", F.col("p_kurt"))]
+    bound = F.concat(F.lit("i.i.d.; crit@5%="), F.format_string("%.3f", F.col("ad_critical_5")))
+    second = [row("KS vs Normal", iid, "ks", F.col("p_iid")), row("KS vs Normal (block-bootstrap)", robust, "ks", F.col("p_boot")), row("Anderson-Darling", bound, "ad", F.lit(None).cast("double"))]
+    parts = (t.select("series", F.inline(F.array(*rows))) for t, rows in ((moments, first), (ks, second)))
+    return next(parts).unionByName(next(parts))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.names import stars
 
@@ -40,6 +40,18 @@ def asymmetry(coefficients: DataFrame, alpha: float = 0.05) -> DataFrame:
     return out.withColumn("verdict", verdict)
 
 
+def asymmetry_counts(rows: DataFrame) -> DataFrame:
+    """Of the rows of asymmetry(): how many models there are, how many have the parameter, and of how many it differs from zero."""
+    return rows.agg(F.count("*").alias("n_models"), F.count_if("has_asymmetry").alias("n_asymmetric"), F.count_if("significant").alias("n_significant"))
+
+
+def ordered_parameters(coefficients: DataFrame) -> DataFrame:
+    """The parameters that occur, with their place: those of PARAMETERS in its order, unknown ones behind by name."""
+    place = F.array_position(F.lit(list(PARAMETERS)), F.col("parameter"))
+    by = Window.orderBy(F.when(place > 0, place).otherwise(len(PARAMETERS) + 1), "parameter")
+    return coefficients.select("parameter").distinct().select("parameter", F.row_number().over(by).cast("long").alias("place"), (place > 0).alias("known"))
+
+
 def persistence(coefficients: DataFrame) -> DataFrame:
     """The measure of persistence that suits each specification, and its value; null for models without a closed form."""
     at = lambda name: F.max(F.when(F.col("parameter") == name, F.col("coef")))

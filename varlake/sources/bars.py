@@ -27,6 +27,12 @@ def hourly_bars_by_type(events: DataFrame) -> DataFrame:
     return bars(events, F.col("event_type"), F.date_trunc("hour", "ts"), F.col("value"), [F.col("ts"), F.col("event_id")])
 
 
+def hourly_bars_between(events: DataFrame, start: str, end: str) -> DataFrame:
+    """hourly_bars() of the hours from start to end, both included; the range is laid on the ticks, so the scan skips what is outside."""
+    hours = events.where((F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("ts") < F.lit(end).cast("timestamp") + F.expr("interval 1 hour")))
+    return between(hourly_bars(hours), start, end)
+
+
 def daily_bars_by_type(events: DataFrame) -> DataFrame:
     return bars(events, F.col("event_type"), F.date_trunc("day", "ts"), F.col("value"), [F.col("ts"), F.col("event_id")])
 

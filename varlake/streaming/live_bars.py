@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.bars import hourly_bars
+
 
 def stream_bars(ticks: DataFrame, late: str = "2 hours", width: str = "1 hour") -> DataFrame:
     """ts, open, high, low and close of each window of positive prices; ticks later than `late` are dropped."""
@@ -16,12 +18,21 @@ def stream_bars(ticks: DataFrame, late: str = "2 hours", width: str = "1 hour")
     return made.select(F.col("w.start").alias("ts"), "open", "high", "low", "close")
 
 
+def appended(spark: SparkSession, ticks: DataFrame, target: str, checkpoint: str, late: str = "2 hours") -> DataFrame:
+    """Runs the stream over what is there and appends each window that the watermark has passed to Parquet at target; windows still open stay in the checkpoint's state for the next call."""
+    made = stream_bars(ticks, late).writeStream.outputMode("append").format("parquet").option("path", target).option("checkpointLocation", checkpoint)
+    made.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(target)
+
+
 def replayed(spark: SparkSession, folder: str) -> DataFrame:
-    """The stream over a folder's events table, run to its end in complete mode into a memory table: all bars, for tests and replays of bounded input."""
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    ticks = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(folder)
-    name = f"bars_{uuid.uuid4().hex}"
+    """The stream over a folder's events table: the bars that the watermark closed from files, and the hours after it, still open, from the table."""
+    path = f"{folder}/events.parquet"
+    events = spark.read.parquet(path)
+    ticks = spark.readStream.schema(events.schema).option("pathGlobFilter", "events*.parquet").parquet(folder)
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="varlake-")
-    query = stream_bars(ticks).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select("ts", "high", "low")
+    name = f"{base}/bars_{uuid.uuid4().hex}"
+    closed = appended(spark, ticks, f"{name}/rows", f"{name}/state")
+    last = closed.agg(F.max("ts")).first()[0]
+    still = events if last is None else events.where(F.col("ts") >= F.lit(last) + F.expr("interval 1 hour"))
+    return closed.select("ts", "open", "high", "low", "close").unionByName(hourly_bars(still).select("ts", "open", "high", "low", "close"))
