@@ -147,6 +147,18 @@ def test_top_k(spark):
         ranked = sorted(((-int(fine[i] @ v), j) for j, v in fine.items() if j != i))[:20]
         want += [(i, r, j, -s) for r, (s, j) in enumerate(ranked, 1)]
     assert sorted(map(tuple, topk.top_k(frame).collect())) == sorted(want)
+    assert sorted(map(tuple, topk.top_k(frame.repartition(3), wave_cells=9).collect())) == sorted(want)
+
+
+def test_top_k_of_odd_rows(spark):
+    """Repeated ids, unlike lengths, ties, fewer rows than k, and columns of any name."""
+    rows = [(0, [1.0, 2.0], "a", 1), (0, [0.5], "b", 2), (20, [1.0], "c", 3), (1, [1.0, 1.0, 9.0], None, 4), (1, [1.0, 1.0], "d", 5), (3, [], "e", 6), (None, [1.0], "f", 7), (40, [], None, None)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, v string, score int").repartition(3)
+    fine, want = [(i, [int(64 * x) for x in v]) for i, v, *_ in rows if i is not None], []
+    for q, v in ((0, [32]), (20, [64]), (40, [])):
+        ranked = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in fine if i != q)
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(ranked, 1)]
+    assert sorted(map(tuple, topk.top_k(frame).collect())) == sorted(want)
 
 
 def test_pseudonyms_keep_links_and_invert(spark):

@@ -1,4 +1,8 @@
-"""Exact top-k by inner product: every candidate is scored, term at a time."""
+"""Exact top-k by inner product: every candidate is scored, term at a time.
+
+Queries are broadcast in waves of bounded size and rows stay where they are; a task keeps the k best of each query, so only
+these are shuffled.
+"""
 
 from __future__ import annotations
 
@@ -7,21 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import text
+from .storage import staged
 
 QUERY_BLOCK, ROW_BLOCK = 256, 8192
-
-
-def _packed(rows: DataFrame, block: int, name: str) -> DataFrame:
-    """Vectors gathered into blocks of about `block` rows, dealt by a hash of the id."""
-    blocks = max(1, -(-rows.count() // block))
-    return rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias(f"{name}_block")).agg(F.collect_list(F.struct("vec_id", "v")).alias(name)), blocks
+WAVE_CELLS = 2_000_000  # components of the queries of a wave, about
 
 
 def integer_vectors(embeddings: DataFrame, scale: int = 64, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """vec_id and v, floor(scale * x) of each component; vectors null or with a null or non-finite component are left out."""
-    x = F.col(vector_column)
-    fine = x.isNotNull() & F.col(id_column).isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    return embeddings.where(fine).select(F.col(id_column).cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("long")).alias("v"))
+    x = F.col(f"`{vector_column}`")
+    fine = x.isNotNull() & F.col(f"`{id_column}`").isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
+    return embeddings.where(fine).select(F.col(f"`{id_column}`").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("long")).alias("v"))
 
 
 def accumulate(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -65,43 +65,67 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))]
 
 
-def top_k(embeddings: DataFrame, every: int = 20, k: int = 20, scale: int = 64, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+def matrix(column: pa.Array) -> np.ndarray:
+    """The vectors as rows, shorter ones filled with zeros."""
+    size = np.diff(column.offsets.to_numpy())
+    out = np.zeros((len(size), int(size.max(initial=0))), np.int64)
+    out[np.arange(out.shape[1])[None, :] < size[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+class Best:
+    """The k best rows so far of each query."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.ids, self.queries, self.k = ids, queries, k
+        self.found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]
+        self.least = np.full(len(ids), np.iinfo(np.int64).min)  # a row of a lower score isn't among the k
+
+    def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        width = min(self.queries.shape[1], rows.shape[1])
+        for a in range(0, len(self.ids), QUERY_BLOCK):
+            scores = accumulate(self.queries[a : a + QUERY_BLOCK, :width], rows[:, :width])
+            for j in np.flatnonzero(scores.max(axis=1) >= self.least[a : a + QUERY_BLOCK]):
+                q, own = a + j, np.flatnonzero((scores[j] >= self.least[a + j]) & (ids != self.ids[a + j]))
+                held, vec = (np.concatenate(x) for x in zip(self.found[q], (scores[j][own].astype(np.int64), ids[own])))
+                at = best(held, vec, self.k)
+                self.found[q] = held[at], vec[at]
+                if len(at) == self.k:
+                    self.least[q] = held[at[-1]]
+
+    def rows(self) -> pa.RecordBatch:
+        score, vec = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*self.found) if self.found else ((), ())))
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, [len(s) for s, _ in self.found]), pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.int64())], ["query_id", "vec_id", "score"])
+
+
+def top_k(embeddings: DataFrame, every: int = 20, k: int = 20, scale: int = 64, id_column: str = "vec_id", vector_column: str = "embedding", wave_cells: int = WAVE_CELLS) -> DataFrame:
     """Columns query_id, rank (from 1), vec_id and score: for each vector whose id is divisible by `every`, the k other rows of highest integer inner product, ties to the smaller id; all, if there are fewer.
 
-    Query blocks meet row blocks once each; a block pair gives k rows a query at most, which are merged.
     Vectors null, or with a null or non-finite component, take no part; vectors of unlike length score over the shorter length.
-    Repeated ids count as rows of their own, though none is a candidate for a query of its own id. An empty table gives no rows.
+    Repeated ids count as rows of their own, though none is a candidate for a query of its own id; of the vectors of a
+    repeated query id the least asks. An empty table gives no rows; other columns aren't read.
     """
+    spark = embeddings.sparkSession
     rows = integer_vectors(embeddings, scale, id_column, vector_column)
-    row_blocks, _ = _packed(rows, ROW_BLOCK, "rows")
-    query_blocks, n = _packed(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), QUERY_BLOCK, "queries")
-    # Each row block goes to every query block's number: an equi-join of blocks, not a product of rows.
-    spread = row_blocks.withColumn("queries_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    pairs = spread.join(query_blocks, "queries_block").select("queries", "rows")
-
-    def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        ids = column.field("vec_id").to_numpy(zero_copy_only=False)
-        v = column.field("v")
-        size = np.diff(v.offsets.to_numpy())
-        width = int(size.max(initial=0))
-        out = np.zeros((len(ids), width), np.int64)
-        out[np.arange(width)[None, :] < size[:, None]] = v.flatten().to_numpy(zero_copy_only=False)
-        return ids, out
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                (q_ids, q), (r_ids, r) = (matrix(batch.column(c)[i].values) for c in ("queries", "rows"))
-                width = min(q.shape[1], r.shape[1])
-                scores = accumulate(q[:, :width], r[:, :width])
-                out = []
-                for j, q_id in enumerate(q_ids):
-                    own = np.flatnonzero(r_ids != q_id) if (r_ids == q_id).any() else slice(None)
-                    s, d = scores[j][own], r_ids[own]
-                    at = best(s, d, k)
-                    out.append((np.full(len(at), q_id), d[at], s[at].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out)], ["query_id", "vec_id", "score"])
-
-    found = text.mapped(pairs, run, "query_id long, vec_id long, score long")
+    queries = staged(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    waves = -(-(queries.agg(F.sum(F.size("v"))).first()[0] or 0) // wave_cells) or 1
+
+    def scored(wave: int) -> DataFrame:
+        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == wave).toArrow().combine_chunks()
+        sent = spark.sparkContext.broadcast((own.column("vec_id").to_numpy(), matrix(own.column("v").combine_chunks())))
+
+        def run(batches):
+            kept = Best(*sent.value, k)
+            for batch in batches:
+                for a in range(0, batch.num_rows, ROW_BLOCK):
+                    part = batch.slice(a, ROW_BLOCK)
+                    kept.add(part.column("vec_id").to_numpy(), matrix(part.column("v")))
+            yield kept.rows()
+
+        return text.mapped(rows, run, "query_id long, vec_id long, score long")
+
+    found = scored(0)
+    for wave in range(1, waves):
+        found = found.unionByName(scored(wave))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
