@@ -570,3 +570,64 @@ def test_quality_of_odd_rows(spark):
     assert Counter(r.doc_id for r in out) == {1: 2, None: 1, 2: 1, 3: 1} and all(0 <= r.score <= 1 for r in out)
     assert quality.train(docs, spark.createDataFrame([], "doc_id long, quality int")) is None
     assert quality.keep_good(docs, machine).columns == docs.columns
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage on what the one before kept: scores, lines, links and windows looked at one by one, and pieces by the library; null, empty and repeated rows among them."""
+    import numpy as np
+    import pyarrow as pa
+
+    import corpus_pipeline
+
+    docs = pd.read_parquet(f"{DATA}/documents.parquet")
+    items = pd.read_parquet(f"{DATA}/benchmark.parquet").head(4)
+    own = docs[docs.text.str.len() < 1200].head(50)
+    word = own.text.iloc[0].split()
+    planted = [(" ".join(word[:-1] + ["changed"]), 10**6), (own.text.iloc[3] + " " + items.text.iloc[0], 10**6 + 1), (None, 10**6 + 2), ("", 10**6 + 3)]
+    own = pd.concat([own, own.head(2), *(own.head(1).assign(text=t, doc_id=i) for t, i in planted)])
+    own.to_parquet(tmp_path / "documents.parquet")
+    items.to_parquet(tmp_path / "benchmark.parquet")
+    labels = pd.read_parquet(f"{DATA}/labels.parquet")
+    pd.concat([labels, pd.DataFrame({"doc_id": [i for _, i in planted], "quality": 1, "toxic": 0})]).to_parquet(tmp_path / "labels.parquet")
+    folder, rows = str(tmp_path), list(own.text.where(own.text.notna(), None).to_frame().assign(i=own.doc_id)[["i", "text"]].itertuples(index=False, name=None))
+    frame = q.table(spark, folder, "documents")
+    machine = quality.train(frame, q.table(spark, folder, "labels"))
+    key = lambda line: line.strip(" \t\n\x0b\f\r").translate({c: c + 32 for c in range(65, 91)})
+    shingles = lambda t: (lambda ws: {tuple(ws[p : p + 5]) for p in range(max(1, len(ws) - 4))} if ws else set())(WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)})))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        if name == "quality":
+            score = machine.score(*quality.features(pa.array([t for _, t in rows], pa.string())))
+            want = [r for r, s in zip(rows, score) if s >= 0.7]
+        elif name == "line_dedup":
+            first = {}
+            for i, t in rows:
+                for line in (t or "").split("\n"):
+                    first[key(line)] = min(i, first.get(key(line), i))
+            want = [(i, "\n".join(x for x in (t or "").split("\n") if len(key(x)) < 10 or first[key(x)] == i)) for i, t in rows]
+        elif name == "similar":
+            label, sets = {i: i for i, _ in rows}, [shingles(t) for _, t in rows]
+            links = [(a, b) for x, (a, _) in enumerate(rows) for y, (b, _) in enumerate(rows) if x < y and sets[x] and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])]
+            for _ in rows:
+                for a, b in links:
+                    label[a] = label[b] = min(label[a], label[b])
+            want = [(i, t) for i, t in rows if label[i] == i]
+        else:
+            want = [(i, t) for i, t in rows if not any(best_window((t or "").lower().split(), item.lower().split())[0] >= 0.8 for item in items.text)]
+        kept = stage(spark, frame, folder)
+        assert kept.columns == frame.columns
+        frame = kept.cache()
+        got = [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]
+        assert Counter(got) == Counter(want), name
+        rows = want
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    out = corpus_pipeline.STAGES[-1][1](spark, frame, folder).collect()
+    assert rows and Counter((r.doc_id, tuple(r.ids), r.decoded, r.n_tokens) for r in out) == Counter((i, tuple(sp.encode(t or "")), sp.decode(sp.encode(t or "")), len(sp.encode(t or ""))) for i, t in rows)
+    assert np.isfinite(score).all() and len(rows) < len(own)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "benchmark", "labels"):
+        q.table(spark, DATA, name).limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
