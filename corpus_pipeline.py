@@ -36,7 +36,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", keep_quality), ("line_dedup", drop_lines), ("similar", keep_one_of_similar), ("decontaminate", drop_leaks), ("piece_codec", encode)]
-ORACLE_SQL = None  # a fitted classifier can't be expressed in SQL; tests/llm hold the stages against brute force
+ORACLE_SQL = None  # a fitted classifier can't be expressed in SQL; tests/llm hold every stage against brute force on a small fixture
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
