@@ -9,7 +9,7 @@ from varlake import catalog
 from varlake.operators import confidence, features, losses, normality, resampling, returns
 from varlake.plans import forecasting, garch
 from varlake.sources import bars
-from varlake.streaming import live_bars
+from varlake.streaming import live_bars, live_variance
 
 
 @pytest.fixture(scope="module")
@@ -190,3 +190,91 @@ def test_moment_tests_take_their_lags_from_each_length(spark):
     assert normality.plug_in_lags(got.n) == 6 and got.stat_skew == pytest.approx(normality.moment_tests(x, 6).first().stat_skew, rel=1e-9)
     two = normality.moment_tests(x.unionByName(x.where("t < 531").withColumn("series", F.lit("short")))).where("series = 'short'").first()
     assert two.stat_kurt == pytest.approx(normality.moment_tests(x.where("t < 531"), 5).first().stat_kurt, rel=1e-9)
+
+
+def test_long_memory_weights_are_those_of_the_recursion():
+    rng = np.random.default_rng(5)
+    phi, d, beta = rng.uniform(0, 0.4, 6), rng.uniform(0, 1, 6), rng.uniform(0, 0.98, 6)
+    for got, f, x, b in zip(garch.long_memory(phi, d, beta), phi, d, beta):
+        delta, weight = x, f - b + x
+        for k in range(garch.TRUNCATION):
+            assert got[k] == pytest.approx(weight, abs=1e-12)
+            new = delta * (k + 1 - x) / (k + 2)
+            weight, delta = b * weight + new - f * delta, new
+
+
+def test_streamed_variances_are_those_of_the_whole_series(spark, rows):
+    specs = [(s, "t") for s in garch.SPECS if s != "FIGARCH"]
+    train = rows.where("t < 700")
+    states = forecasting.fitted_states(train, specs).cache()
+    out = live_variance.replayed(rows.where("t >= 700"), states, parts=3).toPandas()
+    ret = rows.orderBy("t").toPandas()["ret"].to_numpy()
+    assert len(out) == 200 * 4 and not out["late"].any()
+    for r in states.collect():
+        mine = out[out["model"] == r["model"]].sort_values("t")
+        want = garch.one_step(r["spec"], np.array(r["p"]), ret, 700)
+        np.testing.assert_allclose(mine["h"].to_numpy(float), want[:200], rtol=1e-9)
+        np.testing.assert_allclose(mine["next_h"].to_numpy(float), want[1:], rtol=1e-9)
+
+
+def test_late_and_unknown_returns_leave_the_streamed_state_alone(spark, tmp_path):
+    given = ["'a' AS series", "'G' AS model", "'GARCH' AS spec", "array(0.0D, 0.1D, 0.05D, 0.9D) AS p", "1.0D AS state", "0L AS t"]
+    states, table = spark.range(1).selectExpr(*given), str(tmp_path / "in")
+
+    def arrive(values):
+        spark.createDataFrame(values, "series string, t long, ret double").write.mode("append").parquet(table)
+        live_variance.appended(spark.readStream.schema("series string, t long, ret double").parquet(table), states, str(tmp_path / "out"), str(tmp_path / "state"))
+
+    arrive([("a", 2, 0.02), ("a", 1, 0.01), ("other", 1, 0.01)])
+    arrive([("a", 2, 0.5), ("a", 1, 0.5), ("a", 3, None), ("a", 4, float("nan")), ("a", 5, 0.0)])
+    out = sorted((r["t"], r["late"], r["h"], r["next_h"]) for r in spark.read.parquet(str(tmp_path / "out")).where("NOT late AND h IS NOT NULL").collect())
+    h1 = 0.1 + 0.05 + 0.9
+    h2 = 0.1 + 0.05 * 4 + 0.9 * h1
+    want = [(1, False, 1.0, h1), (2, False, h1, h2), (5, False, h2, 0.1 + 0.9 * h2)]
+    assert [x[:2] for x in out] == [x[:2] for x in want]
+    np.testing.assert_allclose([x[2:] for x in out], [(a * 1e-4, b * 1e-4) for *_, a, b in want], rtol=1e-9)
+    rest = spark.read.parquet(str(tmp_path / "out")).where("late OR h IS NULL").groupBy("late").count().collect()
+    assert sorted((r["late"], r["count"]) for r in rest) == [(False, 2), (True, 2)]
+
+
+class Mean:
+    """A model of one's own: the mean of the squared returns so far."""
+
+    def fit(self, returns, actual):
+        self.n, self.sum = len(returns), float((returns**2).sum())
+
+    def update(self, returns, actual):
+        self.n, self.sum = self.n + len(returns), self.sum + float((returns**2).sum())
+
+    def forecast_variance(self):
+        return self.sum / self.n
+
+
+class Still:
+    fit = forecast_variance = lambda self, *_: 1.0
+
+
+class Broken(Mean):
+    def fit(self, returns, actual):
+        raise ValueError("no")
+
+
+def test_models_of_ones_own_are_evaluated(spark):
+    both = bars.synthetic_returns(spark, [1, 2], 130, 100).cache()
+    ret = {s: g.sort_values("t")["ret"].to_numpy() for s, g in both.toPandas().groupby("series")}
+    out = forecasting.evaluate_models(both, {"mean": Mean, "again": Mean}, 100, None, 7).toPandas()
+    assert len(out) == 2 * 2 * 30 and out["is_refit"].sum() == 2 * 2 * 5
+    for s, t, f in zip(out["series"], out["t"], out["forecast"]):
+        assert f == pytest.approx((ret[s][:t] ** 2).mean(), rel=1e-9)
+
+
+def test_the_evaluator_refuses_what_it_cannot_do(spark):
+    one = bars.synthetic_returns(spark, [1], 110, 100)
+    with pytest.raises(TypeError, match="Still"):
+        forecasting.evaluate_models(one, {"Still": Still}, 100, 10)
+    with pytest.raises(NotImplementedError):
+        forecasting.evaluate_models(one, {"mean": Mean}, 100, 10, n_ahead=2)
+    with pytest.raises(Exception, match=r"\[Broken\] fitting failed at test step 0"):
+        forecasting.evaluate_models(one, {"Broken": Broken}, 100, 10).collect()
+    with pytest.raises(ValueError, match="FIGARCH"):
+        forecasting.fitted_states(one, [("FIGARCH", "t")])

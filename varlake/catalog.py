@@ -9,7 +9,7 @@ from .functions import names, special
 from .operators import accuracy, confidence, features, losses, normality, reporting, returns
 from .sources import bars
 from .plans import forecasting, garch, stand_ins
-from .streaming import live_bars
+from .streaming import live_bars, live_variance
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -587,7 +587,15 @@ def _(spark, d):
 
 @query("MDL21_to_23_evaluate")
 def _(spark, d):
-    return forecasting.evaluate(bars.synthetic_returns(spark, [0], 760), [("GARCH", "normal"), ("GJR-GARCH", "normal")], 700, 60, every=20)
+    return forecasting.evaluate(rets(spark, d), ALL_MODELS, 400, None, actual="garman_klass")
+
+
+@query("STREAM_MDL4_MDL6_variance", f"""WITH RECURSIVE {RETS}, x AS (SELECT t, ret FROM rets), f AS (
+  SELECT CAST(0 AS BIGINT) AS t, CAST(0.5 AS DOUBLE) AS h UNION ALL SELECT f.t + 1, 0.000001 + 0.05 * x.ret * x.ret + 0.9 * f.h FROM f JOIN x ON x.t = f.t)
+SELECT f.t, round(f.h, 8) AS h, round(0.000001 + 0.05 * x.ret * x.ret + 0.9 * f.h, 8) AS next_h FROM f JOIN x ON x.t = f.t""")
+def _(spark, d):
+    given = ["'all' AS series", "'GARCH-NORMAL' AS model", "'GARCH' AS spec", "array(0.0D, 0.01D, 0.05D, 0.9D) AS p", "5000.0D AS state", "-1L AS t"]
+    return rounded(live_variance.replayed(rets(spark, d), spark.range(1).selectExpr(*given)).select("t", "h", "next_h"))
 
 
 @query("STREAM_hourly_bars", f"WITH {BARS} SELECT ts, high, low FROM bars")

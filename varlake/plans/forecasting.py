@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -27,6 +30,11 @@ def with_models(rows: DataFrame, specs: list[tuple[str, str]]) -> DataFrame:
     return rows.withColumn("m", F.explode(each)).select(*rows.columns, "m.*")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by the keys into a fixed number of partitions, four a core: fits take long over few bytes, which adaptive execution would put into one task."""
+    return rows.repartition(4 * max(1, rows.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def fit_table(rows: DataFrame, specs: list[tuple[str, str]]) -> DataFrame:
     """A row for each series, model and parameter, with robust errors and the log-likelihood; rows(series, t, ret)."""
     ship_package(rows.sparkSession)
@@ -42,35 +50,96 @@ def fit_table(rows: DataFrame, specs: list[tuple[str, str]]) -> DataFrame:
             "t_stat": t, "p_value": [2 * normal_tail(abs(x)) for x in t], "loglik": loglik, "n": len(f),
         })
 
-    return with_models(rows.select("series", "t", "ret"), specs).groupBy("series", "model").applyInPandas(run, FITS)
+    return spread(with_models(rows.select("series", "t", "ret"), specs), "series", "model").groupBy("series", "model").applyInPandas(run, FITS)
+
+
+def fitted_states(rows: DataFrame, specs: list[tuple[str, str]]) -> DataFrame:
+    """series, model, spec, p (parameters of returns in percent), t (the last one fitted) and state, what the model's recursion carries into the next return; rows(series, t, ret)."""
+    ship_package(rows.sparkSession)
+    if any(spec == "FIGARCH" for spec, _ in specs):
+        raise ValueError("FIGARCH can't be advanced by one return")
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("t")
+        spec, dist, ret = f["spec"].iloc[0], f["dist"].iloc[0], f["ret"].to_numpy()
+        p, _ = garch.fit(spec, dist, ret)
+        h = garch.one_step(spec, p, ret, len(ret))[-1] * garch.SCALE**2
+        return pd.DataFrame({"series": f["series"].iloc[:1], "model": f["model"].iloc[:1], "spec": spec, "p": [p.tolist()], "t": int(f["t"].iloc[-1]), "state": garch.state_of(spec, p, h)})
+
+    return spread(with_models(rows.select("series", "t", "ret"), specs), "series", "model").groupBy("series", "model").applyInPandas(run, "series string, model string, spec string, p array<double>, t long, state double")
+
+
+class Kernel:
+    """A model of garch by the protocol that evaluate_models() asks for."""
+
+    def __init__(self, spec: str, dist: str):
+        if spec not in garch.SPECS or dist not in garch.DISTS:
+            raise ValueError(f"unknown model {spec}-{dist}")
+        self.spec, self.dist = spec, dist
+
+    def fit(self, returns: np.ndarray, actual: np.ndarray) -> None:
+        self.p, _ = garch.fit(self.spec, self.dist, returns)
+        self.past, self.fitted = np.asarray(returns, float), len(returns)
+
+    def update(self, returns: np.ndarray, actual: np.ndarray) -> None:
+        self.past = np.concatenate([self.past, returns])
+
+    def forecast_variance(self) -> float:
+        return float(garch.one_step(self.spec, self.p, self.past, self.fitted)[-1])
+
+    def path(self, returns: np.ndarray) -> np.ndarray:
+        """The forecasts of all of returns, which update() would take one by one, in one pass."""
+        return garch.one_step(self.spec, self.p, np.concatenate([self.past, returns]), self.fitted)[len(self.past) - self.fitted :][: len(returns)]
+
+
+def evaluate(rows: DataFrame, specs: list[tuple[str, str]], n_train: int, n_test: int | None, every: int = 10, width: int | None = None, actual: str = "proxy") -> DataFrame:
+    """evaluate_models() of the models of garch."""
+    return evaluate_models(rows, {model_name(s, d): partial(Kernel, s, d) for s, d in specs}, n_train, n_test, every, width, actual)
 
 
-def evaluate(rows: DataFrame, specs: list[tuple[str, str]], n_train: int, n_test: int, every: int = 10, width: int | None = None, actual: str = "proxy") -> DataFrame:
+def evaluate_models(rows: DataFrame, models: dict[str, Callable], n_train: int, n_test: int | None, every: int = 10, width: int | None = None, actual: str = "proxy", n_ahead: int = 1) -> DataFrame:
     """One-step forecasts of all test rows: series, model, model_ord, step, t, forecast, actual, is_refit.
 
-    The forecast of t only uses returns before t. A block's parameters come from its window's end; from there on its state
-    alone advances. A failing fit raises an error that names the model and the step."""
+    models names functions without arguments that make a model with fit(returns, actual), update(returns, actual) and
+    forecast_variance(); models with path(returns) give a block's forecasts at once. They go to the tasks pickled, so a module that defines them must be known there.
+    The forecast of t only uses returns and actuals before t. A block's parameters come from its window's end; from there on its
+    state alone advances. Without n_test, tests go on to the end of each series. A model without update() is a TypeError,
+    a failing fit a RuntimeError that names the model and the step, and more than one step ahead a NotImplementedError."""
+    if n_ahead != 1:
+        raise NotImplementedError("only forecasts of one step ahead can be evaluated")
     if width is not None and width > n_train:
         raise ValueError(f"a window of {width} needs as many training rows; there are {n_train}")
+    for name, make in models.items():
+        if not callable(getattr(make(), "update", None)):
+            raise TypeError(f"[{name}] has no update(), so its forecasts would stand still between refits")
     ship_package(rows.sparkSession)
     blocks = block_rows(rows.select("series", "t", "ret", F.col(actual).cast("double").alias("actual")), n_train, n_test, every, width)
+    each = F.array(*(F.struct(F.lit(name).alias("model"), F.lit(i).alias("model_ord")) for i, name in enumerate(models)))
+    blocks = blocks.withColumn("m", F.explode(each)).select(*blocks.columns, "m.*")
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("t")
-        spec, dist, name, end = (f[c].iloc[0] for c in ("spec", "dist", "model", "fit_end"))
+        name, end = f["model"].iloc[0], f["fit_end"].iloc[0]
         fitted = int((f["t"] < end).sum())
-        ret = f["ret"].to_numpy()
+        ret, known = f["ret"].to_numpy(), f["actual"].to_numpy()
+        model = models[name]()
         try:
-            p, _ = garch.fit(spec, dist, ret[:fitted])
+            model.fit(ret[:fitted], known[:fitted])
         except Exception as error:
             raise RuntimeError(f"[{name}] fitting failed at test step {end - n_train}") from error
+        if hasattr(model, "path"):
+            made = model.path(ret[fitted:])
+        else:
+            made = []
+            for i in range(fitted, len(ret)):
+                made.append(float(model.forecast_variance()))
+                model.update(ret[i : i + 1], known[i : i + 1])
         test = f.iloc[fitted:]
-        made = garch.one_step(spec, p, ret, fitted)[: len(test)]
         step = test["t"].to_numpy() - n_train
         return pd.DataFrame({
-            "series": test["series"], "model": name, "model_ord": test["model_ord"], "step": step, "t": test["t"], "forecast": np.asarray(made),
+            "series": test["series"], "model": name, "model_ord": test["model_ord"], "step": step, "t": test["t"], "forecast": np.asarray(made, float),
             "actual": test["actual"], "is_refit": step % every == 0,
         })
 
     schema = "series string, model string, model_ord int, step long, t long, forecast double, actual double, is_refit boolean"
-    return with_models(blocks, specs).groupBy("series", "model", "block").applyInPandas(run, schema)
+    return spread(blocks, "series", "model", "block").groupBy("series", "model", "block").applyInPandas(run, schema)

@@ -67,6 +67,40 @@ def backcast(e: np.ndarray) -> np.ndarray:
     return (e[:, :n] ** 2) @ (w / w.sum())
 
 
+def long_memory(phi: np.ndarray, d: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """The weights of the past squares for each vector, without a loop over them: powers of beta, convolved with what enters at each lag."""
+    k = np.arange(1, TRUNCATION)
+    delta = d[:, None] * np.concatenate([np.ones((len(d), 1)), np.cumprod((k - d[:, None]) / (k + 1), axis=1)], axis=1)
+    enters = delta - np.concatenate([beta[:, None] - phi[:, None], phi[:, None] * delta[:, :-1]], axis=1)
+    powers = np.cumprod(np.concatenate([np.ones((len(d), 1)), np.repeat(beta[:, None], TRUNCATION - 1, axis=1)], axis=1), axis=1)
+    size = 2 * TRUNCATION
+    return np.fft.irfft(np.fft.rfft(enters, size) * np.fft.rfft(powers, size), size)[:, :TRUNCATION]
+
+
+def state_of(spec: str, p: np.ndarray, h: float) -> float:
+    """What the recursion carries for a variance (of returns in percent): EGARCH its logarithm, APARCH the power delta of the deviation, the others itself."""
+    return float(np.log(h) if spec == "EGARCH" else h ** (p[5] / 2) if spec == "APARCH" else h)
+
+
+def variance_of(spec: str, p: np.ndarray, state: float) -> float:
+    return float(np.exp(state) if spec == "EGARCH" else max(state, 1e-12) ** (2 / p[5]) if spec == "APARCH" else state)
+
+
+def advance(spec: str, p: np.ndarray, state: float, r: float) -> float:
+    """The state after a return in percent. FIGARCH has none of one number, as its variance needs the whole past."""
+    e = r - p[0]
+    if spec == "GARCH":
+        return float(p[1] + p[2] * e * e + p[3] * state)
+    if spec == "GJR-GARCH":
+        return float(p[1] + (p[2] + p[3] * (e < 0)) * e * e + p[4] * state)
+    if spec == "EGARCH":
+        z = e * np.exp(-0.5 * state)
+        return float(np.clip(p[1] + p[2] * (abs(z) - np.sqrt(2 / pi)) + p[3] * z + p[4] * state, -30, 30))
+    if spec == "APARCH":
+        return float(min(p[1] + p[2] * max(abs(e) - p[3] * e, 1e-12) ** p[5] + p[4] * state, 1e12))
+    raise ValueError(f"{spec} can't be advanced by one return")
+
+
 def variances(spec: str, p: np.ndarray, r: np.ndarray, fitted: int) -> np.ndarray:
     """Variances of r's rows and of the row after, for each vector of p; the start value comes from the first `fitted` rows."""
     e = r[None, :] - p[:, :1]
@@ -75,13 +109,7 @@ def variances(spec: str, p: np.ndarray, r: np.ndarray, fitted: int) -> np.ndarra
     omega = p[:, 1]
     if spec == "FIGARCH":
         phi, d, beta = p[:, 2], p[:, 3], p[:, 4]
-        lam = np.empty((len(p), TRUNCATION))
-        delta = d.copy()
-        lam[:, 0] = phi - beta + d
-        for k in range(1, TRUNCATION):
-            new = delta * (k - d) / (k + 1)
-            lam[:, k] = beta * lam[:, k - 1] + new - phi * delta
-            delta = new
+        lam = long_memory(phi, d, beta)
         ext = np.concatenate([np.repeat(b0[:, None], TRUNCATION, axis=1), e**2], axis=1)
         size = 1 << (ext.shape[1] + TRUNCATION).bit_length()
         conv = np.fft.irfft(np.fft.rfft(ext, size) * np.fft.rfft(lam, size), size)[:, TRUNCATION - 1 : TRUNCATION + n]

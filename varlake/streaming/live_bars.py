@@ -10,6 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..sources.bars import hourly_bars
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A folder in the shared one that the session names; only a local master may do without."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
+    return f"{base or tempfile.mkdtemp(prefix='varlake-')}/{kind}_{uuid.uuid4().hex}"
+
+
 def stream_bars(ticks: DataFrame, late: str = "2 hours", width: str = "1 hour") -> DataFrame:
     """ts, open, high, low and close of each window of positive prices; ticks later than `late` are dropped."""
     rows = ticks.where("value > 0").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
@@ -30,8 +38,7 @@ def replayed(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{folder}/events.parquet"
     events = spark.read.parquet(path)
     ticks = spark.readStream.schema(events.schema).option("pathGlobFilter", "events*.parquet").parquet(folder)
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="varlake-")
-    name = f"{base}/bars_{uuid.uuid4().hex}"
+    name = new_folder(spark, "bars")
     closed = appended(spark, ticks, f"{name}/rows", f"{name}/state")
     last = closed.agg(F.max("ts")).first()[0]
     still = events if last is None else events.where(F.col("ts") >= F.lit(last) + F.expr("interval 1 hour"))
