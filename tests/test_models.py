@@ -278,3 +278,21 @@ def test_the_evaluator_refuses_what_it_cannot_do(spark):
         forecasting.evaluate_models(one, {"Broken": Broken}, 100, 10).collect()
     with pytest.raises(ValueError, match="FIGARCH"):
         forecasting.fitted_states(one, [("FIGARCH", "t")])
+
+
+@pytest.mark.parametrize("spec", garch.ORDERED)
+def test_order_zero_leaves_the_asymmetric_term_out(spark, rows, spec):
+    got = forecasting.fit_table(rows.where("t < 300"), [(spec, "t", 0), (spec, "t")]).toPandas()
+    plain, whole = (got[got["model"] == forecasting.model_name(spec, "t", *o)] for o in ((0,), ()))
+    assert set(whole["parameter"]) - set(plain["parameter"]) == {"gamma[1]"}
+    assert plain["loglik"].iloc[0] <= whole["loglik"].iloc[0] + 0.05
+    ret = rows.where("t < 300").orderBy("t").toPandas()["ret"].to_numpy()
+    p, _ = garch.fit(spec, "t", ret, order=0)
+    flipped, _ = garch.fit(spec, "t", -ret, order=0)
+    assert p[3] == 0 and garch.one_step(spec, p, ret, 300) == pytest.approx(garch.one_step(spec, flipped, -ret, 300), rel=1e-2)
+
+
+def test_orders_that_do_not_exist_are_refused():
+    for spec, order in (("GARCH", 0), ("GJR-GARCH", 0), ("FIGARCH", 1), ("EGARCH", 2)):
+        with pytest.raises(ValueError, match=spec):
+            garch.estimated(spec, "t", order)

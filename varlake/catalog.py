@@ -571,6 +571,13 @@ def typed_rets(spark: SparkSession, d: str) -> DataFrame:
     return returns.with_proxies(returns.with_returns(bars.hourly_bars_by_type(bars.table(spark, d, "events"))))
 
 
+def written(frame: DataFrame, kind: str) -> DataFrame:
+    """The frame as a table in the session's shared folder, for what is costly and read more than once."""
+    path = live_bars.new_folder(frame.sparkSession, kind)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 ALL_MODELS = [(spec, dist) for spec in garch.SPECS for dist in garch.DISTS]
 
 
@@ -585,6 +592,26 @@ def _(spark, d):
     return reporting.information_criteria(fits.groupBy("series", "model").agg(F.first("loglik").alias("loglik"), F.count("*").alias("k"), F.first("n").alias("n"))).orderBy("series", "bic")
 
 
+ORDERS = "o(model, model_type, given) AS (VALUES " + ", ".join(f"('{forecasting.model_name(*m)}', '{m[0]}', {'NULL' if len(m) < 3 else m[2]}::INT)" for m in [*ALL_MODELS, ("EGARCH", "t", 0), ("APARCH", "ged", 0), ("EGARCH", "normal", 1)]) + ")"
+
+
+@query("MDL2_asymmetric_order", f"WITH {ORDERS} SELECT model, coalesce(given, CASE WHEN model_type IN ('GJR-GARCH', 'EGARCH', 'APARCH') THEN 1 ELSE 0 END) AS asym_order FROM o")
+def _(spark, d):
+    models = forecasting.with_models(spark.range(1), [*ALL_MODELS, ("EGARCH", "t", 0), ("APARCH", "ged", 0), ("EGARCH", "normal", 1)])
+    return models.select("model", reporting.asymmetry_order(F.col("spec"), F.col("o")).alias("asym_order"))
+
+
+@query("MDL2_MDL3_symmetric_fits")
+def _(spark, d):
+    return forecasting.fit_table(typed_rets(spark, d), [(spec, dist, 0) for spec in garch.ORDERED for dist in garch.DISTS])
+
+
+@query("RPT4_RPT5_of_fits")
+def _(spark, d):
+    fits = written(forecasting.fit_table(typed_rets(spark, d), ALL_MODELS).withColumn("model", F.concat_ws("/", "series", "model")), "fits")
+    return reporting.asymmetry(fits).join(reporting.persistence(fits), "model")
+
+
 @query("MDL21_to_23_evaluate")
 def _(spark, d):
     return forecasting.evaluate(rets(spark, d), ALL_MODELS, 400, None, actual="garman_klass")

@@ -17,17 +17,21 @@ from . import garch
 FITS = "series string, model string, model_type string, parameter string, coef double, std_err double, t_stat double, p_value double, loglik double, n long"
 
 
-def model_name(spec: str, dist: str) -> str:
-    return f"{spec}-{dist.upper()}"
+def model_name(spec: str, dist: str, order: int | None = None) -> str:
+    return f"{spec}-{dist.upper()}" if order is None else f"{spec}-{dist.upper()}-o{order}"
 
 
-def with_models(rows: DataFrame, specs: list[tuple[str, str]]) -> DataFrame:
-    """Each row once for each model of the list, which is the driver's own and short."""
-    for spec, dist in specs:
-        if spec not in garch.SPECS or dist not in garch.DISTS:
-            raise ValueError(f"unknown model {spec}-{dist}")
-    each = F.array(*(F.struct(F.lit(model_name(s, d)).alias("model"), F.lit(i).alias("model_ord"), F.lit(s).alias("spec"), F.lit(d).alias("dist")) for i, (s, d) in enumerate(specs)))
-    return rows.withColumn("m", F.explode(each)).select(*rows.columns, "m.*")
+def with_models(rows: DataFrame, specs: list[tuple]) -> DataFrame:
+    """Each row once for each model of the list, which is the driver's own and short: (specification, distribution), and the asymmetric order where it isn't the specification's own."""
+    for one in specs:
+        garch.estimated(*one)
+    each = [F.struct(F.lit(model_name(*m)).alias("model"), F.lit(i).alias("model_ord"), F.lit(m[0]).alias("spec"), F.lit(m[1]).alias("dist"), F.lit(m[2] if len(m) > 2 else None).cast("int").alias("o")) for i, m in enumerate(specs)]
+    return rows.withColumn("m", F.explode(F.array(*each))).select(*rows.columns, "m.*")
+
+
+def order_of(frame: pd.DataFrame) -> int | None:
+    o = frame["o"].iloc[0]
+    return None if pd.isna(o) else int(o)
 
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
@@ -35,34 +39,36 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(4 * max(1, rows.sparkSession.sparkContext.defaultParallelism), *keys)
 
 
-def fit_table(rows: DataFrame, specs: list[tuple[str, str]]) -> DataFrame:
+def fit_table(rows: DataFrame, specs: list[tuple]) -> DataFrame:
     """A row for each series, model and parameter, with robust errors and the log-likelihood; rows(series, t, ret)."""
     ship_package(rows.sparkSession)
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("t")
-        spec, dist = f["spec"].iloc[0], f["dist"].iloc[0]
-        p, loglik = garch.fit(spec, dist, f["ret"].to_numpy())
-        err = garch.standard_errors(spec, dist, p, f["ret"].to_numpy())
+        spec, dist, order = f["spec"].iloc[0], f["dist"].iloc[0], order_of(f)
+        own = garch.estimated(spec, dist, order)
+        p, loglik = garch.fit(spec, dist, f["ret"].to_numpy(), order=order)
+        err = garch.standard_errors(spec, dist, p, f["ret"].to_numpy(), order)
+        p, parameters = p[own], [garch.names(spec, dist)[i] for i in own]
         t = p / err
         return pd.DataFrame({
-            "series": f["series"].iloc[0], "model": f["model"].iloc[0], "model_type": spec, "parameter": garch.names(spec, dist), "coef": p, "std_err": err,
+            "series": f["series"].iloc[0], "model": f["model"].iloc[0], "model_type": spec, "parameter": parameters, "coef": p, "std_err": err,
             "t_stat": t, "p_value": [2 * normal_tail(abs(x)) for x in t], "loglik": loglik, "n": len(f),
         })
 
     return spread(with_models(rows.select("series", "t", "ret"), specs), "series", "model").groupBy("series", "model").applyInPandas(run, FITS)
 
 
-def fitted_states(rows: DataFrame, specs: list[tuple[str, str]]) -> DataFrame:
+def fitted_states(rows: DataFrame, specs: list[tuple]) -> DataFrame:
     """series, model, spec, p (parameters of returns in percent), t (the last one fitted) and state, what the model's recursion carries into the next return; rows(series, t, ret)."""
     ship_package(rows.sparkSession)
-    if any(spec == "FIGARCH" for spec, _ in specs):
+    if any(m[0] == "FIGARCH" for m in specs):
         raise ValueError("FIGARCH can't be advanced by one return")
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("t")
         spec, dist, ret = f["spec"].iloc[0], f["dist"].iloc[0], f["ret"].to_numpy()
-        p, _ = garch.fit(spec, dist, ret)
+        p, _ = garch.fit(spec, dist, ret, order=order_of(f))
         h = garch.one_step(spec, p, ret, len(ret))[-1] * garch.SCALE**2
         return pd.DataFrame({"series": f["series"].iloc[:1], "model": f["model"].iloc[:1], "spec": spec, "p": [p.tolist()], "t": int(f["t"].iloc[-1]), "state": garch.state_of(spec, p, h)})
 
@@ -72,13 +78,12 @@ def fitted_states(rows: DataFrame, specs: list[tuple[str, str]]) -> DataFrame:
 class Kernel:
     """A model of garch by the protocol that evaluate_models() asks for."""
 
-    def __init__(self, spec: str, dist: str):
-        if spec not in garch.SPECS or dist not in garch.DISTS:
-            raise ValueError(f"unknown model {spec}-{dist}")
-        self.spec, self.dist = spec, dist
+    def __init__(self, spec: str, dist: str, order: int | None = None):
+        garch.estimated(spec, dist, order)
+        self.spec, self.dist, self.order = spec, dist, order
 
     def fit(self, returns: np.ndarray, actual: np.ndarray) -> None:
-        self.p, _ = garch.fit(self.spec, self.dist, returns)
+        self.p, _ = garch.fit(self.spec, self.dist, returns, order=self.order)
         self.past, self.fitted = np.asarray(returns, float), len(returns)
 
     def update(self, returns: np.ndarray, actual: np.ndarray) -> None:
@@ -92,9 +97,9 @@ class Kernel:
         return garch.one_step(self.spec, self.p, np.concatenate([self.past, returns]), self.fitted)[len(self.past) - self.fitted :][: len(returns)]
 
 
-def evaluate(rows: DataFrame, specs: list[tuple[str, str]], n_train: int, n_test: int | None, every: int = 10, width: int | None = None, actual: str = "proxy") -> DataFrame:
+def evaluate(rows: DataFrame, specs: list[tuple], n_train: int, n_test: int | None, every: int = 10, width: int | None = None, actual: str = "proxy") -> DataFrame:
     """evaluate_models() of the models of garch."""
-    return evaluate_models(rows, {model_name(s, d): partial(Kernel, s, d) for s, d in specs}, n_train, n_test, every, width, actual)
+    return evaluate_models(rows, {model_name(*m): partial(Kernel, *m) for m in specs}, n_train, n_test, every, width, actual)
 
 
 def evaluate_models(rows: DataFrame, models: dict[str, Callable], n_train: int, n_test: int | None, every: int = 10, width: int | None = None, actual: str = "proxy", n_ahead: int = 1) -> DataFrame:

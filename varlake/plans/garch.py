@@ -19,10 +19,22 @@ NAMES = {
 }
 
 
+ORDERED = ("EGARCH", "APARCH")  # the specifications whose asymmetric term may be left out
+
+
 def names(spec: str, dist: str) -> tuple[str, ...]:
     return ("mu", *NAMES[spec], *(() if dist == "normal" else ("nu",)))
 
 
+def estimated(spec: str, dist: str, order: int | None = None) -> np.ndarray:
+    """The places of the parameters that are estimated: all, or all but the asymmetric one at order 0, where it stays 0. None is the specification's own order."""
+    if spec not in SPECS or dist not in DISTS:
+        raise ValueError(f"unknown model {spec}-{dist}")
+    if order is not None and (spec not in ORDERED or order not in (0, 1)):
+        raise ValueError(f"{spec} can't be of asymmetric order {order}")
+    return np.array([i for i, name in enumerate(names(spec, dist)) if order != 0 or name != "gamma[1]"])
+
+
 def _sig(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -157,19 +169,20 @@ def log_densities(spec: str, dist: str, p: np.ndarray, r: np.ndarray) -> np.ndar
     return c[:, None] - 0.5 * np.log(h) - 0.5 * (np.sqrt(z2) / np.exp(log_lam)[:, None]) ** nu[:, None]
 
 
-def fit(spec: str, dist: str, returns: np.ndarray, rounds: int = 80) -> tuple[np.ndarray, float]:
+def fit(spec: str, dist: str, returns: np.ndarray, rounds: int = 80, order: int | None = None) -> tuple[np.ndarray, float]:
     """Parameters (of returns in percent) and log-likelihood, by BFGS on free parameters with batched differences and line search."""
-    if spec not in SPECS or dist not in DISTS:
-        raise ValueError(f"unknown model {spec}-{dist}")
+    own = estimated(spec, dist, order)
     r = np.asarray(returns, float) * SCALE
     cost = lambda u: -np.nan_to_num(log_densities(spec, dist, constrained(spec, dist, u), r).mean(axis=1), nan=-1e6, posinf=-1e6, neginf=-1e6)
     u = start_point(spec, dist, r)
     k = len(u)
+    moves = np.isin(np.arange(k), own)
+    u = np.where(moves, u, 0.0)
 
     def slope(u):
         h = 1e-5 * np.maximum(1, np.abs(u))
         both = cost(np.concatenate([u + np.diag(h), u - np.diag(h)]))
-        return (both[:k] - both[k:]) / (2 * h)
+        return np.where(moves, (both[:k] - both[k:]) / (2 * h), 0.0)
 
     inverse, g, best = np.eye(k), slope(u), cost(u[None])[0]
     steps = 2.0 ** -np.arange(-1, 16)
@@ -196,15 +209,18 @@ def fit(spec: str, dist: str, returns: np.ndarray, rounds: int = 80) -> tuple[np
     return constrained(spec, dist, u[None])[0], -best * len(r)
 
 
-def standard_errors(spec: str, dist: str, p: np.ndarray, returns: np.ndarray) -> np.ndarray:
-    """Robust (sandwich) errors from batched differences; NaN where the Hessian can't be inverted."""
-    r, k = np.asarray(returns, float) * SCALE, len(p)
-    h = np.diag(1e-4 * np.maximum(1e-2, np.abs(p)))
+def standard_errors(spec: str, dist: str, p: np.ndarray, returns: np.ndarray, order: int | None = None) -> np.ndarray:
+    """Robust (sandwich) errors of the estimated parameters from batched differences; NaN where the Hessian can't be inverted."""
+    own = estimated(spec, dist, order)
+    r, k = np.asarray(returns, float) * SCALE, len(own)
+    size = 1e-4 * np.maximum(1e-2, np.abs(p))
+    h = np.diag(size)[own]
     ends = log_densities(spec, dist, np.concatenate([p + h, p - h]), r)
-    scores = (ends[:k] - ends[k:]) / (2 * np.diag(h)[:, None])
+    size = size[own]
+    scores = (ends[:k] - ends[k:]) / (2 * size[:, None])
     corners = np.array([p + a * h[i] + b * h[j] for i in range(k) for j in range(k) for a in (1, -1) for b in (1, -1)])
     v = log_densities(spec, dist, corners, r).sum(axis=1).reshape(k, k, 4)
-    hess = (v[..., 0] - v[..., 1] - v[..., 2] + v[..., 3]) / (4 * np.outer(np.diag(h), np.diag(h)))
+    hess = (v[..., 0] - v[..., 1] - v[..., 2] + v[..., 3]) / (4 * np.outer(size, size))
     try:
         bread = np.linalg.inv(hess)
     except np.linalg.LinAlgError:
