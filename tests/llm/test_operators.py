@@ -122,8 +122,25 @@ def test_pieces_equal_the_library(docs):
     assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(frame, MODEL).collect()) == Counter((i, len(t.encode()), len(sp.encode(t))) for i, t in rows)
 
 
+def test_runs_of_one_character_equal_the_library():
+    """Runs of 100000 of every ASCII character, and mixtures of the characters whose runs hold pieces of one rank that grow into each other, within seconds."""
+    import time
+
+    from varlake.llm import pieces
+
+    rng = random.Random(8)
+    sp, model = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.load(MODEL)
+    encode = lambda t: model.encoded([pieces.spelled(u) for u in pieces.units(t)])[0].tolist()
+    began = time.process_time()
+    assert [c for c in map(chr, range(128)) if encode(c * 100_000) != sp.encode(c * 100_000)] == []
+    mixed = ["".join(rng.choice([" ", "  ", "e", "d", "\U0001f600", "#"]) for _ in range(50_000)), ("e" * 37 + " " * 23) * 1000, "\U0001f600" * 20_000]
+    mixed += ["".join(rng.choice(a) for _ in range(rng.randrange(1, 90))) for a in (" ", " e", "ed#", " \n", "  \U0001f600x", "0123456789abcdef") for _ in range(200)]
+    assert [t[:50] for t in mixed if encode(t) != sp.encode(t)] == []
+    assert time.process_time() - began < 120
+
+
 def test_long_units_equal_the_library():
-    """Units of 100000 symbols, texts without spaces, and all that rounds by rank meet."""
+    """Units of 100000 symbols and texts without spaces."""
     from varlake.llm import pieces
 
     rng = random.Random(9)

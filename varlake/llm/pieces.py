@@ -2,19 +2,24 @@
 
 Symbols of all words lie in one flat numpy array. Each round finds every word's best pair by a segmented minimum,
 merges it at its leftmost places in all words at once and compacts; words without a pair left are done.
+
+The library merges one pair at a time, the best rank first and the leftmost of a rank. Places of one rank are merged at
+once as long as that gives the same: what a merge makes must not pair with a neighbour at a rank that is as good or better.
+Where it does (a stop), places to its right wait for the next round, unless they are further away than two of the longest
+pieces: all that follows from a stop grows one piece around it, so it can't reach them. Words are cut where no piece of the
+vocabulary holds the two characters, as no merge can span that place. Pieces of one rank that grow into each other (runs of
+spaces) make a stop at every place; such a neighbourhood is scanned once from the left, which is the library's own order.
 """
 
 from __future__ import annotations
 
 import functools
-import heapq
 import re
 
 import numpy as np
 
 MARK = "▁"
 NONE = np.int64(1) << np.int64(60)
-LONG = 1000  # symbols from which a word has rounds of its own, which look at a rank's pairs only instead of all pairs; the result is the same
 CACHE = 200_000
 _UNITS = re.compile(r" +[^ \n]*|\n[^ \n]*")
 
@@ -82,7 +87,10 @@ class Pieces:
         self.keys, self.ranks, self.made, self.single = (np.append(x, y) for x, y in ((self.keys, -1), (self.ranks, NONE), (self.made, -1), (self.single, False)))
         self.raw_ends = np.concatenate([[0], np.cumsum([len(x) for x in self.raw])])
         self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
-        self.lookup = {int(k): (int(r), int(m)) for k, r, m in zip(self.keys[:-1], self.ranks, self.made)}
+        self.reach = 2 * max(map(len, score)) + 2  # characters beyond which what follows from two stops can't meet
+        inner = {(symbol[a], symbol[b]) for p in score for a, b in zip(p, p[1:])}
+        self.lookup = dict(zip(self.keys[:-1].tolist(), zip(self.ranks.tolist(), self.made.tolist())))
+        self.inner = np.unique(np.array([a * self.n_symbols + b for a, b in inner], np.int64))
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Places of the pairs in the table, -1 for those that make no piece."""
@@ -100,17 +108,74 @@ class Pieces:
             out = np.where((at >= 0) & (self.keys[at] == key), at, out)
         return np.where((left >= 0) & (right >= 0), out, -1)
 
+    def spanned(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether a piece holds the two characters, one after the other; elsewhere words fall apart."""
+        key = left * self.n_symbols + right
+        at = np.minimum(np.searchsorted(self.inner, key), len(self.inner) - 1)
+        return (self.inner[at] == key) & (left >= 0) & (right >= 0)
+
+    def stops(self, hit: np.ndarray, sym: np.ndarray, word: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of a round's hits (places that don't overlap, in order): which make a pair of a rank that is as good or better, and which of just the same rank."""
+        stop, same = np.zeros(len(hit), bool), np.zeros(len(hit), bool)
+        at = np.flatnonzero(self.single[place[hit]])
+        if not len(at):
+            return stop, same
+        h, rank = hit[at], self.ranks[place[hit[at]]]
+        made = self.made[place[h]]
+        # To the left, the hit before may have been merged by then; to the right, nothing has.
+        left = sym[h - 1]
+        prior = np.maximum(at - 1, 0)
+        joined = (at > 0) & (hit[prior] == h - 2)
+        left[joined] = self.made[place[hit[prior[joined]]]]
+        right = np.minimum(h + 2, len(sym) - 1)
+        for a, b, inside in ((left, made, (h > 0) & (word[h - 1] == word[h])), (made, sym[right], (h + 2 < len(sym)) & (word[right] == word[h]))):
+            new = self.ranks[self.pairs(a, b)]
+            stop[at] |= inside & (new <= rank)
+            same[at] |= inside & (new == rank)
+        return stop, same
+
+    def scanned(self, first: int, last: int, sym: np.ndarray, word: np.ndarray, rank: int) -> tuple[list[int], list[int], list[int]]:
+        """The merges of one rank from the first hit on, in the library's order, until none is left up to the last hit or one makes a better pair: places that change, their symbols, places that go."""
+        stack = [(first - 1, int(sym[first - 1]))] if first and word[first - 1] == word[first] else []
+        stack.append((first, int(sym[first])))
+        changed, gone, i, end = {}, [], first + 1, len(sym)
+        while i < end and word[i] == word[first]:
+            known = stack[-1][1] >= 0 and sym[i] >= 0
+            found, made = self.lookup.get(stack[-1][1] * self.n_symbols + int(sym[i]), (NONE, -1)) if known else (NONE, -1)
+            if found < rank or found > rank and i > last:
+                break
+            if found > rank:
+                stack.append((i, int(sym[i])))
+                i += 1
+                continue
+            gone.append(i)
+            i += 1
+            at = stack.pop()[0]
+            changed[at] = made
+            while stack:
+                found, more = self.lookup.get(stack[-1][1] * self.n_symbols + made, (NONE, -1)) if stack[-1][1] >= 0 else (NONE, -1)
+                if found != rank:
+                    break
+                gone.append(at)
+                del changed[at]
+                at, made = stack.pop()[0], more
+                changed[at] = made
+            stack.append((at, made))
+            if found < rank:
+                break
+        return list(changed), list(changed.values()), gone
+
     def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The symbols that remain of each word, one after the other, and the words' offsets in them."""
-        syms, owners = [], []
+        done_syms, done_begins = [], []
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        for i in np.flatnonzero(sizes > LONG):
-            syms.append(self._by_rank(words[i]))
-            owners.append(np.full(len(syms[-1]), i))
-        short = np.flatnonzero(sizes <= LONG)
-        chosen = words if len(short) == len(words) else [words[i] for i in short]
-        sym = self.char[np.frombuffer("".join(chosen).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        word = np.repeat(short, sizes[short])
+        sym = self.char[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        begin = np.arange(len(sym))
+        cut = np.ones(len(sym), bool)
+        cut[1:] = ~self.spanned(sym[:-1], sym[1:])
+        ends = np.cumsum(sizes)
+        cut[ends[ends < len(sym)]] = True
+        word = np.cumsum(cut) - 1  # of the parts that can be merged apart
         place = np.full(len(sym), -1, np.int64)
         if len(sym) > 1:
             place[:-1] = np.where(word[1:] == word[:-1], self.pairs(sym[:-1], sym[1:]), -1)
@@ -123,87 +188,41 @@ class Pieces:
             sizes = np.diff(np.append(heads, len(sym)))
             if (done := best == NONE).any():
                 keep = np.repeat(~done, sizes)
-                syms.append(sym[~keep])
-                owners.append(word[~keep])
-                sym, word, place, rank = sym[keep], word[keep], place[keep], rank[keep]
+                done_syms.append(sym[~keep])
+                done_begins.append(begin[~keep])
+                sym, word, place, rank, begin = sym[keep], word[keep], place[keep], rank[keep], begin[keep]
                 best, sizes = best[~done], sizes[~done]
                 if not len(sym):
                     break
             hit = np.flatnonzero(rank == np.repeat(best, sizes))
-            first = np.ones(len(hit), bool)
-            np.not_equal(word[hit][1:], word[hit][:-1], out=first[1:])
             # In a run of overlapping pairs every other one is merged.
-            start = first.copy()
-            start[1:] |= hit[1:] != hit[:-1] + 1
+            start = np.ones(len(hit), bool)
+            start[1:] = (hit[1:] != hit[:-1] + 1) | (word[hit[1:]] != word[hit[:-1]])
             run = np.arange(len(hit)) - np.maximum.accumulate(np.where(start, np.arange(len(hit)), 0))
-            hit = hit[(run % 2 == 0) & (first | ~self.single[place[hit]])]
+            hit = hit[run % 2 == 0]
+            stop, same = self.stops(hit, sym, word, place)
+            keep, touched = np.ones(len(sym), bool), np.zeros(len(sym), bool)
+            if stop.any():
+                apart = np.ones(len(hit), bool)
+                apart[1:] = (word[hit[1:]] != word[hit[:-1]]) | (begin[hit[1:]] - begin[hit[:-1]] > self.reach)
+                near, before = np.cumsum(apart) - 1, np.cumsum(stop) - stop
+                alike = np.logical_or.reduceat(same, np.flatnonzero(apart))[near]
+                for own in np.split(np.flatnonzero(alike), np.flatnonzero(np.diff(near[alike])) + 1) if alike.any() else ():
+                    at, new, gone = self.scanned(int(hit[own[0]]), int(hit[own[-1]]), sym, word, int(rank[hit[own[0]]]))
+                    sym[at], touched[at], keep[gone] = new, True, False
+                hit = hit[~alike & (before == before[apart][near])]
             sym[hit] = self.made[place[hit]]
-            keep = np.ones(len(sym), bool)
             keep[hit + 1] = False
-            now = hit - np.arange(len(hit))
-            sym, word, place = sym[keep], word[keep], place[keep]
-            redo = np.zeros(len(sym) + 1, bool)
-            redo[now] = redo[now - 1] = True
-            redo = np.flatnonzero(redo[:-1])
+            touched[hit] = True
+            sym, word, place, begin, touched = sym[keep], word[keep], place[keep], begin[keep], touched[keep]
+            redo = np.flatnonzero(touched | np.append(touched[1:], False))
             place[redo] = -1
             inner = redo[redo + 1 < len(sym)]
             inner = inner[word[inner] == word[inner + 1]]
             place[inner] = self.pairs(sym[inner], sym[inner + 1])
-        sym, word = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (syms, owners))
-        order = np.argsort(word, kind="stable")
-        return sym[order], np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(words)))])
-
-    def _by_rank(self, word: str) -> np.ndarray:
-        """As merged(), for one long word: the places of each rank's pairs are kept, so a round costs what it merges and not the word's length."""
-        sym = self.char[np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)].copy()
-        n = len(sym)
-        right, left = np.append(np.arange(1, n), -1), np.arange(-1, n - 1)
-        place = np.append(self.pairs(sym[:-1], sym[1:]), -1)
-        held: dict[int, list[np.ndarray]] = {}
-        ranks: list[int] = []
-
-        def keep(at: np.ndarray) -> None:
-            at = at[place[at] >= 0]
-            own = self.ranks[place[at]]
-            order = np.argsort(own, kind="stable")
-            at, own = at[order], own[order]
-            for part in np.split(at, np.flatnonzero(own[1:] != own[:-1]) + 1) if len(at) else ():
-                rank = int(self.ranks[place[part[0]]])
-                if rank not in held:
-                    held[rank] = []
-                    heapq.heappush(ranks, rank)
-                held[rank].append(part)
-
-        keep(np.arange(n))
-        while ranks:
-            rank = ranks[0]
-            at = np.unique(np.concatenate(held.pop(rank)))
-            at = at[self.ranks[place[at]] == rank]  # places that were merged or paired anew since are out
-            heapq.heappop(ranks)
-            if not len(at):
-                continue
-            # In a run of overlapping pairs every other one is merged; pairs to be merged one at a time after the first wait.
-            start = np.append(True, right[at[:-1]] != at[1:])
-            run = np.arange(len(at)) - np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-            hit = at[run % 2 == 0]
-            alone = self.single[place[at]]
-            if alone.any():
-                hit = at[(run % 2 == 0) & (~alone | (np.arange(len(at)) == 0))]
-                keep(np.setdiff1d(at, hit))
-            second = right[hit]
-            sym[hit] = self.made[place[hit]]
-            after = right[second]
-            right[hit] = after
-            left[after[after >= 0]] = hit[after >= 0]
-            place[second] = -1
-            right[second] = -2
-            redo = np.unique(np.concatenate([hit, left[hit][left[hit] >= 0]]))
-            redo = redo[right[redo] != -2]
-            place[redo] = -1
-            inner = redo[right[redo] >= 0]
-            place[inner] = self.pairs(sym[inner], sym[right[inner]])
-            keep(inner)
-        return sym[right != -2]
+        sym, begin = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (done_syms, done_begins))
+        order = np.argsort(begin, kind="stable")
+        return sym[order], np.append(0, np.searchsorted(begin[order], ends))
 
     def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of the words, one after the other, and the words' offsets; a character without a piece gives the ids of its bytes."""
