@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, line_dedup, passages, pii, piece_codec, quality, secret_scan, similar, token_counts, topk
+from . import decontaminate, importance, line_dedup, passages, pii, piece_codec, quality, secret_scan, similar, token_counts, topk, vector_codes
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -135,6 +135,62 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# The crc32 of a string is a fold over its bytes with a table of 256 values, which eight halvings of each number make.
+OP11_SQL = r"""
+WITH tab AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS UBIGINT), list_transform(range(8), lambda j: CAST(j AS UBIGINT))), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END)) AS t),
+src AS MATERIALIZED (SELECT doc_id AS id, 's' AS side, text FROM documents UNION ALL SELECT item_id, 't', text FROM benchmark),
+w AS MATERIALIZED (SELECT id, side, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM src),
+f AS MATERIALIZED (
+  SELECT id, side, unnest(ws) AS g FROM w
+  UNION ALL SELECT id, side, ws[p] || ' ' || ws[p + 1] FROM (SELECT id, side, ws, unnest(range(1, len(ws))) AS p FROM w)
+  UNION ALL SELECT id, side, ws[p] || ' ' || ws[p + 1] || ' ' || ws[p + 2] FROM (SELECT id, side, ws, unnest(range(1, len(ws) - 1)) AS p FROM w)),
+n AS MATERIALIZED (SELECT g, id, side, count(*) AS n FROM f GROUP BY ALL),
+x AS MATERIALIZED (SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM n)),
+b AS MATERIALIZED (
+  SELECT g, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(length(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS UBIGINT))), lambda c, e: xor(c // 256, t[CAST(xor(c % 256, e) AS BIGINT) + 1])), 4294967295::UBIGINT) % 10000 AS bucket
+  FROM x, tab),
+k AS MATERIALIZED (SELECT bucket, CAST(coalesce(sum(n) FILTER (WHERE side = 's'), 0) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (WHERE side = 't'), 0) AS DOUBLE) AS t FROM n JOIN b ON b.g = n.g GROUP BY bucket),
+a AS (SELECT sum(s) AS s, sum(t) AS t FROM k),
+gain AS MATERIALIZED (SELECT bucket, CAST(floor(1000 * ln(((k.t + 1) * (a.s + 10000)) / ((k.s + 1) * (a.t + 10000)))) AS BIGINT) AS gain FROM k, a),
+d AS (SELECT id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM n JOIN b ON b.g = n.g JOIN gain ON gain.bucket = b.bucket WHERE side = 's' GROUP BY id),
+r AS MATERIALIZED (
+  SELECT w.id AS doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('42:' || w.id)[1:8] AS UBIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM w LEFT JOIN d ON d.id = w.id WHERE side = 's'),
+p AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM r WHERE n_words >= 20)
+SELECT r.doc_id, n_features, weight, score, p.rank FROM r LEFT JOIN p ON p.doc_id = r.doc_id AND p.rank <= 5 * p.n // 100
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return codes.withColumn("codebooks_sha256", F.lit(vector_codes.digest(books)))
+
+
+def op13_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The codebooks' rounds as one materialised table after another."""
+    fine = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    steps = [
+        f"v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE {fine})",
+        f"s AS MATERIALIZED (SELECT vec_id, label, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS x FROM v, range({parts}) AS r(p))",
+        f"f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT {entries})",
+        "b0 AS MATERIALIZED (SELECT p, entry, x AS c FROM s JOIN f ON s.vec_id = f.vec_id)",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, label, p, x, entry, d FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, p ORDER BY d, entry) AS place FROM (
+  SELECT s.*, entry, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM s JOIN b{i} ON b{i}.p = s.p)) WHERE place = 1)""")
+        if i < rounds:
+            steps.append(f"""b{i + 1} AS MATERIALIZED (SELECT b{i}.p, b{i}.entry, coalesce(n.c, b{i}.c) AS c FROM b{i} LEFT JOIN (SELECT p, entry, list(m ORDER BY j) AS c FROM (
+  SELECT p, entry, j, CAST(floor(sum(y) / count(*)) AS BIGINT) AS m FROM (SELECT p, entry, unnest(x) AS y, generate_subscripts(x, 1) AS j FROM a{i}) GROUP BY ALL) GROUP BY ALL) n ON n.p = b{i}.p AND n.entry = b{i}.entry)""")
+    return f"""WITH {", ".join(steps)},
+e AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY ALL)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, entry)) FROM b{rounds}) AS codebooks_sha256 FROM e"""
+
+
 QUERIES = {
     "op1_passages": op1_passages,
     "op2_line_dedup": op2_line_dedup,
@@ -146,5 +202,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
+    "op11_importance": op11_importance,
+    "op13_vector_codes": op13_vector_codes,
 }
-SQL = {"op1_passages": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_similar": OP3_SQL, "op5_topk": OP5_SQL}
+SQL = {"op1_passages": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_similar": OP3_SQL, "op5_topk": OP5_SQL, "op11_importance": OP11_SQL, "op13_vector_codes": op13_sql()}

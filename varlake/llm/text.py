@@ -64,10 +64,10 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return data | (((data >= 65) & (data <= 90)).astype(np.uint8) << np.uint8(5))
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each text the index of its first word (one more at the end)."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, which the bytes of `apart` part, and for each text the index of its first word (one more at the end)."""
     n = int(offsets[-1])
-    inside = ~IS_SPACE[data[:n]]
+    inside = ~apart[data[:n]]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
