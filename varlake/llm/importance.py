@@ -1,8 +1,11 @@
 """Importance resampling towards a target: documents are drawn by how much more likely their n-grams are in the target's texts.
 
 The n-gram strings of all texts are counted in one dictionary. A task first counts the distinct strings of a slice of texts;
-these go, compressed in order, to the parts of the dictionary that a hash of the string names, and a part unites its slices'
-strings, hashes each distinct one once and adds its count to its bucket. The buckets' gains, of which there is a fixed
+these go, compressed in order, to the parts of the dictionary that a hash names, and a part unites its slices' strings,
+hashes each distinct one once and adds its count to its bucket. The longest n-grams go where the n-gram without their last
+word goes, so that only that word is sent; those of a start that more than HOT words follow in a slice are dealt by their
+whole string, so no part grows with a frequent start (of such strings, which few slices may deal otherwise, a part's sums
+are added as all sums are). The buckets' gains, of which there is a fixed
 number, are then joined to the feature counts of each document, whose distinct strings are looked up slice by slice.
 
 Within a slice, words are told apart by 64-bit hashes; the dictionary's keys are the strings themselves.
@@ -22,7 +25,8 @@ from . import text
 from .storage import default_parallelism, staged
 
 ORDERS, BUCKETS = 3, 10_000
-SLICE_BYTES, PART_BYTES = 8 << 20, 8 << 20  # text of a slice, and text that a part of the dictionary stands for, about
+SLICE_BYTES, PART_BYTES = 4 << 20, 8 << 20  # text of a slice, and text that a part of the dictionary stands for, about
+HOT = 64  # words that follow the start of the longest n-grams in a slice, from which these are dealt by their whole string
 LONG = 256  # bytes from which strings are hashed one by one
 
 # The ASCII bytes that part words, all but digits and letters.
@@ -55,7 +59,7 @@ def crc32s(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of sorted distinct keys: one place of each, its count, and for each place which of them it has."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     head = np.ones(len(keys), bool)
     head[1:] = keys[order][1:] != keys[order][:-1]
     which = np.empty(len(keys), np.int64)
@@ -64,35 +68,47 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order[at], np.diff(np.append(at, len(keys))), which
 
 
+def runs(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Runs of bytes, one after the other."""
+    ends = np.cumsum(size)
+    at = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)  # a slice or a part has less than 2 GB
+    at += np.repeat((begin - (ends - size)).astype(np.int32), size)
+    return data[at]
+
+
 class Features:
     """The n-grams of a slice of texts: words in lower case A-Z, joined by one space.
 
     data holds the words so joined; for each order there are the distinct n-grams, as runs of data (begin, size) with their
-    counts and a hash, and for each word that begins one its text and which of the distinct ones it is."""
+    counts and a hash; the words that begin one, and which of the distinct ones each of these is; and for each distinct one
+    which of the order below it starts with, and where its last word begins."""
 
     def __init__(self, column: pa.Array, orders: int = ORDERS):
         low, offsets = text.flat_bytes(column)
         low = text.lowered(low)
         starts, ends, first = text.word_bounds(low, offsets, APART)
-        self.words, size = np.diff(first), ends - starts
+        self.first, self.words, size = first, np.diff(first), ends - starts
         place = np.cumsum(size + 1) - (size + 1)
         self.data = np.full(int((size + 1).sum()) + 8, 32, np.uint8)
-        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        self.data[np.repeat(place, size) + within] = low[np.repeat(starts, size) + within]
+        inside = np.ones(len(self.data), bool)
+        inside[place + size] = inside[-8:] = False
+        self.data[inside] = runs(low, starts, size)
+        del inside
         owner = np.repeat(np.arange(len(self.words)), self.words)
         h = text.word_hashes(low, starts, ends)
         _, _, word = distinct(h)
         n_words = int(word.max(initial=0)) + 1
-        self.orders, longer, running = [], word, h
+        self.orders, longer, running, prior = [], word, h, word
         for k in range(1, orders + 1):
             if k > 1:
                 # The n-gram from word i is the one of an order less from i and then word i + k - 1.
+                prior = longer
                 longer = longer[:-1] * n_words + word[k - 1 :]
                 running = text.joined(running[:-1], h[k - 1 :])
             at = np.flatnonzero(np.arange(len(longer)) + k <= first[1:][owner[: len(longer)]]) if len(longer) else np.zeros(0, np.int64)
             one, count, which = distinct(longer[at])
             i = at[one]
-            self.orders.append((place[i], place[i + k - 1] + size[i + k - 1] - place[i], count, running[i], owner[at], which))
+            self.orders.append((place[i], place[i + k - 1] + size[i + k - 1] - place[i], count, running[i], at, which, prior[i], place[i + k - 1]))
             if k < orders and len(longer) > 1:
                 full = np.zeros(len(longer), np.int64)  # places that cross a text's end are never looked at
                 full[at] = which
@@ -101,27 +117,37 @@ class Features:
                 longer, running = longer[:0], running[:0]
 
     def dealt(self, parts: int) -> list[tuple[int, bytes, bytes]]:
-        """(part, strings, counts) of the slice's distinct n-grams; strings end with a line end, which no word has."""
+        """(part, strings, counts) of the slice's distinct n-grams. A string ends with a line end, which no word has; one that begins with a tab is the last word of an n-gram whose start is the last string before that doesn't."""
+        part_of = lambda h: ((h >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
         begin, size, count, h = (np.concatenate([o[j] for o in self.orders]) for j in range(4))
-        part = ((h >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        begin, size, count = begin[order], size[order], count[order]
-        ends = np.cumsum(size + 1)
-        flat = self.data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - size - 1), size + 1)]
-        flat[ends - 1] = 10
-        cuts = np.searchsorted(part[order], np.arange(parts + 1))
-        bounds = np.append(0, ends)[cuts]
-        pack = zstandard.ZstdCompressor(level=1).compress
-        return [(p, pack(flat[bounds[p] : bounds[p + 1]].tobytes()), pack(count[cuts[p] : cuts[p + 1]].astype(np.uint32).tobytes())) for p in np.flatnonzero(np.diff(cuts)).tolist()]
+        part, tail, group = part_of(h), np.zeros(len(h), bool), np.full(len(h), len(h))
+        if len(self.orders) > 1:
+            n = len(self.orders[-1][0])
+            start, low = self.orders[-1][6], len(h) - n - len(self.orders[-2][0])
+            group[low:-n or None] = np.arange(len(h) - n - low)
+            own = np.flatnonzero(np.bincount(start, minlength=1)[start] <= HOT) if n else np.zeros(0, np.int64)
+            at = len(h) - n + own
+            part[at], tail[at], group[at] = part[low + start[own]], True, start[own]
+            word = self.orders[-1][7][own]  # where the last word begins, after a space that the tab replaces
+            begin[at], size[at] = word - 1, begin[at] + size[at] - word + 1
+        order = np.argsort(2 * (part * (len(h) + 1) + group) + tail)
+        cuts = np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
+        pack, out = zstandard.ZstdCompressor(level=1).compress, []
+        for p in np.flatnonzero(np.diff(cuts)).tolist():
+            own = order[cuts[p] : cuts[p + 1]]
+            flat, ends = runs(self.data, begin[own], size[own] + 1), np.cumsum(size[own] + 1)
+            flat[ends - 1] = 10
+            flat[(ends - size[own] - 1)[tail[own]]] = 9
+            out.append((p, pack(flat.tobytes()), pack(count[own].astype(np.uint32).tobytes())))
+        return out
 
     def weights(self, gains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Feature count and summed gains of each text."""
         n, total = np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.int64)
-        for begin, size, _, _, owner, which in self.orders:
-            gain = gains[crc32s(self.data, begin, size) % len(gains)][which]
-            n += np.bincount(owner, minlength=len(n))
-            upto = np.append(0, np.cumsum(gain))
-            edge = np.searchsorted(owner, np.arange(len(n) + 1))
+        for begin, size, _, _, at, which, _, _ in self.orders:
+            upto = np.append(0, np.cumsum(gains[crc32s(self.data, begin, size) % len(gains)][which]))
+            edge = np.searchsorted(at, self.first)
+            n += np.diff(edge)
             total += upto[edge[1:]] - upto[edge[:-1]]
         return n, total
 
@@ -132,8 +158,16 @@ def united(rows: pa.Table, buckets: int) -> pa.Table:
     flat = np.frombuffer(b"".join(read(x) for x in rows.column("strings").to_pylist()), np.uint8)
     count = np.concatenate([np.frombuffer(read(x), np.uint32) for x in rows.column("counts").to_pylist()]).astype(np.int64)
     ends = np.flatnonzero(flat == 10)
-    flat, ends = flat[flat != 10], ends - np.arange(len(ends))
-    strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).tobytes()), pa.py_buffer(flat)])
+    begin = np.append(0, ends[:-1] + 1)
+    tail = flat[begin] == 9
+    head = np.maximum.accumulate(np.where(tail, 0, np.arange(len(ends))))
+    begin, size = begin + tail, ends - begin - tail
+    # Each string is its start, if it is a last word, with the line end after it as the space, and its own run.
+    both = np.stack([np.where(tail, size[head] + 1, 0), size], axis=1)
+    flat = runs(flat, np.stack([begin[head], begin], axis=1).ravel(), both.ravel())
+    flat[flat == 10] = 32
+    offsets = np.append(0, np.cumsum(both.sum(axis=1)))
+    strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
     found = pa.table({"s": strings, "n": count}).group_by("s").aggregate([("n", "sum")]).combine_chunks()
     own = found.column("s").combine_chunks()
     offsets = np.frombuffer(own.buffers()[1], np.int64)[own.offset : own.offset + len(own) + 1]
