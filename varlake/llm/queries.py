@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, importance, line_dedup, passages, pii, piece_codec, quality, secret_scan, similar, token_counts, topk, vector_codes
+from . import decontaminate, importance, line_dedup, passages, pii, piece_codec, quality, recurrent, secret_scan, similar, token_counts, topk, vector_codes
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -166,6 +166,10 @@ SELECT r.doc_id, n_features, weight, score, p.rank FROM r LEFT JOIN p ON p.doc_i
 """
 
 
+def op12_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent.score(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
     return codes.withColumn("codebooks_sha256", F.lit(vector_codes.digest(books)))
@@ -203,6 +207,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
     "op11_importance": op11_importance,
+    "op12_language_scores": op12_language_scores,
     "op13_vector_codes": op13_vector_codes,
 }
 SQL = {"op1_passages": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_similar": OP3_SQL, "op5_topk": OP5_SQL, "op11_importance": OP11_SQL, "op13_vector_codes": op13_sql()}
