@@ -260,7 +260,7 @@ def by_hand(value, key):
         return "ssn", f"{a + 1 + (a >= 665):03}-{b // 9999 + 1:02}-{b % 9999 + 1:04}"
     if "." in value and value.count(".") == 3:
         o = [int(x) for x in value.split(".")]
-        if max(o) > 255:
+        if max(o) > 255 or any(len(x) > 1 and x[0] == "0" for x in value.split(".")):
             return None
         a, b = mixed(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ip")
         return "ip", f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
@@ -271,7 +271,7 @@ def by_hand(value, key):
 
 def test_pseudonyms_against_a_plain_version(spark):
     rng = random.Random(2)
-    odd = ["1984-02-29", "2024-12-31", "666-12-3456", "899-99-9999", "900-01-0001", "001-01-0001", "255.255.255.255", "256.1.1.1", "4111111111111111", "4111111111111112", "1984-02-30", "x.y@a.b-c.org.", "+44 (020) 7946 0958"]
+    odd = ["1984-02-29", "2024-12-31", "666-12-3456", "899-99-9999", "900-01-0001", "001-01-0001", "255.255.255.255", "256.1.1.1", "0.0.0.0", "01.2.3.4", "001.002.003.004", "1.2.3.00", "4111111111111111", "4111111111111112", "1984-02-30", "x.y@a.b-c.org.", "+44 (020) 7946 0958"]
     extra = spark.createDataFrame([(10**6 + i, f"{rng.choice(['', 'at ', ':'])}{v}{rng.choice(['', ' x', ','])}") for i, v in enumerate(odd * 3)], "doc_id long, text string")
     docs = q.table(spark, DATA, "documents").select("doc_id", "text").unionByName(extra).cache()
     found = {r.doc_id: r for r in pii.pseudonymise(docs, "k").collect()}
@@ -382,6 +382,39 @@ def test_nested_secrets_at_any_depth():
     assert secret_scan.structural_spans(clean) == []
 
 
+def test_addresses_are_permuted(spark):
+    """Different addresses stay different and come back; those with leading zeros, which are other spellings of some, stay."""
+    rng = random.Random(5)
+    own = sorted({".".join(str(rng.choice([0, 1, 9, 10, 99, 100, 200, 255, rng.randrange(256)])) for _ in range(4)) for _ in range(20_000)})
+    odd = ["01.2.3.4", "001.002.003.004", "1.2.3.00", "1.2.3.256"]
+    frame = spark.createDataFrame(list(enumerate(own + odd)), "doc_id long, text string").repartition(4)
+    out = pii.pseudonymise(frame, "k").cache()
+    got = [r.text for r in out.sort("doc_id").collect()]
+    assert len(set(got)) == len(got) and got[len(own) :] == odd
+    assert all(str(int(x)) == x and int(x) < 256 for t in got[: len(own)] for x in t.split("."))
+    assert [r.text for r in pii.pseudonymise(out, "k", inverse=True).sort("doc_id").collect()] == own + odd
+
+
+def test_nested_secrets_in_any_language():
+    encoded = lambda t: base64.b64encode(t.encode()).decode()
+    for t in ("password=hunter22 and some filler", "password=hunter22 für alle Leute hier", "это секрет, password=hunter22", "秘密 token: abcdef123 です\r\n\tend"):
+        assert [secret_scan.KINDS[k] for _, k, _ in secret_scan.structural_spans("x " + encoded(t) + " y")] == ["nested"], t
+    for data in (b"password=hunter22 \xff\xfe and more", b"password=hunter22 \x00 and more"):
+        assert secret_scan.structural_spans("x " + base64.b64encode(data).decode() + " y") == []
+
+
+def test_many_secrets_in_one_text_take_linear_time():
+    import time
+
+    one = base64.b64encode(b"password=hunter22 and some filler").decode()
+    took = []
+    for n in (10_000, 100_000):
+        began = time.process_time()
+        assert len(secret_scan.structural_spans(f"{one} " * n)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 25 * took[0] + 1 and took[1] < 60
+
+
 def test_secrets_of_odd_rows(spark):
     rows = [(1, "", "a", "b"), (1, "secret: " + "x" * 300_000, "a", "b"), (None, "AKIA" + "B" * 30, None, None), (2, None, None, None), (3, "token=" + "0f" * 20, None, None)] * 2
     out = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, base string, spans string")).collect()

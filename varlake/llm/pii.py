@@ -149,7 +149,7 @@ def _ip(m: Column, key: str, inverse: bool) -> Column:
     def mapped(o: Column) -> Column:
         new = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), "ip", key, inverse)
         written = let(new, lambda s: F.concat_ws(".", F.floor(s["a"] / 256), s["a"] % 256, F.floor(s["b"] / 256), s["b"] % 256))
-        return F.when(F.forall(o, lambda x: x <= 255), written)
+        return F.when(F.forall(o, lambda x: x <= 255) & ~m.rlike(r"(?:^|\.)0[0-9]"), written)
 
     return let(F.split(m, "\\.").cast("array<long>"), mapped)
 
@@ -188,7 +188,7 @@ def pseudonymise(docs: DataFrame, key: str, inverse: bool = False, id_column: st
     """Columns doc_id, text with all valid personal data replaced, found array<struct(kind, value, new)> in order of place; one row for each row of docs.
 
     inverse maps numbers and dates back under the same key (addresses of mail can't be mapped back). Candidates that aren't
-    valid (a failing check digit, no such day or the year 0000, an octet over 255) stay as they are. Dates are mapped within
+    valid (a failing check digit, no such day or the year 0000, an octet over 255 or with a leading zero) stay as they are. Dates are mapped within
     their range of RANGES: 0001-01-01 to 1899-12-31, to 2099-11-12, to 9999-12-31. Of a domain of more than 127 labels the
     first ones count. Null texts stay null and empty ones empty, with nothing found; repeated rows stay; other columns aren't read.
     """

@@ -106,8 +106,18 @@ def key_structure(data: bytes) -> str | None:
     return "der_key" if is_der_key(data) else "ssh_key" if is_ssh_key(data) else None
 
 
-def is_text(data: bytes) -> bool:
-    return len(data) >= 16 and all(9 <= b < 127 for b in data)
+_CONTROLS = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f]")
+
+
+def as_text(data: bytes) -> str | None:
+    """The bytes as UTF-8 of 16 bytes or more without control characters other than white space; None if they are none."""
+    if len(data) < 16:
+        return None
+    try:
+        out = data.decode()
+    except UnicodeDecodeError:
+        return None
+    return None if _CONTROLS.search(out) else out
 
 
 def base_spans(t: str) -> tuple[list[tuple[int, int, int]], list[int]]:
@@ -152,18 +162,24 @@ def structural_spans(t: str) -> list[tuple[int, int, int]]:
             raw = from_base64(_ENDS.sub("", m[3]))
             if raw and (is_der_key(raw) or is_ssh_key(raw) or m[1].startswith("ENCRYPTED") and der(raw, 0, len(raw)) or _CIPHER.search(m[2]) and len(raw) >= 32 and len(raw) % 8 == 0):
                 found.append((m.start(), base + 1, m.end()))
-    tried = 0
+    # Candidates come in order, so it is enough to know where the hits that begin before one end at the latest.
+    tried, held, covered = 0, sorted(found), 0
+    at = 0
     for m in _RUN.finditer(t):
-        if not any(s <= m.start() < e for s, _, e in found):
+        while at < len(held) and held[at][0] <= m.start():
+            covered = max(covered, held[at][2])
+            at += 1
+        if m.start() >= covered:
             # Lines that an earlier run was joined with aren't joined again, so the time stays linear.
             joined = wrapped(t, m) if m.start() >= tried else [(m[0], m.end())]
             tried = max(tried, joined[0][1])
             made = [(d, end) for s, end in joined for d in decodings(s) if d]
             hit = next(((k, end) for d, end in made if (k := key_structure(d))), None)
-            if not hit and (inner := next(((d.decode("ascii"), end) for d, end in made if is_text(d)), None)) and (base_spans(inner[0])[0] or structural_spans(inner[0])):
+            if not hit and (inner := next(((t_, end) for d, end in made if (t_ := as_text(d)) is not None), None)) and (base_spans(inner[0])[0] or structural_spans(inner[0])):
                 hit = "nested", inner[1]
             if hit:
                 found.append((m.start(), KINDS.index(hit[0]), hit[1]))
+                covered = max(covered, hit[1])
     return sorted(found)
 
 
