@@ -26,9 +26,9 @@ from .storage import staged
 
 DICTIONARY, MODEL_WORDS, CLASSES = 65_536, 2_048, 32
 WORD_BYTES = 64  # longer words aren't put in the dictionary
-HIDDEN, WIDTH = 20, 20
-ROUNDS, STEPS, STREAMS, RATE, CLIP = 3, 16, 256, 0.004, 5.0
-SCORE_STEPS, SCORE_STREAMS = 64, 256
+HIDDEN, WIDTH = 16, 16
+ROUNDS, STEPS, STREAMS, RATE, CLIP = 3, 16, 256, 0.005, 5.0
+SCORE_STEPS, SCORE_STREAMS = 32, 384
 SLICE_BYTES = 8 << 20
 SEED = 11
 END, OTHER = 0, 1
@@ -94,7 +94,12 @@ def with_ends(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
 class Network:
@@ -123,19 +128,23 @@ class Network:
     def states(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
         """States after each step of inputs x (steps by streams), which begin anew where fresh; with keep, what backward() needs."""
         n, p = self.hidden, self.p
-        gates = p["embed"][x] @ p["w_in"] + p["bias"]
-        out, held = np.empty((*x.shape, n), h.dtype), []
+        gates = (p["embed"] @ p["w_in"] + p["bias"])[x]
+        out, held, stale = np.empty((*x.shape, n), h.dtype), [], (~fresh).astype(h.dtype)
+        anew = fresh.any(axis=1)
         for t in range(len(x)):
-            h = np.where(fresh[t][:, None], 0, h).astype(out.dtype)
+            h = h * stale[t][:, None] if anew[t] else h
             own = h @ p["w_state"]
             zr = sigmoid(gates[t, :, : 2 * n] + own[:, : 2 * n])
             z, r = zr[:, :n], zr[:, n:]
-            new = np.tanh(gates[t, :, 2 * n :] + r * own[:, 2 * n :])
+            new = r * own[:, 2 * n :]
+            new += gates[t, :, 2 * n :]
+            np.tanh(new, out=new)
             if keep:
                 held.append((h, z, r, new, own[:, 2 * n :]))
-            h = new + z * (h - new)
-            out[t] = h
-        return out, h, held
+            h = np.subtract(h, new, out=out[t])
+            h *= z
+            h += new
+        return out, h.copy(), held
 
     def runs(self, y: np.ndarray):
         """(class, places) of targets whose class has several words."""
@@ -148,8 +157,10 @@ class Network:
 
     @staticmethod
     def log_softmax(x: np.ndarray) -> np.ndarray:
-        x = x - x.max(axis=1, keepdims=True)
-        return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+        """In place."""
+        x -= x.max(axis=1, keepdims=True)
+        x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+        return x
 
     def log_probabilities(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural logarithms of the targets' probabilities after states h (rows)."""
@@ -188,19 +199,30 @@ class Network:
         into = into.reshape(*x.shape, n)
         gates = np.empty((*x.shape, 3 * n), out.dtype)
         back = np.zeros((x.shape[1], n), out.dtype)
+        back_w, anew, stale = np.ascontiguousarray(p["w_state"].T), fresh.any(axis=1), (~fresh).astype(out.dtype)
+        to_state = np.empty((len(x), x.shape[1], 3 * n), out.dtype)
         for step in range(len(x) - 1, -1, -1):
             prior, z, r, new, own = held[step]
             back = back + into[step]
-            dn = back * (1 - z) * (1 - new * new)
-            dz = back * (prior - new) * z * (1 - z)
-            dr = dn * own * r * (1 - r)
-            gates[step, :, :n], gates[step, :, n : 2 * n], gates[step, :, 2 * n :] = dz, dr, dn
-            to_state = np.concatenate([dz, dr, dn * r], axis=1)
-            g["w_state"] += prior.T @ to_state
-            back = np.where(fresh[step][:, None], 0, back * z + to_state @ p["w_state"].T).astype(out.dtype)
-        flat = gates.reshape(-1, 3 * n)
-        g["w_in"], g["bias"] = p["embed"][x.ravel()].T @ flat, flat.sum(axis=0)
-        np.add.at(g["embed"], x.ravel(), flat @ p["w_in"].T)
+            dz, dr, dn, way = gates[step, :, :n], gates[step, :, n : 2 * n], gates[step, :, 2 * n :], to_state[step]
+            np.multiply(back, 1 - z, out=dn)
+            dn *= 1 - new * new
+            np.multiply(back, prior - new, out=dz)
+            dz *= z - z * z
+            np.multiply(dn, own, out=dr)
+            dr *= r - r * r
+            way[:, : 2 * n] = gates[step, :, : 2 * n]
+            np.multiply(dn, r, out=way[:, 2 * n :])
+            back *= z
+            back += way @ back_w
+            if anew[step]:
+                back *= stale[step][:, None]
+        g["w_state"] = np.concatenate([k[0] for k in held]).T @ to_state.reshape(-1, 3 * n)
+        flat, xs = gates.reshape(-1, 3 * n), x.ravel()
+        g["w_in"], g["bias"] = p["embed"][xs].T @ flat, flat.sum(axis=0)
+        order = np.argsort(xs)
+        heads = np.flatnonzero(np.append(True, xs[order][1:] != xs[order][:-1]))
+        g["embed"][xs[order][heads]] = np.add.reduceat((flat @ p["w_in"].T)[order], heads, axis=0)
         return g, float(cost), h
 
 
