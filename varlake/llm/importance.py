@@ -25,7 +25,7 @@ from . import text
 from .storage import default_parallelism, staged
 
 ORDERS, BUCKETS = 3, 10_000
-SLICE_BYTES, PART_BYTES = 4 << 20, 8 << 20  # text of a slice, and text that a part of the dictionary stands for, about
+SLICE_BYTES, PART_BYTES = 4 << 20, 2 << 20  # text of a slice, and text that a part of the dictionary stands for, about
 HOT = 64  # words that follow the start of the longest n-grams in a slice, from which these are dealt by their whole string
 LONG = 256  # bytes from which strings are hashed one by one
 
@@ -108,7 +108,8 @@ class Features:
             at = np.flatnonzero(np.arange(len(longer)) + k <= first[1:][owner[: len(longer)]]) if len(longer) else np.zeros(0, np.int64)
             one, count, which = distinct(longer[at])
             i = at[one]
-            self.orders.append((place[i], place[i + k - 1] + size[i + k - 1] - place[i], count, running[i], at, which, prior[i], place[i + k - 1]))
+            made = (place[i], place[i + k - 1] + size[i + k - 1] - place[i], count, running[i], at, which, prior[i], place[i + k - 1])
+            self.orders.append(tuple(x if x.dtype == np.uint64 else x.astype(np.int32) for x in made))
             if k < orders and len(longer) > 1:
                 full = np.zeros(len(longer), np.int64)  # places that cross a text's end are never looked at
                 full[at] = which
@@ -120,7 +121,7 @@ class Features:
         """(part, strings, counts) of the slice's distinct n-grams. A string ends with a line end, which no word has; one that begins with a tab is the last word of an n-gram whose start is the last string before that doesn't."""
         part_of = lambda h: ((h >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
         begin, size, count, h = (np.concatenate([o[j] for o in self.orders]) for j in range(4))
-        part, tail, group = part_of(h), np.zeros(len(h), bool), np.full(len(h), len(h))
+        part, tail, group = part_of(h), np.zeros(len(h), bool), np.full(len(h), len(h), np.int32)
         if len(self.orders) > 1:
             n = len(self.orders[-1][0])
             start, low = self.orders[-1][6], len(h) - n - len(self.orders[-2][0])
@@ -167,13 +168,16 @@ def united(rows: pa.Table, buckets: int) -> pa.Table:
     flat = runs(flat, np.stack([begin[head], begin], axis=1).ravel(), both.ravel())
     flat[flat == 10] = 32
     offsets = np.append(0, np.cumsum(both.sum(axis=1)))
-    strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+    del begin, size, head, tail, both
+    strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
     found = pa.table({"s": strings, "n": count}).group_by("s").aggregate([("n", "sum")]).combine_chunks()
     own = found.column("s").combine_chunks()
     offsets = np.frombuffer(own.buffers()[1], np.int64)[own.offset : own.offset + len(own) + 1]
     sums = np.zeros(buckets, np.int64)
     np.add.at(sums, crc32s(np.frombuffer(own.buffers()[2], np.uint8), offsets[:-1], np.diff(offsets)) % buckets, found.column("n_sum").to_numpy())
     at = np.flatnonzero(sums)
+    del strings, found, own, flat
+    pa.default_memory_pool().release_unused()  # the worker lives on, and shares its memory with others
     return pa.table({"bucket": at, "n": sums[at]})
 
 
@@ -182,7 +186,7 @@ def bucket_counts(texts: DataFrame, buckets: int = BUCKETS, orders: int = ORDERS
     spark = texts.sparkSession
     rows = texts.select(F.col(f"`{text_column}`").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(4 * default_parallelism(spark), -(-size // PART_BYTES))
+    parts = max(8 * default_parallelism(spark), -(-size // PART_BYTES))
 
     def run(batches):
         for batch in text.chunks(batches, size=SLICE_BYTES):
