@@ -26,7 +26,7 @@ def small(dtype=np.float64):
 def test_gradients_are_those_of_differences():
     words, network, rng = small()
     x, y = rng.integers(0, words.size, (2, 6, 3))
-    valid, fresh, h = rng.random((6, 3)) > 0.2, rng.random((6, 3)) > 0.7, rng.normal(0, 1, (3, 5))
+    valid, fresh, h = rng.random((6, 3)) > 0.2, rng.random((6, 3)) > 0.7, rng.normal(0, 1, (5, 3))
     g, _, _ = network.slopes(x, y, valid, fresh, h)
     cost = lambda: network.slopes(x, y, valid, fresh, h)[1] / valid.sum()
     for k, values in network.p.items():
@@ -43,7 +43,7 @@ def test_gradients_are_those_of_differences():
 
 def test_probabilities_of_all_words_add_up_to_one():
     words, network, rng = small()
-    h = rng.normal(0, 1, (1, 5)).repeat(words.size, axis=0)
+    h = rng.normal(0, 1, (5, 1)).repeat(words.size, axis=1)
     assert np.exp(network.log_probabilities(h, np.arange(words.size))).sum() == pytest.approx(1)
     # A word that the network doesn't know has its symbol's probability times its share among such words.
     outside = 10 ** (words.base[words.size - 2 :] - words.log_other)
@@ -61,7 +61,7 @@ def test_states_are_carried_over_windows(monkeypatch):
     symbols[first[1:] - 1] = recurrent.END
     got = recurrent.log_likelihoods(network, symbols, first)
     for a, b, value in zip(first, first[1:], got):
-        h, last, total = np.zeros((1, 5)), recurrent.END, 0.0
+        h, last, total = np.zeros((5, 1)), recurrent.END, 0.0
         for y in symbols[a:b]:
             out, h, _ = network.states(np.array([[last]]), np.array([[False]]), h)
             total += network.log_probabilities(out[0], np.array([y]))[0]

@@ -24,13 +24,14 @@ from ..shipping import ship_package
 from . import text
 from .storage import staged
 
-DICTIONARY, MODEL_WORDS, CLASSES = 65_536, 2_048, 32
+DICTIONARY, MODEL_WORDS, CLASSES = 65_536, 1_024, 16
 WORD_BYTES = 64  # longer words aren't put in the dictionary
-HIDDEN, WIDTH = 16, 16
-ROUNDS, STEPS, STREAMS, RATE, CLIP = 3, 16, 256, 0.005, 5.0
+HIDDEN, WIDTH = 12, 12
+ROUNDS, STEPS, STREAMS, RATE, CLIP = 3, 16, 512, 0.006, 5.0
 SCORE_STEPS, SCORE_STREAMS = 32, 384
-SLICE_BYTES = 8 << 20
+SLICE_BYTES, HELD_TOKENS = 4 << 20, 4 << 20  # text of a slice, and tokens of slices that are scored together, so that long texts of several run side by side
 SEED = 11
+HELD_WORDS = 1 << 20  # words of a task's slices that are united before they are sent
 END, OTHER = 0, 1
 ORDER = ("embed", "w_in", "w_state", "bias", "w_class", "b_class", "w_word", "b_word")
 
@@ -93,15 +94,6 @@ def with_ends(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     return out, first + np.arange(n + 1)
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x *= 0.5
-    np.tanh(x, out=x)
-    x *= 0.5
-    x += 0.5
-    return x
-
-
 class Network:
     """Gated recurrent units and a softmax over classes and then over the words of a class."""
 
@@ -125,24 +117,31 @@ class Network:
             self.p[k] = flat[at : at + self.p[k].size].reshape(self.p[k].shape).astype(self.p[k].dtype)
             at += self.p[k].size
 
+    # Arrays have features before streams or targets, so that each gate is one run of memory.
+
     def states(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
-        """States after each step of inputs x (steps by streams), which begin anew where fresh; with keep, what backward() needs."""
+        """States (steps, features, streams) after each step of inputs x (steps by streams), which begin anew where fresh, from h (features by streams); the last one; with keep, what slopes() needs."""
         n, p = self.hidden, self.p
-        gates = (p["embed"] @ p["w_in"] + p["bias"])[x]
-        out, held, stale = np.empty((*x.shape, n), h.dtype), [], (~fresh).astype(h.dtype)
-        anew = fresh.any(axis=1)
-        for t in range(len(x)):
-            h = h * stale[t][:, None] if anew[t] else h
-            own = h @ p["w_state"]
-            zr = sigmoid(gates[t, :, : 2 * n] + own[:, : 2 * n])
-            z, r = zr[:, :n], zr[:, n:]
-            new = r * own[:, 2 * n :]
-            new += gates[t, :, 2 * n :]
+        half = np.repeat(np.array([0.5, 1], h.dtype), [2 * n, n])  # a sigmoid is a hyperbolic tangent of half the input
+        gates = np.ascontiguousarray(((p["embed"] @ p["w_in"] + p["bias"]) * half)[x].swapaxes(1, 2))
+        w = np.ascontiguousarray((p["w_state"] * half).T)
+        out, held, stale = np.empty((len(x), n, x.shape[1]), h.dtype), [], (~fresh).astype(h.dtype)
+        for t, (g, anew) in enumerate(zip(gates, fresh.any(axis=1).tolist())):
+            if anew:
+                h = h * stale[t]
+            own = w @ h
+            zr = g[: 2 * n]
+            zr += own[: 2 * n]
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            new = zr[n:] * own[2 * n :]
+            new += g[2 * n :]
             np.tanh(new, out=new)
             if keep:
-                held.append((h, z, r, new, own[:, 2 * n :]))
+                held.append((h, zr[:n], zr[n:], new, own[2 * n :]))
             h = np.subtract(h, new, out=out[t])
-            h *= z
+            h *= zr[:n]
             h += new
         return out, h.copy(), held
 
@@ -150,25 +149,29 @@ class Network:
         """(class, places) of targets whose class has several words."""
         cls = self.cls[y]
         order = np.argsort(cls, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(cls[order])) + 1) if len(order) else ():
-            c = cls[part[0]]
-            if self.edge[c + 1] - self.edge[c] > 1:
-                yield c, part
+        cuts = np.searchsorted(cls[order], np.arange(len(self.edge)))
+        for c in np.flatnonzero(np.diff(cuts) * (np.diff(self.edge) > 1)).tolist():
+            yield c, order[cuts[c] : cuts[c + 1]]
 
     @staticmethod
     def log_softmax(x: np.ndarray) -> np.ndarray:
-        """In place."""
-        x -= x.max(axis=1, keepdims=True)
-        x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+        """Over the first axis, in place."""
+        x -= x.max(axis=0)
+        x -= np.log(np.exp(x).sum(axis=0))
         return x
 
-    def log_probabilities(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the targets' probabilities after states h (rows)."""
-        p = self.p
-        out = self.log_softmax(h @ p["w_class"] + p["b_class"])[np.arange(len(y)), self.cls[y]].astype(np.float64)
+    def class_logs(self, s: np.ndarray) -> np.ndarray:
+        return self.log_softmax(self.p["w_class"].T @ s + self.p["b_class"][:, None])
+
+    def word_logs(self, s: np.ndarray, a: int, b: int) -> np.ndarray:
+        return self.log_softmax(self.p["w_word"][a:b] @ s + self.p["b_word"][a:b, None])
+
+    def log_probabilities(self, s: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the targets' probabilities after states s (features by targets)."""
+        out = self.class_logs(s)[self.cls[y], np.arange(len(y))].astype(np.float64)
         for c, at in self.runs(y):
             a, b = self.edge[c], self.edge[c + 1]
-            out[at] += self.log_softmax(h[at] @ p["w_word"][a:b].T + p["b_word"][a:b])[np.arange(len(at)), y[at] - a]
+            out[at] += self.word_logs(s[:, at], a, b)[y[at] - a, np.arange(len(at))]
         return out
 
     def slopes(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[dict, float, np.ndarray]:
@@ -176,54 +179,61 @@ class Network:
         n, p = self.hidden, self.p
         out, h, held = self.states(x, fresh, h, True)
         at = np.flatnonzero(valid.ravel())
-        s, t = out.reshape(-1, n)[at], y.ravel()[at]
+        every = len(at) == x.size
+        s = np.ascontiguousarray(out.swapaxes(0, 1)).reshape(n, -1)
+        s, t = s if every else s[:, at], y.ravel()[at]
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        logs = self.log_softmax(s @ p["w_class"] + p["b_class"])
-        cost = -logs[np.arange(len(t)), self.cls[t]].astype(np.float64).sum()
-        d = np.exp(logs)
-        d[np.arange(len(t)), self.cls[t]] -= 1
-        d /= len(t)
-        g["w_class"], g["b_class"] = s.T @ d, d.sum(axis=0)
-        ds = d @ p["w_class"].T
+
+        def turned(logs, rows):
+            """Logarithms into the slopes of their loss; the loss."""
+            here = np.arange(len(rows))
+            cost = -float(logs[rows, here].astype(np.float64).sum())
+            d = np.exp(logs, out=logs)
+            d[rows, here] -= 1
+            d /= len(t)
+            return d, cost
+
+        d, cost = turned(self.class_logs(s), self.cls[t])
+        g["w_class"], g["b_class"] = s @ d.T, d.sum(axis=1)
+        ds = p["w_class"] @ d
         for c, rows in self.runs(t):
             a, b = self.edge[c], self.edge[c + 1]
-            logs = self.log_softmax(s[rows] @ p["w_word"][a:b].T + p["b_word"][a:b])
-            cost -= logs[np.arange(len(rows)), t[rows] - a].astype(np.float64).sum()
-            d = np.exp(logs)
-            d[np.arange(len(rows)), t[rows] - a] -= 1
-            d /= len(t)
-            g["w_word"][a:b], g["b_word"][a:b] = d.T @ s[rows], d.sum(axis=0)
-            ds[rows] += d @ p["w_word"][a:b]
-        into = np.zeros((x.size, n), out.dtype)
-        into[at] = ds
-        into = into.reshape(*x.shape, n)
-        gates = np.empty((*x.shape, 3 * n), out.dtype)
-        back = np.zeros((x.shape[1], n), out.dtype)
-        back_w, anew, stale = np.ascontiguousarray(p["w_state"].T), fresh.any(axis=1), (~fresh).astype(out.dtype)
-        to_state = np.empty((len(x), x.shape[1], 3 * n), out.dtype)
+            own = s[:, rows]
+            d, more = turned(self.word_logs(own, a, b), t[rows] - a)
+            cost += more
+            g["w_word"][a:b], g["b_word"][a:b] = d @ own.T, d.sum(axis=1)
+            ds[:, rows] += p["w_word"][a:b].T @ d
+        into = ds if every else np.zeros((n, x.size), out.dtype)
+        if not every:
+            into[:, at] = ds
+        into = np.ascontiguousarray(into.reshape(n, *x.shape).swapaxes(0, 1))
+        gates = np.empty((len(x), 3 * n, x.shape[1]), out.dtype)
+        way = np.empty_like(gates)
+        back, stale, anew = np.zeros((n, x.shape[1]), out.dtype), (~fresh).astype(out.dtype), fresh.any(axis=1).tolist()
         for step in range(len(x) - 1, -1, -1):
             prior, z, r, new, own = held[step]
-            back = back + into[step]
-            dz, dr, dn, way = gates[step, :, :n], gates[step, :, n : 2 * n], gates[step, :, 2 * n :], to_state[step]
+            back += into[step]
+            dz, dr, dn = gates[step, :n], gates[step, n : 2 * n], gates[step, 2 * n :]
             np.multiply(back, 1 - z, out=dn)
             dn *= 1 - new * new
             np.multiply(back, prior - new, out=dz)
             dz *= z - z * z
             np.multiply(dn, own, out=dr)
             dr *= r - r * r
-            way[:, : 2 * n] = gates[step, :, : 2 * n]
-            np.multiply(dn, r, out=way[:, 2 * n :])
+            way[step, : 2 * n] = gates[step, : 2 * n]
+            np.multiply(dn, r, out=way[step, 2 * n :])
             back *= z
-            back += way @ back_w
+            back += p["w_state"] @ way[step]
             if anew[step]:
-                back *= stale[step][:, None]
-        g["w_state"] = np.concatenate([k[0] for k in held]).T @ to_state.reshape(-1, 3 * n)
-        flat, xs = gates.reshape(-1, 3 * n), x.ravel()
-        g["w_in"], g["bias"] = p["embed"][xs].T @ flat, flat.sum(axis=0)
+                back *= stale[step]
+        flat = lambda a: np.ascontiguousarray(a.swapaxes(0, 1)).reshape(a.shape[1], -1)
+        g["w_state"] = flat(np.stack([k[0] for k in held])) @ flat(way).T
+        gates, xs = flat(gates), x.ravel()
         order = np.argsort(xs)
         heads = np.flatnonzero(np.append(True, xs[order][1:] != xs[order][:-1]))
-        g["embed"][xs[order][heads]] = np.add.reduceat((flat @ p["w_in"].T)[order], heads, axis=0)
-        return g, float(cost), h
+        g["w_in"], g["bias"] = p["embed"][xs].T @ gates.T, gates.sum(axis=1)
+        g["embed"][xs[order][heads]] = np.add.reduceat((p["w_in"] @ gates)[:, order], heads, axis=1).T
+        return g, cost, h
 
 
 class Trainer:
@@ -242,7 +252,7 @@ class Trainer:
         x = np.append(END, symbols[:-1])
         grid = lambda v, pad: np.concatenate([v, np.full(streams * size - n, pad, v.dtype)]).reshape(streams, size).T
         xs, ys, valid, fresh = grid(x, END), grid(symbols, END), grid(np.ones(n, bool), False), grid(x == END, True)
-        h = np.zeros((streams, self.network.hidden), self.network.p["bias"].dtype)
+        h = np.zeros((self.network.hidden, streams), self.network.p["bias"].dtype)
         for a in range(0, size, STEPS):
             own = valid[a : a + STEPS]
             if own.any():
@@ -282,7 +292,7 @@ def log_likelihoods(network: Network, symbols: np.ndarray, first: np.ndarray) ->
     starts[first[:-1]] = True
     x[starts] = END
     logs = np.zeros(len(symbols))
-    h = np.zeros((len(rows), network.hidden), network.p["bias"].dtype)
+    h = np.zeros((network.hidden, len(rows)), network.p["bias"].dtype)
     for a in range(0, int(long[0]), SCORE_STEPS):
         active = int((long > a).sum())
         steps = min(SCORE_STEPS, int(long[0]) - a)
@@ -291,12 +301,21 @@ def log_likelihoods(network: Network, symbols: np.ndarray, first: np.ndarray) ->
             part = rows[i][a : a + steps]
             at[: len(part), i] = part
         inside = at >= 0
-        out, h, _ = network.states(np.where(inside, x[at], END), np.where(inside, starts[at], True), h[:active])
+        out, h, _ = network.states(np.where(inside, x[at], END), np.where(inside, starts[at], True), h[:, :active])
         own = at[inside]
-        logs[own] = network.log_probabilities(out[inside], symbols[own])
+        logs[own] = network.log_probabilities(np.ascontiguousarray(out.swapaxes(0, 1)[:, inside]), symbols[own])
     return np.add.reduceat(logs, first[:-1])
 
 
+def scored(network: Network, held: list) -> list[pa.RecordBatch]:
+    """The rows of slices (columns, what is added to a text's score, symbols) with their texts' scores, all texts at once."""
+    sizes = np.concatenate([columns[1].to_numpy() for columns, _, _ in held])
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    logs = log_likelihoods(network, np.concatenate([symbols for _, _, symbols in held]), first) / np.log(10)
+    parts = np.split(logs, np.cumsum([len(more) for _, more, _ in held])[:-1])
+    return [pa.RecordBatch.from_arrays([*columns[:4], pa.array(own + more), *columns[4:]], ["doc_id", "n_tokens", "n_known", "base", "own", "n_rare", "rare"]) for (columns, more, _), own in zip(held, parts)]
+
+
 def held_out(id_column):
     """Texts kept from learning: crc32 of the id as text, modulo 7, is 2."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 7 == 2, F.lit(False))
@@ -306,11 +325,24 @@ def count_words(texts: DataFrame) -> DataFrame:
     """word and n of all texts(text_); the null word stands for the texts' ends."""
 
     def run(batches):
+        ends, held, n_held = 0, [], 0
+
+        def united():
+            words = pa.concat_arrays([w for w, _ in held])
+            found = pa.table({"word": words, "n": np.concatenate([n for _, n in held])}).group_by("word").aggregate([("n", "sum")])
+            return pa.RecordBatch.from_arrays([found.column("word").combine_chunks(), found.column("n_sum").combine_chunks()], ["word", "n"])
+
         for batch in text.chunks(batches, "text_", SLICE_BYTES):
             own = Tokens(batch.column("text_"))
             _, at, n = np.unique(own.hashes, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([own.strings(at), pa.array(n, pa.int64())], ["word", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([batch.num_rows], pa.int64())], ["word", "n"])
+            held.append((own.strings(at), n))
+            ends, n_held = ends + batch.num_rows, n_held + len(at)
+            if n_held >= HELD_WORDS:
+                yield united()
+                held, n_held = [], 0
+        if held:
+            yield united()
+        yield pa.RecordBatch.from_arrays([pa.array([None] if ends else [], pa.string()), pa.array([ends] if ends else [], pa.int64())], ["word", "n"])
 
     return text.mapped(texts.select("text_"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -375,16 +407,16 @@ def score(docs: DataFrame, rounds: int = ROUNDS, dictionary: int = DICTIONARY, m
 
     def run(batches):
         vocabulary, network = sent.value
+        held, tokens = [], 0
         for batch in text.chunks(batches, "text_", SLICE_BYTES):
             own = Tokens(batch.column("text_"))
             place, n = vocabulary.places(own.hashes), batch.num_rows
             symbols, first = with_ends(vocabulary.symbols(place), own.first)
-            logs = log_likelihoods(network, symbols, first) / np.log(10)
             doc = np.repeat(np.arange(n), np.diff(own.first))
             known, other = place >= 0, place >= vocabulary.size - 2
             base = np.bincount(doc[known], weights=vocabulary.base[place[known]], minlength=n) + vocabulary.base_end
             more = np.bincount(doc[other], weights=vocabulary.base[place[other]], minlength=n)  # of the words that the dictionary has and the network hasn't
-            n_other = np.bincount(doc[other | ~known], minlength=n)
+            more = more - np.bincount(doc[other | ~known], minlength=n) * vocabulary.log_other
             # Words out of the dictionary, each once a text with its count.
             at = np.flatnonzero(~known)
             order = at[np.lexsort((own.hashes[at], doc[at]))]
@@ -393,10 +425,14 @@ def score(docs: DataFrame, rounds: int = ROUNDS, dictionary: int = DICTIONARY, m
             heads = np.flatnonzero(head)
             rare = pa.StructArray.from_arrays([own.strings(order[heads]), pa.array(np.diff(np.append(heads, len(order))), pa.int64())], ["word", "k"])
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[order[heads]], np.arange(n + 1)), pa.int32()), rare)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id_"), *map(pa.array, (np.diff(first), np.bincount(doc[known], minlength=n), base, logs + more - n_other * vocabulary.log_other, np.bincount(doc[~known], minlength=n))), lists],
-                ["doc_id", "n_tokens", "n_known", "base", "own", "n_rare", "rare"],
-            )
+            columns = [batch.column("id_"), *map(pa.array, (np.diff(first), np.bincount(doc[known], minlength=n), base, np.bincount(doc[~known], minlength=n))), lists]
+            held.append((columns, more, symbols.astype(np.int32)))
+            tokens += len(symbols)
+            if tokens >= HELD_TOKENS:
+                yield from scored(network, held)
+                held, tokens = [], 0
+        if held:
+            yield from scored(network, held)
 
     made = text.mapped(rows, run, "doc_id long, n_tokens long, n_known long, base double, own double, n_rare long, rare array<struct<word: string, k: long>>")
     made = staged(made.withColumn("row_", F.monotonically_increasing_id()), "language_scores")
