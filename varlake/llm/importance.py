@@ -8,7 +8,7 @@ whole string, so no part grows with a frequent start (of such strings, which few
 are added as all sums are). The buckets' gains, of which there is a fixed
 number, are then joined to the feature counts of each document, whose distinct strings are looked up slice by slice.
 
-Within a slice, words are told apart by 64-bit hashes; the dictionary's keys are the strings themselves.
+Words of a slice, and the dictionary's strings, are told apart by 64-bit hashes (and the strings' sizes).
 """
 
 from __future__ import annotations
@@ -167,18 +167,17 @@ def united(rows: pa.Table, buckets: int) -> pa.Table:
     both = np.stack([np.where(tail, size[head] + 1, 0), size], axis=1)
     flat = runs(flat, np.stack([begin[head], begin], axis=1).ravel(), both.ravel())
     flat[flat == 10] = 32
-    offsets = np.append(0, np.cumsum(both.sum(axis=1)))
-    del begin, size, head, tail, both
-    strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
-    found = pa.table({"s": strings, "n": count}).group_by("s").aggregate([("n", "sum")]).combine_chunks()
-    own = found.column("s").combine_chunks()
-    offsets = np.frombuffer(own.buffers()[1], np.int64)[own.offset : own.offset + len(own) + 1]
+    size = both.sum(axis=1)
+    begin = np.cumsum(size) - size
+    h = text.word_hashes(np.append(flat, np.zeros(8, np.uint8)), begin, begin + size)
+    order = np.argsort(h)
+    new = np.ones(len(order), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (size[order][1:] != size[order][:-1])
+    heads = np.flatnonzero(new)
+    one = order[heads]
     sums = np.zeros(buckets, np.int64)
-    np.add.at(sums, crc32s(np.frombuffer(own.buffers()[2], np.uint8), offsets[:-1], np.diff(offsets)) % buckets, found.column("n_sum").to_numpy())
-    at = np.flatnonzero(sums)
-    del strings, found, own, flat
-    pa.default_memory_pool().release_unused()  # the worker lives on, and shares its memory with others
-    return pa.table({"bucket": at, "n": sums[at]})
+    np.add.at(sums, crc32s(flat, begin[one], size[one]) % buckets, np.add.reduceat(count[order], heads))
+    return pa.table({"sums": pa.array([sums.tobytes()], pa.binary())})
 
 
 def bucket_counts(texts: DataFrame, buckets: int = BUCKETS, orders: int = ORDERS, text_column: str = "text") -> np.ndarray:
@@ -195,8 +194,17 @@ def bucket_counts(texts: DataFrame, buckets: int = BUCKETS, orders: int = ORDERS
                 part, strings, counts = zip(*dealt[a : a + 64])
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(strings, pa.binary()), pa.array(counts, pa.binary())], ["part", "strings", "counts"])
 
+    def added(batches):
+        total = np.zeros(buckets, np.int64)
+        for batch in batches:
+            for sums in batch.column("sums").to_pylist():
+                total += np.frombuffer(sums, np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+
     blobs = text.mapped(rows, run, "part long, strings binary, counts binary")
-    sums = blobs.groupBy("part").applyInArrow(lambda t: united(t, buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # a row for each bucket
+    parts_ = blobs.groupBy("part").applyInArrow(lambda t: united(t, buckets), "sums binary")
+    sums = text.mapped(parts_, added, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # a row for each bucket
     out = np.zeros(buckets, np.int64)
     for r in sums:
         out[r["bucket"]] = r["n"]
