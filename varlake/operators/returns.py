@@ -92,9 +92,12 @@ def log_target(frame: DataFrame, value: str, lower: float = 0.01) -> DataFrame:
 
 
 def resolved_target(frame: DataFrame, value: str) -> DataFrame:
-    """The proxy where it covers all rows of a series, squared returns otherwise."""
-    covered = frame.groupBy("series").agg(F.every(F.col(value).isNotNull()).alias("covered"))
-    return frame.join(covered, "series").withColumn("target", F.when(F.col("covered"), F.col(value)).otherwise(squared(F.col("ret"))))
+    """The proxy where it covers all rows of a series, squared returns otherwise; a value that isn't finite is an error when the rows are read."""
+    x = F.col(value).cast("double")
+    covered = frame.groupBy("series").agg(F.every(x.isNotNull()).alias("covered"), F.some(F.isnan(x) | (F.abs(x) == float("inf"))).alias("odd"))
+    odd = F.raise_error(F.concat(F.lit(f"{value} is not finite in series "), F.col("series"))).cast("double")
+    target = F.when(F.coalesce("odd", F.lit(False)), odd).when(F.col("covered"), x).otherwise(squared(F.col("ret")))
+    return frame.join(covered, "series").withColumn("target", target).drop("odd")
 
 
 def smearing(actual_log: Column, fitted_log: Column) -> Column:
