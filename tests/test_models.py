@@ -8,13 +8,15 @@ from varlake.functions import special
 from varlake import catalog
 from varlake.operators import confidence, features, losses, normality, resampling, returns
 from varlake.plans import forecasting, garch
-from varlake.sources import bars
+
 from varlake.streaming import live_bars, live_variance
 
+from . import simulated
+
 
 @pytest.fixture(scope="module")
 def rows(spark):
-    return bars.synthetic_returns(spark, [0]).cache()
+    return simulated.synthetic_returns(spark, [0]).cache()
 
 
 def test_parameters_recovered():
@@ -65,7 +67,7 @@ def test_forecast_on_refit_day_is_plain_fit_then_forecast(rows):
 
 def test_a_second_series_changes_nothing(spark, rows):
     one = forecasting.evaluate(rows, [("GARCH", "normal")], 700, 12, 10).toPandas()
-    both = forecasting.evaluate(bars.synthetic_returns(spark, [0, 5]), [("GARCH", "normal")], 700, 12, 10).where("series = '0'").toPandas()
+    both = forecasting.evaluate(simulated.synthetic_returns(spark, [0, 5]), [("GARCH", "normal")], 700, 12, 10).where("series = '0'").toPandas()
     assert sorted(one["forecast"]) == sorted(both["forecast"])
 
 
@@ -260,7 +262,7 @@ class Broken(Mean):
 
 
 def test_models_of_ones_own_are_evaluated(spark):
-    both = bars.synthetic_returns(spark, [1, 2], 130, 100).cache()
+    both = simulated.synthetic_returns(spark, [1, 2], 130, 100).cache()
     ret = {s: g.sort_values("t")["ret"].to_numpy() for s, g in both.toPandas().groupby("series")}
     out = forecasting.evaluate_models(both, {"mean": Mean, "again": Mean}, 100, None, 7).toPandas()
     assert len(out) == 2 * 2 * 30 and out["is_refit"].sum() == 2 * 2 * 5
@@ -269,7 +271,7 @@ def test_models_of_ones_own_are_evaluated(spark):
 
 
 def test_the_evaluator_refuses_what_it_cannot_do(spark):
-    one = bars.synthetic_returns(spark, [1], 110, 100)
+    one = simulated.synthetic_returns(spark, [1], 110, 100)
     with pytest.raises(TypeError, match="Still"):
         forecasting.evaluate_models(one, {"Still": Still}, 100, 10)
     with pytest.raises(NotImplementedError):
@@ -296,3 +298,63 @@ def test_orders_that_do_not_exist_are_refused():
     for spec, order in (("GARCH", 0), ("GJR-GARCH", 0), ("FIGARCH", 1), ("EGARCH", 2)):
         with pytest.raises(ValueError, match=spec):
             garch.estimated(spec, "t", order)
+
+
+def test_scan_is_a_fold_of_any_length(spark):
+    from varlake.operators import scans
+
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for key, n in (("a", 1), ("b", 2), ("c", 64), ("d", 65), ("e", 700), ("f", 27)):
+        h = start = float(rng.normal())
+        for t in range(n):
+            a, b = float(rng.normal(0, 0.7)), float(rng.normal())
+            rows.append((key, 3 * t, a, b, start))
+            want[key, 3 * t] = h
+            h = a * h + b
+    frame = spark.createDataFrame(rows, "k string, t long, a double, b double, start double").repartition(4)
+    for chunk in (3, 64):
+        got = {(r.k, r.t): r.h for r in scans.scanned(frame, ["k"], chunk).collect()}
+        assert got == pytest.approx(want) and len(got) == len(rows)
+    assert scans.scanned(frame.limit(0), ["k"]).count() == 0
+
+
+def test_insample_variances_are_those_of_the_fits(spark, rows):
+    specs = [("GARCH", "normal"), ("GJR-GARCH", "t"), ("APARCH", "normal"), ("EGARCH", "normal")]
+    fits = forecasting.fit_table(rows, specs).cache()
+    got = forecasting.insample_variance(rows, fits).toPandas()
+    r = rows.orderBy("t").toPandas()["ret"].to_numpy()
+    assert set(got["model"]) == {"GARCH-NORMAL", "GJR-GARCH-T", "APARCH-NORMAL"}
+    for spec, dist in specs[:3]:
+        p, _ = garch.fit(spec, dist, r)
+        want = garch.variances(spec, p[None], r * garch.SCALE, len(r))[0, :-1] / garch.SCALE**2
+        assert got[got.model == forecasting.model_name(spec, dist)].sort_values("t")["h"].to_numpy() == pytest.approx(want)
+
+
+def test_lags_fit_each_series(spark):
+    """Series of 31 and 700 rows in one call: valid lags only, one lag where none is valid, and fewer ARCH lags for the short one."""
+    rng = np.random.default_rng(2)
+    series = {"short": rng.normal(size=31), "long": rng.normal(size=700)}
+    f = spark.createDataFrame([(s, i, float(v)) for s, x in series.items() for i, v in enumerate(x)], "series string, t int, x double")
+    got = {(r.series, r.test, r.lag): r.statistic for r in normality.dependence(f, (20, 40), 20).collect()}
+    assert {k[2] for k in got if k[0] == "short" and k[1] == "Ljung-Box r"} == {20} and {k[2] for k in got if k[0] == "long" and k[1] == "Ljung-Box r"} == {20, 40}
+    assert ("short", "ARCH-LM", 10) in got and ("long", "ARCH-LM", 20) in got
+    assert {r.lag for r in normality.ljung_box(f, (5000,)).collect()} == {10}
+    for s, k in (("short", 10), ("long", 20)):
+        v = series[s] ** 2
+        x = np.column_stack([np.ones(len(v) - k)] + [v[k - j : len(v) - j] for j in range(1, k + 1)])
+        y = v[k:]
+        fit = x @ np.linalg.lstsq(x, y, rcond=None)[0]
+        assert got[s, "ARCH-LM", k] == pytest.approx(len(y) * (1 - ((y - fit) ** 2).sum() / ((y - y.mean()) ** 2).sum()), rel=1e-6)
+
+
+def test_equations_and_unfitted_models(spark):
+    from varlake.operators import reporting
+
+    rows = [("GARCH-T", "GARCH", p, c) for p, c in (("mu", 0.05), ("omega", 0.02), ("alpha[1]", 0.08), ("beta[1]", 0.9), ("nu", 6.5))] + [("EGARCH-NORMAL-o0", "EGARCH", p, c) for p, c in (("mu", -0.1), ("omega", 0.0), ("alpha[1]", 0.2), ("beta[1]", 0.97))]
+    rows += [("APARCH-GED", "APARCH", p, c) for p, c in (("mu", 0.0), ("omega", 0.1), ("alpha[1]", 0.1), ("gamma[1]", 0.3), ("beta[1]", 0.8), ("delta", 1.5))] + [("GJR-GARCH-T", "GJR-GARCH", "mu", None), ("GJR-GARCH-T", "GJR-GARCH", "omega", float("nan"))]
+    got = {r.model: r.lines for r in reporting.equations(spark.createDataFrame(rows, "model string, model_type string, parameter string, coef double")).collect()}
+    assert set(got) == {"GARCH-T", "EGARCH-NORMAL-o0", "APARCH-GED"}
+    assert got["GARCH-T"] == [r"\textbf{GARCH-T}", r"r_t = 0.0500 + \varepsilon_t, \qquad \varepsilon_t = \sigma_t z_t, \qquad z_t \sim t_{\nu}", r"\sigma_t^2 = 0.0200 + 0.0800\,\varepsilon_{t-1}^2 + 0.9000\,\sigma_{t-1}^2", r"\nu = 6.5000"]
+    assert got["EGARCH-NORMAL-o0"][2] == r"\ln \sigma_t^2 = 0.0000 + 0.2000\left(|z_{t-1}| - \mathbb{E}|z_{t-1}|\right) + 0.9700\,\ln \sigma_{t-1}^2" and r"\mathcal{N}(0,1)" in got["EGARCH-NORMAL-o0"][1]
+    assert got["APARCH-GED"][2] == r"\sigma_t^{1.5000} = 0.1000 + 0.1000\,\left(|\varepsilon_{t-1}| - 0.3000\,\varepsilon_{t-1}\right)^{1.5000} + 0.8000\,\sigma_{t-1}^{1.5000}"

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from varlake.operators import returns
 from varlake.plans import forecasting, garch, tree_models, trees
-from varlake.sources import bars
+
+from . import simulated
 
 SIMPLE = {"subsample": 1.0, "colsample_bytree": 1.0}
 
@@ -102,7 +103,7 @@ def test_tuning_equals_exhaustive_search(spark):
 
 @pytest.fixture(scope="module")
 def rows(spark):
-    return bars.synthetic_returns(spark, [0]).where("t < 260").cache()
+    return simulated.synthetic_returns(spark, [0]).where("t < 260").cache()
 
 
 @pytest.mark.parametrize("width", [None, 150])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions import names, special
 from .operators import accuracy, confidence, features, losses, normality, reporting, returns
 from .sources import bars
-from .plans import forecasting, garch, stand_ins
+from .plans import forecasting, garch, stand_ins, tree_models, trees
 from .streaming import live_bars, live_variance
 
 QUERIES: dict = {}
@@ -104,11 +104,6 @@ def _(spark, d):
     return bars.daily_order_bars(bars.table(spark, d, "orders"))
 
 
-@query("SRC3_synthetic_returns")
-def _(spark, d):
-    return bars.synthetic_returns(spark, [0, 1])
-
-
 @query("PRJ1_returns", round_sql("series, t, ts, (ret)", "rets", RETS))
 def _(spark, d):
     return rounded(rets(spark, d).select("series", F.col("t").cast("long").alias("t"), "ts", "ret"))
@@ -207,17 +202,42 @@ def _(spark, d):
     return rounded(f.join(s, "model").select("model", F.col("t").cast("long").alias("t"), "factor", returns.retransformed(F.ln("forecast"), F.col("factor"), True).alias("level")))
 
 
-CASES = [("clean", 0, 1.0, 1.0), ("clean", 1, 2.0, 2.0), ("zero", 0, 0.0, 1.0), ("zero", 1, 1.0, 2.0), ("negative", 0, -1.0, 1.0), ("negative", 1, 1.0, 2.0), ("tiny", 0, 1e-9, 1.0), ("tiny", 1, 1.0, 2.0), ("huge", 0, 1e6, 1.0), ("huge", 1, 1.0, 2.0), ("low", 0, 0.2, 1.0), ("low", 1, 0.4, 2.0), ("high", 0, 3.0, 1.0), ("high", 1, 6.0, 2.0)]
+# Forecasters that the screen has to find: multiples of a plain one, and the line through the last two proxies, which may fall below 0.
+ODD = {"CLEAN": "1.0", "ZERO": "0.0", "NEGATIVE": "-1.0", "TINY": "0.000000001", "HUGE": "1000000.0", "LOW": "0.2", "HIGH": "3.0"}
+ODD_SQL = FORECASTS + """, od AS (
+  SELECT series, t, m.model || '-GK' AS model, m.k * forecast AS forecast, actual FROM fc JOIN (VALUES """ + ", ".join(f"('{m}', {k}::DOUBLE)" for m, k in ODD.items()) + """) AS m(model, k) ON true WHERE fc.model = 'LAG-GK'
+  UNION ALL SELECT series, t, 'LINE-GK', 2 * forecast - lag(forecast) OVER (PARTITION BY series ORDER BY t), actual FROM fc WHERE model = 'LAG-GK'),
+bd AS (SELECT series, min(actual) FILTER (WHERE actual > 0) AS lo, max(actual) AS hi FROM od GROUP BY series),
+dg AS (SELECT od.series, model, count(*) AS n, count(*) FILTER (WHERE forecast IS NULL) AS n_nonfinite, count(*) FILTER (WHERE forecast <= 0) AS n_nonpositive, count(*) FILTER (WHERE forecast > 0 AND forecast < lo / 1e4) AS n_extreme_low,
+  count(*) FILTER (WHERE forecast > hi * 1e4) AS n_extreme_high, avg(forecast) / avg(actual) AS bias_ratio,
+  avg(CASE WHEN forecast > 0 THEN ln(forecast) + actual / forecast WHEN forecast = 0 AND actual < 0 THEN CAST('-inf' AS DOUBLE) WHEN forecast IS NOT NULL THEN CAST('nan' AS DOUBLE) END) AS qlike FROM od JOIN bd ON bd.series = od.series GROUP BY ALL),
+sd AS (SELECT *, n_nonfinite + n_nonpositive + n_extreme_low + n_extreme_high > 0 OR isnan(qlike) OR abs(qlike) > 1e3 AS degenerate, coalesce(bias_ratio > 2 OR bias_ratio < 0.5, false) AS biased FROM dg)"""
+
+
+def odd_forecasts(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    plain = forecasts(spark, d).where("model = 'LAG-GK'")
+    each = F.array(*(F.struct(F.lit(f"{m}-GK").alias("model"), (F.lit(float(k)) * F.col("forecast")).alias("forecast")) for m, k in ODD.items()))
+    line = F.struct(F.lit("LINE-GK").alias("model"), (2 * F.col("forecast") - F.lag("forecast").over(Window.partitionBy("series").orderBy("t"))).alias("forecast"))
+    return plain.select("series", "t", "actual", F.concat(each, F.array(line)).alias("m")).select("series", "t", "actual", F.inline("m"))
+
+
+@query("AGG11_diagnostics", f"WITH {ODD_SQL} SELECT model, n, n_nonfinite, n_nonpositive, n_extreme_low, n_extreme_high, round(bias_ratio, 6) AS bias_ratio, degenerate, biased FROM sd")
+def _(spark, d):
+    return rounded(losses.diagnostics(odd_forecasts(spark, d)).select("model", "n", "n_nonfinite", "n_nonpositive", "n_extreme_low", "n_extreme_high", "bias_ratio", "degenerate", "biased"), 6)
+
+
+@query("SRT3_by_trouble_with_nan", f"WITH {ODD_SQL} SELECT series, model, row_number() OVER (PARTITION BY series ORDER BY degenerate DESC, biased DESC, isnan(qlike), qlike DESC, model) AS place FROM sd")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    return losses.diagnostics(odd_forecasts(spark, d)).select("series", "model", F.row_number().over(Window.partitionBy("series").orderBy(*losses.trouble())).cast("long").alias("place"))
 
 
-@query("AGG11_diagnostics", f"""WITH f(model, t, forecast, actual) AS (VALUES {", ".join(f"('{m}', {t}, {f!r}::DOUBLE, {a!r}::DOUBLE)" for m, t, f, a in CASES)}),
-b AS (SELECT min(actual) FILTER (WHERE actual > 0) AS lo, max(actual) AS hi FROM f),
-m AS (SELECT model, count(*) AS n, count(*) FILTER (WHERE forecast <= 0) AS n_nonpositive, count(*) FILTER (WHERE forecast > 0 AND forecast < lo / 1e4) AS n_extreme_low, count(*) FILTER (WHERE forecast > hi * 1e4) AS n_extreme_high,
-  avg(forecast) / avg(actual) AS bias_ratio, avg(CASE WHEN forecast > 0 THEN ln(forecast) + actual / forecast END) AS q FROM f, b GROUP BY model)
-SELECT model, n, n_nonpositive, n_extreme_low, n_extreme_high, round(bias_ratio, 8) AS bias_ratio, n_nonpositive + n_extreme_low + n_extreme_high > 0 OR abs(q) > 1e3 AS degenerate, bias_ratio > 2 OR bias_ratio < 0.5 AS biased FROM m""")
+@query("FLT11_excluded_forecasters", f"WITH {ODD_SQL} SELECT series, string_agg(model, ',' ORDER BY model) AS models FROM sd WHERE degenerate GROUP BY series")
 def _(spark, d):
-    f = spark.createDataFrame(CASES, "model string, t int, forecast double, actual double").withColumn("series", F.lit("all"))
-    return rounded(losses.diagnostics(f).select("model", "n", "n_nonpositive", "n_extreme_low", "n_extreme_high", "bias_ratio", "degenerate", "biased"))
+    return losses.excluded(losses.diagnostics(odd_forecasts(spark, d))).select("series", F.array_join("models", ",").alias("models"))
 
 
 @query("WIN2_lag_matrix", f"""WITH {RETS}, x AS (SELECT t, [squared, lag(squared) OVER w, lag(squared, 2) OVER w, ret, lag(ret) OVER w, lag(ret, 2) OVER w] AS x, lead(squared) OVER w AS y, count(*) OVER () AS n FROM rets WINDOW w AS (ORDER BY t))
@@ -239,18 +259,6 @@ def _(spark, d):
     return features.forecast_row(rets(spark, d), "squared", 5).select("series", F.array_join(F.transform("x", lambda v: F.format_string("%.6f", v)), ",").alias("x"))
 
 
-@query("WIN7_8_refit_blocks", "SELECT b AS block, 200 + 10 * b - 100 AS fit_start, 200 + 10 * b AS fit_end, 10 * b AS first_step, least(10 * b + 9, 94) AS last_step FROM range(10) AS r(b)")
-def _(spark, d):
-    return features.refit_blocks(spark, 200, 95, 10, 100)
-
-
-@query("WIN6_7_block_windows", f"""WITH {RETS}, b AS (SELECT b AS block, 200 + 10 * b - 100 AS fit_start, 200 + 10 * b AS fit_end FROM range(10) AS r(b))
-SELECT block, count(*) AS n_fit, round(avg(squared), 8) AS mean FROM b JOIN rets ON t >= fit_start AND t < fit_end GROUP BY block""")
-def _(spark, d):
-    rows = features.block_rows(rets(spark, d), 200, 95, 10, 100).where("t < fit_end")
-    return rounded(rows.groupBy("block").agg(F.count("*").alias("n_fit"), F.avg("squared").alias("mean")))
-
-
 WHOLE_BLOCKS = RETS + """, n AS (SELECT series, count(*) AS n FROM rets GROUP BY series),
 b AS (SELECT series, n, unnest(range(CAST(ceil((n - 200) / 10.0) AS BIGINT))) AS block FROM n WHERE n > 200)"""
 
@@ -285,6 +293,27 @@ def _(spark, d):
     return rounded(features.variance_path(rets(spark, d), 0.01, 0.05, 0.9, 0.5))
 
 
+# Parameters of three specifications, of returns in percent, as rows of a table of fits.
+GIVEN = {"GARCH": {"mu": 0.5, "omega": 400.0, "alpha[1]": 0.05, "beta[1]": 0.9}, "GJR-GARCH": {"mu": 0.5, "omega": 400.0, "alpha[1]": 0.03, "gamma[1]": 0.06, "beta[1]": 0.88}, "APARCH": {"mu": 0.5, "omega": 5.0, "alpha[1]": 0.05, "gamma[1]": 0.2, "beta[1]": 0.9, "delta": 1.4}}
+PATHS = """tb AS (SELECT event_type AS series, date_trunc('hour', ts) AS ts, last(value ORDER BY ts, event_id) AS close FROM events WHERE value > 0 GROUP BY ALL),
+tr AS (SELECT series, row_number() OVER w - 2 AS t, ln(close / lag(close) OVER w) AS ret FROM tb WINDOW w AS (PARTITION BY series ORDER BY ts)),
+g(model, mu, omega, alpha, gamma, beta, delta) AS (VALUES """ + ", ".join(f"('{m}', {p['mu']}::DOUBLE, {p['omega']}::DOUBLE, {p['alpha[1]']}::DOUBLE, {p.get('gamma[1]', 0.0)}::DOUBLE, {p['beta[1]']}::DOUBLE, {p.get('delta', 2.0)}::DOUBLE)" for m, p in GIVEN.items()) + """),
+x AS (SELECT series, t, g.*, 100 * ret - mu AS e FROM tr JOIN g ON true WHERE ret IS NOT NULL),
+b AS (SELECT series, model, sum(0.94 ** t * e * e) / sum(0.94 ** t) AS b0 FROM x WHERE t < 75 GROUP BY ALL),
+m AS (SELECT x.series, x.model, t, beta, delta, CASE model WHEN 'APARCH' THEN omega + alpha * greatest(abs(e) - gamma * e, 1e-12) ** delta WHEN 'GJR-GARCH' THEN omega + (alpha + CASE WHEN e < 0 THEN gamma ELSE 0 END) * e * e ELSE omega + alpha * e * e END AS c,
+  omega + (alpha + CASE model WHEN 'GJR-GARCH' THEN gamma / 2 ELSE 0 END + beta) * b0 ** (delta / 2) AS s0 FROM x JOIN b USING (series, model)),
+f AS (SELECT series, model, CAST(0 AS BIGINT) AS t, s0 AS s, delta FROM m WHERE t = 0 UNION ALL SELECT f.series, f.model, f.t + 1, m.c + m.beta * f.s, f.delta FROM f JOIN m ON m.series = f.series AND m.model = f.model AND m.t = f.t),
+h AS (SELECT series, model, t, s ** (2 / delta) / 10000 AS h FROM f WHERE EXISTS (SELECT 1 FROM m WHERE m.series = f.series AND m.model = f.model AND m.t = f.t))"""
+
+
+@query("MDL5_insample_variance", f"WITH RECURSIVE {PATHS} SELECT series, model, t, round(h, 6) AS h FROM h")
+def _(spark, d):
+    rows = typed_rets(spark, d)
+    given = F.array(*(F.struct(F.lit(m).alias("model"), F.lit(m).alias("model_type"), F.lit(k).alias("parameter"), F.lit(float(v)).alias("coef")) for m, p in GIVEN.items() for k, v in p.items()))
+    fits = rows.select("series").distinct().select("series", F.inline(given))
+    return rounded(forecasting.insample_variance(rows, fits), 6)
+
+
 @query("WIN14_MDL4_to_6_filter", f"""WITH RECURSIVE {RETS}, x AS (SELECT t, ret FROM rets), f AS (
   SELECT CAST(0 AS BIGINT) AS t, CAST(0.5 AS DOUBLE) AS h UNION ALL SELECT f.t + 1, 0.01 + 0.05 * x.ret * x.ret + 0.9 * f.h FROM f JOIN x ON x.t = f.t)
 SELECT 'all' AS series, round(arg_max(h, t), 8) AS h FROM f""")
@@ -342,11 +371,11 @@ dg AS (SELECT ls.series, model, count(*) FILTER (WHERE forecast IS NULL OR NOT i
 sc AS (SELECT series, model, qlike, odd > 0 OR qlike IS NULL OR isnan(qlike) OR abs(qlike) > 1e3 AS degenerate, coalesce(bias > 2 OR bias < 0.5, false) AS biased FROM dg)"""
 
 
-@query("SRT3_by_trouble", f"WITH {SCREEN} SELECT series, model, degenerate, biased, row_number() OVER (ORDER BY degenerate DESC, biased DESC, qlike DESC, series, model) AS place FROM sc")
+@query("SRT3_by_trouble", f"WITH {SCREEN} SELECT series, model, degenerate, biased, row_number() OVER (PARTITION BY series ORDER BY degenerate DESC, biased DESC, isnan(qlike), qlike DESC, model) AS place FROM sc")
 def _(spark, d):
     from pyspark.sql import Window
 
-    order = Window.orderBy(F.desc("degenerate"), F.desc("biased"), F.desc("qlike"), "series", "model")
+    order = Window.partitionBy("series").orderBy(*losses.trouble())
     return losses.by_trouble(losses.diagnostics(forecasts(spark, d))).select("series", "model", "degenerate", "biased", F.row_number().over(order).cast("long").alias("place"))
 
 
@@ -358,12 +387,12 @@ def _(spark, d):
 GROUPED = FORECASTS + """, gm AS (SELECT series, model, 'GARCH' AS "group", sqrt(avg(squared)) AS rmse FROM ls GROUP BY ALL)"""
 
 
-@query("SRT4_by_group_and_rmse", f"""WITH {GROUPED} SELECT "group", model, row_number() OVER (ORDER BY "group", rmse, model) AS place FROM gm""")
+@query("SRT4_by_group_and_rmse", f"""WITH {GROUPED} SELECT "group", model, row_number() OVER (PARTITION BY series ORDER BY "group", rmse, model) AS place FROM gm""")
 def _(spark, d):
     from pyspark.sql import Window
 
     rows = losses.metrics(forecasts(spark, d)).withColumn("group", names.group(F.col("model")))
-    return rows.select("group", "model", F.row_number().over(Window.orderBy("group", "rmse", "model")).cast("long").alias("place"))
+    return rows.select("group", "model", F.row_number().over(Window.partitionBy("series").orderBy("group", "rmse", "model")).cast("long").alias("place"))
 
 
 @query("SET2_later_overwrites", f"WITH {FORECASTS} SELECT model, count(*) AS n, round(avg(CASE WHEN model LIKE 'MA-%' THEN 2 * forecast ELSE forecast END), 8) AS mean FROM fc GROUP BY model")
@@ -412,7 +441,7 @@ def _(spark, d):
 
 @query("TST7_SET4_graded_set")
 def _(spark, d):
-    return confidence.confidence_set(scored(spark, d).withColumn("loss", F.col("squared")), to_the_end=True)
+    return confidence.confidence_set(scored(spark, d).withColumn("loss", F.col("qlike")), to_the_end=True)
 
 
 @query("PRJ23_demeaned", f"WITH {FORECASTS} SELECT model, t, round(squared - avg(squared) OVER (PARTITION BY t), 8) AS d FROM ls")
@@ -478,85 +507,116 @@ def _(spark, d):
     return rounded(rets(spark, d).select("ts", F.cume_dist().over(Window.partitionBy("series").orderBy("ret")).alias("ecdf")))
 
 
-NAMES = ["GARCH-NORMAL", "GJR-GARCH-T", "XGB-Standalone", "XGB-GARCH-NORMAL-feat", "XGB-EGARCH-T-resid", "LSTM-Standalone", "LSTM-GARCH-GED-feat", "LSTM-FIGARCH-T-resid", "plain"]
-NAMED = "n(model) AS (VALUES " + ", ".join(f"('{n}')" for n in NAMES) + ")"
+# Names of models of the types of events, in all shapes that names have.
+SHAPES = ["GARCH-{}", "GJR-GARCH-{}", "XGB-{}", "XGB-GARCH-{}-feat", "XGB-EGARCH-{}-resid", "LSTM-{}", "LSTM-GARCH-{}-feat", "LSTM-FIGARCH-{}-resid", "plain {}"]
+NAMED = "n AS (SELECT replace(shape, '{}', upper(event_type)) AS model FROM (SELECT DISTINCT event_type FROM events) JOIN (VALUES " + ", ".join(f"('{n}')" for n in SHAPES) + ") AS s(shape) ON true)"
+
+
+def named(spark: SparkSession, d: str) -> DataFrame:
+    shapes = F.explode(F.array(*map(F.lit, SHAPES))).alias("shape")
+    return bars.table(spark, d, "events").select("event_type").distinct().select("event_type", shapes).select(F.replace("shape", F.lit("{}"), F.upper("event_type")).alias("model"))
 
 
 @query("FN_STRING_FAMILY_JOIN7", f"WITH {NAMED} SELECT model, CASE WHEN contains(model, '-') THEN regexp_extract(model, '^(.*)-[^-]*$', 1) ELSE model END AS family, regexp_extract(model, '^[^-]+-(.*)-[^-]+$', 1) AS base FROM n")
 def _(spark, d):
-    return spark.createDataFrame([(n,) for n in NAMES], "model string").select("model", names.family(F.col("model")).alias("family"), names.base_model(F.col("model")).alias("base"))
+    return named(spark, d).select("model", names.family(F.col("model")).alias("family"), names.base_model(F.col("model")).alias("base"))
 
 
 @query("FN_STRING_GROUP_AGG14", f"""WITH {NAMED}, g AS (SELECT CASE WHEN split_part(model, '-', 1) IN ('XGB', 'LSTM') THEN
   CASE WHEN contains(model, '-feat') THEN split_part(model, '-', 1) || ' Hybrid (features)' WHEN contains(model, '-resid') THEN split_part(model, '-', 1) || ' Hybrid (residual)' ELSE 'Standalone ' || split_part(model, '-', 1) END ELSE 'GARCH' END AS "group" FROM n)
 SELECT "group", count(*) AS n FROM g GROUP BY ALL""")
 def _(spark, d):
-    return spark.createDataFrame([(n,) for n in NAMES], "model string").groupBy(names.group(F.col("model")).alias("group")).agg(F.count("*").alias("n"))
+    return named(spark, d).groupBy(names.group(F.col("model")).alias("group")).agg(F.count("*").alias("n"))
 
 
 @query("FN_SPECIAL")
 def _(spark, d):
-    x = F.col("id") / 4
-    return spark.range(1, 20).select("id", special.t_two_sided(x, F.lit(30)).alias("t"), special.normal_sf(x).alias("normal"), special.chi2_sf(x, 2).alias("chi2_2"), special.chi2_sf(x, 7).alias("chi2_7"))
-
-
-COEF = [("GARCH-NORMAL", "GARCH", p, c, c / 4, 4.0, q) for p, c, q in (("mu", 0.05, 0.04), ("omega", 0.02, 0.2), ("alpha[1]", 0.08, 0.001), ("beta[1]", 0.9, 0.0))]
-COEF += [("GJR-GARCH-T", "GJR-GARCH", p, c, c / 4, 4.0, q) for p, c, q in (("alpha[1]", 0.03, 0.06), ("gamma[1]", 0.1, 0.003), ("beta[1]", 0.9, 0.0))]
-COEF += [("EGARCH-T", "EGARCH", "gamma[1]", -0.02, 0.02, -1.0, 0.31), ("EGARCH-T", "EGARCH", "beta[1]", 0.98, 0.01, 98.0, 0.0), ("FIGARCH-GED", "FIGARCH", "d", 0.4, 0.1, 4.0, 0.0), ("APARCH-T", "APARCH", "delta", 1.4, 0.3, 4.6, 0.0)]
-COEFS = "k(model, model_type, parameter, coef, std_err, t_stat, p_value) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE, {p!r}::DOUBLE)" for a, b, c, x, y, z, p in COEF) + ")"
+    own = normality.standardised(values(spark, d))
+    x = F.abs("z")
+    return own.select("series", "t", special.t_two_sided(x, F.lit(30)).alias("t"), special.normal_sf(x).alias("normal"), special.chi2_sf(x, 2).alias("chi2_2"), special.chi2_sf(x, 7).alias("chi2_7"))
+
+
+# Coefficients by moments of each type's returns: the mean, and correlations of squares with what came before; exp(-|t|) stands for the p-value, which SQL can express.
+COEFS = """tb AS (
+  SELECT event_type AS series, date_trunc('hour', ts) AS ts, last(value ORDER BY ts, event_id) AS close FROM events WHERE value > 0 GROUP BY ALL
+), tr AS (SELECT series, ts, ln(close / lag(close) OVER (PARTITION BY series ORDER BY ts)) AS r FROM tb),
+tl AS (SELECT series, r, r * r AS s, lag(r) OVER w AS r1, lag(r * r) OVER w AS s1, lag(r * r, 2) OVER w AS s2 FROM tr WHERE r IS NOT NULL WINDOW w AS (PARTITION BY series ORDER BY ts)),
+tm AS (SELECT series, count(*) AS n, avg(r) AS mu, stddev_samp(r) / sqrt(count(*)) AS mu_se, corr(s, s1) AS a, corr(s, s2) AS b, corr(s, r1) AS g FROM tl GROUP BY series),
+tk(model, model_type, parameter, coef, std_err) AS (
+  SELECT 'GARCH-' || upper(series), 'GARCH', 'mu', mu, mu_se FROM tm UNION ALL SELECT 'GARCH-' || upper(series), 'GARCH', 'alpha[1]', a, 1 / sqrt(n) FROM tm UNION ALL SELECT 'GARCH-' || upper(series), 'GARCH', 'beta[1]', b, 1 / sqrt(n) FROM tm
+  UNION ALL SELECT 'GJR-GARCH-' || upper(series), 'GJR-GARCH', 'alpha[1]', a, 1 / sqrt(n) FROM tm UNION ALL SELECT 'GJR-GARCH-' || upper(series), 'GJR-GARCH', 'beta[1]', b, 1 / sqrt(n) FROM tm UNION ALL SELECT 'GJR-GARCH-' || upper(series), 'GJR-GARCH', 'gamma[1]', g, 1 / sqrt(n) FROM tm
+  UNION ALL SELECT 'FIGARCH-' || upper(series), 'FIGARCH', 'd', a, 1 / sqrt(n) FROM tm UNION ALL SELECT 'FIGARCH-' || upper(series), 'FIGARCH', 'phi', NULL, NULL FROM tm),
+k AS (SELECT model, model_type, parameter, round(coef, 8) AS coef, round(std_err, 8) AS std_err, round(coef / std_err, 6) AS t_stat, round(exp(-abs(coef / std_err)), 6) AS p_value FROM tk)"""
 STARS = "CASE WHEN p_value < 0.01 THEN '***' WHEN p_value < 0.05 THEN '**' WHEN p_value < 0.1 THEN '*' ELSE '' END"
 
 
-def coefficients(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(COEF, "model string, model_type string, parameter string, coef double, std_err double, t_stat double, p_value double")
+def coefficients(spark: SparkSession, d: str) -> DataFrame:
+    w = features.by_t()
+    rows = typed_rets(spark, d).select("series", "ret", "squared", F.lag("ret").over(w).alias("r1"), F.lag("squared").over(w).alias("s1"), F.lag("squared", 2).over(w).alias("s2"))
+    unit = 1 / F.sqrt(F.count("*"))
+    m = rows.groupBy("series").agg(F.avg("ret").alias("mu"), (F.stddev_samp("ret") * unit).alias("mu_se"), unit.alias("se"), F.corr("squared", "s1").alias("a"), F.corr("squared", "s2").alias("b"), F.corr("squared", "r1").alias("g"))
+    given = [("GARCH", "mu", "mu", "mu_se"), ("GARCH", "alpha[1]", "a", "se"), ("GARCH", "beta[1]", "b", "se"), ("GJR-GARCH", "alpha[1]", "a", "se"), ("GJR-GARCH", "beta[1]", "b", "se"), ("GJR-GARCH", "gamma[1]", "g", "se"), ("FIGARCH", "d", "a", "se"), ("FIGARCH", "phi", None, None)]
+    null = F.lit(None).cast("double")
+    each = F.array(*(F.struct(F.lit(kind).alias("model_type"), F.lit(p).alias("parameter"), (F.col(c) if c else null).alias("coef"), (F.col(e) if e else null).alias("std_err")) for kind, p, c, e in given))
+    k = m.select("series", F.inline(each)).withColumn("t_stat", F.col("coef") / F.col("std_err"))
+    return k.select(F.concat("model_type", F.lit("-"), F.upper("series")).alias("model"), "model_type", "parameter", F.round("coef", 8).alias("coef"), F.round("std_err", 8).alias("std_err"), F.round("t_stat", 6).alias("t_stat"), F.round(F.exp(-F.abs("t_stat")), 6).alias("p_value"))
 
 
 @query("RPT1_FN_STARS_param_table", f"WITH {COEFS} SELECT model, parameter, coef, std_err, t_stat, p_value, {STARS} AS stars FROM k")
 def _(spark, d):
-    return reporting.param_table(coefficients(spark))
+    return reporting.param_table(coefficients(spark, d))
 
 
 @query("RPT2_AGG15_param_matrix", f"WITH {COEFS}, c AS (SELECT model, parameter, printf('%.4f', coef) || {STARS} || ' (' || printf('%.4f', std_err) || ')' AS cell FROM k) SELECT model, coalesce(max(cell) FILTER (WHERE parameter = 'mu'), '') AS mu, coalesce(max(cell) FILTER (WHERE parameter = 'beta[1]'), '') AS \"beta[1]\" FROM c GROUP BY model")
 def _(spark, d):
-    return reporting.param_matrix(coefficients(spark), ["mu", "beta[1]"])
+    return reporting.param_matrix(coefficients(spark, d), ["mu", "beta[1]"])
 
 
-@query("RPT3_pvalue_matrix", f"WITH {COEFS} SELECT model, max(p_value) FILTER (WHERE parameter = 'mu') AS mu, max(p_value) FILTER (WHERE parameter = 'gamma[1]') AS \"gamma[1]\" FROM k GROUP BY model")
+@query("RPT3_pvalue_matrix", f"WITH {COEFS} SELECT model, round_even(max(p_value) FILTER (WHERE parameter = 'mu'), 4) AS mu, round_even(max(p_value) FILTER (WHERE parameter = 'gamma[1]'), 4) AS \"gamma[1]\" FROM k GROUP BY model")
 def _(spark, d):
-    return reporting.pvalue_matrix(coefficients(spark), ["mu", "gamma[1]"])
+    return reporting.pvalue_matrix(coefficients(spark, d), ["mu", "gamma[1]"])
 
 
 @query("RPT4_AGG17_asymmetry", f"""WITH {COEFS}, a AS (SELECT model, bool_or(parameter = 'gamma[1]') AS has_asymmetry, max(coef) FILTER (WHERE parameter = 'gamma[1]') AS coef, max(p_value) FILTER (WHERE parameter = 'gamma[1]') AS p_value FROM k GROUP BY model)
 SELECT model, has_asymmetry, coef, p_value, coalesce(p_value < 0.05, false) AS significant, CASE WHEN NOT has_asymmetry THEN 'no asymmetry parameter estimated' WHEN p_value < 0.05 THEN 'leverage effect supported' ELSE 'not distinguishable from 0 -> effectively symmetric' END AS verdict FROM a""")
 def _(spark, d):
-    return reporting.asymmetry(coefficients(spark)).select("model", "has_asymmetry", "coef", "p_value", "significant", "verdict")
+    return reporting.asymmetry(coefficients(spark, d)).select("model", "has_asymmetry", "coef", "p_value", "significant", "verdict")
 
 
 @query("AGG17_asymmetry_counts", f"WITH {COEFS}, a AS (SELECT model, bool_or(parameter = 'gamma[1]') AS has, coalesce(max(p_value) FILTER (WHERE parameter = 'gamma[1]') < 0.05, false) AS sig FROM k GROUP BY model) SELECT count(*) AS n_models, count(*) FILTER (WHERE has) AS n_asymmetric, count(*) FILTER (WHERE sig) AS n_significant FROM a")
 def _(spark, d):
-    return reporting.asymmetry_counts(reporting.asymmetry(coefficients(spark)))
+    return reporting.asymmetry_counts(reporting.asymmetry(coefficients(spark, d)))
 
 
-@query("SET5_JOIN9_parameter_order", f"""WITH {COEFS}, p AS (SELECT DISTINCT parameter FROM k UNION SELECT 'zeta' UNION SELECT 'kappa'),
+@query("SET5_JOIN9_parameter_order", f"""WITH {COEFS}, p AS (SELECT DISTINCT parameter FROM k UNION SELECT DISTINCT event_type FROM events),
 o(parameter, pos) AS (VALUES ('mu', 1), ('omega', 2), ('alpha[1]', 3), ('gamma[1]', 4), ('beta[1]', 5), ('phi', 6), ('d', 7), ('beta', 8), ('delta', 9), ('eta', 10), ('nu', 11), ('lambda', 12))
 SELECT p.parameter, row_number() OVER (ORDER BY coalesce(pos, 13), p.parameter) AS place, pos IS NOT NULL AS known FROM p LEFT JOIN o ON o.parameter = p.parameter""")
 def _(spark, d):
-    more = spark.createDataFrame([("zeta",), ("kappa",)], "parameter string")
-    return reporting.ordered_parameters(coefficients(spark).select("parameter").unionByName(more))
+    more = bars.table(spark, d, "events").select(F.col("event_type").alias("parameter")).distinct()
+    return reporting.ordered_parameters(coefficients(spark, d).select("parameter").unionByName(more))
 
 
 @query("AGG14_groups_and_families", f"""WITH {NAMED}, g AS (SELECT CASE WHEN contains(model, '-') THEN regexp_extract(model, '^(.*)-[^-]*$', 1) ELSE model END AS family, split_part(model, '-', 1) AS learner FROM n)
 SELECT learner, count(*) AS n, count(DISTINCT family) AS n_families FROM g GROUP BY learner""")
 def _(spark, d):
-    rows = spark.createDataFrame([(n,) for n in NAMES], "model string")
-    return rows.groupBy(F.split_part("model", F.lit("-"), F.lit(1)).alias("learner")).agg(F.count("*").alias("n"), F.count_distinct(names.family(F.col("model"))).alias("n_families"))
+    return named(spark, d).groupBy(F.split_part("model", F.lit("-"), F.lit(1)).alias("learner")).agg(F.count("*").alias("n"), F.count_distinct(names.family(F.col("model"))).alias("n_families"))
 
 
 @query("RPT5_persistence", f"""WITH {COEFS}, p AS (SELECT model, model_type, max(coef) FILTER (WHERE parameter = 'alpha[1]') AS a, max(coef) FILTER (WHERE parameter = 'beta[1]') AS b, max(coef) FILTER (WHERE parameter = 'gamma[1]') AS g, max(coef) FILTER (WHERE parameter = 'd') AS d FROM k GROUP BY ALL)
 SELECT model, CASE model_type WHEN 'GARCH' THEN 'alpha+beta' WHEN 'GJR-GARCH' THEN 'alpha+beta+gamma/2' WHEN 'EGARCH' THEN 'beta (log-variance AR)' WHEN 'FIGARCH' THEN 'd (long memory)' ELSE 'n/a (no closed form)' END AS measure,
 round(CASE model_type WHEN 'GARCH' THEN a + b WHEN 'GJR-GARCH' THEN a + b + g / 2 WHEN 'EGARCH' THEN b WHEN 'FIGARCH' THEN d END, 8) AS value FROM p""")
 def _(spark, d):
-    return rounded(reporting.persistence(coefficients(spark)))
+    return rounded(reporting.persistence(coefficients(spark, d)))
+
+
+@query("RPT6_FLT6_FN_MAP_equations", f"""WITH {COEFS}, v AS (SELECT model, model_type, map_from_entries(list((parameter, coef))) AS p FROM k GROUP BY ALL HAVING count(coef) > 0),
+f AS (SELECT model, model_type, p, printf('%.4f', p['alpha[1]']) AS a, printf('%.4f', p['beta[1]']) AS b, CASE WHEN p['gamma[1]'] < 0 THEN '- ' ELSE '+ ' END || printf('%.4f', abs(p['gamma[1]'])) AS g FROM v)
+SELECT model, CASE model_type WHEN 'FIGARCH' THEN 4 ELSE 3 END - CASE model_type WHEN 'FIGARCH' THEN 1 ELSE 0 END AS n_lines, CASE model_type
+  WHEN 'GARCH' THEN '\\sigma_t^2 = nan + ' || a || '\\,\\varepsilon_{{t-1}}^2 + ' || b || '\\,\\sigma_{{t-1}}^2'
+  WHEN 'GJR-GARCH' THEN '\\sigma_t^2 = nan + ' || a || '\\,\\varepsilon_{{t-1}}^2 ' || g || '\\,\\varepsilon_{{t-1}}^2\\,\\mathbb{{1}}_{{\\{{\\varepsilon_{{t-1}} < 0\\}}}} + ' || b || '\\,\\sigma_{{t-1}}^2'
+  ELSE '\\sigma_t^2 = nan + nan\\,\\sigma_{{t-1}}^2 + \\left[1 - nanL - (1 - nanL)(1-L)^{{' || printf('%.4f', p['d']) || '}}\\right]\\varepsilon_t^2' END AS variance FROM f""")
+def _(spark, d):
+    return reporting.equations(coefficients(spark, d)).select("model", F.size("lines").alias("n_lines"), F.get("lines", F.lit(2)).alias("variance"))
 
 
 @query("SET1_2_3_merged", f"WITH {FORECASTS} SELECT model, count(*) AS n FROM fc GROUP BY model")
@@ -592,13 +652,14 @@ def _(spark, d):
     return reporting.information_criteria(fits.groupBy("series", "model").agg(F.first("loglik").alias("loglik"), F.count("*").alias("k"), F.first("n").alias("n"))).orderBy("series", "bic")
 
 
-ORDERS = "o(model, model_type, given) AS (VALUES " + ", ".join(f"('{forecasting.model_name(*m)}', '{m[0]}', {'NULL' if len(m) < 3 else m[2]}::INT)" for m in [*ALL_MODELS, ("EGARCH", "t", 0), ("APARCH", "ged", 0), ("EGARCH", "normal", 1)]) + ")"
+ORDERED = [*ALL_MODELS, ("EGARCH", "t", 0), ("APARCH", "ged", 0), ("EGARCH", "normal", 1)]
+ORDERS = "m(model, model_type, given) AS (VALUES " + ", ".join(f"('{forecasting.model_name(*m)}', '{m[0]}', {'NULL' if len(m) < 3 else m[2]}::INT)" for m in ORDERED) + "), o AS (SELECT * FROM m JOIN (SELECT DISTINCT event_type AS series FROM events) ON true)"
 
 
-@query("MDL2_asymmetric_order", f"WITH {ORDERS} SELECT model, coalesce(given, CASE WHEN model_type IN ('GJR-GARCH', 'EGARCH', 'APARCH') THEN 1 ELSE 0 END) AS asym_order FROM o")
+@query("MDL2_asymmetric_order", f"WITH {ORDERS} SELECT series, model, coalesce(given, CASE WHEN model_type IN ('GJR-GARCH', 'EGARCH', 'APARCH') THEN 1 ELSE 0 END) AS asym_order FROM o")
 def _(spark, d):
-    models = forecasting.with_models(spark.range(1), [*ALL_MODELS, ("EGARCH", "t", 0), ("APARCH", "ged", 0), ("EGARCH", "normal", 1)])
-    return models.select("model", reporting.asymmetry_order(F.col("spec"), F.col("o")).alias("asym_order"))
+    models = forecasting.with_models(bars.table(spark, d, "events").select(F.col("event_type").alias("series")).distinct(), ORDERED)
+    return models.select("series", "model", reporting.asymmetry_order(F.col("spec"), F.col("o")).alias("asym_order"))
 
 
 @query("MDL2_MDL3_symmetric_fits")
@@ -617,6 +678,36 @@ def _(spark, d):
     return forecasting.evaluate(rets(spark, d), ALL_MODELS, 400, None, actual="garman_klass")
 
 
+FEW_TREES = {"n_estimators": 20, "learning_rate": 0.3}  # the library's defaults are 200 trees of rate 0.05
+
+
+@query("MDL10_MDL11_MDL13_tree_forecasts")
+def _(spark, d):
+    return tree_models.evaluate(rets(spark, d), 400, actual="garman_klass", bases=[("GARCH", "normal")], parameters=FEW_TREES)
+
+
+@query("MDL20_MDL11_JOIN7_hybrids_ahead")
+def _(spark, d):
+    f = written(tree_models.evaluate(rets(spark, d), 400, every=100, actual="garman_klass", bases=[("GARCH", "normal")], parameters=FEW_TREES), "hybrids")
+    base = losses.metrics(forecasting.evaluate(rets(spark, d), [("GARCH", "normal")], 400, None, 100, actual="garman_klass"))
+    return losses.with_base(losses.metrics(tree_models.repeated(f, 5)), base)
+
+
+@query("MDL14_SRT7_importances")
+def _(spark, d):
+    lagged = tree_models.lag_rows(typed_rets(spark, d), "garman_klass")
+    own = lagged.select(F.col("series").alias("g"), F.col("t").alias("i"), F.lit(True).alias("fit"), "x", "y")
+    forest = trees.Booster(own, trees.with_parameters(own.select("g").distinct(), FEW_TREES)).run()
+    return trees.importances(forest.trees).select(F.col("g").alias("series"), F.get(F.array(*map(F.lit, tree_models.feature_names())), F.col("f")).alias("feature"), "n_splits", "gain", "importance", "place").orderBy("series", "place")
+
+
+@query("MDL12_tuning")
+def _(spark, d):
+    lagged = tree_models.lag_rows(typed_rets(spark, d), "garman_klass")
+    trials = [{**t, "n_estimators": 12, "max_depth": min(t["max_depth"], 3)} for t in tree_models.candidates(9)]
+    return tree_models.tune(lagged.select(F.col("series").alias("g"), F.col("t").alias("i"), "x", "y"), trials, (4,))
+
+
 @query("STREAM_MDL4_MDL6_variance", f"""WITH RECURSIVE {RETS}, x AS (SELECT t, ret FROM rets), f AS (
   SELECT CAST(0 AS BIGINT) AS t, CAST(0.5 AS DOUBLE) AS h UNION ALL SELECT f.t + 1, 0.000001 + 0.05 * x.ret * x.ret + 0.9 * f.h FROM f JOIN x ON x.t = f.t)
 SELECT f.t, round(f.h, 8) AS h, round(0.000001 + 0.05 * x.ret * x.ret + 0.9 * f.h, 8) AS next_h FROM f JOIN x ON x.t = f.t""")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from . import scans
+
+
 def by_t() -> Window:
     return Window.partitionBy("series").orderBy("t")
 
@@ -21,8 +24,11 @@ def lag_matrix(frame: DataFrame, value: str, target: str, lags: int, more: str |
 
 
 def forecast_row(frame: DataFrame, value: str, lags: int) -> DataFrame:
-    """The newest-first lags at the end of each series."""
-    return frame.groupBy("series").agg(F.max_by(value, "t").alias("newest"), F.slice(F.reverse(F.transform(F.array_sort(F.collect_list(F.struct("t", value))), lambda s: s[value])), 1, lags).alias("x"))
+    """The newest-first lags at the end of each series; only these rows of a series meet."""
+    place = F.row_number().over(Window.partitionBy("series").orderBy(F.desc("t")))
+    newest = frame.select("series", F.col(value).alias("v"), place.alias("place")).where(F.col("place") <= lags)
+    own = newest.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("place", "v"))).alias("s"))
+    return own.select("series", F.col("s")[0]["v"].alias("newest"), F.transform("s", lambda s: s["v"]).alias("x"))
 
 
 def sequences(frame: DataFrame, value: str, target: str, lookback: int, channel: str | None = None) -> DataFrame:
@@ -76,15 +82,16 @@ def blocks_of(frame: DataFrame, n_train: int, n_test: Column, every: int, width:
     return inside.withColumn("block", F.explode(F.sequence(low.cast("long"), high.cast("long")))).withColumn("fit_end", n_train + F.col("block") * every)
 
 
+def garch_maps(frame: DataFrame, omega: float, alpha: float, beta: float, start: float) -> DataFrame:
+    return frame.select("series", F.col("t").cast("long").alias("t"), F.lit(beta).alias("a"), (omega + alpha * F.col("ret") * F.col("ret")).alias("b"), F.lit(start).alias("start"))
+
+
 def filtered_variance(frame: DataFrame, omega: float, alpha: float, beta: float, start: float) -> DataFrame:
-    """The GARCH(1,1) variance after the last return of each series, with given parameters, as an ordered fold."""
-    step = lambda h, e: F.lit(omega) + alpha * e["ret"] * e["ret"] + beta * h
-    return frame.groupBy("series").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("t", "ret"))), F.lit(start), step).alias("h"))
+    """The GARCH(1,1) variance after the last return of each series, with given parameters."""
+    rows = garch_maps(frame, omega, alpha, beta, start)
+    return scans.last_values(rows, scans.scanned(rows, ["series"]), ["series"])
 
 
 def variance_path(frame: DataFrame, omega: float, alpha: float, beta: float, start: float) -> DataFrame:
     """series, t and h: the GARCH(1,1) variance of each time of the series, with given parameters, before its return is known."""
-    step = lambda acc, e: F.struct((F.lit(omega) + alpha * e["ret"] * e["ret"] + beta * acc["h"]).alias("h"), F.concat(acc["path"], F.array(F.struct(e["t"].cast("long").alias("t"), acc["h"].alias("h")))).alias("path"))
-    first = F.struct(F.lit(start).alias("h"), F.array().cast("array<struct<t: bigint, h: double>>").alias("path"))
-    rows = frame.groupBy("series").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("t", "ret"))), first, step, lambda acc: acc["path"]).alias("path"))
-    return rows.select("series", F.inline("path"))
+    return scans.scanned(garch_maps(frame, omega, alpha, beta, start), ["series"])

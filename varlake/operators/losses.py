@@ -80,9 +80,14 @@ def overwritten(*results: DataFrame) -> DataFrame:
     return out.join(last, ["model", "part"], "left_semi").drop("part")
 
 
+def trouble() -> list[Column]:
+    """The order of by_trouble(): a qlike that is no number comes last among its like, as one that is missing does."""
+    return [F.desc("degenerate"), F.desc("biased"), F.coalesce(F.isnan("qlike"), F.lit(True)), F.desc_nulls_last("qlike"), F.col("series"), F.col("model")]
+
+
 def by_trouble(screened: DataFrame) -> DataFrame:
     """The rows of diagnostics(), degenerate models first, then biased ones, each by qlike from the highest."""
-    return screened.orderBy(F.desc("degenerate"), F.desc("biased"), F.desc("qlike"), "series", "model")
+    return screened.orderBy(*trouble())
 
 
 def excluded(screened: DataFrame) -> DataFrame:

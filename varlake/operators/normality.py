@@ -55,37 +55,53 @@ def long_run_variance(sums: DataFrame, lags: int) -> DataFrame:
     return sums.select("series", "n", F.greatest(total / F.col("n"), F.lit(1e-12)).alias("lrv"))
 
 
+def longest(frame: DataFrame) -> int:
+    """The rows of the longest series, one number."""
+    return frame.groupBy("series").count().agg(F.max("count")).first()[0] or 0
+
+
+def own_lags(n: Column, lags: tuple[int, ...]) -> Column:
+    """The lags that are shorter than a series of n rows; if there is none, one of up to 10."""
+    fine = F.filter(F.array(*map(F.lit, lags)), lambda m: (m > 0) & (m < n))
+    return F.when(F.size(fine) > 0, fine).otherwise(F.array(F.greatest(F.lit(1), F.least(F.lit(10), n - 1)).cast("int")))
+
+
 def ljung_box(frame: DataFrame, lags: tuple[int, ...] = (10, 20), label: str = "r") -> DataFrame:
-    """series, test, lag and statistic, for the lags shorter than the series; all lags from one pass."""
-    most = max(lags)
+    """series, test, lag and statistic, for the lags that each series has by own_lags(); all lags from one pass."""
+    most = longest(frame)
+    most = max([1, min(10, most - 1), *(m for m in lags if m < most)])
     sums = lag_sums(centred(frame), F.col("x"), most)
     n = F.col("n")
-    q = lambda m: n * (n + 2) * sum(F.pow(F.col(f"g{j}") / F.col("g0"), 2) / (n - j) for j in range(1, m + 1))
-    rows = F.explode(F.array(*(F.struct(F.lit(m).alias("lag"), F.when(n > m, q(m)).alias("statistic")) for m in lags))).alias("r")
-    return sums.select("series", rows).select("series", F.lit(f"Ljung-Box {label}").alias("test"), "r.lag", "r.statistic").where("statistic IS NOT NULL")
+    terms = F.array(*(F.when(n > j, F.pow(F.col(f"g{j}") / F.col("g0"), F.lit(2)) / (n - j)) for j in range(1, most + 1)))
+    rows = sums.select("series", "n", terms.alias("terms"), F.explode(own_lags(n, lags)).alias("lag"))
+    total = F.aggregate(F.slice("terms", F.lit(1), F.col("lag")), F.lit(0.0), lambda acc, x: acc + x)
+    return rows.select("series", F.lit(f"Ljung-Box {label}").alias("test"), "lag", (n * (n + 2) * total).alias("statistic"))
 
 
 def arch_lm(frame: DataFrame, lags: int = 10) -> DataFrame:
-    """n R^2 of squared values on their own lags: cross-products are aggregated in Spark, the small normal equations solved in a task."""
+    """n R^2 of squared values on their own lags, of which a series of T rows has (T - 1) // 3 at most: cross-products are aggregated in Spark, the normal equations, of a size of their own for each series, solved in a task."""
     sq = frame.select("series", "t", (F.col("x") * F.col("x")).alias("v"))
-    rows = sq.select("series", *([F.col("v").alias("v0")] + [F.lag("v", j).over(by_t()).alias(f"v{j}") for j in range(1, lags + 1)])).where(F.col(f"v{lags}").isNotNull())
+    count = F.count("*").over(whole())
+    k = F.greatest(F.lit(1), F.least(F.lit(lags), F.floor((count - 1) / 3))).cast("int")
+    rows = sq.select("series", *([F.col("v").alias("v0")] + [F.lag("v", j).over(by_t()).alias(f"v{j}") for j in range(1, lags + 1)]), k.alias("k"), F.row_number().over(by_t()).alias("rank")).where("rank > k")
     names = [f"v{j}" for j in range(lags + 1)]
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    sums = rows.groupBy("series").agg(F.count("*").alias("n"), F.array(*map(F.sum, names)).alias("m"), F.array(*(F.sum(F.col(a) * F.col(b)) for a, b in pairs)).alias("c"))
+    sums = rows.groupBy("series", "k").agg(F.count("*").alias("n"), F.array(*map(F.sum, names)).alias("m"), F.array(*(F.sum(F.col(a) * F.col(b)) for a, b in pairs)).alias("c"))
 
     def solve(frames):
         for f in frames:
             out = []
-            for n, m, c in zip(f["n"], f["m"], f["c"]):
-                gram = np.zeros((lags + 1, lags + 1))
+            for k, n, m, c in zip(f["k"], f["n"], f["m"], f["c"]):
+                gram = np.zeros((k + 1, k + 1))
                 for (a, b), v in zip(pairs, c):
                     i, j = int(a[1:]), int(b[1:])
-                    gram[i, j] = gram[j, i] = v - m[i] * m[j] / n
+                    if j <= k:
+                        gram[i, j] = gram[j, i] = v - m[i] * m[j] / n
                 beta = np.linalg.lstsq(gram[1:, 1:], gram[1:, 0], rcond=None)[0]
                 out.append(n * (beta @ gram[1:, 0]) / gram[0, 0] if gram[0, 0] > 0 else np.nan)
-            yield pd.DataFrame({"series": f["series"], "statistic": out})
+            yield pd.DataFrame({"series": f["series"], "lag": f["k"], "statistic": out})
 
-    return sums.mapInPandas(solve, "series string, statistic double").select("series", F.lit("ARCH-LM").alias("test"), F.lit(lags).alias("lag"), "statistic")
+    return sums.mapInPandas(solve, "series string, lag int, statistic double").select("series", F.lit("ARCH-LM").alias("test"), "lag", "statistic")
 
 
 def dependence(frame: DataFrame, lags: tuple[int, ...] = (10, 20), arch_lags: int = 10) -> DataFrame:
@@ -99,7 +115,7 @@ def moment_tests(frame: DataFrame, lags: int | None = None) -> DataFrame:
     own = F.lit(lags)
     if lags is None:
         own = F.greatest(F.floor(4 * F.pow(F.count("*") / 100, F.lit(2 / 9))), F.lit(1))
-        lags = plug_in_lags(frame.groupBy("series").count().agg(F.max("count")).first()[0] or 0) + 1  # one more, should powers round differently; its weight is 0 else
+        lags = plug_in_lags(longest(frame)) + 1  # one more, should powers round differently; its weight is 0 else
     z = F.col("z")
     infl = standardised(frame).select("series", "t", z, (F.pow(z, 3) - 3 * z).alias("h3"), (F.pow(z, 4) - 6 * z * z + 3).alias("h4"))
     parts = infl.select("series", "t", "z", "h3", "h4", *(F.lag(h, j).over(by_t()).alias(f"{h}_{j}") for h in ("h3", "h4") for j in range(1, lags + 1)))

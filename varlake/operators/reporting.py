@@ -71,3 +71,41 @@ def information_criteria(fits: DataFrame) -> DataFrame:
 def asymmetry_order(model_type: Column, dist_order: Column) -> Column:
     """The order given, or the specification's own: 1 for GJR, EGARCH and APARCH."""
     return F.coalesce(dist_order, F.when(model_type.isin("GJR-GARCH", "EGARCH", "APARCH"), 1).otherwise(0))
+
+
+def fitted(coefficients: DataFrame) -> DataFrame:
+    """The rows of the models that were fitted: a model none of whose coefficients is a number is left out of all tables."""
+    known = F.col("coef").isNotNull() & ~F.isnan("coef")
+    return coefficients.withColumn("known", F.some(known).over(Window.partitionBy("model"))).where("known").drop("known")
+
+
+# The symbols of the error distributions.
+ERRORS = {"normal": r"\mathcal{N}(0,1)", "t": r"t_{\nu}", "ged": r"\mathrm{GED}(\nu)"}
+
+
+def equations(coefficients: DataFrame, decimals: int = 4) -> DataFrame:
+    """model and lines, an array of LaTeX: the name, the mean, the variance with its estimated terms and nu if there is one. The distribution is the last part of the name."""
+    own = fitted(coefficients).groupBy("model", "model_type").agg(F.map_from_entries(F.collect_list(F.struct("parameter", "coef"))).alias("p"))
+    value = lambda name: F.try_element_at("p", F.lit(name))
+    number = lambda c: F.when(c.isNotNull(), F.format_string(f"%.{decimals}f", c)).otherwise("nan")
+    signed = lambda c: F.concat(F.when(c < 0, "- ").otherwise("+ "), number(F.abs(c)))
+    omega, alpha, gamma, delta, phi, d = map(value, ("omega", "alpha[1]", "gamma[1]", "delta", "phi", "d"))
+    beta = F.coalesce(value("beta[1]"), value("beta"))
+    dist = F.lower(F.regexp_extract("model", r"([^-]+)(?:-o[0-9]+)?$", 1))
+    error = dist
+    for name, symbol in ERRORS.items():
+        error = F.when(dist == name, symbol).otherwise(error)
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    if_any = lambda c, *parts: F.when(c.isNotNull(), text(*parts)).otherwise("")
+    past, level = r"\varepsilon_{t-1}", r"\sigma_{t-1}"
+    plain = text(r"\sigma_t^2 = ", number(omega), " + ", number(alpha), rf"\,{past}^2", if_any(gamma, " ", signed(gamma), rf"\,{past}^2\,\mathbb{{1}}_{{\{{{past} < 0\}}}}"), " + ", number(beta), rf"\,{level}^2")
+    logs = text(r"\ln \sigma_t^2 = ", number(omega), " + ", number(alpha), r"\left(|z_{t-1}| - \mathbb{E}|z_{t-1}|\right)", if_any(gamma, " ", signed(gamma), r"\,z_{t-1}"), " + ", number(beta), rf"\,\ln {level}^2")
+    inner = F.when(gamma.isNotNull(), text(rf"\left(|{past}| ", signed(-gamma), rf"\,{past}\right)")).otherwise(rf"|{past}|")
+    power = text(r"\sigma_t^{", number(delta), "} = ", number(omega), " + ", number(alpha), r"\,", inner, "^{", number(delta), "} + ", number(beta), rf"\,{level}^{{", number(delta), "}")
+    memory = text(r"\sigma_t^2 = ", number(omega), " + ", number(beta), rf"\,{level}^2 + \left[1 - ", number(beta), "L - (1 - ", number(phi), "L)(1-L)^{", number(d), r"}\right]\varepsilon_t^2")
+    kind = F.col("model_type")
+    variance = F.when(kind.isin("GARCH", "GJR-GARCH"), plain).when(kind == "EGARCH", logs).when(kind == "APARCH", power).when(kind == "FIGARCH", memory).otherwise(r"\text{(unrecognised specification)}")
+    mean = text("r_t = ", number(value("mu")), r" + \varepsilon_t, \qquad \varepsilon_t = \sigma_t z_t, \qquad z_t \sim ", error)
+    nu = value("nu")
+    lines = F.array(text(r"\textbf{", F.col("model"), "}"), mean, variance, F.when(nu.isNotNull(), text(r"\nu = ", number(nu))))
+    return own.select("model", F.filter(lines, lambda x: x.isNotNull()).alias("lines"))

@@ -7,10 +7,11 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.special import normal_tail
 from ..operators.features import block_rows
+from ..operators.scans import affine, scanned
 from ..shipping import ship_package
 from . import garch
 
@@ -75,6 +76,32 @@ def fitted_states(rows: DataFrame, specs: list[tuple]) -> DataFrame:
     return spread(with_models(rows.select("series", "t", "ret"), specs), "series", "model").groupBy("series", "model").applyInPandas(run, "series string, model string, spec string, p array<double>, t long, state double")
 
 
+LINEAR = ("GARCH", "GJR-GARCH", "APARCH")  # the specifications whose recursion is linear in what it carries
+
+
+def insample_variance(rows: DataFrame, fits: DataFrame) -> DataFrame:
+    """series, model, t and h: the variance of each return of the series by each fitted model, before the return is known.
+
+    rows holds series, t and ret; fits is fit_table(), of which GARCH, GJR-GARCH and APARCH are read. All series and models are one prefix scan over maps of the returns."""
+    keys = ["series", "model"]
+    own = fits.where(F.col("model_type").isin(*LINEAR)).groupBy(*keys, "model_type").agg(F.map_from_entries(F.collect_list(F.struct("parameter", "coef"))).alias("p"))
+    e = F.col("ret") * garch.SCALE - F.try_element_at("p", F.lit("mu"))
+    joined = rows.select("series", F.col("t").cast("long").alias("t"), "ret").join(own, "series").withColumn("e", e)
+    # The start: squares of the first rows, weighted by age.
+    w = Window.partitionBy(*keys).orderBy("t")
+    first = joined.withColumn("i", F.row_number().over(w) - 1).where(F.col("i") < garch.BACKCAST)
+    weight = F.pow(F.lit(garch.DECAY), F.col("i"))
+    back = first.groupBy(*keys).agg((F.sum(weight * F.col("e") * F.col("e")) / F.sum(weight)).alias("back"))
+    at = lambda name: F.coalesce(F.try_element_at("p", F.lit(name)), F.lit(0.0))
+    power = F.when(F.col("model_type") == "APARCH", F.pow("back", at("delta") / 2)).otherwise(F.col("back"))
+    half = F.when(F.col("model_type") == "GJR-GARCH", at("gamma[1]") / 2).otherwise(0.0)
+    a, b = affine(F.col("model_type"), F.col("e"), F.col("p"))
+    maps = joined.join(back, keys).select(*keys, "t", a.alias("a"), b.alias("b"), (at("omega") + (at("alpha[1]") + half + at("beta[1]")) * power).alias("start"))
+    found = scanned(maps, keys).join(own, keys)
+    h = F.when(F.col("model_type") == "APARCH", F.pow(F.greatest("h", F.lit(1e-12)), 2 / at("delta"))).otherwise(F.col("h"))
+    return found.select(*keys, "t", (F.greatest(F.least(h, F.lit(1e12)), F.lit(1e-12)) / garch.SCALE**2).alias("h"))
+
+
 class Kernel:
     """A model of garch by the protocol that evaluate_models() asks for."""
 
