@@ -177,7 +177,8 @@ def united(rows: pa.Table, buckets: int) -> pa.Table:
     one = order[heads]
     sums = np.zeros(buckets, np.int64)
     np.add.at(sums, crc32s(flat, begin[one], size[one]) % buckets, np.add.reduceat(count[order], heads))
-    return pa.table({"sums": pa.array([sums.tobytes()], pa.binary())})
+    at = np.flatnonzero(sums)
+    return pa.table({"bucket": at, "n": sums[at]})
 
 
 def bucket_counts(texts: DataFrame, buckets: int = BUCKETS, orders: int = ORDERS, text_column: str = "text") -> np.ndarray:
@@ -185,7 +186,7 @@ def bucket_counts(texts: DataFrame, buckets: int = BUCKETS, orders: int = ORDERS
     spark = texts.sparkSession
     rows = texts.select(F.col(f"`{text_column}`").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(8 * default_parallelism(spark), -(-size // PART_BYTES))
+    parts = max(default_parallelism(spark), -(-size // PART_BYTES))
 
     def run(batches):
         for batch in text.chunks(batches, size=SLICE_BYTES):
@@ -194,17 +195,8 @@ def bucket_counts(texts: DataFrame, buckets: int = BUCKETS, orders: int = ORDERS
                 part, strings, counts = zip(*dealt[a : a + 64])
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(strings, pa.binary()), pa.array(counts, pa.binary())], ["part", "strings", "counts"])
 
-    def added(batches):
-        total = np.zeros(buckets, np.int64)
-        for batch in batches:
-            for sums in batch.column("sums").to_pylist():
-                total += np.frombuffer(sums, np.int64)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
-
     blobs = text.mapped(rows, run, "part long, strings binary, counts binary")
-    parts_ = blobs.groupBy("part").applyInArrow(lambda t: united(t, buckets), "sums binary")
-    sums = text.mapped(parts_, added, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # a row for each bucket
+    sums = blobs.groupBy("part").applyInArrow(lambda t: united(t, buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # a row for each bucket
     out = np.zeros(buckets, np.int64)
     for r in sums:
         out[r["bucket"]] = r["n"]
