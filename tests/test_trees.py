@@ -65,7 +65,7 @@ def test_trees_are_those_of_a_plain_booster(spark):
     rows = spark.createDataFrame(data, "g string, i long, fit boolean, x array<double>, y double").repartition(5)
     groups = trees.with_parameters(rows.select("g").distinct(), {**SIMPLE, "n_estimators": 3, "max_depth": 3, "learning_rate": 0.3})
     booster = trees.Booster(rows, groups)
-    plan = booster.level(booster.state.selectExpr("*", "0 AS node", "true AS taken", "array(0, 1, 2) AS chosen"), 0)._jdf.queryExecution().toString()
+    plan = booster.level(booster.state.selectExpr("*", "0 AS node", "true AS taken", "array(0, 1, 2) AS draw"), 0)._jdf.queryExecution().toString()
     assert "Aggregate" in plan and "Window" in plan and "Python" not in plan and "Pandas" not in plan
     forest = booster.run()
     got = {(r.g, r.i): r.pred for r in forest.rows.collect()}

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..streaming.live_bars import new_folder
@@ -61,15 +62,16 @@ class Booster:
     def __init__(self, rows: DataFrame, groups: DataFrame, seed: int = 42, bins: int = BINS):
         self.spark: SparkSession = rows.sparkSession
         self.seed, self.done, self.parts = seed, 0, []
-        groups = with_parameters(groups)
-        p = F.struct(*(F.col(k).cast("double").alias(k) for k in DEFAULTS)).alias("p")
+        self.parameters = written(with_parameters(groups).select("g", *(F.col(k).cast("double").alias(k) for k in DEFAULTS)), "parameters")
         self.edges = written(bin_edges(rows, bins), "edges")
         start = rows.where("fit").groupBy("g").agg(F.avg("y").alias("pred"))
-        own = rows.join(self.edges, "g").join(groups.select("g", p), "g").join(start, "g")
-        place = F.zip_with("x", "edges", lambda v, e: F.size(F.filter(e, lambda t: t < v)))
-        self.state = written(own.select("g", F.col("i").cast("long").alias("i"), "fit", F.col("y").cast("double").alias("y"), place.alias("bins"), "p", "pred"), "boosted")
-        facts = self.state.agg(F.count_distinct("g"), F.max("p.max_depth")).first()
-        self.groups, self.depth = facts[0], int(facts[1] or 0)
+        own = rows.join(self.edges, "g").join(self.parameters.select("g", "subsample", "colsample_bytree", "learning_rate", "n_estimators"), "g").join(start, "g")
+        place = F.zip_with("x", "edges", lambda v, e: F.size(F.filter(e, lambda t: t < v)).cast("short"))
+        drawn = F.greatest(F.lit(1), (F.col("colsample_bytree") * F.size("x")).cast("int")).alias("drawn")
+        self.state = written(own.select("g", F.col("i").cast("long").alias("i"), "fit", F.col("y").cast("double").alias("y"), place.alias("bins"), drawn, "subsample", "learning_rate", "n_estimators", "pred"), "boosted")
+        self.sizes = [r[0] for r in self.state.select(F.size("bins")).distinct().collect()]  # how many features there are, mostly one number
+        self.groups, depth = self.parameters.agg(F.count("*"), F.max("max_depth")).first()
+        self.depth = int(depth or 0)
         self.cached: DataFrame | None = None
 
     def passed(self, splits: DataFrame, level: int) -> DataFrame:
@@ -82,28 +84,31 @@ class Booster:
         """g, node, f, bin, gain, value, left, right and n of the nodes that rows are in; f is null where no split gains enough.
 
         The sums of each bin meet by (g, node), so that the running sums over bins, the best split of each node and its choice need no other exchange."""
-        score = "pow(signum({0}) * greatest(abs({0}) - p.reg_alpha, 0D), 2) / ({1} + p.reg_lambda)".format
-        value = "-signum({0}) * greatest(abs({0}) - p.reg_alpha, 0D) / ({1} + p.reg_lambda)".format
-        fine = f"nl >= p.min_child_weight AND n - nl >= p.min_child_weight AND {level} < p.max_depth"
+        score = "pow(signum({0}) * greatest(abs({0}) - reg_alpha, 0D), 2) / ({1} + reg_lambda)".format
+        value = "-signum({0}) * greatest(abs({0}) - reg_alpha, 0D) / ({1} + reg_lambda)".format
+        fine = f"nl >= min_child_weight AND n - nl >= min_child_weight AND {level} < max_depth"
+        hint = "/*+ BROADCAST(p) */" if self.groups <= SMALL else ""
         return self.spark.sql(
             f"""
-            WITH e AS (SELECT g, node, p, pred - y AS d, chosen, posexplode(bins) AS (f, bin) FROM {{rows}} WHERE taken AND node >= 0),
-            s AS (SELECT g, node, f, bin, first(p) AS p, sum(d) AS d, count(*) AS n FROM e WHERE array_contains(chosen, f) GROUP BY g, node, f, bin),
+            WITH e AS (SELECT g, node, drawn, draw, pred - y AS d, posexplode(bins) AS (f, bin) FROM {{rows}} WHERE taken AND node >= 0),
+            s AS (SELECT g, node, f, bin, sum(d) AS d, count(*) AS n FROM e WHERE draw[f] < drawn GROUP BY g, node, f, bin),
             r AS (SELECT /*+ REPARTITION(g, node) */ * FROM s),
-            w AS (SELECT g, node, f, bin, p, sum(d) OVER u AS dl, sum(n) OVER u AS nl, sum(d) OVER a AS d, sum(n) OVER a AS n FROM r
-              WINDOW u AS (PARTITION BY g, node, f ORDER BY bin), a AS (PARTITION BY g, node, f)),
+            w AS (SELECT {hint} r.g, node, f, bin, reg_alpha, reg_lambda, min_child_weight, max_depth, sum(d) OVER u AS dl, sum(n) OVER u AS nl, sum(d) OVER a AS d, sum(n) OVER a AS n FROM r JOIN {{parameters}} p ON p.g = r.g
+              WINDOW u AS (PARTITION BY r.g, node, f ORDER BY bin), a AS (PARTITION BY r.g, node, f)),
             k AS (SELECT *, CASE WHEN {fine} THEN {score("dl", "nl")} + {score("(d - dl)", "(n - nl)")} - {score("d", "n")} END AS gain FROM w),
             b AS (SELECT g, node, max(struct(CASE WHEN gain > {LEAST_GAIN}D THEN gain END AS gain, -f AS f, -bin AS bin, {value("d", "n")} AS value, {value("dl", "nl")} AS left, {value("(d - dl)", "(n - nl)")} AS right, n AS n)) AS s FROM k GROUP BY g, node)
             SELECT g, node, CASE WHEN s.gain IS NOT NULL THEN -s.f END AS f, CASE WHEN s.gain IS NOT NULL THEN -s.bin END AS bin, s.gain, s.value, s.left, s.right, s.n FROM b""",
-            rows=rows,
-        )
+            rows=rows, parameters=self.parameters,
+        )
 
     def grow(self) -> None:
         """One more tree for every group that is to have one."""
         keep = self.state.columns
-        unit = lambda *c: f"pmod(xxhash64({self.seed}, {self.done}, {', '.join(c)}), 1048576) / 1048576D"
-        chosen = f"slice(array_sort(transform(sequence(0, size(bins) - 1), f -> struct({unit('g', 'f')} AS u, f AS f))), 1, greatest(1, int(p.colsample_bytree * size(bins)))).f"
-        rows = self.state.where(F.col("p.n_estimators") > self.done).selectExpr("*", "0 AS node", "0D AS v", f"fit AND {unit('g', 'i')} < p.subsample AS taken", f"{chosen} AS chosen")
+        taken = f"fit AND pmod(xxhash64({self.seed}, {self.done}, g, i), 1048576) / 1048576D < subsample"
+        # The place of each feature in this tree's draw, which is alike for all groups of as many features.
+        order = {size: np.random.default_rng([self.seed, self.done, size]).permutation(size).tolist() for size in self.sizes}
+        draw = "CASE size(bins) " + " ".join(f"WHEN {size} THEN array({', '.join(map(str, own))})" for size, own in order.items() if size) + " END"
+        rows = self.state.where(F.col("n_estimators") > self.done).selectExpr("*", "0 AS node", "0D AS v", f"{taken} AS taken", f"{draw} AS draw")
         made = []
         for level in range(self.depth):
             splits = self.passed(self.level(rows, level), level)
@@ -111,14 +116,14 @@ class Booster:
             hint = "/*+ BROADCAST(s) */" if self.groups * 2**level <= SMALL else ""
             rows = self.spark.sql(
                 f"""
-                SELECT {hint} {", ".join("r." + c for c in keep)}, taken, chosen, CASE WHEN s.f IS NULL THEN -1 WHEN r.bins[s.f] > s.bin THEN 2 * r.node + 2 ELSE 2 * r.node + 1 END AS node,
+                SELECT {hint} {", ".join("r." + c for c in keep)}, taken, draw, CASE WHEN s.f IS NULL THEN -1 WHEN r.bins[s.f] > s.bin THEN 2 * r.node + 2 ELSE 2 * r.node + 1 END AS node,
                   CASE WHEN s.f IS NULL THEN {"v" if level else "coalesce(s.value, v)"} WHEN r.bins[s.f] > s.bin THEN s.right ELSE s.left END AS v
                 FROM {{rows}} r LEFT JOIN {{splits}} s ON r.g = s.g AND r.node = s.node""",
                 rows=rows, splits=splits,
             )
-        grown = rows.withColumn("pred", F.col("pred") + F.col("p.learning_rate") * F.col("v")).select(*keep)
+        grown = rows.withColumn("pred", F.col("pred") + F.col("learning_rate") * F.col("v")).select(*keep)
         if self.uneven:
-            grown = grown.unionByName(self.state.where(F.col("p.n_estimators") <= self.done))
+            grown = grown.unionByName(self.state.where(F.col("n_estimators") <= self.done))
         for splits in made:
             self.parts.append(splits.withColumn("tree", F.lit(self.done)))
         self.done += 1
@@ -153,7 +158,7 @@ class Booster:
 
     def run(self, trees: int | None = None) -> Forest:
         """Grows the trees that the groups ask for, or up to that many in all."""
-        facts = self.state.agg(F.max("p.n_estimators"), F.min("p.n_estimators")).first()
+        facts = self.state.agg(F.max("n_estimators"), F.min("n_estimators")).first()
         most = int(facts[0] or 0)
         most = most if trees is None else min(trees, most)
         self.uneven = facts[0] is not None and facts[1] < most
