@@ -358,3 +358,21 @@ def test_equations_and_unfitted_models(spark):
     assert got["GARCH-T"] == [r"\textbf{GARCH-T}", r"r_t = 0.0500 + \varepsilon_t, \qquad \varepsilon_t = \sigma_t z_t, \qquad z_t \sim t_{\nu}", r"\sigma_t^2 = 0.0200 + 0.0800\,\varepsilon_{t-1}^2 + 0.9000\,\sigma_{t-1}^2", r"\nu = 6.5000"]
     assert got["EGARCH-NORMAL-o0"][2] == r"\ln \sigma_t^2 = 0.0000 + 0.2000\left(|z_{t-1}| - \mathbb{E}|z_{t-1}|\right) + 0.9700\,\ln \sigma_{t-1}^2" and r"\mathcal{N}(0,1)" in got["EGARCH-NORMAL-o0"][1]
     assert got["APARCH-GED"][2] == r"\sigma_t^{1.5000} = 0.1000 + 0.1000\,\left(|\varepsilon_{t-1}| - 0.3000\,\varepsilon_{t-1}\right)^{1.5000} + 0.8000\,\sigma_{t-1}^{1.5000}"
+
+
+def test_exact_quantiles_at_any_size(spark):
+    """Brackets of few values, heavy ties, extreme doubles and small groups; no bracket may hold more than a few values at the end."""
+    from varlake.operators import quantiles
+
+    rng = np.random.default_rng(8)
+    groups = {"normal": rng.normal(size=5000), "ties": np.repeat([1.0, 2.0, 2.0, 3.0], 1000), "tails": np.exp(rng.normal(0, 30, 3000)), "one": np.array([4.0]), "two": np.array([1.0, 2.0]), "huge": np.array([-1.7e308, 0.0, 1.7e308] * 50)}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("none", None), ("normal", None), ("normal", float("nan"))]
+    frame = spark.createDataFrame(rows, "series string, v double").repartition(5)
+    shares = (0.0, 0.01, 0.25, 0.5, 0.999, 1.0)
+    for few, bins in ((20, 7), (20, 1024), (10_000, 1024)):
+        got = {r.series: r.q for r in quantiles.exact_quantiles(frame, "v", shares, few=few, bins=bins).collect()}
+        assert set(got) == set(groups)
+        for g, x in groups.items():
+            if g != "huge":
+                assert got[g] == pytest.approx(np.quantile(x, shares).tolist(), rel=1e-12)
+        assert got["huge"][:1] == [-1.7e308] and got["huge"][3] == 0.0 and got["huge"][-1] == 1.7e308

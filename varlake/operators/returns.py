@@ -6,6 +6,8 @@ from math import log
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .quantiles import exact_quantiles
+
 PROXIES = ("garman_klass", "parkinson", "squared")
 LOG_FLOOR, LEVEL_FLOOR = 1e-12, 1e-10
 
@@ -71,22 +73,23 @@ def summary(frame: DataFrame, values: list[str]) -> DataFrame:
 
 def winsorized(frame: DataFrame, value: str, lower: float = 0.01, upper: float = 0.01) -> DataFrame:
     """The value clipped to its series' interpolated quantiles; one row of bounds for each series is joined to its rows."""
-    cut = frame.groupBy("series").agg(F.percentile(value, F.lit(lower)).alias("lower_cut"), F.percentile(value, F.lit(1 - upper)).alias("upper_cut"))
-    return frame.join(cut, "series").withColumn("clipped", F.greatest(F.least(F.col(value), F.col("upper_cut")), F.col("lower_cut")))
+    cut = exact_quantiles(frame, value, (lower, 1 - upper)).select("series", F.col("q")[0].alias("lower_cut"), F.col("q")[1].alias("upper_cut"))
+    return frame.join(cut, "series", "left").withColumn("clipped", F.greatest(F.least(F.col(value), F.col("upper_cut")), F.col("lower_cut")))
 
 
 def robust_scaled(frame: DataFrame, value: str) -> DataFrame:
     """(x - median) / IQR with an IQR of 0 taken as 1, and the way back."""
-    q = frame.groupBy("series").agg(F.percentile(value, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))
+    q = exact_quantiles(frame, value, (0.25, 0.5, 0.75))
     spread = F.col("q")[2] - F.col("q")[0]
     q = q.select("series", F.col("q")[1].alias("center"), F.when(spread == 0, 1.0).otherwise(spread).alias("spread"))
-    rows = frame.join(q, "series").withColumn("scaled", (F.col(value) - F.col("center")) / F.col("spread"))
+    rows = frame.join(q, "series", "left").withColumn("scaled", (F.col(value) - F.col("center")) / F.col("spread"))
     return rows.withColumn("restored", F.col("scaled") * F.col("spread") + F.col("center"))
 
 
 def log_target(frame: DataFrame, value: str, lower: float = 0.01) -> DataFrame:
     """ln of the value, raised to its lower quantile; to the least positive value where that isn't positive, and to 1e-12 where there is none."""
-    cut = frame.groupBy("series").agg(F.percentile(value, F.lit(lower)).alias("q"), F.min(F.when(F.col(value) > 0, F.col(value))).alias("least"))
+    least = frame.groupBy("series").agg(F.min(F.when(F.col(value) > 0, F.col(value))).alias("least"))
+    cut = least.join(exact_quantiles(frame, value, (lower,)).select("series", F.col("q")[0].alias("q")), "series", "left")
     floor = F.when(F.col("q") > 0, F.col("q")).otherwise(F.coalesce("least", F.lit(LOG_FLOOR)))
     return frame.join(cut.select("series", floor.alias("floor")), "series").withColumn("target", F.ln(F.greatest(F.col(value), F.col("floor"))))
 

@@ -15,6 +15,7 @@ from ..operators.scans import affine, scanned
 from ..shipping import ship_package
 from . import garch
 
+BLOCKS = 4  # neighbouring refit blocks of a task
 FITS = "series string, model string, model_type string, parameter string, coef double, std_err double, t_stat double, p_value double, loglik double, n long"
 
 
@@ -145,13 +146,15 @@ def evaluate_models(rows: DataFrame, models: dict[str, Callable], n_train: int,
         if not callable(getattr(make(), "update", None)):
             raise TypeError(f"[{name}] has no update(), so its forecasts would stand still between refits")
     ship_package(rows.sparkSession)
-    blocks = block_rows(rows.select("series", "t", "ret", F.col(actual).cast("double").alias("actual")), n_train, n_test, every, width)
+    # A task takes BLOCKS neighbouring blocks, so a row goes to each task once and not to each block; every block is still fitted from scratch.
+    size = every * BLOCKS
+    chunks = block_rows(rows.select("series", "t", "ret", F.col(actual).cast("double").alias("actual")), n_train, n_test, size, width).drop("fit_end")
     each = F.array(*(F.struct(F.lit(name).alias("model"), F.lit(i).alias("model_ord")) for i, name in enumerate(models)))
-    blocks = blocks.withColumn("m", F.explode(each)).select(*blocks.columns, "m.*")
+    chunks = chunks.withColumn("m", F.explode(each)).select(*chunks.columns, "m.*")
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("t")
-        name, end = f["model"].iloc[0], f["fit_end"].iloc[0]
+    def one(f: pd.DataFrame, end: int) -> pd.DataFrame:
+        name = f["model"].iloc[0]
+        f = f[(f["t"] < end + every) & (f["t"] >= (end - width if width is not None else 0))]
         fitted = int((f["t"] < end).sum())
         ret, known = f["ret"].to_numpy(), f["actual"].to_numpy()
         model = models[name]()
@@ -173,5 +176,10 @@ def evaluate_models(rows: DataFrame, models: dict[str, Callable], n_train: int,
             "actual": test["actual"], "is_refit": step % every == 0,
         })
 
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("t", ignore_index=True)
+        first = n_train + int(f["block"].iloc[0]) * size
+        return pd.concat([one(f, end) for end in range(first, min(first + size, int(f["t"].iloc[-1]) + 1), every)])
+
     schema = "series string, model string, model_ord int, step long, t long, forecast double, actual double, is_refit boolean"
-    return spread(blocks, "series", "model", "block").groupBy("series", "model", "block").applyInPandas(run, schema)
+    return spread(chunks, "series", "model", "block").groupBy("series", "model", "block").applyInPandas(run, schema)

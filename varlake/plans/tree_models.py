@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators import features, returns
+from ..operators.quantiles import exact_quantiles
 from ..shipping import ship_package
 from . import garch, trees
 from .forecasting import model_name, spread
@@ -89,7 +90,8 @@ def model_rows(
         out = out.unionByName(more)
     names = ([STANDALONE] if standalone else []) + [hybrid_name(model_name(*b), mode) for mode in modes for b in bases]
     by = ["model", "series", "block"]
-    cut = out.where("fit AND logged").groupBy(*by).agg(F.percentile("y", F.lit(floor)).alias("q"), F.min(F.when(F.col("y") > 0, F.col("y"))).alias("least"))
+    least = out.where("fit AND logged").groupBy(*by).agg(F.min(F.when(F.col("y") > 0, F.col("y"))).alias("least"))
+    cut = least.join(exact_quantiles(out.where("fit AND logged"), "y", (floor,), by).select(*by, F.col("q")[0].alias("q")), by, "left")
     cut = cut.select(*by, F.when(F.col("q") > 0, F.col("q")).otherwise(F.coalesce("least", F.lit(returns.LOG_FLOOR))).alias("floor"))
     out = out.withColumnRenamed("y", "target").join(cut, by, "left")
     resid = F.col("model").endswith("-resid")
