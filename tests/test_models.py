@@ -278,8 +278,7 @@ def test_the_evaluator_refuses_what_it_cannot_do(spark):
         forecasting.evaluate_models(one, {"mean": Mean}, 100, 10, n_ahead=2)
     with pytest.raises(Exception, match=r"\[Broken\] fitting failed at test step 0"):
         forecasting.evaluate_models(one, {"Broken": Broken}, 100, 10).collect()
-    with pytest.raises(ValueError, match="FIGARCH"):
-        forecasting.fitted_states(one, [("FIGARCH", "t")])
+    assert [len(r.past) for r in forecasting.fitted_states(one, [("FIGARCH", "t")]).collect()] == [garch.TRUNCATION]
 
 
 @pytest.mark.parametrize("spec", garch.ORDERED)
@@ -376,3 +375,47 @@ def test_exact_quantiles_at_any_size(spark):
             if g != "huge":
                 assert got[g] == pytest.approx(np.quantile(x, shares).tolist(), rel=1e-12)
         assert got["huge"][:1] == [-1.7e308] and got["huge"][3] == 0.0 and got["huge"][-1] == 1.7e308
+
+
+def test_long_memory_is_streamed(spark, tmp_path):
+    """FIGARCH carries its squares from run to run: what it expects is what the batch recursion expects, with more and with fewer returns than the sum reaches back to."""
+    frame = simulated.synthetic_returns(spark, [3], n=1300, n_train=1200).select("series", F.col("t").cast("long").alias("t"), "ret").cache()
+    states = forecasting.fitted_states(frame.where("t < 300"), [("FIGARCH", "normal"), ("GARCH", "normal")]).cache()
+    for i, (low, high) in enumerate(((300, 420), (420, 1300))):
+        frame.where(f"t >= {low} AND t < {high}").write.parquet(str(tmp_path / "in" / str(i)))
+        live_variance.appended(spark.readStream.schema("series string, t long, ret double").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in")), states, str(tmp_path / "out"), str(tmp_path / "state"))
+    r = np.array([x.ret for x in frame.orderBy("t").collect()])
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("t").toPandas()
+    for row in states.collect():
+        want = garch.one_step(row.spec, np.array(row.p), r, 300)
+        own = got[got.model == row.model]
+        assert len(own) == 1000 and own["h"].to_numpy() == pytest.approx(want[:-1], rel=1e-9) and own["next_h"].to_numpy() == pytest.approx(want[1:], rel=1e-9)
+
+
+def test_lag_rows_are_streamed(spark, rows, tmp_path):
+    small = rows.where("t < 60").select("series", F.col("t").cast("long").alias("t"), "ret")
+    for i, (low, high) in enumerate(((0, 3), (3, 30), (30, 60))):
+        small.where(f"t >= {low} AND t < {high}").write.parquet(str(tmp_path / "in" / str(i)))
+        stream = spark.readStream.schema("series string, t long, ret double").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        made = live_variance.stream_lags(stream, 5).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+        made.trigger(availableNow=True).start().awaitTermination()
+        got = {r.t: r.x for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+        last = features.forecast_row(small.where(f"t < {high}").withColumn("sq", F.col("ret") * F.col("ret")), "sq", 5).first().x
+        assert len(got) == high and (got[high - 1] is None if high < 5 else got[high - 1][:5] == pytest.approx(last))
+
+
+def test_term_structures(spark, rows):
+    specs = [("GARCH", "normal"), ("GJR-GARCH", "normal"), ("EGARCH", "normal"), ("APARCH", "normal"), ("FIGARCH", "normal")]
+    states = forecasting.fitted_states(rows.where("t < 500"), specs).cache()
+    got = {(r.model, r.ahead): r.h for r in forecasting.term_structure(states, 5, 300).collect()}
+    assert len(got) == 25 and all(h > 0 for h in got.values())
+    for s in states.collect():
+        assert got[s.model, 1] == pytest.approx(garch.variance_of(s.spec, np.array(s.p), s.state) / garch.SCALE**2)
+        if s.spec in ("GARCH", "GJR-GARCH"):
+            h, own = s.state, []
+            for _ in range(5):
+                own.append(h / garch.SCALE**2)
+                h = s.p[1] + (s.p[2] + (s.p[3] if s.spec == "GARCH" else s.p[3] / 2 + s.p[4])) * h
+            assert [got[s.model, k] for k in range(1, 6)] == pytest.approx(own)
+        else:
+            assert 0.3 < got[s.model, 5] / got[s.model, 1] < 3

@@ -716,6 +716,29 @@ def _(spark, d):
     return rounded(live_variance.replayed(rets(spark, d), spark.range(1).selectExpr(*given)).select("t", "h", "next_h"))
 
 
+HORIZON = 12
+
+
+@query("MDL6_term_structure", f"""WITH RECURSIVE {PATHS}, z AS (SELECT series, model, arg_max(t, t) AS t, arg_max(s, t) AS s FROM f GROUP BY ALL)
+SELECT series, model, CAST(ahead AS INTEGER) AS ahead, round((phi ** (ahead - 1) * s + omega * (1 - phi ** (ahead - 1)) / (1 - phi)) / 10000, 6) AS h
+FROM (SELECT z.*, omega, alpha + beta + CASE z.model WHEN 'GJR-GARCH' THEN gamma / 2 ELSE 0 END AS phi FROM z JOIN g ON g.model = z.model WHERE z.model <> 'APARCH'), range(1, {HORIZON + 1}) AS r(ahead)""")
+def _(spark, d):
+    rows = typed_rets(spark, d)
+    kinds = {m: p for m, p in GIVEN.items() if m != "APARCH"}
+    given = F.array(*(F.struct(F.lit(m).alias("model"), F.lit(m).alias("model_type"), F.lit(k).alias("parameter"), F.lit(float(v)).alias("coef")) for m, p in kinds.items() for k, v in p.items()))
+    fits = rows.select("series").distinct().select("series", F.inline(given))
+    # The variance after the last return, from the last one's and the return itself.
+    last = rows.groupBy("series").agg(F.max("t").alias("t"), F.max_by("ret", "t").alias("ret"))
+    state = forecasting.insample_variance(rows, fits).join(last, ["series", "t"])
+    states = None
+    for m, p in kinds.items():
+        e = 100 * F.col("ret") - p["mu"]
+        shock = (p["alpha[1]"] + F.when(e < 0, p.get("gamma[1]", 0.0)).otherwise(0.0)) * e * e
+        one = state.where(F.col("model") == m).select("series", "model", F.lit(m).alias("spec"), F.array(*(F.lit(float(v)) for v in p.values())).alias("p"), (p["omega"] + shock + p["beta[1]"] * F.col("h") * 10000).alias("state"), F.lit(None).cast("array<double>").alias("past"))
+        states = one if states is None else states.unionByName(one)
+    return rounded(forecasting.term_structure(states, HORIZON), 6)
+
+
 @query("STREAM_hourly_bars", f"WITH {BARS} SELECT ts, high, low FROM bars")
 def _(spark, d):
     return live_bars.replayed(spark, d).select("ts", "high", "low")

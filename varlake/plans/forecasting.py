@@ -62,19 +62,19 @@ def fit_table(rows: DataFrame, specs: list[tuple]) -> DataFrame:
 
 
 def fitted_states(rows: DataFrame, specs: list[tuple]) -> DataFrame:
-    """series, model, spec, p (parameters of returns in percent), t (the last one fitted) and state, what the model's recursion carries into the next return; rows(series, t, ret)."""
+    """series, model, spec, p (parameters of returns in percent), t (the last one fitted), state, what the model's recursion carries into the next return, and past, the squares that FIGARCH carries (null for others); rows(series, t, ret)."""
     ship_package(rows.sparkSession)
-    if any(m[0] == "FIGARCH" for m in specs):
-        raise ValueError("FIGARCH can't be advanced by one return")
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("t")
         spec, dist, ret = f["spec"].iloc[0], f["dist"].iloc[0], f["ret"].to_numpy()
         p, _ = garch.fit(spec, dist, ret, order=order_of(f))
         h = garch.one_step(spec, p, ret, len(ret))[-1] * garch.SCALE**2
-        return pd.DataFrame({"series": f["series"].iloc[:1], "model": f["model"].iloc[:1], "spec": spec, "p": [p.tolist()], "t": int(f["t"].iloc[-1]), "state": garch.state_of(spec, p, h)})
+        e = (ret * garch.SCALE - p[0])[None]
+        past = [np.concatenate([np.repeat(garch.backcast(e), garch.TRUNCATION), e[0] ** 2])[-garch.TRUNCATION :].tolist()] if spec == "FIGARCH" else [None]
+        return pd.DataFrame({"series": f["series"].iloc[:1], "model": f["model"].iloc[:1], "spec": spec, "p": [p.tolist()], "t": int(f["t"].iloc[-1]), "state": garch.state_of(spec, p, h), "past": past})
 
-    return spread(with_models(rows.select("series", "t", "ret"), specs), "series", "model").groupBy("series", "model").applyInPandas(run, "series string, model string, spec string, p array<double>, t long, state double")
+    return spread(with_models(rows.select("series", "t", "ret"), specs), "series", "model").groupBy("series", "model").applyInPandas(run, "series string, model string, spec string, p array<double>, t long, state double, past array<double>")
 
 
 LINEAR = ("GARCH", "GJR-GARCH", "APARCH")  # the specifications whose recursion is linear in what it carries
@@ -183,3 +183,39 @@ def evaluate_models(rows: DataFrame, models: dict[str, Callable], n_train: int,
 
     schema = "series string, model string, model_ord int, step long, t long, forecast double, actual double, is_refit boolean"
     return spread(chunks, "series", "model", "block").groupBy("series", "model", "block").applyInPandas(run, schema)
+
+
+def term_structure(states: DataFrame, horizon: int, replicates: int = 2000, seed: int = 42) -> DataFrame:
+    """series, model, ahead and h: the variance that fitted_states() expects at each step up to the horizon, on the returns' own scale.
+
+    GARCH and GJR-GARCH have a closed form. For the others replicates are rows, dealt over tasks, which draw normal deviations and go on from the state; Spark averages them."""
+    ship_package(states.sparkSession)
+    p, k = F.col("p"), F.col("ahead")
+    steps = states.where(F.col("spec").isin("GARCH", "GJR-GARCH")).withColumn("ahead", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    persistence = F.when(F.col("spec") == "GARCH", p[2] + p[3]).otherwise(p[2] + p[3] / 2 + p[4])
+    power = F.pow(persistence, k - 1)
+    closed = power * F.col("state") + p[1] * F.when(persistence == 1, k - 1).otherwise((1 - power) / (1 - persistence))
+    own = steps.select("series", "model", k, (closed / garch.SCALE**2).alias("h"))
+    drawn = states.where(~F.col("spec").isin("GARCH", "GJR-GARCH")).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for r in f.itertuples():
+                q, state = np.asarray(r.p, float), float(r.state)
+                z = np.random.default_rng([seed, r.replicate]).standard_normal(horizon)
+                past = None if r.past is None else list(r.past)
+                weights = garch.long_memory(*(q[None, i] for i in (2, 3, 4)))[0] if r.spec == "FIGARCH" else None
+                for step in range(horizon):
+                    h = garch.variance_of(r.spec, q, state)
+                    rows.append((r.series, r.model, step + 1, h / garch.SCALE**2))
+                    e = z[step] * np.sqrt(h)
+                    if weights is None:
+                        state = garch.advance(r.spec, q, state, q[0] + e)
+                    else:
+                        past = [*past[1:], e * e]
+                        state = garch.remembered(q, np.array(past), weights)
+            yield pd.DataFrame(rows, columns=["series", "model", "ahead", "h"])
+
+    paths = spread(drawn.select("series", "model", "spec", "p", "state", "past", "replicate"), "series", "model", "replicate").mapInPandas(run, "series string, model string, ahead int, h double")
+    return own.unionByName(paths.groupBy("series", "model", "ahead").agg(F.avg("h").alias("h")))

@@ -113,6 +113,11 @@ def advance(spec: str, p: np.ndarray, state: float, r: float) -> float:
     raise ValueError(f"{spec} can't be advanced by one return")
 
 
+def remembered(p: np.ndarray, past: np.ndarray, weights: np.ndarray) -> float:
+    """FIGARCH's variance after the squares `past`, oldest first, with the weights of long_memory()."""
+    return float(np.clip(p[1] / (1 - p[4]) + past[::-1] @ weights[: len(past)], 1e-12, 1e12))
+
+
 def variances(spec: str, p: np.ndarray, r: np.ndarray, fitted: int) -> np.ndarray:
     """Variances of r's rows and of the row after, for each vector of p; the start value comes from the first `fitted` rows."""
     e = r[None, :] - p[:, :1]
