@@ -419,3 +419,19 @@ def test_term_structures(spark, rows):
             assert [got[s.model, k] for k in range(1, 6)] == pytest.approx(own)
         else:
             assert 0.3 < got[s.model, 5] / got[s.model, 1] < 3
+
+
+def test_scores_wait_for_their_actuals(spark):
+    """Actuals that come in time, that never come and that come too late; each forecast is scored once."""
+    import datetime as dt
+
+    from varlake.streaming import live_scores
+
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    f = spark.createDataFrame([("a", m, t, at(t), float(t)) for m in ("x", "y") for t in range(1, 9)], "series string, model string, t long, ts timestamp, forecast double")
+    a = spark.createDataFrame([("a", t, at(t, 20), t + 1.0) for t in (1, 2, 4, 5, 8)] + [("a", 3, at(6), 9.0), ("b", 1, at(1), 1.0)], "series string, t long, actual_ts timestamp, actual double")
+    out = live_scores.replayed(f, a).cache()
+    got = {(r.model, r.t): (r.forecast, r.actual, r.squared) for r in out.collect()}
+    assert out.count() == 16 == len(got)
+    assert all(got[m, t] == ((t, t + 1.0, 1.0) if t in (1, 2, 4, 5, 8) else (t, None, None)) for m in ("x", "y") for t in range(1, 9))
+    assert {(r.model, r.n, r.n_scored, r.rmse) for r in live_scores.running_metrics(out).collect()} == {("x", 8, 5, 1.0), ("y", 8, 5, 1.0)}

@@ -9,7 +9,7 @@ from .functions import names, special
 from .operators import accuracy, confidence, features, losses, normality, reporting, returns
 from .sources import bars
 from .plans import forecasting, garch, stand_ins, tree_models, trees
-from .streaming import live_bars, live_variance
+from .streaming import live_bars, live_scores, live_variance
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -716,6 +716,16 @@ def _(spark, d):
     return rounded(live_variance.replayed(rets(spark, d), spark.range(1).selectExpr(*given)).select("t", "h", "next_h"))
 
 
+@query("JOIN3_stream_scores", f"""WITH {FORECASTS}, tt AS (SELECT series, t, ts FROM rets),
+sc AS (SELECT fc.series, model, fc.t, tt.ts, forecast, CASE WHEN actual > 0.05 THEN actual END AS actual FROM fc JOIN tt ON tt.series = fc.series AND tt.t = fc.t)
+SELECT model, t, ts, round(forecast, 6) AS forecast, round(actual, 6) AS actual, round((forecast - actual) ** 2, 6) AS squared, round(abs(forecast - actual), 6) AS absolute FROM sc""")
+def _(spark, d):
+    own = rets(spark, d).select("series", F.col("t").cast("long").alias("t"), "ts", "garman_klass")
+    made = forecasts(spark, d).select("series", "model", F.col("t").cast("long").alias("t"), "forecast").join(own.select("series", "t", "ts"), ["series", "t"])
+    actuals = own.where("garman_klass > 0.05").select("series", "t", (F.col("ts") + F.expr("interval 30 minutes")).alias("actual_ts"), F.col("garman_klass").alias("actual"))
+    return rounded(live_scores.replayed(made, actuals).select("model", "t", "ts", "forecast", "actual", "squared", "absolute"), 6)
+
+
 HORIZON = 12
 
 
