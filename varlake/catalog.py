@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import names, special
 from .operators import accuracy, confidence, features, losses, normality, reporting, returns
-from .sources import bars
+from .sources import bars, daily_files
 from .plans import forecasting, garch, stand_ins, tree_models, trees
 from .streaming import live_bars, live_scores, live_variance
 
@@ -92,6 +92,14 @@ def _(spark, d):
     return bars.hourly_bars_between(bars.table(spark, d, "events"), "2024-01-05", "2024-01-20").select("ts", "close")
 
 
+@query("SRC1_days_of_a_source", f"WITH {BARS} SELECT CAST(ts AS DATE) AS day, ts, close FROM bars WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'")
+def _(spark, d):
+    daily_files.register(spark)
+    path = live_bars.new_folder(spark, "days")
+    daily_files.write_days(hourly(spark, d).select("ts", "close", F.to_date("ts").alias("day")), path)
+    return spark.read.format(daily_files.FORMAT).schema("day date, ts timestamp, close double").load(path).where("day BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'")
+
+
 @query("SRC4_daily_bars_by_type", """SELECT event_type AS series, date_trunc('day', ts) AS ts, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close
 FROM events WHERE value > 0 GROUP BY ALL""")
 def _(spark, d):
