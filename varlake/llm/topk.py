@@ -1,7 +1,7 @@
 """Exact top-k by inner product: every candidate is scored, term at a time.
 
-Queries are broadcast in waves of bounded size and rows stay where they are; a task keeps the k best of each query, so only
-these are shuffled.
+Queries are broadcast in waves of bounded size, one job after the other, and rows stay where they are; a task keeps the k best
+of each query, so only these are shuffled.
 """
 
 from __future__ import annotations
@@ -110,9 +110,13 @@ def top_k(embeddings: DataFrame, every: int = 20, k: int = 20, scale: int = 64,
     queries = staged(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     waves = -(-(queries.agg(F.sum(F.size("v"))).first()[0] or 0) // wave_cells) or 1
 
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
     def scored(wave: int) -> DataFrame:
+        """A wave's best rows as a table, written before the next wave's queries are sent, so the driver and the tasks hold one wave at a time."""
         own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == wave).toArrow().combine_chunks()
         sent = spark.sparkContext.broadcast((own.column("vec_id").to_numpy(), matrix(own.column("v").combine_chunks())))
+        del own
 
         def run(batches):
             kept = Best(*sent.value, k)
@@ -122,10 +126,12 @@ def top_k(embeddings: DataFrame, every: int = 20, k: int = 20, scale: int = 64,
                     kept.add(part.column("vec_id").to_numpy(), matrix(part.column("v")))
             yield kept.rows()
 
-        return text.mapped(rows, run, "query_id long, vec_id long, score long")
+        found = text.mapped(rows, run, "query_id long, vec_id long, score long")
+        out = staged(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "best")
+        sent.destroy()
+        return out
 
-    found = scored(0)
+    out = scored(0)
     for wave in range(1, waves):
-        found = found.unionByName(scored(wave))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        out = out.unionByName(scored(wave))
+    return out
