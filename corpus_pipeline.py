@@ -31,7 +31,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, decoded and n_tokens."""
+    """doc_id, ids, decoded and n_tokens; the other columns of documents end here, as the decoded text stands for the text."""
     return piece_codec.encode_decode(docs, tokenizer_path()).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
