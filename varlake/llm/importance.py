@@ -34,21 +34,31 @@ APART = np.zeros(256, bool)
 APART[:128] = True
 APART[0x30:0x3A] = APART[0x61:0x7B] = False
 
-_CRC = np.arange(256, dtype=np.uint32)
-for _ in range(8):
-    _CRC = np.where(_CRC & 1, (_CRC >> 1) ^ np.uint32(0xEDB88320), _CRC >> 1)
+
+def _crc_table(bits: int) -> np.ndarray:
+    """What the crc32 of a register makes of its lowest bits, all at once."""
+    table = np.arange(1 << bits, dtype=np.uint32)
+    for _ in range(bits):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+_ONE, _TWO = _crc_table(8), _crc_table(16)
 
 
 def crc32s(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The crc32 of each run of bytes, all runs' next byte at a time."""
+    """The crc32 of each run of bytes, all runs' next two bytes at a time."""
     order = np.argsort(-size, kind="stable")
-    at, n = begin[order], size[order]
+    at, n = begin[order].astype(np.int64), size[order]
     value = np.full(len(order), 0xFFFFFFFF, np.uint32)
     first = int(np.searchsorted(-n, -LONG))  # those before are longer
     left = np.searchsorted(-n, -np.arange(LONG), side="left")  # of each place, how many runs go on there
-    for j in range(int(n[first]) if first < len(n) else 0):
+    pairs = np.ndarray((max(0, len(data) - 1),), "<u2", buffer=data, strides=(1,)) if len(data) > 1 else np.zeros(0, np.uint16)
+    for j in range(1, int(n[first]) if first < len(n) else 0, 2):
         own = value[first : left[j]]
-        value[first : left[j]] = _CRC[(own ^ data[at[first : left[j]] + j]) & np.uint32(255)] ^ (own >> np.uint32(8))
+        value[first : left[j]] = _TWO[(own ^ pairs[at[first : left[j]] + (j - 1)]) & np.uint32(0xFFFF)] ^ (own >> np.uint32(16))
+    odd = first + np.flatnonzero(n[first:] & 1)
+    value[odd] = _ONE[(value[odd] ^ data[at[odd] + n[odd] - 1]) & np.uint32(255)] ^ (value[odd] >> np.uint32(8))
     value = ~value
     for i in range(first):
         value[i] = zlib.crc32(data[at[i] : at[i] + n[i]].tobytes())
