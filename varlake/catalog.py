@@ -541,7 +541,7 @@ def _(spark, d):
 def _(spark, d):
     own = normality.standardised(values(spark, d))
     x = F.abs("z")
-    return own.select("series", "t", special.t_two_sided(x, F.lit(30)).alias("t"), special.normal_sf(x).alias("normal"), special.chi2_sf(x, 2).alias("chi2_2"), special.chi2_sf(x, 7).alias("chi2_7"))
+    return own.select("series", "t", special.t_two_sided(x, F.lit(30)).alias("student_t"), special.normal_sf(x).alias("normal"), special.chi2_sf(x, 2).alias("chi2_2"), special.chi2_sf(x, 7).alias("chi2_7"))
 
 
 # Coefficients by moments of each type's returns: the mean, and correlations of squares with what came before; exp(-|t|) stands for the p-value, which SQL can express.
