@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from varlake import catalog
 from varlake.operators import returns
 from varlake.plans import forecasting, garch, tree_models, trees
 
@@ -79,6 +80,62 @@ def test_trees_are_those_of_a_plain_booster(spark):
     assert all(r.s == pytest.approx(1) for r in total)
 
 
+def few_rows(spark):
+    rng = np.random.default_rng(2)
+    data = []
+    for g, n in (("a", 120), ("b", 60)):
+        x, y = grid_rows(rng, n)
+        data += [(g, i, i % 5 != 4, x[i].tolist(), float(y[i])) for i in range(n)]
+    return spark.createDataFrame(data, "g string, i long, fit boolean, x array<double>, y double")
+
+
+def test_plans_do_not_grow_with_the_trees(spark):
+    rows = few_rows(spark)
+    groups = trees.with_parameters(rows.select("g").distinct(), {"n_estimators": 3, "max_depth": 2})
+    booster, sizes = trees.Booster(rows, groups), []
+    for k in (1, 2, 3):
+        kept = booster.run(k).rows
+        sizes.append(len(kept._jdf.queryExecution().analyzed().toString().splitlines()))
+    assert sizes[0] == sizes[1] == sizes[2] and kept.count() == 180
+    # A walk of several levels has each condition once, not once for each way to it.
+    tree = spark.createDataFrame([], "g string, nodes map<int, struct<f: int, bin: int, value: double, left: double, right: double>>")
+    moved = booster.moved(booster.state.selectExpr("g", "y", "pred", "bins", "drawn", "true AS taken", "array(0, 1, 2) AS draw"), tree, 3)
+    assert booster.level(moved, 3)._jdf.queryExecution().optimizedPlan().toString().count("try_element_at") <= 3
+
+
+def test_splits_beyond_the_driver_make_the_same_trees(spark, monkeypatch):
+    rows, found = few_rows(spark), []
+    for small in (trees.SMALL, 2, 0):
+        monkeypatch.setattr(trees, "SMALL", small)
+        forest = trees.Booster(rows, rows.select("g").distinct().withColumn("n_estimators", F.when(F.col("g") == "a", 4).otherwise(2)), 7).run()
+        found.append(({(r.g, r.i): r.pred for r in forest.rows.collect()}, {(r.g, r.tree, r.node, r.f, r.bin) for r in forest.trees.collect()}))
+    assert len(found[0][0]) == 180 and {t for g, t, *_ in found[0][1] if g == "b"} == {0, 1}
+    for pred, nodes in found[1:]:
+        assert pred == pytest.approx(found[0][0]) and nodes == found[0][1]
+
+
+class Stop(Exception):
+    pass
+
+
+@pytest.mark.parametrize("key, place", [
+    ("MDL10_MDL11_MDL13_tree_forecasts", (tree_models, "evaluate")), ("MDL20_MDL11_JOIN7_hybrids_ahead", (tree_models, "evaluate")), ("MDL12_tuning", (trees, "Booster")),
+    ("MDL14_SRT7_importances", (trees, "Booster")), ("MDL21_to_23_evaluate", (forecasting, "evaluate")),
+])
+def test_events_are_read_once(spark, monkeypatch, key, place):
+    """What is read again and again is a table of bars, returns or lags."""
+    given = []
+
+    def stopped(rows, *_, **__):
+        given.extend(rows.inputFiles())
+        raise Stop
+
+    monkeypatch.setattr(*place, stopped)
+    with pytest.raises(Stop):
+        catalog.QUERIES[key](spark, "/root/testdata/sf0.001")
+    assert given and not any("events.parquet" in f for f in given)
+
+
 def test_unknown_parameters_are_an_error(spark):
     with pytest.raises(ValueError, match="unknown"):
         trees.with_parameters(spark.createDataFrame([("a",)], "g string"), {"depth": 3})

@@ -683,7 +683,7 @@ def _(spark, d):
 
 @query("MDL21_to_23_evaluate")
 def _(spark, d):
-    return forecasting.evaluate(rets(spark, d), ALL_MODELS, 400, None, actual="garman_klass")
+    return forecasting.evaluate(written(rets(spark, d), "returns"), ALL_MODELS, 400, None, actual="garman_klass")
 
 
 FEW_TREES = {"n_estimators": 20, "learning_rate": 0.3}  # the library's defaults are 200 trees of rate 0.05
@@ -691,20 +691,21 @@ FEW_TREES = {"n_estimators": 20, "learning_rate": 0.3}  # the library's defaults
 
 @query("MDL10_MDL11_MDL13_tree_forecasts")
 def _(spark, d):
-    return tree_models.evaluate(rets(spark, d), 400, actual="garman_klass", bases=[("GARCH", "normal")], parameters=FEW_TREES)
+    return tree_models.evaluate(written(rets(spark, d), "returns"), 400, actual="garman_klass", bases=[("GARCH", "normal")], parameters=FEW_TREES)
 
 
 @query("MDL20_MDL11_JOIN7_hybrids_ahead")
 def _(spark, d):
-    f = written(tree_models.evaluate(rets(spark, d), 400, every=100, actual="garman_klass", bases=[("GARCH", "normal")], parameters=FEW_TREES), "hybrids")
-    base = losses.metrics(forecasting.evaluate(rets(spark, d), [("GARCH", "normal")], 400, None, 100, actual="garman_klass"))
+    own = written(rets(spark, d), "returns")
+    f = written(tree_models.evaluate(own, 400, every=100, actual="garman_klass", bases=[("GARCH", "normal")], parameters=FEW_TREES), "hybrids")
+    base = losses.metrics(forecasting.evaluate(own, [("GARCH", "normal")], 400, None, 100, actual="garman_klass"))
     return losses.with_base(losses.metrics(tree_models.repeated(f, 5)), base)
 
 
 @query("MDL14_SRT7_importances")
 def _(spark, d):
     lagged = tree_models.lag_rows(typed_rets(spark, d), "garman_klass")
-    own = lagged.select(F.col("series").alias("g"), F.col("t").alias("i"), F.lit(True).alias("fit"), "x", "y")
+    own = written(lagged.select(F.col("series").alias("g"), F.col("t").alias("i"), F.lit(True).alias("fit"), "x", "y"), "lagged")
     forest = trees.Booster(own, trees.with_parameters(own.select("g").distinct(), FEW_TREES)).run()
     return trees.importances(forest.trees).select(F.col("g").alias("series"), F.get(F.array(*map(F.lit, tree_models.feature_names())), F.col("f")).alias("feature"), "n_splits", "gain", "importance", "place").orderBy("series", "place")
 

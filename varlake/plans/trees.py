@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..streaming.live_bars import new_folder
@@ -20,7 +21,8 @@ DEFAULTS = {"n_estimators": 200, "max_depth": 4, "learning_rate": 0.05, "subsamp
 BINS = 64
 LEAST_GAIN = 1e-6
 SMALL = 50_000  # rows of splits that may go by way of the driver; more are written to the shared folder
-HELD = 10  # trees after which the rows are written, so that their lineage stays short
+HELD = 10  # trees after which their nodes are written
+SPLIT = ("f", "bin", "value", "left", "right")  # what sends a row on from a node
 
 
 def written(frame: DataFrame, kind: str) -> DataFrame:
@@ -30,6 +32,14 @@ def written(frame: DataFrame, kind: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def deleted(frame: DataFrame) -> None:
+    """Takes away the files of a table that written() has made and nobody reads any more."""
+    context = frame.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_parameters(groups: DataFrame, given: dict | None = None) -> DataFrame:
     """groups(g, ...) with a column for each parameter that it lacks, from those given or the defaults."""
     more = {**DEFAULTS, **(given or {})}
@@ -61,36 +71,64 @@ class Booster:
 
     def __init__(self, rows: DataFrame, groups: DataFrame, seed: int = 42, bins: int = BINS):
         self.spark: SparkSession = rows.sparkSession
-        self.seed, self.done, self.parts = seed, 0, []
+        self.seed, self.done, self.parts, self.tables = seed, 0, [], []
+        self.lent: DataFrame | None = None
         self.parameters = written(with_parameters(groups).select("g", *(F.col(k).cast("double").alias(k) for k in DEFAULTS)), "parameters")
         self.edges = written(bin_edges(rows, bins), "edges")
         start = rows.where("fit").groupBy("g").agg(F.avg("y").alias("pred"))
         own = rows.join(self.edges, "g").join(self.parameters.select("g", "subsample", "colsample_bytree", "learning_rate", "n_estimators"), "g").join(start, "g")
         place = F.zip_with("x", "edges", lambda v, e: F.size(F.filter(e, lambda t: t < v)).cast("short"))
         drawn = F.greatest(F.lit(1), (F.col("colsample_bytree") * F.size("x")).cast("int")).alias("drawn")
-        self.state = written(own.select("g", F.col("i").cast("long").alias("i"), "fit", F.col("y").cast("double").alias("y"), place.alias("bins"), drawn, "subsample", "learning_rate", "n_estimators", "pred"), "boosted")
+        first = own.select("g", F.col("i").cast("long").alias("i"), "fit", F.col("y").cast("double").alias("y"), place.alias("bins"), drawn, "subsample", "learning_rate", "n_estimators", "pred")
+        self.state = written(self.sampled(first), "boosted")
         self.sizes = [r[0] for r in self.state.select(F.size("bins")).distinct().collect()]  # how many features there are, mostly one number
         self.groups, depth = self.parameters.agg(F.count("*"), F.max("max_depth")).first()
         self.depth = int(depth or 0)
-        self.cached: DataFrame | None = None
-
-    def passed(self, splits: DataFrame, level: int) -> DataFrame:
-        """A level's splits in a form that the next levels can read again and again."""
-        if self.groups * 2**level <= SMALL:
-            return self.spark.createDataFrame(splits.toArrow(), splits.schema)
-        return written(splits, "splits")
+        if self.groups <= SMALL:
+            self.parameters = self.spark.createDataFrame(self.parameters.toArrow(), self.parameters.schema)
+
+    def sampled(self, rows: DataFrame) -> DataFrame:
+        """rows with sampled: whether the next tree is fitted to the row."""
+        draw = f"pmod(xxhash64({self.seed}, {self.done}, g, i), 1048576) / 1048576D < subsample"
+        return rows.withColumn("sampled", F.expr(f"fit AND n_estimators > {self.done} AND {draw}"))
+
+    def small(self, level: int) -> bool:
+        return self.groups * 2**level <= SMALL
+
+    def merged(self, nodes: dict, splits: pa.Table) -> DataFrame:
+        """g and nodes, a map of all splits of the tree so far by their node, kept in `nodes`; one row for each group, so that a level reads one table for all levels before it."""
+        for g, *rest in zip(*(splits.column(c).to_pylist() for c in ("g", "node", *SPLIT))):
+            nodes.setdefault(g, []).append((rest[0], dict(zip(SPLIT, rest[1:]))))
+        split = pa.struct([splits.schema.field(c) for c in SPLIT])
+        table = pa.table({"g": pa.array(nodes, splits.schema.field("g").type), "nodes": pa.array(nodes.values(), pa.map_(splits.schema.field("node").type, split))})
+        return self.spark.createDataFrame(table)
+
+    def moved(self, rows: DataFrame, tree: DataFrame | None, levels: int) -> DataFrame:
+        """rows with the node that they are in after that many levels of their group's tree, -1 where they stay in a leaf, and its value v (0 without a tree)."""
+        rows = rows.selectExpr("*", "0 AS node", "0D AS v")
+        if tree is None:
+            return rows
+        keep = [c for c in rows.columns if c not in ("node", "v")]
+        rows = rows.join(F.broadcast(tree) if self.small(levels - 1) else tree, "g", "left")
+        for level in range(levels):
+            rows = rows.selectExpr(*keep, "nodes", "node", "v", "try_element_at(nodes, node) AS s").selectExpr(
+                *keep, "nodes", "CASE WHEN s.f IS NULL THEN -1 WHEN bins[s.f] > s.bin THEN 2 * node + 2 ELSE 2 * node + 1 END AS node",
+                f"CASE WHEN s.f IS NULL THEN {'v' if level else 'coalesce(s.value, v)'} WHEN bins[s.f] > s.bin THEN s.right ELSE s.left END AS v",
+            )
+        return rows.drop("nodes")
 
     def level(self, rows: DataFrame, level: int) -> DataFrame:
         """g, node, f, bin, gain, value, left, right and n of the nodes that rows are in; f is null where no split gains enough.
 
-        The sums of each bin meet by (g, node), so that the running sums over bins, the best split of each node and its choice need no other exchange."""
+        The sums of each bin meet by (g, node), so that the running sums over bins, the best split of each node and its choice need no other exchange.
+        The condition on node is no filter, as a filter would be laid on the scan with the whole walk through the tree in it."""
         score = "pow(signum({0}) * greatest(abs({0}) - reg_alpha, 0D), 2) / ({1} + reg_lambda)".format
         value = "-signum({0}) * greatest(abs({0}) - reg_alpha, 0D) / ({1} + reg_lambda)".format
         fine = f"nl >= min_child_weight AND n - nl >= min_child_weight AND {level} < max_depth"
         hint = "/*+ BROADCAST(p) */" if self.groups <= SMALL else ""
         return self.spark.sql(
             f"""
-            WITH e AS (SELECT g, node, drawn, draw, pred - y AS d, posexplode(bins) AS (f, bin) FROM {{rows}} WHERE taken AND node >= 0),
+            WITH e AS (SELECT g, node, drawn, draw, pred - y AS d, posexplode(CASE WHEN taken AND node >= 0 THEN bins END) AS (f, bin) FROM {{rows}}),
             s AS (SELECT g, node, f, bin, sum(d) AS d, count(*) AS n FROM e WHERE draw[f] < drawn GROUP BY g, node, f, bin),
             r AS (SELECT /*+ REPARTITION(g, node) */ * FROM s),
             w AS (SELECT {hint} r.g, node, f, bin, reg_alpha, reg_lambda, min_child_weight, max_depth, sum(d) OVER u AS dl, sum(n) OVER u AS nl, sum(d) OVER a AS d, sum(n) OVER a AS n FROM r JOIN {{parameters}} p ON p.g = r.g
@@ -102,46 +140,45 @@ class Booster:
         )
 
     def grow(self) -> None:
-        """One more tree for every group that is to have one."""
-        keep = self.state.columns
-        taken = f"fit AND pmod(xxhash64({self.seed}, {self.done}, g, i), 1048576) / 1048576D < subsample"
+        """One more tree for every group that is to have one. The rows are written after each tree, so that plans don't grow with the trees."""
         # The place of each feature in this tree's draw, which is alike for all groups of as many features.
         order = {size: np.random.default_rng([self.seed, self.done, size]).permutation(size).tolist() for size in self.sizes}
         draw = "CASE size(bins) " + " ".join(f"WHEN {size} THEN array({', '.join(map(str, own))})" for size, own in order.items() if size) + " END"
-        rows = self.state.where(F.col("n_estimators") > self.done).selectExpr("*", "0 AS node", "0D AS v", f"{taken} AS taken", f"{draw} AS draw")
-        made = []
+        fitted = self.state.where("sampled").selectExpr("g", "y", "pred", "bins", "drawn", "true AS taken", f"{draw} AS draw")
+        nodes, made, tree = {}, [], None
         for level in range(self.depth):
-            splits = self.passed(self.level(rows, level), level)
-            made.append(splits)
-            hint = "/*+ BROADCAST(s) */" if self.groups * 2**level <= SMALL else ""
-            rows = self.spark.sql(
-                f"""
-                SELECT {hint} {", ".join("r." + c for c in keep)}, taken, draw, CASE WHEN s.f IS NULL THEN -1 WHEN r.bins[s.f] > s.bin THEN 2 * r.node + 2 ELSE 2 * r.node + 1 END AS node,
-                  CASE WHEN s.f IS NULL THEN {"v" if level else "coalesce(s.value, v)"} WHEN r.bins[s.f] > s.bin THEN s.right ELSE s.left END AS v
-                FROM {{rows}} r LEFT JOIN {{splits}} s ON r.g = s.g AND r.node = s.node""",
-                rows=rows, splits=splits,
-            )
-        grown = rows.withColumn("pred", F.col("pred") + F.col("learning_rate") * F.col("v")).select(*keep)
-        if self.uneven:
-            grown = grown.unionByName(self.state.where(F.col("n_estimators") <= self.done))
-        for splits in made:
-            self.parts.append(splits.withColumn("tree", F.lit(self.done)))
+            splits = self.level(self.moved(fitted, tree, level), level)
+            if self.small(level):
+                table = splits.toArrow()
+                self.tables.append(table.append_column("tree", pa.array([self.done] * len(table), pa.int32())))
+                made.append(table)
+                tree = self.merged(nodes, table)
+            else:
+                held = [m if isinstance(m, DataFrame) else self.spark.createDataFrame(m, splits.schema) for m in made]
+                made = [*held, written(splits, "splits")]
+                self.parts.append(made[-1].withColumn("tree", F.lit(self.done)))
+                every = made[0]
+                for more in made[1:]:
+                    every = every.unionByName(more)
+                tree = written(every.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("node", F.struct(*SPLIT)))).alias("nodes")), "nodes")
+        keep = [c for c in self.state.columns if c not in ("pred", "sampled")]
+        grown = self.moved(self.state, tree, self.depth).selectExpr(*keep, "pred + learning_rate * v AS pred")
         self.done += 1
-        self.hold(grown)
-
-    def hold(self, grown: DataFrame) -> None:
+        self.go_on(self.sampled(grown))
         if self.done % HELD == 0:
-            new = written(grown, "boosted")
             self.trees_so_far()
-        else:
-            new = grown.persist()
-        before, self.cached = self.cached, None if self.done % HELD == 0 else new
-        if before is not None and self.done % HELD == 0:
-            before.unpersist()
-        self.state = new
+
+    def go_on(self, rows: DataFrame) -> None:
+        """Writes the rows as the new state, whose forerunner goes unless run() has returned it."""
+        before, self.state = self.state, written(rows, "boosted")
+        if before is not self.lent:
+            deleted(before)
 
     def trees_so_far(self) -> DataFrame:
         """All trees' nodes as one table."""
+        if self.tables:
+            self.parts.append(self.spark.createDataFrame(pa.concat_tables(self.tables)))
+            self.tables = []
         if len(self.parts) > 1:
             out = self.parts[0]
             for part in self.parts[1:]:
@@ -149,22 +186,19 @@ class Booster:
             self.parts = [written(out, "trees")]
         return self.parts[0]
 
-    uneven = False
-
     def keep(self, groups: DataFrame) -> None:
         """Goes on with these groups only."""
-        self.state = written(self.state.join(groups, "g", "left_semi"), "boosted")
+        self.go_on(self.state.join(groups, "g", "left_semi"))
         self.groups = self.state.agg(F.count_distinct("g")).first()[0]
 
     def run(self, trees: int | None = None) -> Forest:
         """Grows the trees that the groups ask for, or up to that many in all."""
-        facts = self.state.agg(F.max("n_estimators"), F.min("n_estimators")).first()
-        most = int(facts[0] or 0)
+        most = int(self.state.agg(F.max("n_estimators")).first()[0] or 0)
         most = most if trees is None else min(trees, most)
-        self.uneven = facts[0] is not None and facts[1] < most
         while self.done < most:
             self.grow()
-        return Forest(self.state, self.trees_so_far() if self.parts else None, self.edges)
+        self.lent = self.state
+        return Forest(self.state, self.trees_so_far() if self.parts or self.tables else None, self.edges)
 
 
 def importances(trees: DataFrame) -> DataFrame:
