@@ -88,6 +88,7 @@ def model_rows(
     out = kinds[0]
     for more in kinds[1:]:
         out = out.unionByName(more)
+    out = trees.written(out, "kinds")  # the floors are found in several passes
     names = ([STANDALONE] if standalone else []) + [hybrid_name(model_name(*b), mode) for mode in modes for b in bases]
     by = ["model", "series", "block"]
     least = out.where("fit AND logged").groupBy(*by).agg(F.min(F.when(F.col("y") > 0, F.col("y"))).alias("least"))
