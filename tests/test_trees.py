@@ -199,6 +199,49 @@ def test_tree_forecasts(spark, rows):
     assert ahead.count() == 540 and ahead.groupBy("model", "t").agg(F.count_distinct("forecast").alias("n")).where("n > 1").count() == 0
 
 
+def test_steps_ahead_are_scored_at_their_own_time(spark, rows, monkeypatch):
+    """Each step's metrics are those of its own actuals, for the hybrids and for their base, whose variance differs by step."""
+    local = rows.orderBy("t").toPandas()
+    r, proxy = local["ret"].to_numpy(), local["proxy"].to_numpy()
+    made = rows.where("t >= 200").selectExpr("series", "'XGB-GARCH-NORMAL-feat' AS model", "0 AS model_ord", "cast(t - 200 AS long) AS step", "cast(t AS long) AS t", "abs(ret) AS forecast", "proxy AS actual", "false AS is_refit")
+    ahead = tree_models.repeated(made, 3)
+    assert ahead.columns == [*made.columns, "ahead"]
+    for x in ahead.collect():
+        assert x.forecast == abs(r[x.t]) and x.actual == (proxy[x.t + x.ahead - 1] if x.t + x.ahead <= 260 else None)
+    base = {(x.t, x.ahead): x for x in forecasting.evaluate_ahead(rows, [("GARCH", "normal")], 200, 3, 30).collect()}
+    assert set(base) == {(t, k) for t in range(200, 260) for k in (1, 2, 3)}
+    for end in (200, 230):
+        p, _ = garch.fit("GARCH", "normal", r[:end])
+        h = garch.variances("GARCH", p[None], r * garch.SCALE, end)[0]
+        for t in range(end, end + 30):
+            v = h[t]
+            for k in (1, 2, 3):
+                assert base[t, k].forecast == pytest.approx(v / garch.SCALE**2) and base[t, k].actual == (proxy[t + k - 1] if t + k <= 260 else None)
+                v = p[1] + (p[2] + p[3]) * v
+    own = rows.withColumnRenamed("proxy", "garman_klass")
+    monkeypatch.setattr(catalog, "rets", lambda *_: own)
+    monkeypatch.setattr(tree_models, "evaluate", lambda *_, **__: made)
+    monkeypatch.setattr(forecasting, "evaluate_ahead", lambda *_, **__: spark.createDataFrame(list(base.values())).withColumn("model", F.lit("GARCH-NORMAL")))
+    got = {x.ahead: x for x in catalog.QUERIES["MDL20_MDL11_JOIN7_hybrids_ahead"](spark, "").collect()}
+    assert set(got) == {1, 2, 3, 4, 5}
+    for k in got:
+        f, a = np.abs(r[200 : 261 - k]), proxy[199 + k : 260]
+        assert got[k].rmse == pytest.approx(float(np.sqrt(((f - a) ** 2).mean()))) and got[k].mae == pytest.approx(float(np.abs(f - a).mean()))
+        if k <= 3:
+            v = np.array([base[t, k].forecast for t in range(200, 261 - k)])
+            assert got[k].base_rmse == pytest.approx(float(np.sqrt(((v - a) ** 2).mean())))
+    assert len({round(x.rmse, 12) for x in got.values()}) == 5 and got[5].base_rmse is None
+
+
+def test_states_of_other_models_before_each_row(spark, rows):
+    """At one step the forecasts are those of the evaluator, for every specification."""
+    specs = [("EGARCH", "normal"), ("APARCH", "normal"), ("FIGARCH", "normal")]
+    one = {(x.model, x.t): x.forecast for x in forecasting.evaluate(rows.where("t < 204"), specs, 200, None, 30).collect()}
+    states = forecasting.origin_states(rows.where("t < 204"), specs, 200, 30)
+    got = {(x.model, x.t): x.h for x in forecasting.term_structure(states, 1, 2, by=("series", "model", "t")).collect()}
+    assert set(got) == set(one) and len(got) == 12 and all(got[k] == pytest.approx(one[k]) for k in got)
+
+
 def test_bad_options_are_errors(rows):
     with pytest.raises(ValueError, match="mode"):
         tree_models.hybrid_name("GARCH-T", "both")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.names import base_model
@@ -28,11 +30,18 @@ def with_losses(forecasts: DataFrame) -> DataFrame:
     return forecasts.select("*", (f - a).alias("error"), *(loss(n, f, a).alias(n) for n in LOSSES))
 
 
-def metrics(forecasts: DataFrame) -> DataFrame:
-    """One aggregation for all: rmse, mae, mse and qlike of each series and model."""
+def at_their_time(steps: DataFrame, actuals: DataFrame) -> DataFrame:
+    """Forecasts of several steps, rows(series, t, ahead, ...), beside the actual of the time t + ahead - 1 that each is for, null where there is none; actuals(series, t, actual), and model where they differ by it."""
+    by = [c for c in ("series", "model") if c in actuals.columns]
+    known = actuals.select(*by, F.col("t").alias("at"), "actual")
+    return steps.withColumn("at", F.col("t") + F.col("ahead") - 1).join(known, [*by, "at"], "left").drop("at")
+
+
+def metrics(forecasts: DataFrame, by: Sequence[str] = ("series", "model")) -> DataFrame:
+    """One aggregation for all: rmse, mae, mse and qlike of each series and model, or of what `by` names."""
     f, a = F.col("forecast"), F.col("actual")
     mse = F.avg(loss("squared", f, a))
-    return forecasts.groupBy("series", "model").agg(F.sqrt(mse).alias("rmse"), F.avg(loss("absolute", f, a)).alias("mae"), mse.alias("mse"), F.avg(qlike(f, a)).alias("qlike"))
+    return forecasts.groupBy(*by).agg(F.sqrt(mse).alias("rmse"), F.avg(loss("absolute", f, a)).alias("mae"), mse.alias("mse"), F.avg(qlike(f, a)).alias("qlike"))
 
 
 def diagnostics(forecasts: DataFrame, ratio: float = 1e4, qlike_cap: float = 1e3, tolerance: float = 2.0) -> DataFrame:
@@ -95,7 +104,7 @@ def excluded(screened: DataFrame) -> DataFrame:
     return screened.where("degenerate").groupBy("series").agg(F.array_sort(F.collect_list("model")).alias("models"))
 
 
-def with_base(hybrids: DataFrame, metrics_: DataFrame) -> DataFrame:
-    """The metrics of hybrid models beside those of the classical model inside their name; null where that one is missing."""
-    base = metrics_.select("series", F.col("model").alias("base"), *(F.col(c).alias(f"base_{c}") for c in ("rmse", "qlike")))
-    return hybrids.withColumn("base", base_model(F.col("model"))).join(base, ["series", "base"], "left")
+def with_base(hybrids: DataFrame, metrics_: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """The metrics of hybrid models beside those of the classical model inside their name (and of alike `more`); null where that one is missing."""
+    base = metrics_.select("series", F.col("model").alias("base"), *more, *(F.col(c).alias(f"base_{c}") for c in ("rmse", "qlike")))
+    return hybrids.withColumn("base", base_model(F.col("model"))).join(base, ["series", "base", *more], "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import partial
 
 import numpy as np
@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.special import normal_tail
+from ..operators import losses
 from ..operators.features import block_rows
 from ..operators.scans import affine, scanned
 from ..shipping import ship_package
@@ -69,14 +70,45 @@ def fitted_states(rows: DataFrame, specs: list[tuple]) -> DataFrame:
         f = f.sort_values("t")
         spec, dist, ret = f["spec"].iloc[0], f["dist"].iloc[0], f["ret"].to_numpy()
         p, _ = garch.fit(spec, dist, ret, order=order_of(f))
-        h = garch.one_step(spec, p, ret, len(ret))[-1] * garch.SCALE**2
-        e = (ret * garch.SCALE - p[0])[None]
-        past = [np.concatenate([np.repeat(garch.backcast(e), garch.TRUNCATION), e[0] ** 2])[-garch.TRUNCATION :].tolist()] if spec == "FIGARCH" else [None]
-        return pd.DataFrame({"series": f["series"].iloc[:1], "model": f["model"].iloc[:1], "spec": spec, "p": [p.tolist()], "t": int(f["t"].iloc[-1]), "state": garch.state_of(spec, p, h), "past": past})
+        (state,), past = carried(spec, p, ret, len(ret))
+        return pd.DataFrame({"series": f["series"].iloc[:1], "model": f["model"].iloc[:1], "spec": spec, "p": [p.tolist()], "t": int(f["t"].iloc[-1]), "state": state, "past": past})
 
     return spread(with_models(rows.select("series", "t", "ret"), specs), "series", "model").groupBy("series", "model").applyInPandas(run, "series string, model string, spec string, p array<double>, t long, state double, past array<double>")
 
 
+def carried(spec: str, p: np.ndarray, ret: np.ndarray, fitted: int) -> tuple[list[float], list]:
+    """The states that the model's recursion carries into each return from `fitted` on and into the one after the last, and the squares that FIGARCH carries there (None for others)."""
+    states = [garch.state_of(spec, p, h) for h in garch.one_step(spec, p, ret, fitted) * garch.SCALE**2]
+    if spec != "FIGARCH":
+        return states, [None] * len(states)
+    e = (ret * garch.SCALE - p[0])[None]
+    squares = np.concatenate([np.repeat(garch.backcast(e[:, :fitted]), garch.TRUNCATION), e[0] ** 2])
+    return states, [squares[i : i + garch.TRUNCATION].tolist() for i in range(fitted, len(ret) + 1)]
+
+
+def origin_states(rows: DataFrame, specs: list[tuple], n_train: int, every: int = 10, width: int | None = None) -> DataFrame:
+    """fitted_states() before the return of each test row t, by parameters fitted to its block's window, with model_ord; the blocks go on to the end of each series."""
+    ship_package(rows.sparkSession)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("t")
+        spec, dist, ret, fitted = f["spec"].iloc[0], f["dist"].iloc[0], f["ret"].to_numpy(), int((f["t"] < f["fit_end"]).sum())
+        p, _ = garch.fit(spec, dist, ret[:fitted], order=order_of(f))
+        states, past = carried(spec, p, ret, fitted)
+        test = f.iloc[fitted:]
+        return pd.DataFrame({"series": test["series"], "model": test["model"], "model_ord": test["model_ord"], "spec": spec, "p": [p.tolist()] * len(test), "t": test["t"], "state": states[:-1], "past": past[:-1]})
+
+    own = block_rows(rows.select("series", F.col("t").cast("long").alias("t"), "ret"), n_train, None, every, width)
+    schema = "series string, model string, model_ord int, spec string, p array<double>, t long, state double, past array<double>"
+    return spread(with_models(own, specs), "series", "model", "block").groupBy("series", "model", "block").applyInPandas(run, schema)
+
+
+def evaluate_ahead(rows: DataFrame, specs: list[tuple], n_train: int, horizon: int, every: int = 10, width: int | None = None, actual: str = "proxy") -> DataFrame:
+    """Forecasts of each step up to the horizon from each test row t: series, model, t, ahead, forecast and the actual of the time t + ahead - 1 that it is for, null beyond the last row. At the first step they are those of evaluate()."""
+    steps = term_structure(origin_states(rows, specs, n_train, every, width), horizon, by=("series", "model", "t")).withColumnRenamed("h", "forecast")
+    return losses.at_their_time(steps, rows.select("series", F.col("t").cast("long").alias("t"), F.col(actual).cast("double").alias("actual"))).select("series", "model", "t", "ahead", "forecast", "actual")
+
+
 LINEAR = ("GARCH", "GJR-GARCH", "APARCH")  # the specifications whose recursion is linear in what it carries
 
 
@@ -185,8 +217,8 @@ def evaluate_models(rows: DataFrame, models: dict[str, Callable], n_train: int,
     return spread(chunks, "series", "model", "block").groupBy("series", "model", "block").applyInPandas(run, schema)
 
 
-def term_structure(states: DataFrame, horizon: int, replicates: int = 2000, seed: int = 42) -> DataFrame:
-    """series, model, ahead and h: the variance that fitted_states() expects at each step up to the horizon, on the returns' own scale.
+def term_structure(states: DataFrame, horizon: int, replicates: int = 2000, seed: int = 42, by: Sequence[str] = ("series", "model")) -> DataFrame:
+    """series, model, ahead and h: the variance that fitted_states() expects at each step up to the horizon, on the returns' own scale; `by` names what tells states apart.
 
     GARCH and GJR-GARCH have a closed form. For the others replicates are rows, dealt over tasks, which draw normal deviations and go on from the state; Spark averages them."""
     ship_package(states.sparkSession)
@@ -195,7 +227,7 @@ def term_structure(states: DataFrame, horizon: int, replicates: int = 2000, seed
     persistence = F.when(F.col("spec") == "GARCH", p[2] + p[3]).otherwise(p[2] + p[3] / 2 + p[4])
     power = F.pow(persistence, k - 1)
     closed = power * F.col("state") + p[1] * F.when(persistence == 1, k - 1).otherwise((1 - power) / (1 - persistence))
-    own = steps.select("series", "model", k, (closed / garch.SCALE**2).alias("h"))
+    own = steps.select(*by, k, (closed / garch.SCALE**2).alias("h"))
     drawn = states.where(~F.col("spec").isin("GARCH", "GJR-GARCH")).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
 
     def run(frames):
@@ -208,14 +240,15 @@ def term_structure(states: DataFrame, horizon: int, replicates: int = 2000, seed
                 weights = garch.long_memory(*(q[None, i] for i in (2, 3, 4)))[0] if r.spec == "FIGARCH" else None
                 for step in range(horizon):
                     h = garch.variance_of(r.spec, q, state)
-                    rows.append((r.series, r.model, step + 1, h / garch.SCALE**2))
+                    rows.append((*(getattr(r, c) for c in by), step + 1, h / garch.SCALE**2))
                     e = z[step] * np.sqrt(h)
                     if weights is None:
                         state = garch.advance(r.spec, q, state, q[0] + e)
                     else:
                         past = [*past[1:], e * e]
                         state = garch.remembered(q, np.array(past), weights)
-            yield pd.DataFrame(rows, columns=["series", "model", "ahead", "h"])
+            yield pd.DataFrame(rows, columns=[*by, "ahead", "h"])
 
-    paths = spread(drawn.select("series", "model", "spec", "p", "state", "past", "replicate"), "series", "model", "replicate").mapInPandas(run, "series string, model string, ahead int, h double")
-    return own.unionByName(paths.groupBy("series", "model", "ahead").agg(F.avg("h").alias("h")))
+    named = ", ".join(f"{c} {states.schema[c].dataType.simpleString()}" for c in by)
+    paths = spread(drawn.select(*by, "spec", "p", "state", "past", "replicate"), *by, "replicate").mapInPandas(run, f"{named}, ahead int, h double")
+    return own.unionByName(paths.groupBy(*by, "ahead").agg(F.avg("h").alias("h")))

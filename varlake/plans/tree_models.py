@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..operators import features, returns
+from ..operators import features, losses, returns
 from ..operators.quantiles import exact_quantiles
 from ..shipping import ship_package
 from . import garch, trees
@@ -124,8 +124,9 @@ def evaluate(rows: DataFrame, n_train: int, every: int = 10, width: int | None =
 
 
 def repeated(forecasts: DataFrame, horizon: int) -> DataFrame:
-    """The forecasts of `horizon` steps from each origin, all alike, as trees give one value: a row for each step ahead."""
-    return forecasts.withColumn("ahead", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    """The forecasts of `horizon` steps from each origin t, all alike, as trees give one value: a row for each step ahead, with the actual of the time t + ahead - 1 that it is for, null beyond the last row."""
+    steps = forecasts.drop("actual").withColumn("ahead", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    return losses.at_their_time(steps, forecasts.select("series", "model", "t", "actual")).select(*forecasts.columns, "ahead")
 
 
 # Tuning: candidates are rows, each with trees of its own.
