@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from varlake import catalog
 from varlake.operators import returns
-from varlake.plans import forecasting, garch, tree_models, trees
+from varlake.plans import forecasting, garch, tree_levels, tree_models, trees
 
 from . import simulated
 
@@ -114,6 +114,46 @@ def test_splits_beyond_the_driver_make_the_same_trees(spark, monkeypatch):
         assert pred == pytest.approx(found[0][0]) and nodes == found[0][1]
 
 
+def test_chunks_of_a_group_make_the_same_trees(spark, monkeypatch):
+    """Rows that stay in memory: a group in one chunk or in many, features of several numbers, targets that are missing; against levels as queries."""
+    rows = few_rows(spark)
+    rows = rows.withColumn("x", F.when(F.col("g") == "a", F.slice("x", 1, 2)).otherwise(F.col("x"))).withColumn("y", F.when(F.col("i") == 10, None).otherwise(F.col("y")))
+    groups, found = rows.select("g").distinct().withColumn("n_estimators", F.lit(12)).withColumn("max_depth", F.when(F.col("g") == "a", 1).otherwise(3)).withColumn("subsample", F.lit(0.6)), []
+    for many, chunk in ((0, 4096), (4, 4096), (4, 7)):
+        monkeypatch.setattr(trees, "MANY", many)
+        monkeypatch.setattr(tree_levels, "CHUNK", chunk)
+        forest = trees.Booster(rows, groups, 3).run()
+        found.append(({(r.g, r.i): r.pred for r in forest.rows.collect()}, {(r.g, r.tree, r.node, r.f, r.bin, r.n) for r in forest.trees.where("f IS NOT NULL").collect()}))
+    assert len(found[0][0]) == 180 and {t for _, t, *_ in found[0][1]} == set(range(12))
+    for pred, nodes in found[1:]:
+        assert pred == pytest.approx(found[0][0]) and nodes == found[0][1]
+
+
+def test_rows_are_drawn_by_the_same_hash(spark):
+    rows = spark.range(-50, 50).selectExpr("id * 977777777777 AS i", "xxhash64(7, 3, 'g') AS seed", "xxhash64(7, 3, 'g', id * 977777777777) AS h").toPandas()
+    with np.errstate(over="ignore"):
+        got = tree_levels.hashed(rows["i"].to_numpy(), rows["seed"].to_numpy().astype(np.uint64))
+    assert (got.astype(np.int64) == rows["h"].to_numpy()).all()
+
+
+def test_the_tuning_query_tries_whole_candidates(spark, monkeypatch):
+    """All of the reference's 50 trials, with the numbers of trees and depths that they draw, to the end."""
+    given = []
+
+    def stopped(rows, trials, rungs=(), *_, **__):
+        given.extend([trials, rungs])
+        raise Stop
+
+    monkeypatch.setattr(tree_models, "tune", stopped)
+    with pytest.raises(Stop):
+        catalog.QUERIES["MDL12_tuning"](spark, "/root/testdata/sf0.001")
+    trials, rungs = given
+    assert len(trials) == 50 and not rungs
+    for name, (low, high, _) in tree_models.SPACE.items():
+        values = [t[name] for t in trials]
+        assert low <= min(values) and max(values) <= high and max(values) - min(values) > (high - low) / 2
+
+
 class Stop(Exception):
     pass
 
