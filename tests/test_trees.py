@@ -129,6 +129,18 @@ def test_chunks_of_a_group_make_the_same_trees(spark, monkeypatch):
         assert pred == pytest.approx(found[0][0]) and nodes == found[0][1]
 
 
+@pytest.mark.parametrize("many", [0, 4])
+def test_ties_go_to_the_first_feature(spark, monkeypatch, many):
+    """Features that part the same rows, mirrored: the sums' last digits don't choose between them."""
+    monkeypatch.setattr(trees, "MANY", many)
+    rng = np.random.default_rng(5)
+    r, y = rng.integers(1, 40, 90) / 8, rng.normal(0, 1, 90) + np.pi
+    rows = spark.createDataFrame([(g, i, True, [float(r[i] ** 2), float(-r[i])], float(y[i] * k)) for k, g in enumerate("abcdef", 1) for i in range(90)], "g string, i long, fit boolean, x array<double>, y double").repartition(7)
+    forest = trees.Booster(rows, trees.with_parameters(rows.select("g").distinct(), {**SIMPLE, "n_estimators": 2, "max_depth": 3})).run()
+    made = forest.trees.where("f IS NOT NULL").toPandas()
+    assert len(made) > 20 and set(made["f"]) == {0}
+
+
 def test_rows_are_drawn_by_the_same_hash(spark):
     rows = spark.range(-50, 50).selectExpr("id * 977777777777 AS i", "xxhash64(7, 3, 'g') AS seed", "xxhash64(7, 3, 'g', id * 977777777777) AS h").toPandas()
     with np.errstate(over="ignore"):
